@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rillwork.llm import exact_dedup, sharding, token_counts
+from rillwork.llm import exact_dedup, sentencepiece_fst, sharding, simhash, token_counts, toxicity
 
-_MODULES = (token_counts, exact_dedup, sharding)
+_MODULES = (token_counts, sentencepiece_fst, exact_dedup, toxicity, sharding, simhash)
 
 
 def queries() -> dict:
