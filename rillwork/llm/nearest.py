@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from rillwork.functions.shared import cut
 
 #: Rows to fit the index on; rows below which one partition holds all; the recall to reach on the sample.
-SAMPLE, LEAST, TARGET = 6144, 2048, 0.97
+SAMPLE, LEAST, TARGET = 6144, 2048, 0.95
 NEIGHBOURS, HIDDEN, EPOCHS = 10, 96, 25
 #: Rows of candidates and of queries that meet in one task.
 BLOCK, QUERY_BLOCK = 16384, 2048
@@ -131,7 +131,7 @@ def fit(sample: np.ndarray, rows: int, parts: int | None = None, target: float =
     """An index from distinct sample vectors; `rows` is the size of the whole table."""
     if rows < LEAST or len(sample) < LEAST // 2:
         return Index(None, 1, 1)
-    parts = parts or 2 ** int(np.clip(np.round(np.log2(rows) / 2 - 4), 3, 6))
+    parts = parts or 2 ** int(np.clip(np.round(np.log2(rows) / 2 - 4), 4, 6))
     rng = np.random.default_rng(7)
     known = _nearest(sample, np.arange(len(sample)), NEIGHBOURS)
     router = learn(sample, partition(known, parts, rng), parts, rng)
