@@ -22,7 +22,9 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,45 +32,64 @@ from pyspark.sql import functions as F
 
 from rillwork.llm.pieces import SPACE, cutter, escaped, model_bytes, processor, vocabulary
 
-#: Paths and pair weights that a worker keeps before it forgets them.
-PATHS, PAIRS = 500_000, 1_000_000
+#: Paths and pair weights that a worker keeps before it forgets the older half.
+PATHS, PAIRS = 1_000_000, 2_000_000
 
 
-class Pairs(dict):
-    """The pair acceptor: (left, right) to whether its weight is 0 (else it is infinite)."""
+class Recent(dict):
+    """A mapping that computes what is missing and keeps the latest `most` or so of it, in two halves."""
 
-    def __init__(self, rank: dict[str, int]):
+    def __init__(self, most: int):
         super().__init__()
-        self.rank = rank
+        self.half, self.older = most // 2, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class Pairs(Recent):
+    """The pair acceptor: whether the weight of arcs (left, right) is 0; else it is infinite. Keys: left << 32 | right."""
+
+    def __init__(self, names: list[str], rank: dict[str, int]):
+        super().__init__(PAIRS)
+        self.names, self.rank = names, rank
 
     def merged(self, text: str) -> list[str]:
-        """The pieces left when the model's merges have run over a short text: the lowest id first, then leftmost."""
+        """The pieces left when the model's merges have run over a short text: the lowest rank first, then leftmost."""
         parts, rank = list(text), self.rank
-        scores = [rank.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-        while True:
-            best = min((s for s in scores if s is not None), default=None)
-            if best is None:
-                return parts
+        none = 1 << 40
+        scores = [rank.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores and (best := min(scores)) < none:
             k = scores.index(best)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
             del scores[k]
             if k < len(scores):
-                scores[k] = rank.get(parts[k] + parts[k + 1])
+                scores[k] = rank.get(parts[k] + parts[k + 1], none)
             if k:
-                scores[k - 1] = rank.get(parts[k - 1] + parts[k])
+                scores[k - 1] = rank.get(parts[k - 1] + parts[k], none)
+        return parts
 
-    def __missing__(self, pair: tuple[str, str]) -> bool:
-        if len(self) >= PAIRS:
-            self.clear()
-        ok = self[pair] = self.merged(pair[0] + pair[1]) == [x for x in pair if x]
-        return ok
+    def compute(self, key: int) -> bool:
+        pair = [self.names[key >> 32], self.names[key & 0xFFFFFFFF]]
+        return self.merged("".join(pair)) == [x for x in pair if x]
 
 
-class Transducer(dict):
-    """Pre-token to the bytes of its ids (array code `code`); a missing one is composed and searched."""
+class Transducer(Recent):
+    """Pre-token to the bytes of its ids (array code `code`); a missing one is composed and searched.
+
+    Arcs are numbers: a piece's id, the next number for no piece (where a path starts), further ones for characters
+    without a piece.
+    """
 
     def __init__(self, model: bytes):
-        super().__init__()
+        super().__init__(PATHS)
         proc = processor(model)
         size = proc.get_piece_size()
         self.pieces = vocabulary(proc)
@@ -76,15 +97,20 @@ class Transducer(dict):
         # a lower score is a later merge; ids of equal score keep their order
         order = sorted(self.pieces.values(), key=lambda i: (-proc.get_score(i), i))
         rank = {i: k for k, i in enumerate(order)}
-        self.pairs = Pairs({p: rank[i] for p, i in self.pieces.items() if len(p) > 1})
+        self.start, self.names = size, [""] * (size + 1)
+        for p, i in self.pieces.items():
+            self.names[i] = p
+        self.single = {p: i for p, i in self.pieces.items() if len(p) == 1}
+        self.pairs = Pairs(self.names, {p: rank[i] for p, i in self.pieces.items() if len(p) > 1})
         self.bytes = {int(proc.id_to_piece(i)[1:-1], 16): i for i in range(size) if proc.is_byte(i)}
         self.code, self.kind = ("H", np.uint16) if size <= 65536 else ("I", np.uint32)
         self.unknown = proc.unk_id()
-        # the lengths of the pieces that end in a character, longest first
-        ends: dict[str, set[int]] = {}
-        for p in self.pieces:
-            ends.setdefault(p[-1], set()).add(len(p))
-        self.ends = {c: sorted(n - {1}, reverse=True) for c, n in ends.items()}
+        # the piece transducer: all pieces of two characters or more that end at a position, the longest first
+        self.arcs = ahocorasick.Automaton()
+        for p, i in self.pieces.items():
+            if len(p) > 1:
+                self.arcs.add_word(p, (len(p), i))
+        self.arcs.make_automaton()
         # decoding reads the machine backwards: from ids to bytes
         self.spelt = [b""] * size
         for p, i in self.pieces.items():
@@ -95,41 +121,46 @@ class Transducer(dict):
         if self.unknown >= 0:
             self.spelt[self.unknown] = " ⁇ ".encode()
 
-    def path(self, text: str) -> list[str]:
-        """The pieces of the shortest path over a pre-token."""
-        best, pieces, pairs, ends = [""] * (len(text) + 1), self.pieces, self.pairs, self.ends
-        for end in range(1, len(text) + 1):
-            last = text[end - 1]
-            for n in ends.get(last, ()):
-                if n <= end:
-                    piece = text[end - n : end]
-                    if piece in pieces and pairs[best[end - n], piece]:
-                        best[end] = piece
-                        break
-            else:
-                best[end] = last
+    def _arc(self, char: str) -> int:
+        """The arc of a character without a piece."""
+        if len(self.names) > 2 * self.start + 70_000:  # so many never met but in made-up input: start afresh
+            self.single = {p: i for p, i in self.single.items() if i < self.start}
+            del self.names[self.start + 1 :]
+            self.pairs.clear()
+            self.pairs.older = {}
+        self.names.append(char)
+        self.single[char] = len(self.names) - 1
+        return self.single[char]
+
+    def path(self, text: str) -> list[int]:
+        """The arcs of the shortest path over a pre-token: best[end] is the last arc of the only path of weight 0."""
+        single, pairs = self.single, self.pairs
+        best = [self.start]
+        best += [single[c] if c in single else self._arc(c) for c in text]
+        back = [1] * len(best)
+        for at, (n, arc) in self.arcs.iter(text):
+            end = at + 1
+            if back[end] == 1 and pairs[best[end - n] << 32 | arc]:
+                best[end], back[end] = arc, n
         out, end = [], len(text)
         while end:
             out.append(best[end])
-            end -= len(best[end])
+            end -= back[end]
         return out[::-1]
 
-    def __missing__(self, part: str) -> bytes:
+    def compute(self, part: str) -> bytes:
         ids = array(self.code)
-        for piece in self.path(part):
-            i = self.pieces.get(piece)
-            if i is not None:
-                ids.append(i)
+        for arc in self.path(part):
+            if arc < self.start:
+                ids.append(arc)
             elif self.bytes:
-                ids.extend(self.bytes[b] for b in piece.encode())
+                ids.extend(self.bytes[b] for b in self.names[arc].encode())
             else:
                 ids.append(self.unknown)
-        if len(self) >= PATHS:
-            self.clear()
-        out = ids.tobytes()
-        if len(part) <= 64:
-            self[part] = out
-        return out
+        return ids.tobytes()
+
+    def __missing__(self, part: str) -> bytes:
+        return super().__missing__(part) if len(part) <= 64 else self.compute(part)
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, self.cut.findall(escaped(text)))) if text else b""
@@ -145,6 +176,12 @@ class Transducer(dict):
         return text[1:] if text[:1] == " " and int(ids[0]) in self.spaced else text
 
 
+@lru_cache(maxsize=1)
+def machine_of(model: bytes) -> Transducer:
+    """The worker's machine: what it has learnt serves its later tasks too."""
+    return Transducer(model)
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, keep_text: bool = False) -> DataFrame:
     """One row per row of docs: `id_col`, n_tokens, ids (array<int>), round_trip, and with keep_text the decoded text.
 
@@ -155,7 +192,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     model = docs.sparkSession.sparkContext.broadcast(model_bytes(model_path))  # one model file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(model.value)
+        machine = machine_of(model.value)
         for batch in batches:
             # a few rows at a time: a text of a hundred kilobytes has as many ids
             for start in range(0, batch.num_rows, 512):
@@ -184,7 +221,7 @@ def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model
     model = coded.sparkSession.sparkContext.broadcast(model_bytes(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(model.value)
+        machine = machine_of(model.value)
         for b in batches:
             texts = [machine.decode(np.array(ids or (), np.int64)) for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"id": b.column(0), "text": pa.array(texts, pa.string())})
