@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from rillwork.llm import exact_dedup, html_text, line_dedup, nearest, sentencepiece_fst, sharding, simhash, token_counts, toxicity
+from rillwork.llm import exact_dedup, html_text, line_dedup, mixing, nearest, sentencepiece_fst, sharding, simhash, token_counts, toxicity
 
-_MODULES = (token_counts, sentencepiece_fst, exact_dedup, toxicity, line_dedup, sharding, nearest, simhash, html_text)
+_MODULES = (token_counts, sentencepiece_fst, exact_dedup, toxicity, line_dedup, mixing, sharding, nearest, simhash, html_text)
 
 
 def queries() -> dict:
