@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from rillwork.llm.pieces import SPACE, cutter, escaped, model_bytes, processor, vocabulary
 
 #: Paths and pair weights that a worker keeps before it forgets the older half.
-PATHS, PAIRS = 1_000_000, 2_000_000
+PATHS, PAIRS = 600_000, 600_000
 
 
 class Recent(dict):
