@@ -8,7 +8,7 @@ similarity of at least THRESHOLD with it (equal lines have 1). The join is exact
   n - ceil(t n) + 1;
 * length: the smaller has at least t times as many words as the larger;
 * positional: what follows the shared word in both lines must be enough for the overlap that the threshold asks for;
-* a 64-bit map of each line's words bounds how many words two lines don't share.
+* a 128-bit map of each line's words bounds how many words two lines don't share.
 
 Equal lines are one entry, found by a grouping with map-side aggregation. Of large groups of alike lines not all pairs are
 made: a first round compares each line only with the earliest line of each of a few keys, and the join is left to the
@@ -30,7 +30,7 @@ from rillwork.llm import bits
 RARITY = 1 << 18
 _BLANK = r"[\x20\x09-\x0D]"
 #: Keys of the first round, as places among a line's first words.
-ROUND_KEYS = 4
+ROUND_KEYS = 3
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -40,14 +40,16 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _words(line: Column) -> Column:
-    """The words of a line, perhaps with empty strings between."""
-    return F.split(F.translate(line, "\t\x0b\x0c\r\n", "     "), " ")
+    """The words of a line."""
+    for blank in "\t\x0b\x0c\r\n":
+        line = F.replace(line, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(line, " "), "")
 
 
 def rarity(docs: DataFrame, text_col: str = "text", entries: int = RARITY) -> list[int]:
     """How common the words of each hash are, as 16 steps of a logarithm; packed into entries / 16 longs."""
-    words = docs.select(F.explode(_words(F.col(text_col))).alias("word")).where("word <> ''")
-    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(entries)).cast("int").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    words = docs.select(F.explode(_words(F.col(text_col))).alias("word"))
+    counts = cut(words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(entries - 1)).cast("int").alias("at")).agg(F.count(F.lit(1)).alias("n")))
     mean = counts.agg(F.percentile_approx("n", 0.5)).first()[0] or 1
     step = F.least(F.greatest(F.floor(F.log2(F.col("n") / F.lit(mean)) * 2) + 2, F.lit(0)), F.lit(15)).cast("long")
     slots = counts.withColumn("step", step).groupBy(F.floor(F.col("at") / 16).cast("int").alias("slot"))
@@ -62,14 +64,18 @@ def _coded(line: Column, table: list[int], entries: int) -> Column:
     """A line's set of words as sorted longs: six bits of rarity, then 58 bits of hash."""
     held = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # a constant, folded once
 
-    def code(word: Column) -> Column:
-        h = F.xxhash64(word)
-        at = F.pmod(h, F.lit(entries))
-        packed = F.element_at(held, (F.shiftright(at, 4) + 1).cast("int"))
-        level = F.call_function("shiftrightunsigned", packed, (at.bitwiseAND(F.lit(15)) * 4).cast("int")).bitwiseAND(F.lit(15))
+    def code(h: Column) -> Column:
+        at = h.bitwiseAND(F.lit(entries - 1)).cast("int")
+        packed = F.coalesce(F.get(held, F.shiftright(at, 4)), F.lit(0).cast("long"))  # never null: arrays of plain longs sort faster
+        level = F.call_function("shiftrightunsigned", packed, F.shiftleft(at.bitwiseAND(F.lit(15)), 2)).bitwiseAND(F.lit(15).cast("long"))
         return h.bitwiseAND(F.lit((1 << 58) - 1)).bitwiseOR(F.shiftleft(level, 58))
 
-    return F.sort_array(F.array_distinct(F.transform(F.filter(_words(line), lambda w: w != ""), code)))
+    return F.sort_array(F.transform(_hashed(line), code))
+
+
+def _hashed(line: Column) -> Column:
+    """A line's set of words, as 64-bit hashes."""
+    return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
 
 
 def _prefix(t: tuple[int, int]) -> str:
@@ -88,29 +94,40 @@ def _overlap(t: tuple[int, int], m: str, n: str) -> str:
     return f"CAST((({m} + {n}) * {a} + {a + b - 1}) DIV {a + b} AS INT)"
 
 
+def _map(code: Column, half: int) -> Column:
+    """One half of a line's map: a bit for each word whose hash falls in it."""
+    one, bit = F.lit(1).cast("long"), lambda c: c.bitwiseAND(F.lit(63)).cast("int")
+    return F.aggregate(code, F.lit(0).cast("long"), lambda m, c: F.when(c.bitwiseAND(F.lit(64)) == half, m.bitwiseOR(F.call_function("shiftleft", one, bit(c)))).otherwise(m))
+
+
+def _alike(x: str, y: str, need: str) -> str:
+    """Whether the maps of two lines leave room for the overlap that is needed."""
+    return f"bit_count({x}sig ^ {y}sig) + bit_count({x}sig2 ^ {y}sig2) <= {x}n + {y}n - 2 * {need}"
+
+
 def _first_lines(lines: DataFrame, table: list[int], t: tuple[int, int], entries: int) -> DataFrame:
-    """One row for each distinct line with words: lh, lh2, first (its first place), n, sig, head (its first words)."""
+    """One row for each distinct line with words: lh, lh2, first (its first place), n, sig and sig2, head (its first words)."""
     coded = lines.select("id", "th", "no", F.xxhash64("line").alias("lh"), F.xxhash64("line", F.lit("second")).alias("lh2"), _coded(F.col("line"), table, entries).alias("code"))
     coded = coded.withColumn("n", F.size("code")).where("n > 0")
-    sig = F.aggregate("code", F.lit(0).cast("long"), lambda s, c: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))))
+    sig = [_map(F.col("code"), half) for half in (0, 64)]
     head = F.transform(F.slice("code", 1, F.expr(_prefix(t))), lambda c: F.xxhash64(c).cast("long").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    whole = F.struct(F.struct("id", "th", "no").alias("first"), "n", sig.alias("sig"), head.alias("head"))
-    return coded.groupBy("lh", "lh2").agg(F.min(whole).alias("x")).select("lh", "lh2", "x.first", "x.n", "x.sig", "x.head")
+    whole = F.struct(F.struct("id", "th", "no").alias("first"), "n", sig[0].alias("sig"), sig[1].alias("sig2"), head.alias("head"))
+    return coded.groupBy("lh", "lh2").agg(F.min(whole).alias("x")).select("lh", "lh2", "x.first", "x.n", "x.sig", "x.sig2", "x.head")
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, table: list[int], t: tuple[int, int], entries: int) -> DataFrame:
-    """(lh) of the later lines of pairs (early, late) whose similarity is high enough.
+def _verified(pairs: DataFrame, lines: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """The pairs (x, y) of hashes of lines whose similarity is high enough.
 
     The lines' words are taken from the texts again, only of lines that a fixed-size bit table lets through.
     """
-    asked = pairs.select(F.explode(F.array("early", "late")).alias("lh"))
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("lh"))
     known = cut(bits.build(asked, F.col("lh")))
     some = bits.mark(lines.select("line", F.xxhash64("line").alias("lh")), known, F.col("lh"), "asked").where("asked")
-    words = some.groupBy("lh").agg(F.first("line").alias("line")).select("lh", _coded(F.col("line"), table, entries).alias("code"))
+    words = some.groupBy("lh").agg(F.first("line").alias("line")).select("lh", _hashed(F.col("line")).alias("code"))
     words = cut(words.join(asked.distinct(), "lh", "left_semi"))
-    both = pairs.join(words.select(F.col("lh").alias("early"), F.col("code").alias("a")), "early").join(words.select(F.col("lh").alias("late"), F.col("code").alias("b")), "late")
+    both = pairs.join(words.select(F.col("lh").alias("x"), F.col("code").alias("a")), "x").join(words.select(F.col("lh").alias("y"), F.col("code").alias("b")), "y")
     shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared * (t[0] + t[1]) >= (F.size("a") + F.size("b")) * t[0]).select(F.col("late").alias("lh")).distinct()
+    return both.where(shared * (t[0] + t[1]) >= (F.size("a") + F.size("b")) * t[0]).select("x", "y")
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (4, 5), entries: int = RARITY) -> DataFrame:
@@ -124,37 +141,33 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # Round one: the earliest line that shares one of a few keys.
     places = F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(F.size("head"), F.lit(ROUND_KEYS))), lambda k: F.element_at("head", -k)))
-    keyed = first.select("lh", "first", "n", "sig", F.explode(places).alias("key"))
-    leader = F.min(F.struct("first", "lh", "n", "sig")).over(Window.partitionBy("key"))
-    led = keyed.withColumn("lead", leader).where("lead.lh <> lh")
-    alike = F.expr(f"bit_count(sig ^ lead.sig) <= n + lead.n - 2 * {_overlap(t, 'n', 'lead.n')}")
-    gone = cut(_verified(cut(led.where(alike).select(F.col("lead.lh").alias("early"), F.col("lh").alias("late")).distinct()), lines, table, t, entries))
-
-    # The join proper, for lines not yet removed.
-    def index(rows: DataFrame, mark: str) -> DataFrame:
-        return rows.select(F.posexplode("head").alias("pos", "word"), F.col("lh").alias(f"lh_{mark}"), F.col("n").alias(f"n_{mark}"), F.col("sig").alias(f"sig_{mark}"), F.col("first").alias(f"first_{mark}")).withColumnRenamed("pos", f"pos_{mark}")
-
-    left = first.join(gone, "lh", "left_anti")
-    a, b = index(first, "a"), index(left, "b")
-    smaller, larger = "least(n_a, n_b)", "greatest(n_a, n_b)"
-    need = _overlap(t, "n_a", "n_b")
-    pos_smaller = "CASE WHEN n_a <= n_b THEN pos_a ELSE pos_b END"
+    keyed = first.select("first.id", "first.no", "lh", "n", "sig", "sig2", F.explode(places).alias("key"))
+    leader = F.min(F.struct("id", "no", "lh", "n", "sig", "sig2")).over(Window.partitionBy("key"))
+    led = keyed.withColumn("lead", leader).where("lead.lh <> lh AND NOT (lead.id <=> id AND lead.no = no)")
+    led = led.where(_alike("lead.", "", _overlap(t, "lead.n", "n")))
+    led = cut(led.select(F.col("lead.lh").alias("x"), F.col("lh").alias("y")).distinct())
+    gone = cut(_verified(led, lines, t).select(F.col("y").alias("lh"), F.lit(True).alias("gone")).distinct())
+
+    # The join proper: pairs of which at least one isn't removed yet; x is the line of fewer words. No condition is on x
+    # alone, so both sides are one exchange, read twice.
+    marked = first.join(gone, "lh", "left").select("lh", "n", "sig", "sig2", F.coalesce("gone", F.lit(False)).alias("gone"), F.posexplode("head").alias("pos", "word"))
+    need = _overlap(t, "x.n", "y.n")
     on = (
-        "first_a < first_b"
-        f" AND {smaller} * {t[1]} >= {larger} * {t[0]}"
-        f" AND {pos_smaller} < {_index_prefix(t, smaller)}"
-        f" AND least(n_a - pos_a, n_b - pos_b) >= {need}"
-        f" AND bit_count(sig_a ^ sig_b) <= n_a + n_b - 2 * {need}"
+        f"x.word = y.word AND (x.n < y.n OR x.n = y.n AND x.lh < y.lh) AND NOT (x.gone AND y.gone) AND x.n * {t[1]} >= y.n * {t[0]}"
+        f" AND x.pos < {_index_prefix(t, 'least(x.n, y.n)')} AND least(x.n - x.pos, y.n - y.pos) >= {need} AND {_alike('x.', 'y.', need)}"
     )
-    pairs = a.join(b.withColumnRenamed("word", "word_b"), (F.col("word") == F.col("word_b")) & F.expr(on)).select(F.col("lh_a").alias("early"), F.col("lh_b").alias("late")).distinct()
-    gone = gone.unionByName(_verified(cut(pairs), lines, table, t, entries)).withColumn("gone", F.lit(True))
+    pairs = marked.alias("x").join(marked.alias("y"), F.expr(on)).select(F.col("x.lh").alias("x"), F.col("y.lh").alias("y")).distinct()
+    places = first.select("lh", "first")
+    found = _verified(cut(pairs), lines, t).join(places.toDF("x", "at_x"), "x").join(places.toDF("y", "at_y"), "y")
+    late = found.select(F.when(F.col("at_x") < F.col("at_y"), F.col("y")).otherwise(F.col("x")).alias("lh"), F.lit(True).alias("gone"))
+    gone = gone.unionByName(late).distinct()
 
     judged = cut(first.select("lh", "lh2", "first").join(gone, "lh", "left").select("lh", "lh2", "first", F.coalesce("gone", F.lit(False)).alias("gone")))
     places = lines.select("id", "th", "no", F.xxhash64("line").alias("lh"), F.xxhash64("line", F.lit("second")).alias("lh2"))
     seen = places.join(judged, ["lh", "lh2"], "left")
     goes = F.coalesce(F.col("gone") | ~F.struct("id", "th", "no").eqNullSafe(F.col("first")), F.lit(False)) & F.col("first").isNotNull()
-    flags = F.transform(F.sort_array(F.collect_list(F.struct("no", goes.alias("goes")))), lambda x: x["goes"])
-    return seen.dropDuplicates(["id", "th", "no"]).groupBy("id", "th").agg(flags.alias("flags"), F.count_if(goes).cast("int").alias("n_removed")).where("n_removed > 0")
+    flags = F.transform(F.sort_array(F.collect_set(F.struct("no", goes.alias("goes")))), lambda x: x["goes"])
+    return seen.groupBy("id", "th").agg(flags.alias("flags")).where("exists(flags, x -> x)").withColumn("n_removed", F.size(F.filter("flags", lambda x: x)))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (4, 5)) -> DataFrame:
