@@ -148,12 +148,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     led = cut(led.select(F.col("lead.lh").alias("x"), F.col("lh").alias("y")).distinct())
     gone = cut(_verified(led, lines, t).select(F.col("y").alias("lh"), F.lit(True).alias("gone")).distinct())
 
-    # The join proper: pairs of which at least one isn't removed yet; x is the line of fewer words. No condition is on x
-    # alone, so both sides are one exchange, read twice.
-    marked = first.join(gone, "lh", "left").select("lh", "n", "sig", "sig2", F.coalesce("gone", F.lit(False)).alias("gone"), F.posexplode("head").alias("pos", "word"))
+    # The join proper: pairs whose later line isn't removed yet; x is the line of fewer words. No condition is on x alone,
+    # so both sides are one exchange, read twice.
+    marked = first.join(gone, "lh", "left").select("lh", "first.id", "first.no", "n", "sig", "sig2", F.coalesce("gone", F.lit(False)).alias("gone"), F.posexplode("head").alias("pos", "word"))
+    open_ = "(NOT y.gone AND (x.id IS NULL OR x.id < y.id OR x.id = y.id AND x.no <= y.no) OR NOT x.gone AND (y.id IS NULL OR y.id < x.id OR x.id = y.id AND y.no <= x.no))"
     need = _overlap(t, "x.n", "y.n")
     on = (
-        f"x.word = y.word AND (x.n < y.n OR x.n = y.n AND x.lh < y.lh) AND NOT (x.gone AND y.gone) AND x.n * {t[1]} >= y.n * {t[0]}"
+        f"x.word = y.word AND (x.n < y.n OR x.n = y.n AND x.lh < y.lh) AND {open_} AND x.n * {t[1]} >= y.n * {t[0]}"
         f" AND x.pos < {_index_prefix(t, 'least(x.n, y.n)')} AND least(x.n - x.pos, y.n - y.pos) >= {need} AND {_alike('x.', 'y.', need)}"
     )
     pairs = marked.alias("x").join(marked.alias("y"), F.expr(on)).select(F.col("x.lh").alias("x"), F.col("y.lh").alias("y")).distinct()
