@@ -12,6 +12,8 @@ running sums are over BLOCKS rows for each source and over the rows of one block
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +51,7 @@ def exponent(shares: DataFrame, entropy: float | None = None, repeats: float | N
         if not rows:
             return 1.0
         if entropy is not None:
-            good = [r["n"] < 2 or (r["z"] and _entropy(r) >= entropy * _log(r["n"])) for r in rows]
+            good = [r["n"] < 2 or (r["z"] and _entropy(r) >= entropy * math.log(r["n"])) for r in rows]
             last = max((k for k, g in enumerate(good) if g), default=0)
         else:
             reads = [(r["least"] / r["most"]) ** (r["a"] - 1) if whole else r["least"] ** (r["a"] - 1) / r["z"] for r in rows]
@@ -64,14 +66,8 @@ def exponent(shares: DataFrame, entropy: float | None = None, repeats: float | N
     return low if entropy is not None else high
 
 
-def _log(x: float) -> float:
-    import math
-
-    return math.log(x)
-
-
 def _entropy(r) -> float:
-    return _log(r["z"]) - r["a"] * r["l"] / r["z"]
+    return math.log(r["z"]) - r["a"] * r["l"] / r["z"]
 
 
 def _keys(id_col: str, text_col: str, source_col: str) -> dict[str, Column]:
@@ -144,7 +140,7 @@ s AS (SELECT src, sum(in_block)::BIGINT AS in_source FROM b GROUP BY ALL HAVING
 p AS (SELECT src, in_source, in_source / (SELECT sum(in_source) FROM s)::DOUBLE AS share FROM s),
 l AS (SELECT list(share) AS shares, min(share) AS least FROM p),
 x(k, lo, hi) AS (
-  SELECT 0, CASE WHEN least ** -1.0 / len(shares) <= 1.5 THEN -1.0 ELSE 0.0 END, CASE WHEN least ** -1.0 / len(shares) <= 1.5 THEN 0.0 ELSE 1.0 END FROM l
+  SELECT 0, CASE WHEN least ** -1.0 / len(shares) <= 1.5 THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END, CASE WHEN least ** -1.0 / len(shares) <= 1.5 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END FROM l
   UNION ALL
   SELECT k + 1, CASE WHEN ok THEN lo ELSE (lo + hi) / 2 END, CASE WHEN ok THEN (lo + hi) / 2 ELSE hi END
   FROM (SELECT k, lo, hi, lo >= 0 AND least ** ((lo + hi) / 2 - 1) / list_sum(list_transform(shares, lambda q: q ** ((lo + hi) / 2))) <= 1.5 AS ok FROM x, l WHERE k < 36)),
