@@ -1,13 +1,14 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text. A text is cut into windows of WINDOW words;
-the gain of a window is how many bytes shorter it becomes with the toxic dictionary than with the ordinary one. The score
+Two zstandard dictionaries are trained, one on ordinary and one on toxic text. A text is cut into windows of WINDOW words,
+one every STRIDE words; the gain of a window is how many bytes shorter it becomes with the toxic dictionary than with the ordinary one. The score
 is a logistic function of a few statistics of a text's gains (their largest, their mean, the shares of windows above fixed
 gains ...), calibrated on the same labelled rows.
 
-Most of a toxic text is ordinary prose, so the toxic dictionary is trained on those words of toxic texts that hold
-character 5-grams found in far more toxic than ordinary texts. Its content follows the ordinary dictionary's, so both
-compress ordinary prose alike and a gain shows only where the toxic part matches.
+Most of a toxic text is ordinary prose, so the toxic dictionary is made of those stretches of the words of toxic texts
+whose character 5-grams are found in far more toxic than ordinary texts, the most frequent last, where matches are
+cheapest. It follows the ordinary dictionary's content, so both compress ordinary prose alike and a gain shows only where
+the toxic part matches.
 
 The fit is on a sample whose size is a parameter (`toxic_rows`, `ordinary_rows`); the scan that scores covers all texts
 whole.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from rillwork.functions.shared import cut
 
-WINDOW, GRAM = 10, 5
+WINDOW, STRIDE, GRAM = 12, 4, 5
 ORDINARY_BYTES, TOXIC_BYTES = 65536, 4096
 #: Rows to fit on, and the longest text among them in characters.
 TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 1500, 4000, 20_000
@@ -36,9 +37,9 @@ TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 1500, 4000, 20_000
 ENRICHED = 20
 
 
-def windows(text: str | None) -> list[bytes]:
+def windows(text: str | None, stride: int = STRIDE) -> list[bytes]:
     words = (text or "").lower().encode().split()
-    return [b" ".join(words[i : i + WINDOW]) for i in range(0, max(1, len(words)), WINDOW)]
+    return [b" ".join(words[i : i + WINDOW]) for i in range(0, max(1, len(words) - (WINDOW - stride)), stride)]
 
 
 @dataclass
@@ -77,9 +78,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _padded(word: bytes) -> bytes:
+    return b" " + word + b" "
+
+
 def _grams(words: set[bytes]) -> set[bytes]:
-    padded = [b" " + w for w in words]
-    return {w[i : i + GRAM] for w in padded for i in range(max(1, len(w) - GRAM + 1))}
+    return {w[i : i + GRAM] for w in map(_padded, words) for i in range(max(1, len(w) - GRAM + 1))}
+
+
+def _stretches(word: bytes, telling: set[bytes]) -> list[bytes]:
+    """The parts of a word that telling 5-grams cover."""
+    word = _padded(word)
+    starts = [i for i in range(max(1, len(word) - GRAM + 1)) if word[i : i + GRAM] in telling]
+    out: list[list[int]] = []
+    for i in starts:
+        if out and i <= out[-1][1]:
+            out[-1][1] = i + GRAM
+        else:
+            out.append([i, i + GRAM])
+    return [word[i:j] for i, j in out]
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -114,9 +131,10 @@ def train(toxic: list[str], ordinary: list[str], prior: float) -> Model | None:
         of_plain.update(_grams(set(t.lower().encode().split())))
     least = max(4, 0.01 * len(toxic)) if len(toxic) > 8 else 1
     telling = {g for g, n in of_toxic.items() if n >= least and (of_plain[g] + 0.5) / len(ordinary) < n / len(toxic) / ENRICHED}
-    samples = [b" " + w + b" " for ws in words for w in sorted(ws) if not telling.isdisjoint(_grams({w}))]
-    plain = [w for t in ordinary for w in windows(t)]
-    gains = (_dictionary(plain, ORDINARY_BYTES) or b" " * 8, _dictionary(samples, TOXIC_BYTES) or b" " * 8)
+    found = Counter(x for ws in words for w in sorted(ws) for x in _stretches(w, telling))
+    toxic_part = b"".join(x for x, n in reversed(found.most_common()) if n >= least)[-TOXIC_BYTES:]
+    plain = [w for t in ordinary for w in windows(t, WINDOW)]
+    gains = (_dictionary(plain, ORDINARY_BYTES) or b" " * 8, toxic_part)
     of = Gains(*gains)
     x = np.array([of.statistics(t) for t in toxic + ordinary])
     y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
