@@ -1,12 +1,30 @@
-"""Tables that cut a plan's lineage, kept where every executor can read them."""
+"""What executors share with the driver: tables that cut a plan's lineage, and this package's code."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Applications whose executors have this package.
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, once an application: their Python workers needn't have it installed."""
+    sc, top = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if sc.applicationId not in _shipped:
+        path = Path(tempfile.mkdtemp(prefix="rillwork-")) / f"{top.name}.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        sc.addPyFile(str(path))
+        _shipped.add(sc.applicationId)
+    return spark
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
