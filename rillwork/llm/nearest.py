@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillwork.functions.shared import cut
+from rillwork.functions.shared import cut, ship
 
 #: Rows to fit the index on; rows below which one partition holds all; the recall to reach on the sample.
 SAMPLE, LEAST, TARGET = 6144, 2048, 0.95
@@ -182,7 +182,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "ve
     to smaller ids; a query gets all candidates if there are at most k; other columns aren't read; an empty table gives
     no rows.
     """
-    spark = vectors.sparkSession
+    spark = ship(vectors.sparkSession)
     rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
     common = rows.where("vec IS NOT NULL").groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
     dim = common["dim"] if common else 0

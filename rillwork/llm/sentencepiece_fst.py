@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillwork.functions.shared import ship
 from rillwork.llm.pieces import SPACE, cutter, escaped, model_bytes, processor, vocabulary
 
 #: Paths and pair weights that a worker keeps before it forgets the older half.
@@ -189,7 +190,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     Defined cases: a null or empty text has no ids and its round trip holds; null and repeated ids pass row by row;
     texts of any length are searched whole; other columns are not read; an empty table gives no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(model_bytes(model_path))  # one model file
+    model = ship(docs.sparkSession).sparkContext.broadcast(model_bytes(model_path))  # one model file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = machine_of(model.value)
@@ -218,7 +219,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
 def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model_path: str | None = None) -> DataFrame:
     """(id, text) of ids; null ids give an empty text, as no ids do."""
-    model = coded.sparkSession.sparkContext.broadcast(model_bytes(model_path))
+    model = ship(coded.sparkSession).sparkContext.broadcast(model_bytes(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = machine_of(model.value)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.functions.shared import cut
+from rillwork.functions.shared import cut, ship
 from rillwork.llm.links import components
 
 BITS, SEGMENTS = 4, (13, 13, 13, 13, 12)
@@ -62,6 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.fromiter((fingerprint(t.as_py(), words_each) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
 
@@ -152,6 +153,7 @@ def link(fps: DataFrame, bits: int = BITS) -> DataFrame:
         if held:
             yield out(held)
 
+    ship(fps.sparkSession)
     filed = fps.select(F.explode(F.array(*_keys(F.col("fp")))).alias("key"), "fp")
     return filed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
 

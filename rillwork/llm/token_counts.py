@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillwork.functions.shared import ship
 from rillwork.llm.pieces import SPACE, cutter, escaped, model_bytes, processor, vocabulary
 
 #: Pre-tokens in tier one, in a task's summary, and in a worker's cache.
@@ -88,6 +89,7 @@ def frequent_pretokens(docs: DataFrame, text_col: str, model: bytes, most: int =
         if counts:
             yield _pack(_trim(counts, most))
 
+    ship(docs.sparkSession)
     kind = "words string, counts array<bigint>"
     parts = docs.select(text_col).mapInArrow(summarise, kind).repartition(MERGERS).mapInArrow(merge, kind).collect()
     total = Counter()
@@ -108,7 +110,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lengths = memoryview(bytearray(2 * len(words))).cast("H")
     for k, w in enumerate(words):
         lengths[k] = min(first.encoded(w), 65535)
-    table = docs.sparkSession.sparkContext.broadcast((model, _SEP.join(words), lengths.tobytes()))  # about 0.5 MB each
+    table = ship(docs.sparkSession).sparkContext.broadcast((model, _SEP.join(words), lengths.tobytes()))  # about 0.5 MB each
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tiers = Lengths(*table.value)

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwork.functions.shared import cut
+from rillwork.functions.shared import cut, ship
 
 WINDOW, STRIDE, GRAM = 12, 4, 5
 ORDINARY_BYTES, TOXIC_BYTES = 65536, 4096
@@ -164,7 +164,7 @@ def score(docs: DataFrame, model: Model | None, prior: float, id_col: str = "doc
     of any length are cut into windows whole; other columns aren't read; an empty table gives no rows; without labelled
     rows of both classes every score is the base rate.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries, 70 KB
+    sent = ship(docs.sparkSession).sparkContext.broadcast(model)  # two dictionaries, 70 KB
     kept = list(dict.fromkeys((id_col, *keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
