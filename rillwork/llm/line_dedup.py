@@ -11,8 +11,8 @@ similarity of at least THRESHOLD with it (equal lines have 1). The join is exact
 * a 128-bit map of each line's words bounds how many words two lines don't share.
 
 Equal lines are one entry, found by a grouping with map-side aggregation. Of large groups of alike lines not all pairs are
-made: a first round compares each line only with the earliest line of each of a few keys, and the join is left to the
-lines that this hasn't removed. Words are compared as 58-bit hashes, lines are told apart by two 64-bit hashes.
+made: rounds first compare each line only with the earliest line of each of a few keys and with a few lines of its
+family, and the join is left to the lines that this hasn't removed. Words are compared as 58-bit hashes, lines are told apart by two 64-bit hashes.
 
 Rarity is counted over all texts in a table of fixed size by word hash; any order is right for the join, a finer one is
 faster.
@@ -28,9 +28,10 @@ from rillwork.llm import bits
 
 #: Entries of the rarity table. A packed entry is four bits: 16 to a long.
 RARITY = 1 << 18
-_BLANK = r"[\x20\x09-\x0D]"
 #: Keys of the first round, as places among a line's first words.
 ROUND_KEYS = 3
+#: Places of the lines of a family that rounds two and three compare the others with.
+LEADERS = ((1, 64), (65, 256))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -39,6 +40,11 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
 
 
+def _with_words(lines: DataFrame) -> DataFrame:
+    """The lines that aren't blank; asked of the line itself, as a condition on its words would have them made twice."""
+    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+
+
 def _words(line: Column) -> Column:
     """The words of a line."""
     for blank in "\t\x0b\x0c\r\n":
@@ -48,7 +54,7 @@ def _words(line: Column) -> Column:
 
 def rarity(docs: DataFrame, text_col: str = "text", entries: int = RARITY) -> list[int]:
     """How common the words of each hash are, as 16 steps of a logarithm; packed into entries / 16 longs."""
-    words = docs.select(F.explode(_words(F.col(text_col))).alias("word"))
+    words = docs.select(F.explode(F.split(F.replace(text_col, F.lit("\n"), F.lit(" ")), " ")).alias("word"))
     counts = cut(words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(entries - 1)).cast("int").alias("at")).agg(F.count(F.lit(1)).alias("n")))
     mean = counts.agg(F.percentile_approx("n", 0.5)).first()[0] or 1
     step = F.least(F.greatest(F.floor(F.log2(F.col("n") / F.lit(mean)) * 2) + 2, F.lit(0)), F.lit(15)).cast("long")
@@ -100,18 +106,18 @@ def _map(code: Column, half: int) -> Column:
     return F.aggregate(code, F.lit(0).cast("long"), lambda m, c: F.when(c.bitwiseAND(F.lit(64)) == half, m.bitwiseOR(F.call_function("shiftleft", one, bit(c)))).otherwise(m))
 
 
-def _alike(x: str, y: str, need: str) -> str:
-    """Whether the maps of two lines leave room for the overlap that is needed."""
-    return f"bit_count({x}sig ^ {y}sig) + bit_count({x}sig2 ^ {y}sig2) <= {x}n + {y}n - 2 * {need}"
+def _alike(x: str, y: str, need: str, room: int = 1) -> str:
+    """Whether the maps of two lines leave room for the overlap that is needed, or for `room` times the differences."""
+    return f"bit_count({x}sig ^ {y}sig) + bit_count({x}sig2 ^ {y}sig2) <= {room} * ({x}n + {y}n - 2 * {need})"
 
 
 def _first_lines(lines: DataFrame, table: list[int], t: tuple[int, int], entries: int) -> DataFrame:
     """One row for each distinct line with words: lh, lh2, first (its first place), n, sig and sig2, head (its first words)."""
-    coded = lines.select("id", "th", "no", F.xxhash64("line").alias("lh"), F.xxhash64("line", F.lit("second")).alias("lh2"), _coded(F.col("line"), table, entries).alias("code"))
-    coded = coded.withColumn("n", F.size("code")).where("n > 0")
+    coded = _with_words(lines).select("id", "th", "no", F.xxhash64("line").alias("lh"), F.xxhash64("line", F.lit("second")).alias("lh2"), _coded(F.col("line"), table, entries).alias("code"))
+    coded = coded.withColumn("n", F.size("code"))
     sig = [_map(F.col("code"), half) for half in (0, 64)]
     head = F.transform(F.slice("code", 1, F.expr(_prefix(t))), lambda c: F.xxhash64(c).cast("long").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    whole = F.struct(F.struct("id", "th", "no").alias("first"), "n", sig[0].alias("sig"), sig[1].alias("sig2"), head.alias("head"))
+    whole = F.struct(F.struct("id", "no", "th").alias("first"), "n", sig[0].alias("sig"), sig[1].alias("sig2"), head.alias("head"))
     return coded.groupBy("lh", "lh2").agg(F.min(whole).alias("x")).select("lh", "lh2", "x.first", "x.n", "x.sig", "x.sig2", "x.head")
 
 
@@ -130,6 +136,33 @@ def _verified(pairs: DataFrame, lines: DataFrame, t: tuple[int, int]) -> DataFra
     return both.where(shared * (t[0] + t[1]) >= (F.size("a") + F.size("b")) * t[0]).select("x", "y")
 
 
+def _rounds(first: DataFrame, lines: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """(lh, gone): lines that an earlier one of a few removes, found with a number of comparisons that grows with the lines.
+
+    Round one compares a line with the earliest line of each of its keys. Lines that are not far from such a leader are its
+    family; the next rounds compare those of it that still stay with a number of others, dealt by a hash.
+    """
+    places = F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(F.size("head"), F.lit(ROUND_KEYS))), lambda k: F.element_at("head", -k)))
+    keyed = first.select("first.id", "first.no", "lh", "n", "sig", "sig2", F.explode(places).alias("key"))
+    leader = F.min(F.struct("id", "no", "lh", "n", "sig", "sig2")).over(Window.partitionBy("key"))
+    led = keyed.withColumn("lead", leader).where("lead.lh <> lh AND NOT (lead.id <=> id AND lead.no = no)")
+    need = _overlap(t, "lead.n", "n")
+    led = led.where(_alike("lead.", "", need, 4)).withColumn("close", F.expr(_alike("lead.", "", need)))
+    led = cut(led.select(F.col("lead.lh").alias("x"), F.col("lh").alias("y"), "id", "no", "n", "sig", "sig2", "close").distinct())
+    gone = cut(_verified(led.where("close").select("x", "y"), lines, t).select(F.col("y").alias("lh")).distinct())
+
+    order = Window.partitionBy("family").orderBy(F.xxhash64("lh"), "lh")
+    family = cut(led.withColumnsRenamed({"x": "family", "y": "lh"}).drop("close").withColumn("place", F.row_number().over(order)))
+    earlier = "(x.id IS NULL AND y.id IS NOT NULL OR x.id < y.id OR x.id <=> y.id AND x.no < y.no)"
+    on = f"x.family = y.family AND {earlier} AND {_alike('x.', 'y.', _overlap(t, 'x.n', 'y.n'))}"
+    for low, high in LEADERS:
+        stay = family.join(gone, "lh", "left_anti")
+        leads = family.where(F.col("place").between(low, high))
+        pairs = cut(leads.alias("x").join(stay.alias("y"), F.expr(on)).select(F.col("x.lh").alias("x"), F.col("y.lh").alias("y")).distinct())
+        gone = cut(gone.unionByName(_verified(pairs, lines, t).select(F.col("y").alias("lh"))).distinct())
+    return gone.withColumn("gone", F.lit(True))
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (4, 5), entries: int = RARITY) -> DataFrame:
     """(id, th, flags, n_removed) of the texts that lose lines: flags says of each line whether it goes.
 
@@ -139,14 +172,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table = rarity(docs, text_col, entries)
     first = cut(_first_lines(lines, table, t, entries))
 
-    # Round one: the earliest line that shares one of a few keys.
-    places = F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(F.size("head"), F.lit(ROUND_KEYS))), lambda k: F.element_at("head", -k)))
-    keyed = first.select("first.id", "first.no", "lh", "n", "sig", "sig2", F.explode(places).alias("key"))
-    leader = F.min(F.struct("id", "no", "lh", "n", "sig", "sig2")).over(Window.partitionBy("key"))
-    led = keyed.withColumn("lead", leader).where("lead.lh <> lh AND NOT (lead.id <=> id AND lead.no = no)")
-    led = led.where(_alike("lead.", "", _overlap(t, "lead.n", "n")))
-    led = cut(led.select(F.col("lead.lh").alias("x"), F.col("lh").alias("y")).distinct())
-    gone = cut(_verified(led, lines, t).select(F.col("y").alias("lh"), F.lit(True).alias("gone")).distinct())
+    gone = _rounds(first, lines, t)
 
     # The join proper: pairs whose later line isn't removed yet; x is the line of fewer words. No condition is on x alone,
     # so both sides are one exchange, read twice.
@@ -166,7 +192,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     judged = cut(first.select("lh", "lh2", "first").join(gone, "lh", "left").select("lh", "lh2", "first", F.coalesce("gone", F.lit(False)).alias("gone")))
     places = lines.select("id", "th", "no", F.xxhash64("line").alias("lh"), F.xxhash64("line", F.lit("second")).alias("lh2"))
     seen = places.join(judged, ["lh", "lh2"], "left")
-    goes = F.coalesce(F.col("gone") | ~F.struct("id", "th", "no").eqNullSafe(F.col("first")), F.lit(False)) & F.col("first").isNotNull()
+    goes = F.coalesce(F.col("gone") | ~F.struct("id", "no", "th").eqNullSafe(F.col("first")), F.lit(False)) & F.col("first").isNotNull()
     flags = F.transform(F.sort_array(F.collect_set(F.struct("no", goes.alias("goes")))), lambda x: x["goes"])
     return seen.groupBy("id", "th").agg(flags.alias("flags")).where("exists(flags, x -> x)").withColumn("n_removed", F.size(F.filter("flags", lambda x: x)))
 
@@ -175,7 +201,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with the texts that are left, in the same columns; a text all of whose lines go is empty.
 
     Defined cases: a null text stays null; blank lines always stay; lines are parted at newlines and words at ASCII white
-    space; equal rows (id and text) are one document, and keep the same lines; null ids come first in order; other
+    space; equal rows (id and text) are one document, and keep the same lines; rows that share an id only have their lines in
+    order of number, then of a hash of the text; null ids come first in order; other
     columns pass through unread, whatever their names; an empty table stays empty.
     """
     goes = removed_lines(docs, id_col, text_col, threshold).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("flags").alias("__flags"))
