@@ -126,11 +126,11 @@ def _verified(pairs: DataFrame, lines: DataFrame, t: tuple[int, int]) -> DataFra
 
     The lines' words are taken from the texts again, only of lines that a fixed-size bit table lets through.
     """
-    asked = pairs.select(F.explode(F.array("x", "y")).alias("lh"))
+    asked = cut(pairs.select(F.col("x").alias("lh")).unionByName(pairs.select(F.col("y").alias("lh"))).distinct())
     known = cut(bits.build(asked, F.col("lh")))
     some = bits.mark(lines.select("line", F.xxhash64("line").alias("lh")), known, F.col("lh"), "asked").where("asked")
     words = some.groupBy("lh").agg(F.first("line").alias("line")).select("lh", _hashed(F.col("line")).alias("code"))
-    words = cut(words.join(asked.distinct(), "lh", "left_semi"))
+    words = cut(words.join(asked, "lh", "left_semi"))
     both = pairs.join(words.select(F.col("lh").alias("x"), F.col("code").alias("a")), "x").join(words.select(F.col("lh").alias("y"), F.col("code").alias("b")), "y")
     shared = F.size(F.array_intersect("a", "b"))
     return both.where(shared * (t[0] + t[1]) >= (F.size("a") + F.size("b")) * t[0]).select("x", "y")
@@ -176,7 +176,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # The join proper: pairs whose later line isn't removed yet; x is the line of fewer words. No condition is on x alone,
     # so both sides are one exchange, read twice.
-    marked = first.join(gone, "lh", "left").select("lh", "first.id", "first.no", "n", "sig", "sig2", F.coalesce("gone", F.lit(False)).alias("gone"), F.posexplode("head").alias("pos", "word"))
+    marked = first.join(gone.hint("shuffle_hash"), "lh", "left").select("lh", "first.id", "first.no", "n", "sig", "sig2", F.coalesce("gone", F.lit(False)).alias("gone"), F.posexplode("head").alias("pos", "word"))
     open_ = "(NOT y.gone AND (x.id IS NULL OR x.id < y.id OR x.id = y.id AND x.no <= y.no) OR NOT x.gone AND (y.id IS NULL OR y.id < x.id OR x.id = y.id AND y.no <= x.no))"
     need = _overlap(t, "x.n", "y.n")
     on = (
@@ -189,7 +189,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     late = found.select(F.when(F.col("at_x") < F.col("at_y"), F.col("y")).otherwise(F.col("x")).alias("lh"), F.lit(True).alias("gone"))
     gone = gone.unionByName(late).distinct()
 
-    judged = cut(first.select("lh", "lh2", "first").join(gone, "lh", "left").select("lh", "lh2", "first", F.coalesce("gone", F.lit(False)).alias("gone")))
+    judged = cut(first.select("lh", "lh2", "first").join(gone.hint("shuffle_hash"), "lh", "left").select("lh", "lh2", "first", F.coalesce("gone", F.lit(False)).alias("gone")))
     places = lines.select("id", "th", "no", F.xxhash64("line").alias("lh"), F.xxhash64("line", F.lit("second")).alias("lh2"))
     seen = places.join(judged, ["lh", "lh2"], "left")
     goes = F.coalesce(F.col("gone") | ~F.struct("id", "no", "th").eqNullSafe(F.col("first")), F.lit(False)) & F.col("first").isNotNull()
