@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from rillwork.functions.shared import cut, ship
 
-#: Rows to fit the index on; rows below which one partition holds all; the recall to reach on the sample.
-SAMPLE, LEAST, TARGET = 6144, 2048, 0.95
+#: Rows to fit the index on, at least; for each partition; rows below which one partition holds all; the recall to reach
+#: on the sample. There are 1,024 partitions at most, so the fit is on 98,304 rows at most.
+SAMPLE, EACH, LEAST, TARGET = 6144, 96, 2048, 0.95
 NEIGHBOURS, HIDDEN, EPOCHS = 10, 96, 25
 #: Rows of candidates and of queries that meet in one task.
 BLOCK, QUERY_BLOCK = 16384, 2048
@@ -35,11 +36,11 @@ def _nearest(x: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
     """The k nearest rows of x, without itself, for each row number in `of`."""
     out = np.empty((len(of), k), np.int64)
     norms = (x * x).sum(1)
-    for s in range(0, len(of), 512):
-        rows = of[s : s + 512]
+    for s in range(0, len(of), 128):
+        rows = of[s : s + 128]
         d = norms - 2 * x[rows] @ x.T
         d[np.arange(len(rows)), rows] = np.inf
-        out[s : s + 512] = np.argpartition(d, k - 1, axis=1)[:, :k]
+        out[s : s + 128] = np.argpartition(d, k - 1, axis=1)[:, :k]
     return out
 
 
@@ -127,11 +128,16 @@ class Index:
     probes: int
 
 
+def parts_for(rows: int) -> int:
+    """How many partitions a table of so many rows has: as its square root, from 16 to 1,024."""
+    return 2 ** int(np.clip(np.round(np.log2(max(rows, 1)) / 2 - 4), 4, 10))
+
+
 def fit(sample: np.ndarray, rows: int, parts: int | None = None, target: float = TARGET) -> Index:
     """An index from distinct sample vectors; `rows` is the size of the whole table."""
     if rows < LEAST or len(sample) < LEAST // 2:
         return Index(None, 1, 1)
-    parts = parts or 2 ** int(np.clip(np.round(np.log2(rows) / 2 - 4), 4, 6))
+    parts = parts or parts_for(rows)
     rng = np.random.default_rng(7)
     known = _nearest(sample, np.arange(len(sample)), NEIGHBOURS)
     router = learn(sample, partition(known, parts, rng), parts, rng)
@@ -188,7 +194,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "ve
     dim = common["dim"] if common else 0
     rows = rows.where(usable(F.col("vec"), dim))
     total = rows.count()
-    shown = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("vec").toArrow() if total >= LEAST else None
+    shown = rows.orderBy(F.xxhash64("id"), "id").limit(max(sample_rows, EACH * parts_for(total))).select("vec").toArrow() if total >= LEAST else None
     index = fit(np.unique(_matrix(shown["vec"], dim), axis=0), total) if shown is not None else Index(None, 1, 1)
     router = spark.sparkContext.broadcast(index.router)  # a few thousand weights
 
