@@ -34,7 +34,7 @@ from rillwork.functions.shared import ship
 from rillwork.llm.pieces import SPACE, cutter, escaped, model_bytes, processor, vocabulary
 
 #: Paths and pair weights that a worker keeps before it forgets the older half.
-PATHS, PAIRS = 600_000, 600_000
+PATHS, PAIRS = 250_000, 250_000
 
 
 class Recent(dict):
