@@ -8,7 +8,7 @@ similarity of at least THRESHOLD with it (equal lines have 1). The join is exact
   n - ceil(t n) + 1;
 * length: the smaller has at least t times as many words as the larger;
 * positional: what follows the shared word in both lines must be enough for the overlap that the threshold asks for;
-* a 128-bit map of each line's words bounds how many words two lines don't share.
+* a 256-bit map of each line's words bounds how many words two lines don't share.
 
 Equal lines are one entry, found by a grouping with map-side aggregation. Of large groups of alike lines not all pairs are
 made: rounds first compare each line only with the earliest line of each of a few keys and with a few lines of its
@@ -100,25 +100,25 @@ def _overlap(t: tuple[int, int], m: str, n: str) -> str:
     return f"CAST((({m} + {n}) * {a} + {a + b - 1}) DIV {a + b} AS INT)"
 
 
-def _map(code: Column, half: int) -> Column:
-    """One half of a line's map: a bit for each word whose hash falls in it."""
+def _map(code: Column, part: int) -> Column:
+    """A quarter of a line's map: a bit for each word whose hash falls in it."""
     one, bit = F.lit(1).cast("long"), lambda c: c.bitwiseAND(F.lit(63)).cast("int")
-    return F.aggregate(code, F.lit(0).cast("long"), lambda m, c: F.when(c.bitwiseAND(F.lit(64)) == half, m.bitwiseOR(F.call_function("shiftleft", one, bit(c)))).otherwise(m))
+    return F.aggregate(code, F.lit(0).cast("long"), lambda m, c: F.when(c.bitwiseAND(F.lit(192)) == 64 * part, m.bitwiseOR(F.call_function("shiftleft", one, bit(c)))).otherwise(m))
 
 
 def _alike(x: str, y: str, need: str, room: int = 1) -> str:
     """Whether the maps of two lines leave room for the overlap that is needed, or for `room` times the differences."""
-    return f"bit_count({x}sig ^ {y}sig) + bit_count({x}sig2 ^ {y}sig2) <= {room} * ({x}n + {y}n - 2 * {need})"
+    return f"bit_count({x}sig ^ {y}sig) + bit_count({x}sig2 ^ {y}sig2) + bit_count({x}sig3 ^ {y}sig3) + bit_count({x}sig4 ^ {y}sig4) <= {room} * ({x}n + {y}n - 2 * {need})"
 
 
 def _first_lines(lines: DataFrame, table: list[int], t: tuple[int, int], entries: int) -> DataFrame:
-    """One row for each distinct line with words: lh, lh2, first (its first place), n, sig and sig2, head (its first words)."""
+    """One row for each distinct line with words: lh, lh2, first (its first place), n, sig to sig4, head (its first words)."""
     coded = _with_words(lines).select("id", "th", "no", F.xxhash64("line").alias("lh"), F.xxhash64("line", F.lit("second")).alias("lh2"), _coded(F.col("line"), table, entries).alias("code"))
     coded = coded.withColumn("n", F.size("code"))
-    sig = [_map(F.col("code"), half) for half in (0, 64)]
+    sig = [_map(F.col("code"), part) for part in range(4)]
     head = F.transform(F.slice("code", 1, F.expr(_prefix(t))), lambda c: F.xxhash64(c).cast("long").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    whole = F.struct(F.struct("id", "no", "th").alias("first"), "n", sig[0].alias("sig"), sig[1].alias("sig2"), head.alias("head"))
-    return coded.groupBy("lh", "lh2").agg(F.min(whole).alias("x")).select("lh", "lh2", "x.first", "x.n", "x.sig", "x.sig2", "x.head")
+    whole = F.struct(F.struct("id", "no", "th").alias("first"), "n", sig[0].alias("sig"), sig[1].alias("sig2"), sig[2].alias("sig3"), sig[3].alias("sig4"), head.alias("head"))
+    return coded.groupBy("lh", "lh2").agg(F.min(whole).alias("x")).select("lh", "lh2", "x.first", "x.n", "x.sig", "x.sig2", "x.sig3", "x.sig4", "x.head")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, t: tuple[int, int]) -> DataFrame:
@@ -143,12 +143,12 @@ def _rounds(first: DataFrame, lines: DataFrame, t: tuple[int, int]) -> DataFrame
     family; the next rounds compare those of it that still stay with a number of others, dealt by a hash.
     """
     places = F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(F.size("head"), F.lit(ROUND_KEYS))), lambda k: F.element_at("head", -k)))
-    keyed = first.select("first.id", "first.no", "lh", "n", "sig", "sig2", F.explode(places).alias("key"))
-    leader = F.min(F.struct("id", "no", "lh", "n", "sig", "sig2")).over(Window.partitionBy("key"))
+    keyed = first.select("first.id", "first.no", "lh", "n", "sig", "sig2", "sig3", "sig4", F.explode(places).alias("key"))
+    leader = F.min(F.struct("id", "no", "lh", "n", "sig", "sig2", "sig3", "sig4")).over(Window.partitionBy("key"))
     led = keyed.withColumn("lead", leader).where("lead.lh <> lh AND NOT (lead.id <=> id AND lead.no = no)")
     need = _overlap(t, "lead.n", "n")
-    led = led.where(_alike("lead.", "", need, 4)).withColumn("close", F.expr(_alike("lead.", "", need)))
-    led = cut(led.select(F.col("lead.lh").alias("x"), F.col("lh").alias("y"), "id", "no", "n", "sig", "sig2", "close").distinct())
+    led = led.where(_alike("lead.", "", need, 5)).withColumn("close", F.expr(_alike("lead.", "", need)))
+    led = cut(led.select(F.col("lead.lh").alias("x"), F.col("lh").alias("y"), "id", "no", "n", "sig", "sig2", "sig3", "sig4", "close").distinct())
     gone = cut(_verified(led.where("close").select("x", "y"), lines, t).select(F.col("y").alias("lh")).distinct())
 
     order = Window.partitionBy("family").orderBy(F.xxhash64("lh"), "lh")
@@ -176,7 +176,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # The join proper: pairs whose later line isn't removed yet; x is the line of fewer words. No condition is on x alone,
     # so both sides are one exchange, read twice.
-    marked = first.join(gone.hint("shuffle_hash"), "lh", "left").select("lh", "first.id", "first.no", "n", "sig", "sig2", F.coalesce("gone", F.lit(False)).alias("gone"), F.posexplode("head").alias("pos", "word"))
+    marked = first.join(gone.hint("shuffle_hash"), "lh", "left").select("lh", "first.id", "first.no", "n", "sig", "sig2", "sig3", "sig4", F.coalesce("gone", F.lit(False)).alias("gone"), F.posexplode("head").alias("pos", "word"))
     open_ = "(NOT y.gone AND (x.id IS NULL OR x.id < y.id OR x.id = y.id AND x.no <= y.no) OR NOT x.gone AND (y.id IS NULL OR y.id < x.id OR x.id = y.id AND y.no <= x.no))"
     need = _overlap(t, "x.n", "y.n")
     on = (
