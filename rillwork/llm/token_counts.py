@@ -3,7 +3,8 @@
 Tier one is a broadcast table of the corpus's most frequent pre-tokens and their lengths in tokens; its size is a
 parameter. Tier two is a cache in each Python worker that encodes a pre-token when it first misses and forgets all when
 it is full. No pre-token is ever shuffled: the frequent ones are found by summaries of bounded size, one for each task,
-which a few tasks merge as a stream.
+which a few tasks merge as a stream. A pre-token of more than LONGEST characters is in no summary, table or cache: it is
+encoded whenever it is met.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from rillwork.llm.pieces import SPACE, cutter, escaped, model_bytes, processor,
 
 #: Pre-tokens in tier one, in a task's summary, and in a worker's cache.
 FREQUENT, SUMMARY, RECENT = 32768, 8192, 400_000
+#: Characters of the longest pre-token that is kept; the number of its tokens fits 16 bits.
+LONGEST = 64
 #: Tasks that merge summaries; each sends the driver FREQUENT entries at most.
 MERGERS = 8
 #: Joins the pre-tokens of a summary; no pre-token but its own holds a newline.
@@ -44,6 +47,8 @@ class Lengths(dict):
     def __missing__(self, part: str) -> int:
         n = self.recent.get(part)
         if n is None:
+            if len(part) > LONGEST:
+                return self.encoded(part)
             if len(self.recent) >= RECENT:
                 self.recent.clear()
             n = self.recent[part] = self.encoded(part)
@@ -71,8 +76,9 @@ def frequent_pretokens(docs: DataFrame, text_col: str, model: bytes, most: int =
         cut, counts = cutter(vocabulary(processor(model))), Counter()
         for b in batches:
             for text in b.column(0):
-                if (t := text.as_py()) and len(t):
-                    counts.update(cut.findall(escaped(t)))
+                if t := text.as_py():
+                    words = cut.findall(escaped(t))
+                    counts.update(words if max(map(len, words)) <= LONGEST else [w for w in words if len(w) <= LONGEST])
                 if len(counts) > 32 * SUMMARY:
                     counts = _trim(counts, 8 * SUMMARY)
         counts.pop(_SEP, None)
@@ -109,8 +115,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = Lengths(model, "", b"")
     lengths = memoryview(bytearray(2 * len(words))).cast("H")
     for k, w in enumerate(words):
-        lengths[k] = min(first.encoded(w), 65535)
-    table = ship(docs.sparkSession).sparkContext.broadcast((model, _SEP.join(words), lengths.tobytes()))  # about 0.5 MB each
+        lengths[k] = first.encoded(w)
+    table = ship(docs.sparkSession).sparkContext.broadcast((model, _SEP.join(words), lengths.tobytes()))  # FREQUENT pre-tokens of LONGEST characters at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tiers = Lengths(*table.value)

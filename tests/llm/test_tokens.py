@@ -25,6 +25,15 @@ def test_counts_are_the_librarys(spark):
         assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len((t or "").encode()), n > 50), t
 
 
+def test_long_pretokens_with_copies(spark):
+    texts = ["x\x01" * 40000, "日本語\t" * 30000, "a " + "\x02" * 66000] * 3 + prose(5)
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs(spark, texts)).collect()}
+    want = {i: len(LIBRARY.encode(t)) for i, t in enumerate(texts)}
+    assert got == want and sum(n > 65535 for n in want.values()) >= 6
+    words = token_counts.frequent_pretokens(docs(spark, texts), "text", model_bytes())
+    assert words and max(map(len, words)) <= token_counts.LONGEST
+
+
 def test_a_full_cache_forgets_and_counts_on(monkeypatch):
     monkeypatch.setattr(token_counts, "RECENT", 3)
     of = token_counts.Lengths(model_bytes(), "▁the\n▁of", np.array([1, 1], np.uint16).tobytes())
