@@ -44,6 +44,14 @@ def test_one_of_each_group_stays(spark):
     assert groups.where("doc_id <> component_id").count() == 0
 
 
+def test_copies_go_by_row_whatever_their_ids(spark):
+    t = prose(8, 11, 100)
+    rows = [(3, t[0]), (5, t[0]), (5, t[1]), (6, t[1]), (7, t[2]), (7, t[2]), (7, t[2]), (None, t[3]), (None, t[3]), (8, t[4]), (8, t[5])]
+    out = pipeline.drop_near_copies(spark, docs(spark, [x for _, x in rows], [i for i, _ in rows]), "")
+    want = [(3, t[0]), (5, t[1]), (7, t[2]), (None, t[3]), (8, t[4]), (8, t[5])]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(str, want))
+
+
 def test_mixing_holds_all(spark):
     df = docs(spark, prose(60), sources=["a"] * 50 + ["b"] * 10)
     out = pipeline.mix_sources(spark, df, "")
