@@ -4,8 +4,7 @@
    the side of the median along the graph's slowest mode, improved by swapping nodes that have more neighbours across.
 2. A small classifier (one hidden layer) learns the partition of a vector. Every row is filed under its most probable one.
 3. A query goes to its most probable partitions. Their number is the least that finds TARGET of the true neighbours of
-   held-out sample rows; as a whole table is denser than its sample, true neighbours are closer there and the recall is
-   higher.
+   HELD_OUT rows that the fit hasn't seen; these neighbours are found among all rows, in one scan.
 4. In each partition queries and candidates meet in blocks of bounded size, compared with exact distances, and each
    query's best are merged.
 
@@ -25,9 +24,11 @@ from pyspark.sql import functions as F
 from rillwork.functions.shared import cut, ship
 
 #: Rows to fit the index on, at least; for each partition; rows below which one partition holds all; the recall to reach
-#: on the sample. There are 1,024 partitions at most, so the fit is on 98,304 rows at most.
+#: on the rows held out. There are 1,024 partitions at most, so the fit is on 98,304 rows at most.
 SAMPLE, EACH, LEAST, TARGET = 6144, 96, 2048, 0.95
 NEIGHBOURS, HIDDEN, EPOCHS = 10, 96, 25
+#: Rows outside the fit that set how many partitions a query goes to.
+HELD_OUT = 512
 #: Rows of candidates and of queries that meet in one task.
 BLOCK, QUERY_BLOCK = 16384, 2048
 
@@ -125,7 +126,6 @@ def learn(x: np.ndarray, label: np.ndarray, parts: int, rng: np.random.Generator
 class Index:
     router: Router | None  # None: one partition
     parts: int
-    probes: int
 
 
 def parts_for(rows: int) -> int:
@@ -133,19 +133,59 @@ def parts_for(rows: int) -> int:
     return 2 ** int(np.clip(np.round(np.log2(max(rows, 1)) / 2 - 4), 4, 10))
 
 
-def fit(sample: np.ndarray, rows: int, parts: int | None = None, target: float = TARGET) -> Index:
+def fit(sample: np.ndarray, rows: int, parts: int | None = None) -> Index:
     """An index from distinct sample vectors; `rows` is the size of the whole table."""
     if rows < LEAST or len(sample) < LEAST // 2:
-        return Index(None, 1, 1)
+        return Index(None, 1)
     parts = parts or parts_for(rows)
     rng = np.random.default_rng(7)
     known = _nearest(sample, np.arange(len(sample)), NEIGHBOURS)
-    router = learn(sample, partition(known, parts, rng), parts, rng)
-    chance = router(sample)
-    filed, asked = chance.argmax(1), rng.choice(len(sample), min(1000, len(sample)), replace=False)
-    rank_of = np.argsort(np.argsort(-chance[asked], axis=1), axis=1)
-    needed = np.sort(np.take_along_axis(rank_of, filed[known[asked]], axis=1).ravel())
-    return Index(router, parts, int(needed[int(np.ceil(target * len(needed))) - 1]) + 1)
+    return Index(learn(sample, partition(known, parts, rng), parts, rng), parts)
+
+
+def unseen(sample: np.ndarray, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows held out, those whose vectors are not in the sample, each vector once; all rows if there are none."""
+    of_sample = {v.tobytes() for v in sample}
+    new = {v.tobytes(): k for k, v in enumerate(x) if v.tobytes() not in of_sample}
+    keep = list(new.values()) or list(range(len(x)))
+    return ids[keep], x[keep]
+
+
+def probes_for(index: Index, filed: DataFrame, ids: np.ndarray, x: np.ndarray, dim: int, target: float = TARGET) -> int:
+    """The least number of partitions in which `target` of the true neighbours of the rows (ids, x) are, among all rows.
+
+    Each task of one scan keeps the nearest rows of its own; the result has NEIGHBOURS rows for each of HELD_OUT.
+    """
+    if index.router is None or not len(ids):
+        return 1
+    held = filed.sparkSession.sparkContext.broadcast((ids, x))  # HELD_OUT vectors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q = held.value
+        best_d = np.full((len(q), NEIGHBOURS), np.inf)
+        best_id, best_part = np.zeros(best_d.shape, np.int64), np.zeros(best_d.shape, np.int32)
+        square = (q * q).sum(1)[:, None]
+        for b in batches:
+            c_ids, c, part = b.column(0).to_numpy(), _matrix(b.column(1), dim), b.column(2).to_numpy()
+            for s in range(0, b.num_rows, 2048):
+                y, i = c[s : s + 2048], c_ids[s : s + 2048]
+                d = square + (y * y).sum(1) - 2 * q @ y.T
+                d[own[:, None] == i] = np.inf
+                d = np.c_[best_d, d]
+                near = np.argpartition(d, NEIGHBOURS - 1, axis=1)[:, :NEIGHBOURS]
+                best_d = np.take_along_axis(d, near, 1)
+                best_id = np.take_along_axis(np.c_[best_id, np.broadcast_to(i, (len(q), len(i)))], near, 1)
+                best_part = np.take_along_axis(np.c_[best_part, np.broadcast_to(part[s : s + 2048], (len(q), len(i)))], near, 1)
+        which, place = np.nonzero(np.isfinite(best_d))
+        columns = [pa.array(which.astype(np.int32)), pa.array(best_d[which, place]), pa.array(best_id[which, place]), pa.array(best_part[which, place])]
+        yield pa.RecordBatch.from_arrays(columns, names=["q", "d", "id", "part"])
+
+    order = Window.partitionBy("q").orderBy("d", "id")
+    met = filed.select("id", "vec", "part").mapInArrow(run, "q int, d double, id bigint, part int")
+    true = met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= NEIGHBOURS).select("q", "part").toArrow()
+    rank_of = np.argsort(np.argsort(-index.router(x), axis=1, kind="stable"), axis=1)
+    needed = np.sort(rank_of[true["q"].to_numpy(), true["part"].to_numpy()])
+    return int(needed[int(np.ceil(target * len(needed))) - 1]) + 1 if len(needed) else 1
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -179,7 +219,7 @@ def best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
             yield np.full(len(order), q_ids[s + i]), c_ids[near[order]], exact[order]
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", sample_rows: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", sample_rows: int = SAMPLE, parts: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by `every`.
 
     The score is the Euclidean distance in double precision. Defined cases: vectors that are null, zero, hold null or
@@ -194,8 +234,13 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "ve
     dim = common["dim"] if common else 0
     rows = rows.where(usable(F.col("vec"), dim))
     total = rows.count()
-    shown = rows.orderBy(F.xxhash64("id"), "id").limit(max(sample_rows, EACH * parts_for(total))).select("vec").toArrow() if total >= LEAST else None
-    index = fit(np.unique(_matrix(shown["vec"], dim), axis=0), total) if shown is not None else Index(None, 1, 1)
+    index, held = Index(None, 1), (np.zeros(0, np.int64), np.zeros((0, dim)))
+    if total >= LEAST:
+        most = min(max(sample_rows, EACH * (parts or parts_for(total))), total - HELD_OUT)
+        shown = rows.orderBy(F.xxhash64("id"), "id").limit(most + HELD_OUT).toArrow()
+        x = _matrix(shown["vec"], dim)
+        sample = np.unique(x[:most], axis=0)
+        index, held = fit(sample, total, parts), unseen(sample, shown["id"].to_numpy()[most:], x[most:])
     router = spark.sparkContext.broadcast(index.router)  # a few thousand weights
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +253,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "ve
     sizes = np.zeros(index.parts, np.int64)
     for r in filed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect():  # a row per partition
         sizes[r["part"]] = r["n"]
-    probes, parts = index.probes, index.parts
+    probes, parts = probes_for(index, filed, *held, dim), index.parts
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

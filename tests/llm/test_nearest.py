@@ -55,6 +55,25 @@ def test_recall_with_a_large_group_of_copies(spark):
     assert [got[300][k + 1] for k in range(10)] == of_copies
 
 
+def test_probes_are_set_by_rows_outside_the_fit(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 8))
+    index = nearest.Index(nearest.Router(np.zeros(8), [np.zeros((8, 2)), np.zeros(2), np.zeros((2, 8)), np.zeros(8)]), 8)  # knows nothing
+    rows = [(i, v, int(p)) for i, (v, p) in enumerate(zip(x.tolist(), rng.integers(0, 8, 3000), strict=True))]
+    filed = spark.createDataFrame(rows, "id long, vec array<double>, part int").repartition(3)
+    ids = np.arange(0, 3000, 30)
+    assert nearest.probes_for(index, filed, ids, x[ids], 8) == 8
+    true = nearest._nearest(x, ids, 10)
+    ranks = np.sort(np.array([p for _, _, p in rows])[true].ravel())
+    assert nearest.probes_for(index, filed, ids, x[ids], 8, 0.5) == ranks[int(np.ceil(0.5 * ranks.size)) - 1] + 1
+    fitted = []
+    monkeypatch.setattr(nearest, "fit", lambda sample, *a: fitted.append(sample) or nearest.Index(index.router, 8))
+    monkeypatch.setattr(nearest, "probes_for", lambda index, filed, ids, x, dim: fitted.append(x) or 8)
+    nearest.nearest(table(spark, x.astype(np.float32))).count()
+    sample, held = ({v.tobytes() for v in y} for y in fitted)
+    assert len(held) == nearest.HELD_OUT and len(sample) == 3000 - nearest.HELD_OUT and not sample & held
+
+
 def test_partitions_are_balanced():
     x = np.random.default_rng(2).standard_normal((1024, 8))
     label = nearest.partition(nearest._nearest(x, np.arange(1024), 10), 8, np.random.default_rng(3))
