@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The machine is a composition of four:
+The machine is a composition of four, compiled from the model's file:
 
-* the normaliser, which spells spaces as pieces do and puts one before the text;
+* the normaliser (see pieces.py), which spells spaces as pieces do and puts one before the text if the model says so;
 * the pieces: one arc for each piece of the vocabulary, reading its characters and writing its id;
 * byte fallback: for a character without a piece, one arc that reads it and writes the ids of its UTF-8 bytes;
 * an acceptor of pairs of neighbouring arcs, which gives the tropical weight 0 to a pair that the model's merges leave as
@@ -10,12 +10,14 @@ The machine is a composition of four:
 
 The model is a BPE model: its piece scores rank merges and are not path weights, so the pair acceptor carries them. A
 sequence of pieces is the model's encoding exactly if each pair of neighbours, merged alone, stays that pair: the first
-merge across a border in the whole text would also be made within that pair alone. Hence the shortest path has weight 0,
-and each prefix has one path of that weight, so the search keeps one arc for each position (best[end] below).
+merge across a border in the whole text would also be made within that pair alone.
 
-The composition is built lazily: a pair's weight is computed when a path first asks and kept in the worker. No piece
-crosses from one pre-token into the next (see pieces.py), so each pre-token is a composition of its own, and its path is
-kept as well.
+A text is composed with the machine as it is read. A state is a position with the last arc; its distance is the least, over
+the arcs that reach it, of the distance before plus the arc's weight (min and plus, the tropical semiring), and states
+at infinity are not kept. By the property above, a prefix has one path of finite weight, so a position keeps one state.
+
+No piece crosses from one pre-token into the next (see pieces.py), so each pre-token is a composition of its own, and the
+worker keeps the latest paths.
 """
 
 from __future__ import annotations
@@ -31,140 +33,167 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork.functions.shared import ship
-from rillwork.llm.pieces import SPACE, cutter, escaped, model_bytes, processor, vocabulary
-
-#: Paths and pair weights that a worker keeps before it forgets the older half.
-PATHS, PAIRS = 250_000, 250_000
+from rillwork.llm.pieces import SPACE, Normaliser, cutter, model_bytes, processor, slices, vocabulary
 
+#: Paths that a worker keeps, the characters of the longest pre-token among them, and pair weights: some 60 MB at most.
+#: Bytes of texts in work at a time.
+PATHS, LONGEST, PAIRS, BYTES = 250_000, 64, 250_000, 1 << 21
+INFINITY = float("inf")
 
-class Recent(dict):
-    """A mapping that computes what is missing and keeps the latest `most` or so of it, in two halves."""
 
-    def __init__(self, most: int):
-        super().__init__()
-        self.half, self.older = most // 2, {}
+class Merges(dict):
+    """The pair acceptor: the weights of two neighbouring arcs by left << 20 | right, each found when first asked for.
 
-    def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.compute(key)
-        if len(self) >= self.half:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
-class Pairs(Recent):
-    """The pair acceptor: whether the weight of arcs (left, right) is 0; else it is infinite. Keys: left << 32 | right."""
+    Seen from its end, a piece is a series of ever shorter pieces, each there from the merge that makes it to the merge that
+    takes it into the next; so it is from its start. Two pieces are merged across their border if at some time one of the
+    first's last parts and one of the second's first parts stood there together and made a piece of an earlier merge
+    than those that took them away.
+    """
 
     def __init__(self, names: list[str], rank: dict[str, int]):
-        super().__init__(PAIRS)
+        super().__init__()
         self.names, self.rank = names, rank
-
-    def merged(self, text: str) -> list[str]:
-        """The pieces left when the model's merges have run over a short text: the lowest rank first, then leftmost."""
-        parts, rank = list(text), self.rank
-        none = 1 << 40
-        scores = [rank.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-        while scores and (best := min(scores)) < none:
+        self.ends: dict[int, list[tuple[str, int]]] = {}
+        self.starts: dict[int, list[tuple[str, int]]] = {}
+
+    def split(self, text: str) -> tuple[str, str] | None:
+        """The two pieces whose merge ends the making of a piece; None if the merges of its text end otherwise."""
+        parts, rank, none = list(text), self.rank, 1 << 40
+        while len(parts) > 2:
+            scores = [rank.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+            if (best := min(scores)) == none:
+                return None
             k = scores.index(best)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
-            del scores[k]
-            if k < len(scores):
-                scores[k] = rank.get(parts[k] + parts[k + 1], none)
-            if k:
-                scores[k - 1] = rank.get(parts[k - 1] + parts[k], none)
-        return parts
+        return (parts[0], parts[1]) if parts[0] + parts[1] in rank else None
+
+    def series(self, text: str, side: int) -> list[tuple[str, int]]:
+        """The parts of a piece at its start (side 0) or end (1), the longest first, each with the rank of its making."""
+        out = []
+        while len(text) > 1:
+            out.append((text, self.rank[text]))
+            text = self.split(text)[side]
+        return [*out, (text, -1)]
+
+    def __missing__(self, pair: int) -> float:
+        if len(self) >= PAIRS:
+            self.clear()
+        self[pair] = value = self.weight(pair >> 20, pair & 0xFFFFF)
+        return value
 
-    def compute(self, key: int) -> bool:
-        pair = [self.names[key >> 32], self.names[key & 0xFFFFFFFF]]
-        return self.merged("".join(pair)) == [x for x in pair if x]
+    def weight(self, left: int, right: int) -> float:
+        if left >= len(self.names):  # the start of a path and what byte fallback reads take no part in merges
+            return 0.0
+        a, b = self.ends.get(left), self.starts.get(right)
+        if a is None:
+            a = self.ends[left] = self.series(self.names[left], 1)
+        if b is None:
+            b = self.starts[right] = self.series(self.names[right], 0)
+        rank, i, j = self.rank, 0, 0
+        until_a = until_b = 1 << 40
+        (x, made_x), (y, made_y) = a[0], b[0]
+        while True:
+            merge = rank.get(x + y)
+            # of equal merges the leftmost is first: one within the first piece before this one, this one before the second's
+            if merge is not None and merge < until_a and merge <= until_b:
+                return INFINITY
+            if made_x > made_y:
+                until_a, i = made_x, i + 1
+                x, made_x = a[i]
+            elif made_y >= 0:
+                until_b, j = made_y, j + 1
+                y, made_y = b[j]
+            else:
+                return 0.0
 
 
-class Transducer(Recent):
+class Transducer(dict):
     """Pre-token to the bytes of its ids (array code `code`); a missing one is composed and searched.
 
-    Arcs are numbers: a piece's id, the next number for no piece (where a path starts), further ones for characters
-    without a piece.
+    Arcs are numbers: a piece's id, the next number for no piece (where a path starts), and the one after for byte fallback.
     """
 
     def __init__(self, model: bytes):
-        super().__init__(PATHS)
+        super().__init__()
         proc = processor(model)
         size = proc.get_piece_size()
-        self.pieces = vocabulary(proc)
-        self.cut = cutter(self.pieces)
+        pieces = vocabulary(proc)
+        self.cut, self.normal = cutter(pieces), Normaliser(model)
         # a lower score is a later merge; ids of equal score keep their order
-        order = sorted(self.pieces.values(), key=lambda i: (-proc.get_score(i), i))
-        rank = {i: k for k, i in enumerate(order)}
-        self.start, self.names = size, [""] * (size + 1)
-        for p, i in self.pieces.items():
-            self.names[i] = p
-        self.single = {p: i for p, i in self.pieces.items() if len(p) == 1}
-        self.pairs = Pairs(self.names, {p: rank[i] for p, i in self.pieces.items() if len(p) > 1})
+        order = sorted((i for p, i in pieces.items() if len(p) > 1), key=lambda i: (-proc.get_score(i), i))
+        self.start, self.fallback, names = size, size + 1, [""] * size
+        for p, i in pieces.items():
+            names[i] = p
+        self.reads = list(map(len, names))
+        self.merges = Merges(names, {names[i]: k for k, i in enumerate(order)})
+        self.single = {p: i for p, i in pieces.items() if len(p) == 1}
         self.bytes = {int(proc.id_to_piece(i)[1:-1], 16): i for i in range(size) if proc.is_byte(i)}
         self.code, self.kind = ("H", np.uint16) if size <= 65536 else ("I", np.uint32)
         self.unknown = proc.unk_id()
-        # the piece transducer: all pieces of two characters or more that end at a position, the longest first
+        # the arcs of two characters or more: all that end at a position, the longest first
         self.arcs = ahocorasick.Automaton()
-        for p, i in self.pieces.items():
-            if len(p) > 1:
-                self.arcs.add_word(p, (len(p), i))
+        for i in order:
+            self.arcs.add_word(names[i], (len(names[i]), i))
         self.arcs.make_automaton()
         # decoding reads the machine backwards: from ids to bytes
-        self.spelt = [b""] * size
-        for p, i in self.pieces.items():
-            self.spelt[i] = p.replace(SPACE, " ").encode()
-        self.spaced = {i for p, i in self.pieces.items() if p[0] == SPACE}
+        self.spelt = [p.replace(SPACE, " ").encode() for p in names]
+        self.spaced = {i for p, i in pieces.items() if p[0] == SPACE}
         for b, i in self.bytes.items():
             self.spelt[i] = bytes([b])
         if self.unknown >= 0:
             self.spelt[self.unknown] = " ⁇ ".encode()
-
-    def _arc(self, char: str) -> int:
-        """The arc of a character without a piece."""
-        if len(self.names) > 2 * self.start + 70_000:  # so many never met but in made-up input: start afresh
-            self.single = {p: i for p, i in self.single.items() if i < self.start}
-            del self.names[self.start + 1 :]
-            self.pairs.clear()
-            self.pairs.older = {}
-        self.names.append(char)
-        self.single[char] = len(self.names) - 1
-        return self.single[char]
-
-    def path(self, text: str) -> list[int]:
-        """The arcs of the shortest path over a pre-token: best[end] is the last arc of the only path of weight 0."""
-        single, pairs = self.single, self.pairs
-        best = [self.start]
-        best += [single[c] if c in single else self._arc(c) for c in text]
-        back = [1] * len(best)
-        for at, (n, arc) in self.arcs.iter(text):
+        self.older: dict[str, bytes] = {}
+
+    def shortest(self, text: str) -> list[int]:
+        """The arcs of the shortest path over a pre-token.
+
+        Weights are 0 or infinity, so the least distance of a position is the first finite one; where no longer arc has it,
+        the arc of the position's own character does.
+        """
+        weights, single, fallback = self.merges, self.single, self.fallback
+        last, back = [self.start], [0]
+        for c in text:
+            last.append(single.get(c, fallback))
+            back.append(1)
+        for at, (length, arc) in self.arcs.iter(text):
             end = at + 1
-            if back[end] == 1 and pairs[best[end - n] << 32 | arc]:
-                best[end], back[end] = arc, n
+            if back[end] == 1 and weights[last[end - length] << 20 | arc] < INFINITY:
+                last[end], back[end] = arc, length
         out, end = [], len(text)
         while end:
-            out.append(best[end])
+            out.append(last[end])
             end -= back[end]
-        return out[::-1]
+        out.reverse()
+        return out
 
     def compute(self, part: str) -> bytes:
-        ids = array(self.code)
-        for arc in self.path(part):
-            if arc < self.start:
+        arcs = self.shortest(part)
+        if self.fallback not in arcs:
+            return array(self.code, arcs).tobytes()
+        ids, at = array(self.code), 0
+        for arc in arcs:
+            if arc != self.fallback:
                 ids.append(arc)
-            elif self.bytes:
-                ids.extend(self.bytes[b] for b in self.names[arc].encode())
+                at += self.reads[arc]
             else:
-                ids.append(self.unknown)
+                ids.extend(map(self.bytes.__getitem__, part[at].encode()) if self.bytes else [self.unknown])
+                at += 1
         return ids.tobytes()
 
     def __missing__(self, part: str) -> bytes:
-        return super().__missing__(part) if len(part) <= 64 else self.compute(part)
+        """Two halves are kept: when the newer one is full, the older one is forgotten."""
+        value = self.older.get(part)
+        if value is None:
+            value = self.compute(part)
+        if len(part) <= LONGEST:
+            if len(self) >= PATHS // 2:
+                self.older = dict(self)
+                self.clear()
+            self[part] = value
+        return value
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, self.cut.findall(escaped(text)))) if text else b""
+        return b"".join(map(self.__getitem__, self.cut.findall(self.normal(text)))) if text else b""
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: bytes that aren't UTF-8 become U+FFFD one by one, and the space put first goes."""
@@ -195,9 +224,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = machine_of(model.value)
         for batch in batches:
-            # a few rows at a time: a text of a hundred kilobytes has as many ids
-            for start in range(0, batch.num_rows, 512):
-                b = batch.slice(start, 512)
+            for b in slices(batch, 1, BYTES):
                 coded, same, texts = [], [], []
                 for t in b.column(1).to_pylist():
                     coded.append(machine.encode(t))

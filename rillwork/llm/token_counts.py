@@ -2,9 +2,9 @@
 
 Tier one is a broadcast table of the corpus's most frequent pre-tokens and their lengths in tokens; its size is a
 parameter. Tier two is a cache in each Python worker that encodes a pre-token when it first misses and forgets all when
-it is full. No pre-token is ever shuffled: the frequent ones are found by summaries of bounded size, one for each task,
-which a few tasks merge as a stream. A pre-token of more than LONGEST characters is in no summary, table or cache: it is
-encoded whenever it is met.
+it is full. No pre-token is ever shuffled: each task of a scan over all texts counts its pre-tokens and sends the driver
+its most frequent ones, the fewer the more tasks there are, so that the driver merges about ENTRIES in all. A pre-token of
+more than LONGEST characters is in no summary, table or cache: it is encoded whenever it is met.
 """
 
 from __future__ import annotations
@@ -17,14 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork.functions.shared import ship
-from rillwork.llm.pieces import SPACE, cutter, escaped, model_bytes, processor, vocabulary
+from rillwork.llm.pieces import SPACE, Normaliser, cutter, model_bytes, processor, vocabulary
 
-#: Pre-tokens in tier one, in a task's summary, and in a worker's cache.
-FREQUENT, SUMMARY, RECENT = 32768, 8192, 400_000
+#: Pre-tokens in tier one, in a task's summary at most and at least, in all summaries, and in a worker's cache.
+FREQUENT, SUMMARY, FEWEST, ENTRIES, RECENT = 32768, 8192, 16, 1 << 20, 400_000
 #: Characters of the longest pre-token that is kept; the number of its tokens fits 16 bits.
 LONGEST = 64
-#: Tasks that merge summaries; each sends the driver FREQUENT entries at most.
-MERGERS = 8
 #: Joins the pre-tokens of a summary; no pre-token but its own holds a newline.
 _SEP = "\n"
 
@@ -35,7 +33,7 @@ class Lengths(dict):
     def __init__(self, model: bytes, frequent: str, lengths: bytes):
         super().__init__(zip(frequent.split(_SEP), memoryview(lengths).cast("H"), strict=True) if frequent else ())
         self.proc, self.recent = processor(model), {}
-        self.cut = cutter(vocabulary(self.proc))
+        self.cut, self.normal = cutter(vocabulary(self.proc)), Normaliser(model)
         self[_SEP] = self.encoded(_SEP)
 
     def encoded(self, part: str) -> int:
@@ -55,7 +53,7 @@ class Lengths(dict):
         return n
 
     def count(self, text: str | None) -> int:
-        return sum(map(self.__getitem__, self.cut.findall(escaped(text)))) if text else 0
+        return sum(map(self.__getitem__, self.cut.findall(self.normal(text)))) if text else 0
 
 
 def _trim(counts: Counter, most: int) -> Counter:
@@ -71,35 +69,25 @@ _SUMMARY = pa.schema([("words", pa.string()), ("counts", pa.list_(pa.int64()))])
 
 def frequent_pretokens(docs: DataFrame, text_col: str, model: bytes, most: int = FREQUENT) -> list[str]:
     """Up to `most` pre-tokens that are frequent in the whole column; an estimate, which only speed depends on."""
+    texts = docs.select(text_col)
+    each = min(SUMMARY, max(FEWEST, ENTRIES // max(1, texts.rdd.getNumPartitions())))
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, counts = cutter(vocabulary(processor(model))), Counter()
+        cut, normal, counts = cutter(vocabulary(processor(model))), Normaliser(model), Counter()
         for b in batches:
             for text in b.column(0):
                 if t := text.as_py():
-                    words = cut.findall(escaped(t))
-                    counts.update(words if max(map(len, words)) <= LONGEST else [w for w in words if len(w) <= LONGEST])
+                    words = cut.findall(normal(t))
+                    counts.update(words if max(map(len, words), default=0) <= LONGEST else [w for w in words if len(w) <= LONGEST])
                 if len(counts) > 32 * SUMMARY:
                     counts = _trim(counts, 8 * SUMMARY)
         counts.pop(_SEP, None)
         if counts:
-            yield _pack(_trim(counts, SUMMARY))
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counter()
-        for b in batches:
-            for r in b.to_pylist():
-                counts.update(dict(zip(r["words"].split(_SEP), r["counts"], strict=True)))
-                if len(counts) > 8 * most:
-                    counts = _trim(counts, 2 * most)
-        if counts:
-            yield _pack(_trim(counts, most))
+            yield _pack(_trim(counts, each))
 
     ship(docs.sparkSession)
-    kind = "words string, counts array<bigint>"
-    parts = docs.select(text_col).mapInArrow(summarise, kind).repartition(MERGERS).mapInArrow(merge, kind).collect()
-    total = Counter()
-    for r in parts:
+    total: Counter = Counter()
+    for r in texts.mapInArrow(summarise, "words string, counts array<bigint>").collect():  # one row a task
         total.update(dict(zip(r["words"].split(_SEP), r["counts"], strict=True)))
     return [w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:most]]
 

@@ -18,4 +18,4 @@ def prose(n, seed=0, words=60):
 
 
 #: Texts that operators must get over: none, empty, blank, alike but for white space, long, odd characters.
-ODD = [None, "", " ", "\n", "a", "a  b", "a \t\nb", "a b", "A b", "ﬁ ① 漢字 😀 ▁x \x00 \r\n end", "x" * 5000, "w " * 3000, "the same line\nthe same line\n\n", "<s> </s> <unk> <0x41>"]
+ODD = [None, "", " ", "\n", "a", "a  b", "a \t\nb", "a b", "A b", "ﬁ ① 漢字 😀 ▁x \x00 \r\n end", "x" * 5000, "xq\x02" * 70000, "w " * 3000, "the same line\nthe same line\n\n", "<s> </s> <unk> <0x41>"]

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from rillwork.llm import sentencepiece_fst as fst
 from rillwork.llm import token_counts
@@ -43,12 +44,40 @@ def test_a_full_cache_forgets_and_counts_on(monkeypatch):
 
 def test_paths_are_the_librarys_encoding():
     machine = fst.Transducer(model_bytes())
-    for t in [x or "" for x in ODD] + prose(20) + fuzz(400, 2) + list(machine.pieces)[:2000:7]:
+    for t in [x or "" for x in ODD] + prose(20) + fuzz(400, 2) + sorted(machine.merges.rank)[:2000:7]:
         ids = np.frombuffer(machine.encode(t), machine.kind)
         assert ids.tolist() == LIBRARY.encode(t), t
         assert machine.decode(ids) == LIBRARY.decode(ids.tolist()) == t.replace("▁", " ")
 
 
+def test_the_shortest_path_alone_has_finite_weight():
+    machine = fst.Transducer(model_bytes())
+    weight, names = machine.merges.weight, machine.merges.names
+    rng = random.Random(9)
+    some = [machine.merges.names.index(p) for p in rng.sample(sorted(machine.merges.rank), 60)]
+    for a in some:
+        for b in some[:20]:
+            whole = [x for x in (names[a], names[b])]
+            merged = [LIBRARY.id_to_piece(i) for i in np.frombuffer(machine.compute("".join(whole)), machine.kind).tolist()]
+            assert (weight(a, b) == 0.0) == (merged == whole), whole
+
+
+def test_the_normaliser_is_the_models():
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    from rillwork.llm.pieces import Normaliser
+
+    model = proto.ModelProto.FromString(model_bytes())
+    assert Normaliser(model_bytes())(" a  b ") == "▁▁a▁▁b▁" and Normaliser(model_bytes())("") == ""
+    model.normalizer_spec.remove_extra_whitespaces = True
+    assert Normaliser(model.SerializeToString())(" a  b ") == "▁a▁b"
+    model.normalizer_spec.add_dummy_prefix = False
+    assert Normaliser(model.SerializeToString())(" a  b ") == "a▁b"
+    model.normalizer_spec.precompiled_charsmap = b"x"
+    with pytest.raises(ValueError, match="maps"):
+        Normaliser(model.SerializeToString())
+
+
 def test_decoding_any_ids_is_the_librarys():
     machine, rng = fst.Transducer(model_bytes()), random.Random(3)
     for _ in range(400):
@@ -58,7 +87,6 @@ def test_decoding_any_ids_is_the_librarys():
 
 def test_a_small_memory_forgets_and_encodes_on(monkeypatch):
     monkeypatch.setattr(fst, "PATHS", 8)
-    monkeypatch.setattr(fst, "PAIRS", 8)
     machine = fst.Transducer(model_bytes())
     for t in prose(5):
         assert np.frombuffer(machine.encode(t), machine.kind).tolist() == LIBRARY.encode(t)
