@@ -11,8 +11,10 @@ similarity of at least THRESHOLD with it (equal lines have 1). The join is exact
 * a 256-bit map of each line's words bounds how many words two lines don't share.
 
 Equal lines are one entry, found by a grouping with map-side aggregation. Of large groups of alike lines not all pairs are
-made: rounds first compare each line only with the earliest line of each of a few keys and with a few lines of its
-family, and the join is left to the lines that this hasn't removed. Words are compared as 58-bit hashes, lines are told apart by two 64-bit hashes.
+made: a line is first compared only with the earliest line of each of a few keys and with some lines of its family, and
+the join is left to the lines that this hasn't removed. No key, family or line is ever held by one task: the earliest line
+of a key is an aggregate, and a family's lines are dealt by a hash. Words are compared as 64-bit hashes, lines are told
+apart by two of them.
 
 Rarity is counted over all texts in a table of fixed size by word hash; any order is right for the join, a finer one is
 faster.
@@ -20,49 +22,55 @@ faster.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork.functions.shared import cut
 from rillwork.llm import bits
 
-#: Entries of the rarity table. A packed entry is four bits: 16 to a long.
+#: Entries of the rarity table, each from 0 to 15.
 RARITY = 1 << 18
-#: Keys of the first round, as places among a line's first words.
-ROUND_KEYS = 3
-#: Places of the lines of a family that rounds two and three compare the others with.
-LEADERS = ((1, 64), (65, 256))
+#: Keys of a line in the first comparison, from the end of its first words.
+KEYS = 2
+#: About so many lines of a family are compared with the others of it.
+LEADERS = 64
+#: A line's place is its document's id and its number in one decimal: the id counted from the least long, the number in 31 bits.
+_LEAST, _NUMBERS = -(1 << 63), 1 << 31
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, no, line): th tells texts of one id apart."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    """(id, th, no, line): th tells texts of one id apart; documents without an id are the least one."""
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     return rows.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
 
 
+def _place() -> Column:
+    return F.expr(f"CAST((CAST(id AS DECIMAL(20, 0)) + {-_LEAST}BD) * {_NUMBERS}BD + no AS DECIMAL(38, 0))")
+
+
 def _with_words(lines: DataFrame) -> DataFrame:
     """The lines that aren't blank; asked of the line itself, as a condition on its words would have them made twice."""
     return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def _words(line: Column) -> Column:
-    """The words of a line."""
-    for blank in "\t\x0b\x0c\r\n":
+    """The words of a line, and empty ones where white space meets."""
+    for blank in "\t\x0b\x0c\r":
         line = F.replace(line, F.lit(blank), F.lit(" "))
-    return F.array_remove(F.split(line, " "), "")
+    return F.split(line, " ")
 
 
 def rarity(docs: DataFrame, text_col: str = "text", entries: int = RARITY) -> list[int]:
-    """How common the words of each hash are, as 16 steps of a logarithm; packed into entries / 16 longs."""
+    """How common the words of each hash are, as 16 steps of a logarithm."""
     words = docs.select(F.explode(F.split(F.replace(text_col, F.lit("\n"), F.lit(" ")), " ")).alias("word"))
     counts = cut(words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(entries - 1)).cast("int").alias("at")).agg(F.count(F.lit(1)).alias("n")))
     mean = counts.agg(F.percentile_approx("n", 0.5)).first()[0] or 1
     step = F.least(F.greatest(F.floor(F.log2(F.col("n") / F.lit(mean)) * 2) + 2, F.lit(0)), F.lit(15)).cast("long")
     slots = counts.withColumn("step", step).groupBy(F.floor(F.col("at") / 16).cast("int").alias("slot"))
     packed = slots.agg(F.expr("bit_or(shiftleft(step, 4 * (at % 16)))").alias("packed"))
-    out = [0] * (entries // 16)
+    out = [0] * entries
     for r in packed.collect():  # entries / 16 rows, a fixed number
-        out[r["slot"]] = r["packed"]
+        out[16 * r["slot"] : 16 * r["slot"] + 16] = [r["packed"] >> 4 * k & 15 for k in range(16)]
     return out
 
 
@@ -71,9 +79,7 @@ def _coded(line: Column, table: list[int], entries: int) -> Column:
     held = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # a constant, folded once
 
     def code(h: Column) -> Column:
-        at = h.bitwiseAND(F.lit(entries - 1)).cast("int")
-        packed = F.coalesce(F.get(held, F.shiftright(at, 4)), F.lit(0).cast("long"))  # never null: arrays of plain longs sort faster
-        level = F.call_function("shiftrightunsigned", packed, F.shiftleft(at.bitwiseAND(F.lit(15)), 2)).bitwiseAND(F.lit(15).cast("long"))
+        level = F.coalesce(F.get(held, h.bitwiseAND(F.lit(entries - 1)).cast("int")), F.lit(0).cast("long"))  # never null: arrays of plain longs sort faster
         return h.bitwiseAND(F.lit((1 << 58) - 1)).bitwiseOR(F.shiftleft(level, 58))
 
     return F.sort_array(F.transform(_hashed(line), code))
@@ -81,7 +87,7 @@ def _coded(line: Column, table: list[int], entries: int) -> Column:
 
 def _hashed(line: Column) -> Column:
     """A line's set of words, as 64-bit hashes."""
-    return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.array_remove(F.transform(_words(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
 
 
 def _prefix(t: tuple[int, int]) -> str:
@@ -111,14 +117,16 @@ def _alike(x: str, y: str, need: str, room: int = 1) -> str:
     return f"bit_count({x}sig ^ {y}sig) + bit_count({x}sig2 ^ {y}sig2) + bit_count({x}sig3 ^ {y}sig3) + bit_count({x}sig4 ^ {y}sig4) <= {room} * ({x}n + {y}n - 2 * {need})"
 
 
+_MAPS = ("sig", "sig2", "sig3", "sig4")
+
+
 def _first_lines(lines: DataFrame, table: list[int], t: tuple[int, int], entries: int) -> DataFrame:
-    """One row for each distinct line with words: lh, lh2, first (its first place), n, sig to sig4, head (its first words)."""
-    coded = _with_words(lines).select("id", "th", "no", F.xxhash64("line").alias("lh"), F.xxhash64("line", F.lit("second")).alias("lh2"), _coded(F.col("line"), table, entries).alias("code"))
+    """One row for each distinct line with words: lh, lh2, place, id and no (of its first place), n, sig to sig4, head (its first words)."""
+    coded = _with_words(lines).select("id", "no", _place().alias("place"), F.xxhash64("line").alias("lh"), F.xxhash64("line", F.lit("second")).alias("lh2"), _coded(F.col("line"), table, entries).alias("code"))
     coded = coded.withColumn("n", F.size("code"))
-    sig = [_map(F.col("code"), part) for part in range(4)]
     head = F.transform(F.slice("code", 1, F.expr(_prefix(t))), lambda c: F.xxhash64(c).cast("long").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    whole = F.struct(F.struct("id", "no", "th").alias("first"), "n", sig[0].alias("sig"), sig[1].alias("sig2"), sig[2].alias("sig3"), sig[3].alias("sig4"), head.alias("head"))
-    return coded.groupBy("lh", "lh2").agg(F.min(whole).alias("x")).select("lh", "lh2", "x.first", "x.n", "x.sig", "x.sig2", "x.sig3", "x.sig4", "x.head")
+    whole = coded.select("id", "no", "place", "lh", "lh2", "n", *[_map(F.col("code"), part).alias(sig) for part, sig in enumerate(_MAPS)], head.alias("head"))
+    return whole.groupBy("lh", "lh2", "n", *_MAPS, "head").agg(F.min("place").alias("place"), F.min_by("id", "place").alias("id"), F.min_by("no", "place").alias("no"))
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, t: tuple[int, int]) -> DataFrame:
@@ -129,95 +137,95 @@ def _verified(pairs: DataFrame, lines: DataFrame, t: tuple[int, int]) -> DataFra
     asked = cut(pairs.select(F.col("x").alias("lh")).unionByName(pairs.select(F.col("y").alias("lh"))).distinct())
     known = cut(bits.build(asked, F.col("lh")))
     some = bits.mark(lines.select("line", F.xxhash64("line").alias("lh")), known, F.col("lh"), "asked").where("asked")
-    words = some.groupBy("lh").agg(F.first("line").alias("line")).select("lh", _hashed(F.col("line")).alias("code"))
-    words = cut(words.join(asked, "lh", "left_semi"))
+    words = some.groupBy("lh", "line").agg(F.count(F.lit(1))).join(asked, "lh", "left_semi").select("lh", _hashed(F.col("line")).alias("code"))
+    words = cut(words)
     both = pairs.join(words.select(F.col("lh").alias("x"), F.col("code").alias("a")), "x").join(words.select(F.col("lh").alias("y"), F.col("code").alias("b")), "y")
     shared = F.size(F.array_intersect("a", "b"))
     return both.where(shared * (t[0] + t[1]) >= (F.size("a") + F.size("b")) * t[0]).select("x", "y")
 
 
-def _rounds(first: DataFrame, lines: DataFrame, t: tuple[int, int]) -> DataFrame:
+def _early(first: DataFrame, lines: DataFrame, t: tuple[int, int]) -> DataFrame:
     """(lh, gone): lines that an earlier one of a few removes, found with a number of comparisons that grows with the lines.
 
-    Round one compares a line with the earliest line of each of its keys. Lines that are not far from such a leader are its
-    family; the next rounds compare those of it that still stay with a number of others, dealt by a hash.
+    A line is compared with the earliest line of each of its keys. Lines that are not far from such a leader are its family,
+    and are compared with about LEADERS lines of it, dealt by a hash.
     """
-    places = F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(F.size("head"), F.lit(ROUND_KEYS))), lambda k: F.element_at("head", -k)))
-    keyed = first.select("first.id", "first.no", "lh", "n", "sig", "sig2", "sig3", "sig4", F.explode(places).alias("key"))
-    leader = F.min(F.struct("id", "no", "lh", "n", "sig", "sig2", "sig3", "sig4")).over(Window.partitionBy("key"))
-    led = keyed.withColumn("lead", leader).where("lead.lh <> lh AND NOT (lead.id <=> id AND lead.no = no)")
-    need = _overlap(t, "lead.n", "n")
-    led = led.where(_alike("lead.", "", need, 5)).withColumn("close", F.expr(_alike("lead.", "", need)))
-    led = cut(led.select(F.col("lead.lh").alias("x"), F.col("lh").alias("y"), "id", "no", "n", "sig", "sig2", "sig3", "sig4", "close").distinct())
-    gone = cut(_verified(led.where("close").select("x", "y"), lines, t).select(F.col("y").alias("lh")).distinct())
-
-    order = Window.partitionBy("family").orderBy(F.xxhash64("lh"), "lh")
-    family = cut(led.withColumnsRenamed({"x": "family", "y": "lh"}).drop("close").withColumn("place", F.row_number().over(order)))
-    earlier = "(x.id IS NULL AND y.id IS NOT NULL OR x.id < y.id OR x.id <=> y.id AND x.no < y.no)"
-    on = f"x.family = y.family AND {earlier} AND {_alike('x.', 'y.', _overlap(t, 'x.n', 'y.n'))}"
-    for low, high in LEADERS:
-        stay = family.join(gone, "lh", "left_anti")
-        leads = family.where(F.col("place").between(low, high))
-        pairs = cut(leads.alias("x").join(stay.alias("y"), F.expr(on)).select(F.col("x.lh").alias("x"), F.col("y.lh").alias("y")).distinct())
-        gone = cut(gone.unionByName(_verified(pairs, lines, t).select(F.col("y").alias("lh"))).distinct())
-    return gone.withColumn("gone", F.lit(True))
+    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(F.size("head"), F.lit(KEYS))), lambda k: F.element_at("head", -k)))
+    own = ["lh", "id", "no", "n", *_MAPS]
+    keyed = first.select("place", *own, F.explode(keys).alias("key"))
+    leads = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("of"), *[F.min_by(c, "place").alias(f"lead_{c}") for c in own]).where("of > 1")
+    need = _overlap(t, "lead_n", "n")
+    led = keyed.join(leads.hint("shuffle_hash"), "key").where(f"lead_lh <> lh AND NOT (lead_id = id AND lead_no = no) AND {_alike('lead_', '', need, 5)}")
+    family = cut(led.select(F.col("lead_lh").alias("family"), *own, F.expr(_alike("lead_", "", need)).alias("close")).distinct())
+
+    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
+    dealt = family.join(sizes, "family").where(F.pmod(F.xxhash64("lh"), F.greatest(F.expr(f"members DIV {LEADERS}"), F.lit(1))) == 0)
+    on = f"x.family = y.family AND (x.id < y.id OR x.id = y.id AND x.no < y.no) AND {_alike('x.', 'y.', _overlap(t, 'x.n', 'y.n'))}"
+    met = dealt.alias("x").join(family.alias("y"), F.expr(on)).select(F.col("x.lh").alias("x"), F.col("y.lh").alias("y"))
+    pairs = cut(family.where("close").select(F.col("family").alias("x"), F.col("lh").alias("y")).unionByName(met).distinct())
+    return cut(_verified(pairs, lines, t).select(F.col("y").alias("lh"), F.lit(True).alias("gone")).distinct())
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (4, 5), entries: int = RARITY) -> DataFrame:
-    """(id, th, flags, n_removed) of the texts that lose lines: flags says of each line whether it goes.
+    """(id, th, gone, n_removed) of the texts that lose lines: the numbers of these, from 0; a null id is the least long here.
 
     threshold is a fraction, from 1/2 on.
     """
     t, lines = threshold, _lines(docs, id_col, text_col)
     table = rarity(docs, text_col, entries)
     first = cut(_first_lines(lines, table, t, entries))
-
-    gone = _rounds(first, lines, t)
-
-    # The join proper: pairs whose later line isn't removed yet; x is the line of fewer words. No condition is on x alone,
-    # so both sides are one exchange, read twice.
-    marked = first.join(gone.hint("shuffle_hash"), "lh", "left").select("lh", "first.id", "first.no", "n", "sig", "sig2", "sig3", "sig4", F.coalesce("gone", F.lit(False)).alias("gone"), F.posexplode("head").alias("pos", "word"))
-    open_ = "(NOT y.gone AND (x.id IS NULL OR x.id < y.id OR x.id = y.id AND x.no <= y.no) OR NOT x.gone AND (y.id IS NULL OR y.id < x.id OR x.id = y.id AND y.no <= x.no))"
-    need = _overlap(t, "x.n", "y.n")
+    early = _early(first, lines, t)
+
+    # The join proper: pairs of which one line at least isn't removed yet; x is the line of fewer words. No condition is on x
+    # alone, so both sides are one exchange, read twice. `is` holds a line's words, the word's position and whether it is gone.
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.coalesce("gone", F.lit(False)).cast("long"))
+    marked = first.join(early.hint("shuffle_hash"), "lh", "left").select("lh", "n", "gone", *_MAPS, F.posexplode("head").alias("pos", "word"))
+    marked = marked.select("word", "lh", packed.alias("is"), *_MAPS)
+    m, n = (f"CAST(shiftright({side}.is, 32) AS INT)" for side in "xy")
+    at_x, at_y = (f"CAST(shiftright({side}.is & 4294967295, 1) AS INT)" for side in "xy")
+    need = _overlap(t, m, n)
+    differ = " + ".join(f"bit_count(x.{sig} ^ y.{sig})" for sig in _MAPS)
     on = (
-        f"x.word = y.word AND (x.n < y.n OR x.n = y.n AND x.lh < y.lh) AND {open_} AND x.n * {t[1]} >= y.n * {t[0]}"
-        f" AND x.pos < {_index_prefix(t, 'least(x.n, y.n)')} AND least(x.n - x.pos, y.n - y.pos) >= {need} AND {_alike('x.', 'y.', need)}"
+        f"x.word = y.word AND ({m} < {n} OR {m} = {n} AND x.lh < y.lh) AND {m} * {t[1]} >= {n} * {t[0]} AND (x.is & y.is & 1) = 0"
+        f" AND {at_x} < {_index_prefix(t, m)} AND least({m} - {at_x}, {n} - {at_y}) >= {need} AND {differ} <= {m} + {n} - 2 * {need}"
     )
     pairs = marked.alias("x").join(marked.alias("y"), F.expr(on)).select(F.col("x.lh").alias("x"), F.col("y.lh").alias("y")).distinct()
-    places = first.select("lh", "first")
+    places = first.select("lh", "place")
     found = _verified(cut(pairs), lines, t).join(places.toDF("x", "at_x"), "x").join(places.toDF("y", "at_y"), "y")
-    late = found.select(F.when(F.col("at_x") < F.col("at_y"), F.col("y")).otherwise(F.col("x")).alias("lh"), F.lit(True).alias("gone"))
-    gone = gone.unionByName(late).distinct()
+    late = found.where("at_x <> at_y").select(F.when(F.col("at_x") < F.col("at_y"), F.col("y")).otherwise(F.col("x")).alias("lh"), F.lit(True).alias("gone"))
+    gone = early.unionByName(late).distinct()
 
-    judged = cut(first.select("lh", "lh2", "first").join(gone.hint("shuffle_hash"), "lh", "left").select("lh", "lh2", "first", F.coalesce("gone", F.lit(False)).alias("gone")))
-    places = lines.select("id", "th", "no", F.xxhash64("line").alias("lh"), F.xxhash64("line", F.lit("second")).alias("lh2"))
-    seen = places.join(judged, ["lh", "lh2"], "left")
-    goes = F.coalesce(F.col("gone") | ~F.struct("id", "no", "th").eqNullSafe(F.col("first")), F.lit(False)) & F.col("first").isNotNull()
-    flags = F.transform(F.sort_array(F.collect_set(F.struct("no", goes.alias("goes")))), lambda x: x["goes"])
-    return seen.groupBy("id", "th").agg(flags.alias("flags")).where("exists(flags, x -> x)").withColumn("n_removed", F.size(F.filter("flags", lambda x: x)))
+    judged = cut(first.select("lh", "lh2", "place").join(gone.hint("shuffle_hash"), "lh", "left").select("lh", "lh2", F.col("place").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone")))
+    seen = lines.select("id", "th", "no", _place().alias("place"), F.xxhash64("line").alias("lh"), F.xxhash64("line", F.lit("second")).alias("lh2"))
+    goes = seen.join(judged, ["lh", "lh2"]).where("gone OR place <> first").select("id", "th", "no")
+    return goes.groupBy("id", "th").agg(F.sort_array(F.collect_set("no")).alias("gone")).withColumn("n_removed", F.size("gone"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """docs with the texts that are left, in the same columns; a text all of whose lines go is empty.
 
-    Defined cases: a null text stays null; blank lines always stay; lines are parted at newlines and words at ASCII white
-    space; equal rows (id and text) are one document, and keep the same lines; rows that share an id only have their lines in
-    order of number, then of a hash of the text; null ids come first in order; other
-    columns pass through unread, whatever their names; an empty table stays empty.
+    Defined cases: ids are whole numbers; a null text stays null; blank lines always stay; lines are parted at newlines and
+    words at ASCII white space; equal rows (id and text) are one document and keep the same lines; rows that share an id
+    only have their lines in order of number, and each keeps a line that two of them have at the same number; null ids come
+    first in order, as one document; other columns pass through unread, whatever their names; an empty table stays empty.
     """
-    goes = removed_lines(docs, id_col, text_col, threshold).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("flags").alias("__flags"))
-    on = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__th"))
-    left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, k: ~F.element_at("__flags", k + 1)), "\n")
-    joined = docs.join(goes.hint("shuffle_hash"), on, "left")
-    return joined.select(*[F.when(F.col("__flags").isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    gone = removed_lines(docs, id_col, text_col, threshold)
+    text, names = F.col(f"`{text_col}`"), [f"c{k}" for k in range(len(docs.columns))]
+    kept = [(F.split(text, "\n") if c == text_col else F.col(f"`{c}`")).alias(k) for k, c in zip(names, docs.columns, strict=True)]
+    rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LEAST)).alias("id"), F.xxhash64(text).alias("th"), *kept)
+    lines = names[docs.columns.index(text_col)]
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
+    left = F.when(F.col("gone").isNull(), F.col(lines)).otherwise(F.transform(numbers, lambda k: F.get(F.col(lines), k)))
+    joined = rows.join(gone.hint("shuffle_hash"), ["id", "th"], "left")
+    return joined.select(*[(F.array_join(left, "\n") if k == lines else F.col(k)).alias(c) for k, c in zip(names, docs.columns, strict=True)])
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed): the numbers of the lines that go, from 0, as text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    gone = removed_lines(docs).select(F.col("id").alias("doc_id"), "th", "n_removed", F.array_join(F.filter(F.transform("flags", lambda x, k: F.when(x, k)), lambda k: k.isNotNull()), ",").alias("removed"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
-    return rows.join(gone, ["doc_id", "th"], "left").select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.lit("")).alias("removed"))
+    gone = removed_lines(docs).select("id", "th", "n_removed", F.array_join("gone", ",").alias("removed"))
+    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LEAST)).alias("id"), F.xxhash64("text").alias("th"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
+    return rows.join(gone, ["id", "th"], "left").select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.lit("")).alias("removed"))
 
 
 QUERIES = {"op5_line_dedup": op5_line_dedup}
