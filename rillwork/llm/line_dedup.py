@@ -176,17 +176,18 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = cut(_first_lines(lines, table, t, entries))
     early = _early(first, lines, t)
 
-    # The join proper: pairs of which one line at least isn't removed yet; x is the line of fewer words. No condition is on x
+    # The join proper: pairs whose later line isn't removed yet; x is the line of fewer words. No condition is on x
     # alone, so both sides are one exchange, read twice. `is` holds a line's words, the word's position and whether it is gone.
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.coalesce("gone", F.lit(False)).cast("long"))
-    marked = first.join(early.hint("shuffle_hash"), "lh", "left").select("lh", "n", "gone", *_MAPS, F.posexplode("head").alias("pos", "word"))
-    marked = marked.select("word", "lh", packed.alias("is"), *_MAPS)
+    marked = first.join(early.hint("shuffle_hash"), "lh", "left").select("lh", "id", "n", "gone", *_MAPS, F.posexplode("head").alias("pos", "word"))
+    marked = marked.select("word", "lh", "id", packed.alias("is"), *_MAPS)
     m, n = (f"CAST(shiftright({side}.is, 32) AS INT)" for side in "xy")
     at_x, at_y = (f"CAST(shiftright({side}.is & 4294967295, 1) AS INT)" for side in "xy")
+    open_ = "((y.is & 1) = 0 AND x.id <= y.id OR (x.is & 1) = 0 AND y.id <= x.id)"
     need = _overlap(t, m, n)
     differ = " + ".join(f"bit_count(x.{sig} ^ y.{sig})" for sig in _MAPS)
     on = (
-        f"x.word = y.word AND ({m} < {n} OR {m} = {n} AND x.lh < y.lh) AND {m} * {t[1]} >= {n} * {t[0]} AND (x.is & y.is & 1) = 0"
+        f"x.word = y.word AND ({m} < {n} OR {m} = {n} AND x.lh < y.lh) AND {m} * {t[1]} >= {n} * {t[0]} AND {open_}"
         f" AND {at_x} < {_index_prefix(t, m)} AND least({m} - {at_x}, {n} - {at_y}) >= {need} AND {differ} <= {m} + {n} - 2 * {need}"
     )
     pairs = marked.alias("x").join(marked.alias("y"), F.expr(on)).select(F.col("x.lh").alias("x"), F.col("y.lh").alias("y")).distinct()
