@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 DAY_MS = 86_400_000
 
 
+def named(name: str) -> Column:
+    """The column of exactly that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def day_of(ms: Column) -> Column:
     """The UTC day of milliseconds since 1970."""
     return F.date_add(F.lit(date(1970, 1, 1)), F.floor(ms / DAY_MS).cast("int"))
