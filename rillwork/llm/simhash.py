@@ -15,11 +15,16 @@ next one. Fingerprints that link meet under an equal key, of 24 or 25 fixed bits
 Equal fingerprints are one entry, whatever their number. Under a key, at most DENSE entries are compared pair by pair; a
 larger run is walked from entry to entry, each comparing itself with those that no walk has reached yet, and gives a
 spanning forest of all its links, so a large group of near copies costs little more than its size.
+
+Four bits of 64 are copies of a Jaccard similarity of about 0.96. `similar_groups` finds less similar texts, from 0.8 of their
+sets of five-word shingles on: it makes several fingerprints of a text from different hashes of the same shingles, takes
+what meets under a key and differs in at most NEAR bits, and verifies each such pair on the shingles themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +37,17 @@ from rillwork.llm.links import components
 
 BITS, SEGMENTS = 4, (13, 13, 13, 13, 12)
 DENSE = 48
+#: Fingerprints of a text, and bits that may differ, where pairs are verified on their shingles.
+KINDS, NEAR = 4, 8
+#: Odd multipliers that give a shingle's further hashes.
+_TURNS = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF | 1) for k in range(1, 64)]
 
 
-def fingerprint(text: str | None, words_each: int = 4) -> int:
-    """Bit k is set if it is in more than half of the hashes of the text's word shingles, repeats included."""
+def shingles(text: str | None, words_each: int) -> np.ndarray:
+    """The hashes of the text's word shingles in order; of a text without words that of the empty shingle."""
     words = (text or "").encode().lower().split()  # of bytes: only A-Z and only ASCII white space
     if not words:
-        return 0
+        return np.array([xxhash.xxh64_intdigest(b"", 42)], np.uint64)
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
@@ -46,12 +55,28 @@ def fingerprint(text: str | None, words_each: int = 4) -> int:
     n = max(1, len(words) - words_each + 1)
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[:n].tolist(), ends[min(words_each, len(words)) - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n)
+
+
+def _majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
-    for k in range(0, n, 16384):
+    for k in range(0, len(hashes), 16384):
         block = hashes[k : k + 16384].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, words_each: int = 4) -> int:
+    """Bit k is set if it is in more than half of the hashes of the text's word shingles, repeats included; 0 without words."""
+    return _majority(shingles(text, words_each)) if text and text.encode().split() else 0
+
+
+def _turned(hashes: np.ndarray, kind: int) -> np.ndarray:
+    """Other hashes of the same shingles; kind 0 leaves them."""
+    if not kind:
+        return hashes
+    mixed = (hashes ^ (hashes >> np.uint64(29))) * _TURNS[kind]
+    return mixed ^ (mixed >> np.uint64(32))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 4) -> DataFrame:
@@ -125,12 +150,11 @@ def _links(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np
 
 
 def link(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints `fp` that differ in at most `bits` (4 or fewer) bits.
+    """Links (a, b) between distinct fingerprints `fp` that differ in at most `bits` bits.
 
-    Not every pair: enough of them that what is linked stays connected.
+    Not every pair: enough of them that what is linked stays connected. Up to four bits none is missed; with more, those
+    are found that share a key.
     """
-    if bits > 4:
-        raise ValueError("five segments find at most four differing bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(parts: list) -> pa.RecordBatch:
@@ -175,6 +199,51 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def similar_groups(rows: DataFrame, number: str, text: str, words_each: int = 5, threshold: tuple[int, int] = (4, 5), kinds: int = KINDS, bits: int = NEAR) -> DataFrame:
+    """(number, group) of rows told apart by the long `number`: group is the smallest number of those reachable by similar pairs.
+
+    Similar are texts of equal words (but for the case of A-Z), and pairs whose sets of shingles have a Jaccard similarity of
+    `threshold` or more and of which a fingerprint meets under a key; every pair is verified. Texts without words are equal.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = np.empty((b.num_rows, kinds + 1), np.uint64)
+            for k, t in enumerate(b.column(1)):
+                t = t.as_py()
+                own = shingles(t, words_each)
+                out[k] = [xxhash.xxh64_intdigest(b" ".join((t or "").encode().lower().split()), 7), *(_majority(_turned(own, kind)) for kind in range(kinds))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in out.T)], names=names)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(shingles(t.as_py(), words_each)).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["number", "set"])
+
+    ship(rows.sparkSession)
+    names = ["number", "words", *(f"fp{k}" for k in range(kinds))]
+    texts = rows.select(F.col(number).alias("number"), F.col(text).alias("text"))
+    prints = cut(texts.mapInArrow(sketch, ", ".join(f"{c} bigint" for c in names)))
+    distinct = cut(prints.groupBy("words").agg(*[F.min(c).alias(c) for c in names if c != "words"]))
+
+    met = []
+    for k in range(kinds):
+        of = distinct.select("number", F.col(f"fp{k}").alias("fp"))
+        reps = of.groupBy("fp").agg(F.min("number").alias("rep"))
+        met.append(of.join(reps, "fp").where("number <> rep").select(F.col("rep").alias("a"), F.col("number").alias("b")))
+        pairs = link(reps.select("fp"), bits)
+        met.append(pairs.join(reps.toDF("a", "at_a"), "a").join(reps.toDF("b", "at_b"), "b").select(F.least("at_a", "at_b").alias("a"), F.greatest("at_a", "at_b").alias("b")))
+    edges = cut(reduce(DataFrame.unionByName, met).distinct())
+    asked = edges.select(F.col("a").alias("number")).unionByName(edges.select(F.col("b").alias("number"))).distinct()
+    held = cut(texts.join(asked, "number", "left_semi").mapInArrow(sets, "number bigint, set array<bigint>"))
+    both = edges.join(held.toDF("a", "set_a"), "a").join(held.toDF("b", "set_b"), "b")
+    part, whole = threshold
+    alike = F.size(F.array_intersect("set_a", "set_b")) * (part + whole) >= (F.size("set_a") + F.size("set_b")) * part
+    roots = components(both.where(alike).select("a", "b")).toDF("first", "root")
+    of_text = distinct.select("words", F.col("number").alias("first")).join(roots, "first", "left").select("words", F.coalesce("root", "first").alias("group"))
+    return prints.select("number", "words").join(of_text, "words").select("number", "group")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
