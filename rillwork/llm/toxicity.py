@@ -1,16 +1,19 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text. A text is cut into windows of WINDOW words,
-one every STRIDE words; the gain of a window is how many bytes shorter it becomes with the toxic dictionary than with the ordinary one. The score
-is a logistic function of a few statistics of a text's gains (their largest, their mean, the shares of windows above fixed
-gains ...), calibrated on the same labelled rows.
+Texts are compressed in windows of WINDOW words, one every STRIDE words, with dictionaries of ordinary and of toxic text. The
+gain of a window is how many bytes shorter a toxic dictionary makes it than the ordinary one. The score is a logistic
+function of a few statistics of a text's gains (their largest, their mean, the shares of windows above fixed gains ...).
 
-Most of a toxic text is ordinary prose, so the toxic dictionary is made of those stretches of the words of toxic texts
-whose character 5-grams are found in far more toxic than ordinary texts, the most frequent last, where matches are
-cheapest. It follows the ordinary dictionary's content, so both compress ordinary prose alike and a gain shows only where
-the toxic part matches.
+The ordinary dictionary is trained by zstandard on ordinary texts. Most of a toxic text is ordinary prose, and a dictionary
+trained on whole toxic texts tells little, so a toxic dictionary is the ordinary one's content followed by those stretches
+of the words of toxic texts whose character n-grams are found in far more toxic than ordinary texts, the most frequent
+last, where matches are cheapest: both compress ordinary prose alike and a gain shows only where the toxic part matches.
+There is one for each length in GRAMS: short n-grams find words of their own, long ones new words on ordinary stems.
 
-The fit is on a sample whose size is a parameter (`toxic_rows`, `ordinary_rows`); the scan that scores covers all texts
+The statistics that the function is fitted to are those of rows that had no part in the toxic dictionaries they are measured
+with: the labelled rows are dealt over FOLDS parts, and each is measured with dictionaries made from the others.
+
+The fit is on a sample whose size is a parameter (`toxic_rows`, `ordinary_rows`); its texts and the scan that scores are
 whole.
 """
 
@@ -27,14 +30,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillwork.functions.columns import named
 from rillwork.functions.shared import cut, ship
 
-WINDOW, STRIDE, GRAM = 12, 4, 5
+WINDOW, STRIDE, GRAMS = 12, 4, (5, 8)
 ORDINARY_BYTES, TOXIC_BYTES = 65536, 4096
-#: Rows to fit on, and the longest text among them in characters.
-TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 1500, 4000, 20_000
-#: A 5-gram is toxic if found in so many times more of the toxic texts than of the ordinary ones.
-ENRICHED = 20
+#: Labelled rows to fit on.
+TOXIC_ROWS, ORDINARY_ROWS = 1500, 4000
+#: An n-gram is toxic if found in so many times more of the toxic texts than of the ordinary ones.
+ENRICHED, FOLDS = 20, 3
 
 
 def windows(text: str | None, stride: int = STRIDE) -> list[bytes]:
@@ -44,31 +48,34 @@ def windows(text: str | None, stride: int = STRIDE) -> list[bytes]:
 
 @dataclass
 class Gains:
-    """Compresses windows with both dictionaries."""
+    """Compresses windows with the ordinary and the toxic dictionaries."""
 
     ordinary: bytes
-    toxic: bytes
+    toxic: tuple[bytes, ...]
 
     def __post_init__(self):
         self.sizes = []
-        for content in (self.ordinary, self.ordinary + self.toxic):
+        for content in (self.ordinary, *(self.ordinary + part for part in self.toxic)):
             held = zstandard.ZstdCompressionDict(content)
             held.precompute_compress(level=3)
             params = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
             self.sizes.append(zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress)
 
     def statistics(self, text: str | None) -> tuple[float, ...]:
-        plain, toxic = self.sizes
-        gain = np.array([len(plain(w)) - len(toxic(w)) for w in windows(text)], float)
-        top = np.sort(gain)[-3:]
-        at_least = [int((gain >= g).sum()) for g in (1, 2, 3, 4)]
-        n = len(gain)
-        return (top[-1], top.mean(), gain.mean(), at_least[0] / n, at_least[1] / n, at_least[2] / n, math.log1p(n), *(math.log1p(x) for x in at_least[1:]))
+        plain, *toxic = self.sizes
+        cut_up = windows(text)
+        ordinary, out = np.fromiter((len(plain(w)) for w in cut_up), float, len(cut_up)), [math.log1p(len(cut_up))]
+        for size in toxic:
+            gain = ordinary - np.fromiter((len(size(w)) for w in cut_up), float, len(cut_up))
+            top = np.sort(gain)[-3:]
+            at_least = [int((gain >= g).sum()) for g in (1, 2, 3, 4)]
+            out += [top[-1], top.mean(), gain.mean(), *(x / len(gain) for x in at_least[:3]), *(math.log1p(x) for x in at_least[1:])]
+        return tuple(out)
 
 
 @dataclass
 class Model:
-    gains: tuple[bytes, bytes]
+    gains: tuple[bytes, tuple[bytes, ...]]
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
@@ -82,23 +89,44 @@ def _padded(word: bytes) -> bytes:
     return b" " + word + b" "
 
 
-def _grams(words: set[bytes]) -> set[bytes]:
-    return {w[i : i + GRAM] for w in map(_padded, words) for i in range(max(1, len(w) - GRAM + 1))}
+def _words(texts: list[str]) -> Counter:
+    """In how many texts each word is."""
+    return Counter(w for t in texts for w in set(t.lower().encode().split()))
+
 
+def _grams(words: Counter, size: int) -> Counter:
+    """How often n-grams are in the words of texts, each word once a text."""
+    out: Counter = Counter()
+    for word, times in words.items():
+        word = _padded(word)
+        for i in range(max(1, len(word) - size + 1)):
+            out[word[i : i + size]] += times
+    return out
 
-def _stretches(word: bytes, telling: set[bytes]) -> list[bytes]:
-    """The parts of a word that telling 5-grams cover."""
-    word = _padded(word)
-    starts = [i for i in range(max(1, len(word) - GRAM + 1)) if word[i : i + GRAM] in telling]
-    out: list[list[int]] = []
-    for i in starts:
-        if out and i <= out[-1][1]:
-            out[-1][1] = i + GRAM
-        else:
-            out.append([i, i + GRAM])
+
+def _stretches(word: bytes, telling: set[bytes], size: int) -> list[bytes]:
+    """The parts of a word that telling n-grams cover."""
+    word, out = _padded(word), []
+    for i in range(max(1, len(word) - size + 1)):
+        if word[i : i + size] in telling:
+            if out and i <= out[-1][1]:
+                out[-1][1] = i + size
+            else:
+                out.append([i, i + size])
     return [word[i:j] for i, j in out]
 
 
+def _toxic_part(words: Counter, of_toxic: Counter, toxic: int, of_plain: Counter, plain: int, size: int) -> bytes:
+    """The telling stretches of the words of `toxic` texts; the counters say in how many texts words and n-grams are."""
+    least = max(4, 0.01 * toxic) if toxic > 8 else 1
+    telling = {g for g, n in of_toxic.items() if n >= least and (of_plain[g] + 0.5) / plain < n / toxic / ENRICHED}
+    found: Counter = Counter()
+    for w, n in words.items():
+        for x in _stretches(w, telling, size):
+            found[x] += n
+    return b"".join(x for x, n in sorted(found.items(), key=lambda x: (x[1], x[0])) if n >= least)[-TOXIC_BYTES:]
+
+
 def _dictionary(samples: list[bytes], size: int) -> bytes:
     """A trained dictionary; where there is too little to train on, the samples themselves."""
     try:
@@ -123,49 +151,58 @@ def train(toxic: list[str], ordinary: list[str], prior: float) -> Model | None:
     toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary) - set(toxic))
     if not toxic or not ordinary:
         return None
-    words = [set(t.lower().encode().split()) for t in toxic]
-    of_toxic, of_plain = Counter(), Counter()
-    for w in words:
-        of_toxic.update(_grams(w))
-    for t in ordinary:
-        of_plain.update(_grams(set(t.lower().encode().split())))
-    least = max(4, 0.01 * len(toxic)) if len(toxic) > 8 else 1
-    telling = {g for g, n in of_toxic.items() if n >= least and (of_plain[g] + 0.5) / len(ordinary) < n / len(toxic) / ENRICHED}
-    found = Counter(x for ws in words for w in sorted(ws) for x in _stretches(w, telling))
-    toxic_part = b"".join(x for x, n in reversed(found.most_common()) if n >= least)[-TOXIC_BYTES:]
-    plain = [w for t in ordinary for w in windows(t, WINDOW)]
-    gains = (_dictionary(plain, ORDINARY_BYTES) or b" " * 8, toxic_part)
-    of = Gains(*gains)
-    x = np.array([of.statistics(t) for t in toxic + ordinary])
-    y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
-    return Model(gains, *_logistic(x, y, min(max(prior, 1e-3), 1 - 1e-3)))
+    folds = max(1, min(FOLDS, len(toxic), len(ordinary)))
+    parts = [(toxic[k::folds], ordinary[k::folds]) for k in range(folds)]
+    words = [tuple(map(_words, part)) for part in parts]
+    all_words = sum((w[0] for w in words), Counter())
+    grams = [[tuple(_grams(w, size) for w in part) for part in words] for size in GRAMS]
+    all_grams = [[sum((g[y] for g in of_size), Counter()) for y in (0, 1)] for of_size in grams]
+    plain = _dictionary([w for t in ordinary for w in windows(t, WINDOW)], ORDINARY_BYTES) or b" " * 8
+    whole = (plain, tuple(_toxic_part(all_words, of[0], len(toxic), of[1], len(ordinary), size) for of, size in zip(all_grams, GRAMS, strict=True)))
+
+    x, y = [], []
+    for k, (bad, good) in enumerate(parts):
+        apart = whole
+        if folds > 1:
+            others = all_words - words[k][0]
+            apart = (plain, tuple(_toxic_part(others, of[0] - own[k][0], len(toxic) - len(bad), of[1] - own[k][1], len(ordinary) - len(good), size) for of, own, size in zip(all_grams, grams, GRAMS, strict=True)))
+        gains = Gains(*apart)
+        x += [gains.statistics(t) for t in bad + good]
+        y += [1.0] * len(bad) + [0.0] * len(good)
+    return Model(whole, *_logistic(np.array(x), np.array(y), min(max(prior, 1e-3), 1 - 1e-3)))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
+    return F.coalesce(F.crc32(F.encode(named(id_col).cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> tuple[Model | None, float]:
-    """A model from at most so many labelled rows that aren't held out, picked by a hash of the id; and the base rate."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("label_id")).agg(F.max("toxic").alias("label"))
+    """A model from at most so many labelled rows that aren't held out, picked by a hash of the id; and the base rate.
+
+    Of an id that several documents have, the text of least hash is taken, whole.
+    """
+    known = labels.where(F.col("toxic").isin(0, 1) & named(id_col).isNotNull() & ~held_out(id_col)).groupBy(named(id_col).alias("label_id")).agg(F.max("toxic").alias("label"))
     rates = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = rates.get(1, 0) / max(1, sum(rates.values()))
     picked = [known.where(F.col("label") == y).orderBy(F.xxhash64("label_id"), "label_id").limit(n) for y, n in ((1, toxic_rows), (0, ordinary_rows))]
     ids = cut(picked[0].unionByName(picked[1]))
-    #: At most toxic_rows + ordinary_rows ids, so they can be broadcast and no text is shuffled.
-    texts = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "label_id").select("label", "text").limit(2 * (toxic_rows + ordinary_rows)).collect()
-    return train([r["text"] for r in texts if r["label"]], [r["text"] for r in texts if not r["label"]], prior), prior
+    # At most toxic_rows + ordinary_rows ids, so they can be broadcast and no other text is shuffled.
+    texts = docs.select(named(id_col).alias("label_id"), named(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(ids), "label_id")
+    rows = texts.groupBy("label_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
+    return train([r["text"] for r in rows if r["label"]], [r["text"] for r in rows if not r["label"]], prior), prior
 
 
-def score(docs: DataFrame, model: Model | None, prior: float, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: `id_col`, score from 0 to 1, and the columns in `keep`.
+def score(docs: DataFrame, model: Model | None, prior: float, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
+    """One row per row of docs: `id_col`, the columns in `keep`, and the score from 0 to 1, called `name`.
 
     Defined cases: a null text is an empty one, which is one empty window; null and repeated ids pass row by row; texts
     of any length are cut into windows whole; other columns aren't read; an empty table gives no rows; without labelled
-    rows of both classes every score is the base rate.
+    rows of both classes every score is the base rate. ValueError if a column that is kept has the score's name.
     """
-    sent = ship(docs.sparkSession).sparkContext.broadcast(model)  # two dictionaries, 70 KB
     kept = list(dict.fromkeys((id_col, *keep)))
+    if name in kept:
+        raise ValueError(f"a column is called {name} already")
+    sent = ship(docs.sparkSession).sparkContext.broadcast(model)  # three dictionaries, 210 KB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -176,8 +213,8 @@ def score(docs: DataFrame, model: Model | None, prior: float, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*[f"c{k}" for k in range(len(kept))], "score"])
 
     kinds = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(kept))
-    rows = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(kept)], F.col(text_col).alias("whole_text"))
-    return rows.mapInArrow(run, f"{kinds}, score double").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(kept)], "score")
+    rows = docs.select(*[named(c).alias(f"c{k}") for k, c in enumerate(kept)], named(text_col).alias("whole_text"))
+    return rows.mapInArrow(run, f"{kinds}, score double").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(kept)], F.col("score").alias(name))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
