@@ -13,8 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 
 
+#: Rows that go to a Python worker at a time where the session has Spark's own setting: of texts these are some megabytes.
+ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors, once an application: their Python workers needn't have it installed."""
+    """Sends this package to the executors, once an application: their Python workers needn't have it installed.
+
+    Also sets the rows of an Arrow batch to ROWS, unless the session has a setting of its own.
+    """
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, ROWS)
     sc, top = spark.sparkContext, Path(__file__).resolve().parents[1]
     if sc.applicationId not in _shipped:
         path = Path(tempfile.mkdtemp(prefix="rillwork-")) / f"{top.name}.zip"
@@ -37,6 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="rillwork-")
     spark.sparkContext.setCheckpointDir(made)
     return made
