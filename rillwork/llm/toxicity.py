@@ -94,16 +94,22 @@ def _words(texts: list[str]) -> Counter:
     return Counter(w for t in texts for w in set(t.lower().encode().split()))
 
 
-def _grams(words: Counter, size: int) -> Counter:
-    """How often n-grams are in the words of texts, each word once a text."""
+def _grams(words: Counter, size: int, of: set[bytes] | None = None) -> Counter:
+    """How often n-grams are in the words of texts, each word once a text; only those in `of`, if given."""
     out: Counter = Counter()
     for word, times in words.items():
         word = _padded(word)
         for i in range(max(1, len(word) - size + 1)):
-            out[word[i : i + size]] += times
+            if of is None or word[i : i + size] in of:
+                out[word[i : i + size]] += times
     return out
 
 
+def _least(toxic: int) -> float:
+    """In how many of so many toxic texts an n-gram must be."""
+    return max(4, 0.01 * toxic) if toxic > 8 else 1
+
+
 def _stretches(word: bytes, telling: set[bytes], size: int) -> list[bytes]:
     """The parts of a word that telling n-grams cover."""
     word, out = _padded(word), []
@@ -118,7 +124,7 @@ def _stretches(word: bytes, telling: set[bytes], size: int) -> list[bytes]:
 
 def _toxic_part(words: Counter, of_toxic: Counter, toxic: int, of_plain: Counter, plain: int, size: int) -> bytes:
     """The telling stretches of the words of `toxic` texts; the counters say in how many texts words and n-grams are."""
-    least = max(4, 0.01 * toxic) if toxic > 8 else 1
+    least = _least(toxic)
     telling = {g for g, n in of_toxic.items() if n >= least and (of_plain[g] + 0.5) / plain < n / toxic / ENRICHED}
     found: Counter = Counter()
     for w, n in words.items():
@@ -155,7 +161,10 @@ def train(toxic: list[str], ordinary: list[str], prior: float) -> Model | None:
     parts = [(toxic[k::folds], ordinary[k::folds]) for k in range(folds)]
     words = [tuple(map(_words, part)) for part in parts]
     all_words = sum((w[0] for w in words), Counter())
-    grams = [[tuple(_grams(w, size) for w in part) for part in words] for size in GRAMS]
+    # n-grams that can tell in any part: few, so the ordinary texts' many others are never held
+    least = min(_least(len(toxic) - len(bad)) for bad, _ in parts) if folds > 1 else _least(len(toxic))
+    often = [{g for g, n in _grams(all_words, size).items() if n >= least} for size in GRAMS]
+    grams = [[tuple(_grams(w, size, of) for w in part) for part in words] for size, of in zip(GRAMS, often, strict=True)]
     all_grams = [[sum((g[y] for g in of_size), Counter()) for y in (0, 1)] for of_size in grams]
     plain = _dictionary([w for t in ordinary for w in windows(t, WINDOW)], ORDINARY_BYTES) or b" " * 8
     whole = (plain, tuple(_toxic_part(all_words, of[0], len(toxic), of[1], len(ordinary), size) for of, size in zip(all_grams, GRAMS, strict=True)))
