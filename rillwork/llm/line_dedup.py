@@ -188,7 +188,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     differ = " + ".join(f"bit_count(x.{sig} ^ y.{sig})" for sig in _MAPS)
     on = (
         f"x.word = y.word AND ({m} < {n} OR {m} = {n} AND x.lh < y.lh) AND {m} * {t[1]} >= {n} * {t[0]} AND {open_}"
-        f" AND {at_x} < {_index_prefix(t, m)} AND least({m} - {at_x}, {n} - {at_y}) >= {need} AND {differ} <= {m} + {n} - 2 * {need}"
+        f" AND {at_x} < {_index_prefix(t, f'least({m}, {n})')} AND least({m} - {at_x}, {n} - {at_y}) >= {need} AND {differ} <= {m} + {n} - 2 * {need}"
     )
     pairs = marked.alias("x").join(marked.alias("y"), F.expr(on)).select(F.col("x.lh").alias("x"), F.col("y.lh").alias("y")).distinct()
     places = first.select("lh", "place")
