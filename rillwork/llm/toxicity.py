@@ -20,6 +20,7 @@ whole.
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -197,8 +198,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ids = cut(picked[0].unionByName(picked[1]))
     # At most toxic_rows + ordinary_rows ids, so they can be broadcast and no other text is shuffled.
     texts = docs.select(named(id_col).alias("label_id"), named(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(ids), "label_id")
-    rows = texts.groupBy("label_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
-    return train([r["text"] for r in rows if r["label"]], [r["text"] for r in rows if not r["label"]], prior), prior
+    rows = texts.groupBy("label_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("label", "text")
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: tuple[list[str], list[str]] = ([], [])
+        for b in batches:
+            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                of[label].append(text)
+        yield pa.record_batch({"model": pa.array([pickle.dumps(train(of[1], of[0], prior))], pa.binary())})
+
+    # One task fits the sample, whose size is bounded; the driver gets the model alone.
+    ship(docs.sparkSession)
+    made = rows.repartition(1).mapInArrow(fitted, "model binary").first()
+    return (pickle.loads(made["model"]) if made else None), prior
 
 
 def score(docs: DataFrame, model: Model | None, prior: float, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
