@@ -188,8 +188,8 @@ def queries() -> dict[str, Query]:
         "popular_items": _on(lambda m: recommend.popular_items(recommend.implicit_ratings(m.events), 30)),
         "item_sequences": _on(lambda m: recommend.item_sequences(m.events, DAY_S).select("session_id", F.array_join("items", ",").alias("items"))),
         "top_n_neighbors": lambda spark, sf_dir: recommend.top_n_neighbors(_embeddings(spark, sf_dir), digits=6),
-        "als_recommend": _neighbours(lambda e: recommend.als_vectors(e, rank=8, iterations=3)),
-        "item2vec_recommend": _neighbours(lambda e: recommend.item2vec_vectors(e, size=16, iterations=1, timeout_s=DAY_S)),
+        "als_recommend": _neighbours(lambda e: recommend.als_vectors(e)),
+        "item2vec_recommend": _neighbours(lambda e: recommend.item2vec_vectors(e, timeout_s=DAY_S)),
         "time_split": _on(lambda m: abandon.time_split(abandon.at_risk(m.feature_sessions)).select("session_id", "start_time", "is_train")),
         "classifier_metrics": _on(_metrics, DAY_S),
         "train_abandon": _on(_trained),
