@@ -27,6 +27,17 @@ def test_toxic_documents_go_and_clean_ones_stay(spark, tmp_path):
     assert sum(t for i, t in enumerate(toxic) if i in left) <= 0.1 * sum(toxic)
 
 
+def test_toxicity_keeps_columns_of_any_name_and_all_rows_without_both_classes(spark, tmp_path):
+    texts, toxic = corpus(60, 8)
+    df = docs(spark, texts).withColumn("score", F.lit(1)).withColumn("a.b", F.lit(2)).withColumn("c0", F.lit(3))
+    for name, labels in (("both", toxic), ("one", [1] * 60)):
+        spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = pipeline.drop_toxic(spark, df, f"{tmp_path}/{name}")
+        assert out.columns == df.columns and out.where("score <> 1 OR `a.b` <> 2 OR c0 <> 3").count() == 0
+        assert (out.count() == 60) == (name == "one")
+    assert pipeline.drop_near_copies(spark, df, "").columns == df.columns
+
+
 def test_lines_go_and_documents_stay(spark):
     texts = ["\n".join(prose(3, k % 5, 12)) for k in range(20)] + ODD
     rows = pipeline.drop_repeated_lines(spark, docs(spark, texts), "").collect()
