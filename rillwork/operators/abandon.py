@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillwork.functions.shared import cut
@@ -27,11 +27,24 @@ CONFIG: dict[str, Any] = {
 }
 
 
+#: Ranges of scores that are ordered apart.
+RANGES = 1024
+
+
+def merged(base: dict[str, Any], over: dict[str, Any] | None) -> dict[str, Any]:
+    """base with the settings of over, level by level."""
+    both = dict(base)
+    for name, value in (over or {}).items():
+        inner = isinstance(value, dict) and isinstance(base.get(name), dict)
+        both[name] = merged(base[name], value) if inner else value
+    return both
+
+
 def load_config(path: str) -> dict[str, Any]:
     import yaml
 
     with open(path) as f:
-        return CONFIG | yaml.safe_load(f)
+        return merged(CONFIG, yaml.safe_load(f))
 
 
 def build_model(algorithm: str, params: dict[str, Any], rows: int = 1):
@@ -54,19 +67,31 @@ def at_risk(sessions: DataFrame) -> DataFrame:
     return sessions.where("n_carts > 0")
 
 
+def _up_to(counts: DataFrame, column: str, part: Column) -> DataFrame:
+    """counts (column, n) with `end`: the sum of n up to each value, its own included.
+
+    part is a coarser column in the same order, of a bounded number of values; the order within each is a window of its
+    own, and only the totals of the parts are summed in one task.
+    """
+    parted = counts.withColumn("_part", part)
+    totals = parted.groupBy(F.col("_part").alias("_of")).agg(F.sum("n").alias("_all"))
+    before = totals.select("_of", (F.sum("_all").over(Window.orderBy("_of")) - F.col("_all")).alias("_before"))
+    inside = parted.withColumn("_inside", F.sum("n").over(Window.partitionBy("_part").orderBy(column)))
+    return inside.join(F.broadcast(before), F.col("_part").eqNullSafe(F.col("_of"))).withColumn("end", F.col("_before") + F.col("_inside")).drop("_part", "_of", "_all", "_before", "_inside")
+
+
 def time_split(df: DataFrame, test_fraction: float = 0.2, time: str = "start_time", tie: str = "session_id") -> DataFrame:
     """df with is_train: the earliest part of the rows, in order of time and tie.
 
-    The cut is found among the counts of rows for each time; only the rows of the cut's own time are numbered.
+    The cut is found among the counts of rows for each time, day by day.
     """
     total = df.count()
     cut_at = int(total * (1 - test_fraction) + 1e-9)
-    by_time = df.groupBy(time).agg(F.count(F.lit(1)).alias("_n"))
-    ends = by_time.withColumn("_end", F.sum("_n").over(Window.orderBy(time)))
-    edge = ends.where(F.col("_end") > cut_at).orderBy(time).first()
+    ends = _up_to(df.groupBy(time).agg(F.count(F.lit(1)).alias("n")), time, F.to_date(time))
+    edge = ends.where(F.col("end") > cut_at).orderBy(time).first()
     if edge is None:
         return df.withColumn("is_train", F.lit(True))
-    room = cut_at - (edge["_end"] - edge["_n"])
+    room = cut_at - (edge["end"] - edge["n"])
     place = F.row_number().over(Window.partitionBy(time).orderBy(tie))
     return df.withColumn("_place", place).withColumn("is_train", (F.col(time) < F.lit(edge[time])) | ((F.col(time) == F.lit(edge[time])) & (F.col("_place") <= room))).drop("_place")
 
@@ -77,7 +102,7 @@ def metrics(scored: DataFrame, score: str = "score", label: str = "label") -> Da
     The area is that of the rank sum; rows of one score share their mean rank, so only counts by score are sorted.
     """
     by_score = scored.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("p"))
-    ranked = by_score.withColumn("below", F.sum("n").over(Window.orderBy("s")) - F.col("n"))
+    ranked = _up_to(by_score, "s", F.floor(F.col("s") * RANGES)).withColumn("below", F.col("end") - F.col("n"))
     rank_sum = F.sum(F.col("p") * (F.col("below") + (F.col("n") + 1) / 2.0))
     pos, neg = F.sum("p"), F.sum(F.col("n") - F.col("p"))
     hit = F.sum(F.when(F.col("s") >= 0.5, F.col("p")).otherwise(0))
@@ -98,7 +123,7 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 def train(sessions: DataFrame, config: dict[str, Any] | None = None, algorithm: str | None = None) -> tuple[PipelineModel, DataFrame]:
     """The model fitted on the earlier sessions, and its metrics on the later ones."""
-    config = CONFIG | (config or {})
+    config = merged(CONFIG, config)
     algorithm = algorithm or config["algorithm"]
     parts = cut(time_split(_labelled(sessions), config["test_fraction"]))
     train_rows = parts.where("is_train")

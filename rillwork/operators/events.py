@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+DAY_MS = 86_400_000
 NATURAL_KEY = ["timestamp", "visitorid", "event", "itemid", "transactionid"]
 
 
@@ -37,17 +38,13 @@ def point_in_time_category(events: DataFrame, properties: DataFrame, bucket_ms:
     """events with categoryid: the item's newest category not later than the event, or null.
 
     Events and snapshots are put on one time line for each item; at equal times snapshots come first, in order of value.
-    bucket_ms cuts long time lines: each bucket of time is a window of its own that starts with the category carried in
-    from the buckets before, so one busy item is spread over many tasks.
+    Time lines are cut into buckets of bucket_ms (None: a day): each is a window of its own that starts with the category
+    carried in from the buckets before, so one busy item is spread over many tasks.
     """
     line = categories(properties).select("itemid", "timestamp", F.col("categoryid").alias("_known"), F.col("value").alias("_value"), F.lit(0).alias("_is_event"))
     both = events.withColumn("_is_event", F.lit(1)).unionByName(line, allowMissingColumns=True)
     order = [F.col("timestamp"), F.col("_is_event"), F.col("_value")]
-    if bucket_ms is None:
-        found = both.withColumn("categoryid", _carried(F.col("_known"), Window.partitionBy("itemid").orderBy(*order)))
-        return found.where("_is_event = 1").drop("_known", "_value", "_is_event")
-    bucket = F.floor(F.col("timestamp") / bucket_ms)
-    both = both.withColumn("_bucket", bucket)
+    both = both.withColumn("_bucket", F.floor(F.col("timestamp") / (bucket_ms or DAY_MS)))
     ends = both.groupBy("itemid", "_bucket").agg(F.max_by("_known", F.when(F.col("_known").isNotNull(), F.struct("timestamp", "_value"))).alias("_last"))
     earlier = Window.partitionBy("itemid").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = ends.withColumn("_start", F.last("_last", ignorenulls=True).over(earlier)).select(F.col("itemid").alias("_item"), F.col("_bucket").alias("_at"), "_start")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.sources.schemas import EVENT_KINDS, PAIR_KINDS
@@ -89,8 +89,12 @@ def run_checks(tables: Tables, checks: tuple[Check, ...] = CHECKS) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-def freshness(table: DataFrame, name: str, now: datetime, column: str = "_loaded_at", warn_h: float = 26, error_h: float = 48) -> DataFrame:
-    """(table_name, age_hours, status): pass, warn or error; an empty table is an error."""
+def freshness(table: DataFrame, name: str | Column, now: datetime, column: str = "_loaded_at", warn_h: float = 26, error_h: float = 48) -> DataFrame:
+    """(table_name, age_hours, status): pass, warn or error; an empty table is an error.
+
+    A column as name gives a row for each of its values.
+    """
     age = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.max(F.col(column).cast("timestamp")))) / 3.6e9
     status = F.when(F.col("age_hours").isNull() | (F.col("age_hours") > error_h), "error").when(F.col("age_hours") > warn_h, "warn").otherwise("pass")
-    return table.agg(age.alias("age_hours")).select(F.lit(name).alias("table_name"), "age_hours", status.alias("status"))
+    parts = table.agg(F.lit(name).alias("table_name"), age.alias("age_hours")) if isinstance(name, str) else table.groupBy(name.alias("table_name")).agg(age.alias("age_hours"))
+    return parts.select("table_name", "age_hours", status.alias("status"))

@@ -60,7 +60,10 @@ def oracle_sql() -> dict[str, str]:
     risk = (*with_sessions(half, "enriched"), _BROWSED)
     pair_day = (_EVENTS, _DISTINCT, _tagged("d", day), _PAIRS)
     bought = "SELECT CASE WHEN item_a = 10 THEN item_b ELSE item_a END AS rec_item_id, CAST(weight AS DOUBLE) AS score FROM pairs WHERE (item_a = 10 OR item_b = 10) AND pair_type = 'purchase'"
-    ratings = "r AS (SELECT CAST(visitorid AS INT) AS visitorid, CAST(itemid AS INT) AS itemid, CAST(sum(CASE event WHEN 'view' THEN 1 WHEN 'addtocart' THEN 3 ELSE 5 END) AS DOUBLE) AS rating FROM ev GROUP BY ALL)"
+    ratings = "r AS (SELECT visitorid, itemid, CAST(sum(CASE event WHEN 'view' THEN 1 WHEN 'addtocart' THEN 3 ELSE 5 END) AS DOUBLE) AS rating FROM ev GROUP BY ALL)"
+    neighbours = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS (SELECT a.vec_id AS item_id, b.vec_id AS rec_item_id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id)
+SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, rec_item_id) AS INT) AS rank FROM p QUALIFY rank <= 20"""
     return {
         "bronze_events": _q("SELECT * FROM ev", _EVENTS),
         "bronze_item_properties": _q("SELECT * FROM props", _PROPS),
@@ -91,12 +94,11 @@ def oracle_sql() -> dict[str, str]:
         "recommend_fallback": _q(f"SELECT *, CAST(row_number() OVER (ORDER BY score DESC, rec_item_id) AS INT) AS rank FROM ({bought}) ORDER BY rank LIMIT 20", *pair_day),
         "pipeline_health": "SELECT event_type AS task_name, ts AS started_at, event_id AS run_id, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) = 1",
         "implicit_ratings": _q("SELECT * FROM r", _EVENTS, ratings),
-        "basket_ratings": "SELECT CAST(o_custkey AS INT) AS visitorid, CAST(l_partkey AS INT) AS itemid, CAST(count(*) * 5 AS DOUBLE) AS rating FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL",
+        "basket_ratings": "SELECT o_custkey AS visitorid, l_partkey AS itemid, CAST(count(*) * 5 AS DOUBLE) AS rating FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL",
         "popular_items": _q("SELECT itemid, sum(rating) AS popularity FROM r GROUP BY itemid ORDER BY popularity DESC, itemid LIMIT 30", _EVENTS, ratings),
         "item_sequences": _q("SELECT session_id, string_agg(CAST(itemid AS VARCHAR), ',' ORDER BY timestamp, itemid) AS items FROM tagged GROUP BY session_id HAVING count(*) >= 2", _EVENTS, _tagged("ev", day)),
-        "top_n_neighbors": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-p AS (SELECT a.vec_id AS item_id, b.vec_id AS rec_item_id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id)
-SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, rec_item_id) AS INT) AS rank FROM p QUALIFY rank <= 20""",
+        "top_n_neighbors": neighbours,
+        "recommend_stored": f"SELECT rec_item_id, score, rank, 'als' AS method, 'model' AS source FROM ({neighbours}) WHERE item_id = 10 AND rank <= 15",
         "time_split": _q("SELECT session_id, start_time, row_number() OVER (ORDER BY start_time, session_id) <= floor(count(*) OVER () * 0.8 + 1e-9) AS is_train FROM fs WHERE n_carts > 0", *risk),
         "classifier_metrics": _q(
             """SELECT round(CASE WHEN sum(n) FILTER (s >= 0.5) > 0 THEN sum(p) FILTER (s >= 0.5) / sum(n) FILTER (s >= 0.5) ELSE 0 END, 4) AS precision, round(sum(p) FILTER (s >= 0.5) / sum(p), 4) AS recall,
@@ -112,5 +114,5 @@ round((sum(p * (below + (n + 1) / 2)) - sum(p) * (sum(p) + 1) / 2) / (sum(p) * s
         "dq_relationships": _q(" UNION ALL ".join((_count("relationships", "latest", "categoryid", "SELECT 1 FROM latest WHERE categoryid IS NOT NULL AND categoryid NOT IN (SELECT categoryid FROM tree)"), _count("relationships", "enriched", "visitorid", "SELECT 1 FROM enriched WHERE visitorid IS NOT NULL AND visitorid NOT IN (SELECT categoryid FROM tree)"))), *silver, _LATEST, _TREE),
         "dq_freshness": """WITH h AS (SELECT event_type AS table_name, round((epoch_us(TIMESTAMP '2024-02-01') // 1000 - epoch_us(max(ts)) // 1000) / 1000 / 3600, 6) AS age_hours FROM events GROUP BY 1)
 SELECT *, CASE WHEN age_hours > 48 THEN 'error' WHEN age_hours > 26 THEN 'warn' ELSE 'pass' END AS status FROM h""",
-        "incremental_equals_full": _q(sess, _EVENTS, "d AS (SELECT DISTINCT * FROM ev WHERE event_date >= DATE '2024-01-01' AND event_date < DATE '2024-01-04')", _tagged("d", half), _SESSIONS),
+        "incremental_equals_full": _q(sess, _EVENTS, _DISTINCT, _tagged("d", half), _SESSIONS),
     }

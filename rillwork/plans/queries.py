@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, datetime, timedelta
+from datetime import UTC, date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillwork.functions.columns import ms_of
 from rillwork.functions.shared import cut, shared_dir
 from rillwork.operators import abandon, events, marts, pairs, quality, recommend, serving, sessions
 from rillwork.plans import jobs
@@ -19,6 +20,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Test events are sparse: with half an hour's pause few sessions hold two items.
 DAY_S = 86_400
 HOUR_MS = 3_600_000
+#: Days of a run in the incremental query.
+STEP = 6
 
 
 class Model:
@@ -124,28 +127,29 @@ def _dq(*checks: quality.Check) -> Query:
 
 
 def _freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_kind = testdata.table(spark, sf_dir, "events").select("event_type", F.col("ts"))
-    last = by_kind.groupBy("event_type").agg(F.max("ts").alias("ts"))
-    now = F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'")
-    hours = F.round(marts.seconds_between(F.col("ts"), now) / 3600.0, 6)
-    return last.select(F.col("event_type").alias("table_name"), hours.alias("age_hours"), F.when(hours > 48, "error").when(hours > 26, "warn").otherwise("pass").alias("status"))
+    found = quality.freshness(testdata.table(spark, sf_dir, "events").withColumn("at", F.timestamp_millis(ms_of(F.col("ts")))), F.col("event_type"), datetime(2024, 2, 1, tzinfo=UTC), "at")
+    return found.withColumn("age_hours", F.round("age_hours", 6))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = cut(recommend.top_n_neighbors(_embeddings(spark, sf_dir), digits=6).withColumn("method", F.lit("als")))
+    return serving.recommend(stored, Model(spark, sf_dir, DAY_S).pairs, 10, "als", 15)
 
 
 def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three days run one by one through all jobs; the sessions they leave."""
+    """All days of the table run through all jobs, STEP days at a time; the sessions they leave."""
     m = Model(spark, sf_dir)
     root = f"{shared_dir(spark)}/lake-{datetime.now().timestamp():.6f}"
-    first, last = date(2024, 1, 1), date(2024, 1, 4)
+    bounds = m.events.agg(F.min("event_date").alias("first"), F.max("event_date").alias("last")).first()
     raw = f"{root}/raw"
-    shown = events.in_window(m.events, "event_date", first, last).drop("event_date")
-    for name, df in {"events.csv": shown, "item_properties_part1.csv": m.properties.where("itemid < 50"), "item_properties_part2.csv": m.properties.where("itemid >= 50"), "category_tree.csv": m.tree}.items():
+    for name, df in {"events.csv": m.events.drop("event_date"), "item_properties_part1.csv": m.properties.where("itemid < 50"), "item_properties_part2.csv": m.properties.where("itemid >= 50"), "category_tree.csv": m.tree}.items():
         df.write.csv(f"{raw}/{name}", header=True)
     lake = jobs.Lake(root)
-    for day in Days(first, last).each():
-        jobs.bronze(spark, lake, raw, day)
-        jobs.silver(spark, lake, day)
-        jobs.build_sessions(spark, lake, day)
-        jobs.gold(spark, lake, day)
+    for days in Days(bounds["first"], bounds["last"] + timedelta(1)).each(STEP):
+        jobs.bronze(spark, lake, raw, days)
+        jobs.silver(spark, lake, days)
+        jobs.build_sessions(spark, lake, days)
+        jobs.gold(spark, lake, days)
     return lake.read(spark, "gold/raw_sessions").drop("_loaded_at")
 
 
@@ -182,6 +186,7 @@ def queries() -> dict[str, Query]:
         "funnel_by_category": _on(lambda m: serving.funnel_by_category(m.funnel)),
         "top_items": _on(lambda m: serving.top_items(m.features, 20, 5)),
         "recommend_fallback": _on(lambda m: serving.bought_with(m.pairs, 10, 20), DAY_S),
+        "recommend_stored": _stored,
         "pipeline_health": _health,
         "implicit_ratings": _on(lambda m: recommend.implicit_ratings(m.events)),
         "basket_ratings": _basket_ratings,

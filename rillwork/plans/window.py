@@ -29,8 +29,9 @@ class Days:
         """The window with so many more days before it."""
         return Days(self.since and self.since - timedelta(days), self.until)
 
-    def each(self) -> list[Days]:
-        """Its days as windows; both bounds are needed."""
+    def each(self, days: int = 1) -> list[Days]:
+        """Its days as windows of so many days, the last maybe shorter; both bounds are needed."""
         if self.since is None or self.until is None:
             raise ValueError("both bounds are needed")
-        return [Days(self.since + timedelta(k), self.since + timedelta(k + 1)) for k in range((self.until - self.since).days)]
+        starts = range(0, (self.until - self.since).days, days)
+        return [Days(self.since + timedelta(k), min(self.since + timedelta(k + days), self.until)) for k in starts]

@@ -72,10 +72,27 @@ def test_marts(spark):
 def test_ratings_and_neighbours(spark):
     ev = spark.createDataFrame([(1, 1, "view", 100, None), (2, 1, "transaction", 100, None), (3, 1, "view", 300, None), (4, 1, "other", 300, None)], EVENTS)
     assert rows(recommend.implicit_ratings(ev), "visitorid", "itemid", "rating") == [(1, 100, 6.0), (1, 300, 1.0)]
+    wide = spark.createDataFrame([(1, 3_000_000_000, "view", 5_000_000_000, None), (2, 3_000_000_000, "addtocart", 5_000_000_000, None), (3, 7, "view", 5_000_000_000, None)], EVENTS)
+    assert rows(recommend.implicit_ratings(wide), "visitorid", "itemid", "rating") == [(7, 5_000_000_000, 1.0), (3_000_000_000, 5_000_000_000, 4.0)]
+    assert rows(recommend.als_vectors(wide, rank=2, iterations=1), "id") == [(5_000_000_000,)]
     vec = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, [0.0, 0.0])], "id long, vec array<double>")
     assert rows(recommend.top_n_neighbors(vec, 1), "item_id", "rec_item_id", "rank") == [(1, 2, 1), (2, 1, 1), (3, 2, 1)]
 
 
+def test_ids_are_numbered_without_gaps(spark):
+    ids = spark.range(3000).select((F.col("id") * 1_000_003 % 2000).alias("k")).unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS k"))
+    got = [tuple(r) for r in recommend.numbered(ids, "k").collect()]
+    assert sorted(i for _, i in got) == list(range(len({k for k, _ in got}))) and len(got) == ids.where("k IS NOT NULL").distinct().count()
+
+
+def test_stored_recommendations_come_first(spark):
+    stored = spark.createDataFrame([(1, 2, 0.5, 2, "als"), (1, 3, 0.9, 1, "als"), (1, 4, 0.7, 1, "item2vec"), (2, 9, 0.1, 1, "als")], "item_id long, rec_item_id long, score double, rank int, method string")
+    pairs_of = spark.createDataFrame([(1, 7, 5, "purchase")], "item_a long, item_b long, weight long, pair_type string")
+    assert [(r["rec_item_id"], r["source"]) for r in serving.recommend(stored, pairs_of, 1).collect()] == [(3, "model"), (2, "model")]
+    assert [r["rec_item_id"] for r in serving.recommend(stored, pairs_of, 1, "item2vec").collect()] == [4]
+    assert [r["rec_item_id"] for r in serving.recommend(stored, pairs_of, 7).collect()] == [1]
+
+
 def test_recommendations_of_one_method_are_replaced(spark, tmp_path):
     one = spark.createDataFrame([(1, 2, 0.5, 1)], "item_id long, rec_item_id long, score double, rank int")
     for method in ("als", "item2vec", "als"):
@@ -88,10 +105,20 @@ def test_split_and_metrics(spark):
     assert [r[0] for r in abandon.time_split(df).orderBy("start_time", "session_id").select("is_train").collect()] == [True] * 8 + [False] * 2
     scored = spark.createDataFrame([(0.9, 1), (0.8, 0), (0.3, 1), (0.1, 0)], "score double, label int")
     assert tuple(abandon.metrics(scored).first()) == (0.5, 0.5, 0.75)
+    many = spark.range(4000).select(((F.col("id") * 7919 % 4001) / 4001.0).alias("score"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    got, data = abandon.metrics(many).first()["auc"], [tuple(r) for r in many.collect()]
+    pos, neg = ([s for s, y in data if y == k] for k in (1, 0))
+    assert abs(got - sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg)) < 1e-4
     with pytest.raises(ValueError):
         abandon.build_model("svm", {})
 
 
+def test_settings_are_merged_level_by_level():
+    got = abandon.merged(abandon.CONFIG, {"test_fraction": 0.5, "params": {"logistic": {"C": 2.0}}})
+    assert got["params"]["logistic"] == {"C": 2.0, "max_iter": 1000} and got["params"]["xgboost"] == abandon.CONFIG["params"]["xgboost"] and got["test_fraction"] == 0.5
+    assert abandon.merged(abandon.CONFIG, None) == abandon.CONFIG
+
+
 def test_model_is_saved_and_asked(spark, tmp_path):
     n = 60
     made = spark.range(n).select(F.col("id").cast("string").alias("session_id"), F.expr("TIMESTAMP_NTZ '2020-01-01 00:00:00' + make_dt_interval(0, 0, 0, id)").alias("start_time"), *[(F.col("id") % k).cast("int").alias(c) for k, c in enumerate(abandon.CONFIG["features"], 2)], (F.col("id") % 2 == 0).alias("abandoned")).withColumn("n_carts", F.lit(1))

@@ -88,6 +88,11 @@ def test_daily_run_with_marts_checks_and_ledger(spark, raw, tmp_path):
     assert [r["status"] for r in latest_runs(spark.read.parquet(ledger)).collect()] == ["success"] * 5
 
 
+def test_windows_of_several_days():
+    assert Days(D1, D3).each(5) == [Days(D1, D3)]
+    assert Days(D1, D3 + timedelta(1)).each(2) == [Days(D1, D3), Days(D3, D3 + timedelta(1))]
+
+
 def test_windows_are_validated(spark, tmp_path):
     lake = jobs.Lake(str(tmp_path))
     with pytest.raises(ValueError):
