@@ -74,15 +74,16 @@ def rarity(docs: DataFrame, text_col: str = "text", entries: int = RARITY) -> li
     return out
 
 
-def _coded(line: Column, table: list[int], entries: int) -> Column:
+def _coded(hashes: Column, table: list[int], entries: int) -> Column:
     """A line's set of words as sorted longs: six bits of rarity, then 58 bits of hash."""
-    held = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # a constant, folded once
+    shifted = ((k << 58) - (k >> 5 << 64) for k in table)
+    held = F.split(F.lit(",".join(map(str, shifted))), ",").cast("array<bigint>")  # a constant, folded once
 
     def code(h: Column) -> Column:
         level = F.coalesce(F.get(held, h.bitwiseAND(F.lit(entries - 1)).cast("int")), F.lit(0).cast("long"))  # never null: arrays of plain longs sort faster
-        return h.bitwiseAND(F.lit((1 << 58) - 1)).bitwiseOR(F.shiftleft(level, 58))
+        return h.bitwiseAND(F.lit((1 << 58) - 1)).bitwiseOR(level)
 
-    return F.sort_array(F.transform(_hashed(line), code))
+    return F.sort_array(F.transform(hashes, code))
 
 
 def _hashed(line: Column) -> Column:
@@ -106,10 +107,24 @@ def _overlap(t: tuple[int, int], m: str, n: str) -> str:
     return f"CAST((({m} + {n}) * {a} + {a + b - 1}) DIV {a + b} AS INT)"
 
 
-def _map(code: Column, part: int) -> Column:
-    """A quarter of a line's map: a bit for each word whose hash falls in it."""
-    one, bit = F.lit(1).cast("long"), lambda c: c.bitwiseAND(F.lit(63)).cast("int")
-    return F.aggregate(code, F.lit(0).cast("long"), lambda m, c: F.when(c.bitwiseAND(F.lit(192)) == 64 * part, m.bitwiseOR(F.call_function("shiftleft", one, bit(c)))).otherwise(m))
+def _parted(hashes: Column) -> Column:
+    """A line's hashes in order, with the bounds of the quarters of the longs among them."""
+    return F.sort_array(F.concat(hashes, F.array(*[F.lit(b).cast("long") for b in _BOUNDS])))
+
+
+def _maps(parted: Column) -> list[Column]:
+    """The quarters of a line's map: a bit for each word whose hash falls in that quarter of the longs.
+
+    A quarter is a slice between two bounds, so each word is looked at once, not once for each quarter.
+    """
+    at = [F.lit(0), *[F.array_position(parted, b).cast("int") for b in _BOUNDS], F.size(parted) + 1]
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def quarter(k: int) -> Column:
+        inside = F.slice(parted, at[k] + 1, at[k + 1] - at[k] - 1)
+        return F.aggregate(inside, none, lambda m, h: m.bitwiseOR(F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))))
+
+    return [quarter(k) for k in range(4)]
 
 
 def _alike(x: str, y: str, need: str, room: int = 1) -> str:
@@ -118,15 +133,21 @@ def _alike(x: str, y: str, need: str, room: int = 1) -> str:
 
 
 _MAPS = ("sig", "sig2", "sig3", "sig4")
+#: Where the second, third and fourth quarter of the longs begin.
+_BOUNDS = (-(1 << 62), 0, 1 << 62)
 
 
 def _first_lines(lines: DataFrame, table: list[int], t: tuple[int, int], entries: int) -> DataFrame:
-    """One row for each distinct line with words: lh, lh2, place, id and no (of its first place), n, sig to sig4, head (its first words)."""
-    coded = _with_words(lines).select("id", "no", _place().alias("place"), F.xxhash64("line").alias("lh"), F.xxhash64("line", F.lit("second")).alias("lh2"), _coded(F.col("line"), table, entries).alias("code"))
-    coded = coded.withColumn("n", F.size("code"))
+    """One row for each distinct line with words: lh, lh2, place, id and no (of its first place), n, sig to sig4, head (its first words).
+
+    Lines are grouped before they are coded, so copies are not coded and no code is shuffled.
+    """
+    seen = _with_words(lines).select("id", "no", _place().alias("place"), "line")
+    found = seen.groupBy("line").agg(F.min("place").alias("place"), F.min_by("id", "place").alias("id"), F.min_by("no", "place").alias("no"))
+    hashed = found.select("id", "no", "place", F.xxhash64("line").alias("lh"), F.xxhash64("line", F.lit("second")).alias("lh2"), _hashed(F.col("line")).alias("hashes"))
+    coded = hashed.select("id", "no", "place", "lh", "lh2", F.size("hashes").alias("n"), _coded(F.col("hashes"), table, entries).alias("code"), _parted(F.col("hashes")).alias("parted"))
     head = F.transform(F.slice("code", 1, F.expr(_prefix(t))), lambda c: F.xxhash64(c).cast("long").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    whole = coded.select("id", "no", "place", "lh", "lh2", "n", *[_map(F.col("code"), part).alias(sig) for part, sig in enumerate(_MAPS)], head.alias("head"))
-    return whole.groupBy("lh", "lh2", "n", *_MAPS, "head").agg(F.min("place").alias("place"), F.min_by("id", "place").alias("id"), F.min_by("no", "place").alias("no"))
+    return coded.select("id", "no", "place", "lh", "lh2", "n", *[m.alias(sig) for m, sig in zip(_maps(F.col("parted")), _MAPS, strict=True)], head.alias("head"))
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, t: tuple[int, int]) -> DataFrame:
