@@ -76,12 +76,11 @@ def rarity(docs: DataFrame, text_col: str = "text", entries: int = RARITY) -> li
 
 def _coded(hashes: Column, table: list[int], entries: int) -> Column:
     """A line's set of words as sorted longs: six bits of rarity, then 58 bits of hash."""
-    shifted = ((k << 58) - (k >> 5 << 64) for k in table)
-    held = F.split(F.lit(",".join(map(str, shifted))), ",").cast("array<bigint>")  # a constant, folded once
+    held = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # a constant, folded once; of short numbers, as plans print it
 
     def code(h: Column) -> Column:
         level = F.coalesce(F.get(held, h.bitwiseAND(F.lit(entries - 1)).cast("int")), F.lit(0).cast("long"))  # never null: arrays of plain longs sort faster
-        return h.bitwiseAND(F.lit((1 << 58) - 1)).bitwiseOR(level)
+        return h.bitwiseAND(F.lit((1 << 58) - 1)).bitwiseOR(F.shiftleft(level, 58))
 
     return F.sort_array(F.transform(hashes, code))
 
