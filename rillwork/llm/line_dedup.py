@@ -12,8 +12,8 @@ similarity of at least THRESHOLD with it (equal lines have 1). The join is exact
 
 Equal lines are one entry, found by a grouping with map-side aggregation. Of large groups of alike lines not all pairs are
 made: a line is first compared only with the earliest line of each of a few keys and with some lines of its family, and
-the join is left to the lines that this hasn't removed. No key, family or line is ever held by one task: the earliest line
-of a key is an aggregate, and a family's lines are dealt by a hash. Words are compared as 64-bit hashes, lines are told
+the join is left to the lines that this hasn't removed. The earliest line of a key is an aggregate; a family's lines meet in
+one task, each with some LEADERS of it, so a very large family is not spread. Words are compared as 64-bit hashes, lines are told
 apart by two of them.
 
 Rarity is counted over all texts in a table of fixed size by word hash; any order is right for the join, a finer one is
