@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Applications whose executors have this package.
 _shipped: set[str] = set()
+#: Folders that go when the driver ends.
+_scratch: set[str] = set()
 
 
 #: Rows that go to a Python worker at a time where the session has Spark's own setting: of texts these are some megabytes.
@@ -54,12 +56,24 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if path not in _scratch:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _scratch.add(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back.
 
     A lost executor then costs a reread of files, never a rerun of what made them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillwork.functions.shared import cut
@@ -27,8 +27,8 @@ CONFIG: dict[str, Any] = {
 }
 
 
-#: Ranges of scores that are ordered apart.
-RANGES = 1024
+#: What is fitted where all algorithms are compared.
+COMPARED = ("xgboost", "random_forest", "logistic")
 
 
 def merged(base: dict[str, Any], over: dict[str, Any] | None) -> dict[str, Any]:
@@ -67,33 +67,47 @@ def at_risk(sessions: DataFrame) -> DataFrame:
     return sessions.where("n_carts > 0")
 
 
-def _up_to(counts: DataFrame, column: str, part: Column) -> DataFrame:
+def _up_to(counts: DataFrame, column: str) -> DataFrame:
     """counts (column, n) with `end`: the sum of n up to each value, its own included.
 
-    part is a coarser column in the same order, of a bounded number of values; the order within each is a window of its
-    own, and only the totals of the parts are summed in one task.
+    Spark samples splitters that cut the values into ranges of about as many values each, wherever they crowd. The order
+    within a range is a window of its own, and only the totals of the ranges are summed in one task.
     """
-    parted = counts.withColumn("_part", part)
+    ranges = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parted = cut(counts.repartitionByRange(ranges, column).withColumn("_part", F.spark_partition_id()))
     totals = parted.groupBy(F.col("_part").alias("_of")).agg(F.sum("n").alias("_all"))
-    before = totals.select("_of", (F.sum("_all").over(Window.orderBy("_of")) - F.col("_all")).alias("_before"))
+    before = totals.select("_of", (F.sum("_all").over(Window.orderBy("_of")) - F.col("_all")).alias("_before"))  # a row a range
     inside = parted.withColumn("_inside", F.sum("n").over(Window.partitionBy("_part").orderBy(column)))
-    return inside.join(F.broadcast(before), F.col("_part").eqNullSafe(F.col("_of"))).withColumn("end", F.col("_before") + F.col("_inside")).drop("_part", "_of", "_all", "_before", "_inside")
+    return inside.join(F.broadcast(before), F.col("_part") == F.col("_of")).withColumn("end", F.col("_before") + F.col("_inside")).drop("_part", "_of", "_all", "_before", "_inside")
+
+
+def _edge(rows: DataFrame, column: str, at: int) -> tuple[Any, int] | None:
+    """The value of the row that is number `at` (from 0) in order of the column, and how many rows are before its value's first."""
+    ends = _up_to(rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")), column)
+    found = ends.where(F.col("end") > at).orderBy(column).first()
+    return None if found is None else (found[column], found["end"] - found["n"])
 
 
 def time_split(df: DataFrame, test_fraction: float = 0.2, time: str = "start_time", tie: str = "session_id") -> DataFrame:
     """df with is_train: the earliest part of the rows, in order of time and tie.
 
-    The cut is found among the counts of rows for each time, day by day.
+    The time at which the parts meet is found among the counts of rows for each time; only rows of that time are ordered by
+    the tie, in the same way. Of rows that are alike in both, as many as there is room for are in the first part.
     """
-    total = df.count()
-    cut_at = int(total * (1 - test_fraction) + 1e-9)
-    ends = _up_to(df.groupBy(time).agg(F.count(F.lit(1)).alias("n")), time, F.to_date(time))
-    edge = ends.where(F.col("end") > cut_at).orderBy(time).first()
+    rows = cut(df)
+    total = rows.count()
+    at = int(total * (1 - test_fraction) + 1e-9)
+    edge = _edge(rows, time, at) if at < total else None
     if edge is None:
-        return df.withColumn("is_train", F.lit(True))
-    room = cut_at - (edge["end"] - edge["n"])
-    place = F.row_number().over(Window.partitionBy(time).orderBy(tie))
-    return df.withColumn("_place", place).withColumn("is_train", (F.col(time) < F.lit(edge[time])) | ((F.col(time) == F.lit(edge[time])) & (F.col("_place") <= room))).drop("_place")
+        return rows.withColumn("is_train", F.lit(True))
+    moment, before = edge
+    level = rows.where(F.col(time).eqNullSafe(F.lit(moment)))
+    who, earlier = _edge(level, tie, at - before)
+    here, room = F.col(time).eqNullSafe(F.lit(moment)), at - before - earlier
+    same = here & F.col(tie).eqNullSafe(F.lit(who))
+    out = rows.where(~same).withColumn("is_train", F.coalesce((F.col(time) < F.lit(moment)) | (here & (F.col(tie) < F.lit(who))), F.col(time).isNull() | here))
+    place = F.row_number().over(Window.partitionBy(time, tie).orderBy(F.lit(0)))  # rows that nothing tells apart
+    return out.unionByName(rows.where(same).withColumn("_place", place).withColumn("is_train", F.col("_place") <= room).drop("_place"))
 
 
 def metrics(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -102,7 +116,7 @@ def metrics(scored: DataFrame, score: str = "score", label: str = "label") -> Da
     The area is that of the rank sum; rows of one score share their mean rank, so only counts by score are sorted.
     """
     by_score = scored.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("p"))
-    ranked = _up_to(by_score, "s", F.floor(F.col("s") * RANGES)).withColumn("below", F.col("end") - F.col("n"))
+    ranked = _up_to(by_score, "s").withColumn("below", F.col("end") - F.col("n"))
     rank_sum = F.sum(F.col("p") * (F.col("below") + (F.col("n") + 1) / 2.0))
     pos, neg = F.sum("p"), F.sum(F.col("n") - F.col("p"))
     hit = F.sum(F.when(F.col("s") >= 0.5, F.col("p")).otherwise(0))
@@ -129,7 +143,8 @@ def train(sessions: DataFrame, config: dict[str, Any] | None = None, algorithm:
     train_rows = parts.where("is_train")
     estimator = build_model(algorithm, config["params"].get(algorithm, {}), train_rows.count())
     model = Pipeline(stages=[VectorAssembler(inputCols=config["features"], outputCol="features"), estimator]).fit(train_rows)
-    return model, metrics(score(model, parts.where("NOT is_train"))).select(F.lit(algorithm).alias("algorithm"), "*")
+    scored = cut(score(model, parts.where("NOT is_train")).select("score", "label"))
+    return model, metrics(scored).select(F.lit(algorithm).alias("algorithm"), "*")
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -53,7 +53,16 @@ def point_in_time_category(events: DataFrame, properties: DataFrame, bucket_ms:
     return joined.withColumn("categoryid", F.coalesce("_inside", "_start")).drop("_known", "_value", "_is_event", "_bucket", "_inside", "_item", "_at", "_start")
 
 
+def newest(snapshots: DataFrame) -> DataFrame:
+    """Of (itemid, timestamp, value, categoryid) each item's newest row, of equal times the one of the largest value."""
+    last = F.max_by(F.struct("timestamp", "value", "categoryid"), F.struct("timestamp", "value"))
+    return snapshots.groupBy("itemid").agg(last.alias("_last")).select("itemid", "_last.timestamp", "_last.value", "_last.categoryid")
+
+
+def newest_snapshots(properties: DataFrame) -> DataFrame:
+    return newest(categories(properties))
+
+
 def latest_item_snapshot(properties: DataFrame) -> DataFrame:
-    """(itemid, categoryid): each item's newest snapshot, of equal times the largest value."""
-    newest = F.max_by("categoryid", F.struct("timestamp", "value"))
-    return categories(properties).groupBy("itemid").agg(newest.alias("categoryid"))
+    """(itemid, categoryid): each item's newest snapshot."""
+    return newest_snapshots(properties).select("itemid", "categoryid")

@@ -17,37 +17,35 @@ Tables = dict[str, DataFrame]
 
 @dataclass(frozen=True)
 class Check:
+    """A check of one column. `broken` tells the rows that break it by themselves; without it values are counted across rows."""
+
     name: str
     table: str
     column: str
-    broken: Callable[[Tables], DataFrame]
+    broken: Callable[[], Column] | None = None
+    parent: tuple[str, str] | None = None
 
 
 def not_null(table: str, column: str) -> Check:
-    return Check("not_null", table, column, lambda t: t[table].where(F.col(column).isNull()))
+    return Check("not_null", table, column, lambda: F.col(column).isNull())
 
 
 def unique(table: str, column: str) -> Check:
     """Values found more than once; nulls aren't values."""
-    return Check("unique", table, column, lambda t: t[table].where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return Check("unique", table, column)
 
 
 def accepted_values(table: str, column: str, values: tuple[str, ...]) -> Check:
-    return Check("accepted_values", table, column, lambda t: t[table].where(~F.col(column).isin(*values)))
+    return Check("accepted_values", table, column, lambda: ~F.col(column).isin(*values))
 
 
 def at_least(table: str, column: str, least: float) -> Check:
-    return Check("accepted_range", table, column, lambda t: t[table].where(F.col(column) < least))
+    return Check("accepted_range", table, column, lambda: F.col(column) < least)
 
 
 def relationship(table: str, column: str, parent: str, key: str) -> Check:
     """Non-null values that aren't in the parent's key."""
-
-    def broken(t: Tables) -> DataFrame:
-        keys = t[parent].select(F.col(key).alias(column)).distinct()
-        return t[table].where(F.col(column).isNotNull()).join(keys, column, "left_anti")
-
-    return Check("relationships", table, column, broken)
+    return Check("relationships", table, column, parent=(parent, key))
 
 
 SOURCE_CHECKS = (
@@ -83,10 +81,38 @@ MART_CHECKS = (
 CHECKS = SOURCE_CHECKS + MART_CHECKS
 
 
+def _entries(table: str, df: DataFrame, checks: list[tuple[int, Check]]) -> DataFrame | None:
+    """(number, key, parent, n): what a table's rows give to the checks, in one scan of it, counted before the shuffle.
+
+    A row gives the number of each check that it breaks by itself, and its value to each check that counts values, as a
+    child or as a parent.
+    """
+    given = []
+    entry = lambda k, key, parent, when: F.when(when, F.struct(F.lit(k).alias("number"), key.alias("key"), F.lit(parent).alias("parent")))
+    for k, c in checks:
+        if c.table == table and c.broken is not None:
+            given.append(entry(k, F.lit(None).cast("string"), False, c.broken()))
+        elif c.table == table:
+            given.append(entry(k, F.col(c.column).cast("string"), False, F.col(c.column).isNotNull()))
+        if c.parent and c.parent[0] == table:
+            given.append(entry(k, F.col(c.parent[1]).cast("string"), True, F.col(c.parent[1]).isNotNull()))
+    if not given:
+        return None
+    rows = df.select(F.explode(F.filter(F.array(*given), lambda e: e.isNotNull())).alias("e")).select("e.*")
+    return rows.groupBy("number", "key", "parent").agg(F.count(F.lit(1)).alias("n"))
+
+
 def run_checks(tables: Tables, checks: tuple[Check, ...] = CHECKS) -> DataFrame:
-    """(check_name, table_name, column_name, violations), a row for each check whose table is given."""
-    rows = [c.broken(tables).agg(F.count(F.lit(1)).alias("violations")).select(F.lit(c.name).alias("check_name"), F.lit(c.table).alias("table_name"), F.lit(c.column).alias("column_name"), "violations") for c in checks if c.table in tables]
-    return reduce(DataFrame.unionByName, rows)
+    """(check_name, table_name, column_name, violations), a row for each check whose table is given, in one scan of each table."""
+    spark = next(iter(tables.values())).sparkSession
+    numbered = [(k, c) for k, c in enumerate(checks) if c.table in tables]
+    found = [e for t, df in tables.items() if (e := _entries(t, df, numbered)) is not None]
+    names = spark.createDataFrame([(k, c.name, c.table, c.column, 0 if c.broken else 2 if c.parent else 1) for k, c in numbered], "number int, check_name string, table_name string, column_name string, kind int")
+    child, parent = F.sum(F.when(~F.col("parent"), F.col("n"))), F.bool_or("parent")
+    keys = reduce(DataFrame.unionByName, found).groupBy("number", "key").agg(F.coalesce(child, F.lit(0)).alias("n"), parent.alias("known"))
+    counts = keys.groupBy("number").agg(F.sum("n").alias("rows"), F.count_if(F.col("n") > 1).alias("again"), F.sum(F.when(~F.col("known"), F.col("n")).otherwise(0)).alias("orphans"))
+    of_kind = F.when(F.col("kind") == 0, F.col("rows")).when(F.col("kind") == 1, F.col("again")).otherwise(F.col("orphans"))
+    return names.join(counts, "number", "left").select("check_name", "table_name", "column_name", F.coalesce(of_kind, F.lit(0)).cast("long").alias("violations"))
 
 
 def freshness(table: DataFrame, name: str | Column, now: datetime, column: str = "_loaded_at", warn_h: float = 26, error_h: float = 48) -> DataFrame:

@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillwork.functions.shared import cut
-from rillwork.operators.sessions import TIMEOUT_S, tag_sessions
+from rillwork.functions.shared import cut, ship
+from rillwork.operators.sessions import PIECE_MS, TIMEOUT_S, tag_sessions
 
 # What an event says of the visitor's interest.
 WEIGHTS = {"view": 1.0, "addtocart": 3.0, "transaction": 5.0}
 TOP_N, CANDIDATE_CAP = 20, 3000
-#: Vectors of a block; a task compares two blocks.
-BLOCK = 2048
+#: Items of a sequence's row.
+LONGEST = 1000
+#: Vectors of a block; a task compares two blocks. Pivots that vectors are filed under, at most.
+BLOCK, PIVOTS = 512, 128
 #: Groups of ids that are numbered apart.
 GROUPS = 4096
 
@@ -51,53 +56,183 @@ def popular_items(ratings: DataFrame, cap: int = CANDIDATE_CAP) -> DataFrame:
     return ratings.groupBy("itemid").agg(F.sum("rating").alias("popularity")).orderBy(F.desc("popularity"), "itemid").limit(cap)
 
 
+def item_chunks(events: DataFrame, timeout_s: int = TIMEOUT_S, longest: int = LONGEST) -> DataFrame:
+    """(session_id, chunk, items): each session's items in order of time, then item, as strings, in rows of at most `longest`.
+
+    An item's place is counted on two levels: within its session's piece of time, and after the pieces before; so no task
+    orders a whole session, and no row grows with it.
+    """
+    tagged = tag_sessions(events, timeout_s).select("session_id", "timestamp", "itemid", F.floor(F.col("timestamp") / PIECE_MS).alias("piece"))
+    sizes = tagged.groupBy("session_id", "piece").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("session_id").orderBy("piece")) - F.col("n")
+    starts = sizes.select("session_id", F.col("piece").alias("of"), before.alias("before"), F.sum("n").over(Window.partitionBy("session_id")).alias("all")).where(F.col("all") >= 2)
+    inside = F.row_number().over(Window.partitionBy("session_id", "piece").orderBy("timestamp", "itemid")) - 1
+    placed = tagged.withColumn("inside", inside).join(starts.withColumnRenamed("session_id", "of_session"), (F.col("session_id") == F.col("of_session")) & F.col("piece").eqNullSafe(F.col("of")))
+    at = F.col("before") + F.col("inside")
+    chunk = placed.groupBy("session_id", F.floor(at / longest).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), F.col("itemid").cast("string").alias("item")))).alias("items"))
+    return chunk.select("session_id", "chunk", F.filter(F.transform("items", lambda x: x["item"]), lambda x: x.isNotNull()).alias("items"))
+
+
 def item_sequences(events: DataFrame, timeout_s: int = TIMEOUT_S) -> DataFrame:
-    """(session_id, items): each session's items in order of time, then item, as strings; of two or more."""
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("timestamp", "itemid"))), lambda x: x["itemid"].cast("string"))
-    return tag_sessions(events, timeout_s).groupBy("session_id").agg(ordered.alias("items")).where(F.size("items") >= 2)
+    """(session_id, items): the chunks of sessions of two items or more; a session of LONGEST items or fewer is one row."""
+    return item_chunks(events, timeout_s).select("session_id", "items")
 
 
-def top_n_neighbors(vectors: DataFrame, top_n: int = TOP_N, digits: int | None = None) -> DataFrame:
-    """(item_id, rec_item_id, score, rank) of (id, vec array<double>): each item's nearest by cosine, ties to smaller ids.
+@dataclass
+class _Compare:
+    """The best of pairs of blocks of unit vectors by their scalar product, and what triangles tell of the others."""
 
-    All pairs, in blocks: each task compares one block of items with one block of candidates by a matrix product and keeps
-    the best, so memory is bounded by BLOCK and no pair leaves its task but those. Vectors without a length have no
-    neighbours. digits rounds the scores before they are ranked.
-    """
-    rows = vectors.where("id IS NOT NULL AND vec IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
-    blocks = max(1, -(-rows.count() // BLOCK))
-    own, other = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left, right = rows.select("id", "vec", own.alias("a"), other.alias("b")), rows.select(F.col("id").alias("rec_id"), F.col("vec").alias("rec_vec"), own.alias("b"), other.alias("a"))
-
-    def unit(ids: pa.ChunkedArray, vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-        x = np.array(vectors.to_pylist(), np.float64)
-        length = np.sqrt((x * x).sum(1)) if len(x) else np.zeros(0)
-        ok = length > 0
-        return ids.to_numpy()[ok], x[ok] / length[ok, None]
-
-    def compare(items: pa.Table, candidates: pa.Table) -> pa.Table:
+    top_n: int
+    digits: int | None
+
+    def best(self, ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Item ids, candidate ids and scores of each item's best, ties to smaller ids, itself left out."""
+        found = []
+        for s in range(0, len(ids), 256):
+            score = x[s : s + 256] @ y.T
+            if self.digits is not None:
+                score = np.round(score, self.digits) + 0.0
+            for i, row in enumerate(score):
+                row[others == ids[s + i]] = -np.inf
+                k = min(self.top_n, len(row))
+                near = np.flatnonzero((row >= np.partition(row, len(row) - k)[len(row) - k]) & (row > -np.inf))
+                first = near[np.lexsort((others[near], -row[near]))[: self.top_n]]
+                found.append((np.full(len(first), ids[s + i]), others[first], row[first]))
+        return [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+
+    def reach(self, score: np.ndarray) -> np.ndarray:
+        """The distance beyond which a unit vector can't take part, for the score of the last one so far."""
+        slack = 1e-9 + (0 if self.digits is None else 10.0**-self.digits)
+        return np.sqrt(np.maximum(2 - 2 * (score - slack), 0)) + 1e-9
+
+
+def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.array(column.to_pylist(), np.float64)
+
+
+def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * x @ pivots.T, 0))
+
+
+def _placed(vectors: DataFrame, pivots: Broadcast) -> DataFrame:
+    """(id, vec, part): unit vectors and their nearest pivot; vectors without a length go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _vectors(b.column(1)) if b.num_rows else np.zeros((0, pivots.value.shape[1]))
+            length = np.sqrt((x * x).sum(1))
+            ok = length > 0
+            unit = x[ok] / length[ok, None]
+            part = _to_pivots(unit, pivots.value).argmin(1) if len(unit) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), pa.array(list(unit), pa.list_(pa.float64())), pa.array(part.astype(np.int32))], names=["id", "vec", "part"])
+
+    return vectors.mapInArrow(run, "id bigint, vec array<double>, part int")
+
+
+def _intervals(placed: DataFrame, pivots: Broadcast) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the largest distance of each part's vectors to each pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(pivots.value)
+        low, high = np.full((n, n), np.inf), np.full((n, n), -np.inf)
+        for b in batches:
+            if b.num_rows:
+                d, part = _to_pivots(_vectors(b.column(0)), pivots.value), b.column(1).to_numpy()
+                np.minimum.at(low, part, d)
+                np.maximum.at(high, part, d)
+        part, pivot = np.nonzero(np.isfinite(low))
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(pivot, pa.int32()), pa.array(low[part, pivot]), pa.array(high[part, pivot])], names=["part", "pivot", "low", "high"])
+
+    n = len(pivots.value)
+    low, high = np.full((n, n), np.inf), np.full((n, n), -np.inf)
+    found = placed.select("vec", "part").mapInArrow(run, "part int, pivot int, low double, high double").groupBy("part", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    for r in found.collect():  # PIVOTS squared
+        low[r["part"], r["pivot"]], high[r["part"], r["pivot"]] = r["low"], r["high"]
+    return low, high
+
+
+def _meet(asks: DataFrame, placed: DataFrame, sizes: np.ndarray, compare: _Compare) -> DataFrame:
+    """(item_id, rec_item_id, score): each item of asks (id, vec, part) with the best of that part, block by block."""
+    loads = np.zeros(len(sizes), np.int64)
+    for r in asks.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a part
+        loads[r["part"]] = r["n"]
+
+    def blocks(n: np.ndarray) -> F.Column:
+        return F.element_at(F.array(*[F.lit(int(max(1, -(-x // BLOCK)))) for x in n]), F.col("part") + 1)
+
+    def run(items: pa.Table, candidates: pa.Table) -> pa.Table:
         out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if items.num_rows and candidates.num_rows:
-            (ids, x), (others, y) = unit(items["id"], items["vec"]), unit(candidates["rec_id"], candidates["rec_vec"])
-            found = []
-            for s in range(0, len(ids), 256):
-                score = x[s : s + 256] @ y.T
-                if digits is not None:
-                    score = np.round(score, digits) + 0.0
-                for i, row in enumerate(score):
-                    row[others == ids[s + i]] = -np.inf
-                    k = min(top_n, len(row))
-                    near = np.flatnonzero((row >= np.partition(row, len(row) - k)[len(row) - k]) & (row > -np.inf))
-                    best = near[np.lexsort((others[near], -row[near]))[:top_n]]
-                    found.append((np.full(len(best), ids[s + i]), others[best], row[best]))
-            out = [np.concatenate(c) for c in zip(*found, strict=True)] if found else out
+            out = compare.best(items["id"].to_numpy(), _vectors(items["vec"]), candidates["id"].to_numpy(), _vectors(candidates["vec"]))
         return pa.table(dict(zip(("item_id", "rec_item_id", "score"), out, strict=True)))
 
-    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(compare, "item_id bigint, rec_item_id bigint, score double")
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = asks.withColumn("a", own(blocks(loads))).withColumn("b", every(blocks(sizes)))
+    right = placed.withColumn("b", own(blocks(sizes))).withColumn("a", every(blocks(loads)))
+    by = ("part", "a", "b")
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, "item_id bigint, rec_item_id bigint, score double")
+
+
+def _ranked(met: DataFrame, top_n: int) -> DataFrame:
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), "rec_item_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
 
 
+def _open_parts(placed: DataFrame, nearest: DataFrame, pivots: Broadcast, low: np.ndarray, high: np.ndarray, compare: _Compare) -> DataFrame:
+    """(id, vec, part): the other parts in which an item of placed may have something nearer than the last of `nearest`.
+
+    By the triangle inequality a part whose distances to a pivot are from low to high is at least d - high and low - d away
+    from an item whose distance to the pivot is d, for any pivot.
+    """
+    last = nearest.groupBy(F.col("item_id").alias("id")).agg(F.when(F.count(F.lit(1)) >= compare.top_n, F.min("score")).alias("last"))
+    held = pivots.value
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            d, own = _to_pivots(_vectors(b.column(1)), held), b.column(2).to_numpy()
+            reach = compare.reach(np.nan_to_num(b.column(3).to_numpy(zero_copy_only=False).astype(np.float64), nan=-1.0))
+            away = np.stack([np.maximum(d - high[p], low[p] - d).max(1) for p in range(len(held))], 1)  # endless for an empty part
+            away[np.arange(len(own)), own] = np.inf
+            item, part = np.nonzero(away <= reach[:, None])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(item)), b.column(1).take(pa.array(item)), pa.array(part, pa.int32())], names=["id", "vec", "part"])
+
+    return placed.join(last, "id", "left").select("id", "vec", "part", "last").mapInArrow(run, "id bigint, vec array<double>, part int")
+
+
+def top_n_neighbors(vectors: DataFrame, top_n: int = TOP_N, digits: int | None = None, pivots: int | None = None, report: dict[str, float] | None = None) -> DataFrame:
+    """(item_id, rec_item_id, score, rank) of (id, vec array<double>): each item's nearest by cosine, ties to smaller ids.
+
+    Exact, without all pairs where vectors cluster. Items are filed under the nearest of some pivots and compared within their
+    part first. The last of the best so far bounds how far away a better one can be, and by the triangle inequality an item skips
+    the parts that are farther. What is left is compared in blocks: a task has two blocks of BLOCK, and no pair leaves it
+    but the best. Vectors without a length have no neighbours. digits rounds the scores before they are ranked. report gets `skipped`, the
+    share of pairs of an item and a part that weren't compared.
+    """
+    rows = cut(vectors.where("id IS NOT NULL AND vec IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")))
+    spark, total = ship(rows.sparkSession), rows.count()
+    wanted = pivots or max(1, min(PIVOTS, total // BLOCK))
+    first = _vectors(rows.where(F.exists("vec", lambda v: v != 0)).orderBy(F.xxhash64("id"), "id").limit(wanted).toArrow()["vec"])  # PIVOTS at most
+    if not len(first):
+        return spark.createDataFrame([], "item_id bigint, rec_item_id bigint, score double, rank int")
+    compare = _Compare(top_n, digits)
+    held = spark.sparkContext.broadcast(first / np.sqrt((first * first).sum(1))[:, None])
+    placed = cut(_placed(rows, held))
+    sizes = np.zeros(len(first), np.int64)
+    for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a part
+        sizes[r["part"]] = r["n"]
+    if len(first) == 1:
+        return _ranked(_meet(placed, placed, sizes, compare), top_n)
+    low, high = _intervals(placed, held)
+    near = cut(_ranked(_meet(placed, placed, sizes, compare), top_n).drop("rank"))
+    asks = cut(_open_parts(placed, near, held, low, high, compare))
+    if report is not None:
+        report["skipped"] = 1 - asks.count() / max(1, int(sizes.sum()) * (len(first) - 1))
+    return _ranked(near.unionByName(_meet(asks, placed, sizes, compare)), top_n)
+
+
 def als_vectors(events: DataFrame, cap: int = CANDIDATE_CAP, rank: int = 32, iterations: int = 10, seed: int = 42) -> DataFrame:
     """Item vectors of implicit-feedback ALS, of the most popular items. ALS knows ints only: ids are numbered for it."""
     ratings = cut(implicit_ratings(events))

@@ -5,19 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, timedelta
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork.functions.columns import day_of
+from rillwork.functions.shared import cut
 from rillwork.operators import abandon, events, marts, pairs, quality, recommend, sessions
 from rillwork.plans.window import Days
-from rillwork.sources import files, schemas
+from rillwork.sources import files, schemas, versions
 from rillwork.sources.ledger import job
 
 #: Days of sessions that a window writes again, for sessions that go on over midnight.
 REPROCESS_DAYS = 1
+#: Partitions of the state that has no day.
+PARTS = 8
 
 
 @dataclass(frozen=True)
@@ -33,19 +37,19 @@ class Lake:
         return f"{self.root.rstrip('/')}/{table}"
 
     def read(self, spark: SparkSession, table: str) -> DataFrame:
-        return spark.read.parquet(self.at(table))
+        """The table's newest state; what is partitioned has a manifest."""
+        state = versions.manifest(spark, self.at(table))
+        return spark.read.parquet(self.at(table)) if state is None else versions.read(spark, self.at(table), state)
 
     def has(self, spark: SparkSession, table: str) -> bool:
         return files.exists(spark, self.at(table))
 
 
 def _put(df: DataFrame, path: str, by: str, days: Days) -> int:
-    """All of a table, the whole window, or, if a bound is missing, the days that df has."""
+    """All of a table, the whole window, or, if a bound is missing, the days that df has; each in one step."""
     if days.open:
-        return files.write(df, path, by)
-    if days.since and days.until:
-        return files.write_window(df, path, by, days.since, days.until)
-    return files.write(df, path, by, "parts")
+        return versions.replace(df, path, by)
+    return versions.replace(df, path, by, versions.days_of(days.since, days.until) if days.since and days.until else ())
 
 
 def bronze(spark: SparkSession, lake: Lake, raw_dir: str, days: Days = Days()) -> int:
@@ -65,10 +69,10 @@ def silver(spark: SparkSession, lake: Lake, days: Days = Days()) -> int:
     return _put(events.point_in_time_category(fresh, lake.read(spark, "bronze/item_properties")), lake.at("silver/events_enriched"), "event_date", days)
 
 
-def _tagged(spark: SparkSession, lake: Lake, days: Days) -> DataFrame:
+def _tagged(spark: SparkSession, lake: Lake, days: Days, start: str | None = None) -> DataFrame:
     """Events with sessions, read from a day before the first whose sessions are written, for sessions begun there."""
     early = days.earlier(lake.reprocess_days + 1)
-    return sessions.tag_sessions(events.in_window(lake.read(spark, "silver/events_enriched"), "event_date", early.since, early.until), lake.timeout_s)
+    return sessions.tag_sessions(events.in_window(lake.read(spark, "silver/events_enriched"), "event_date", early.since, early.until), lake.timeout_s, start=start)
 
 
 def build_sessions(spark: SparkSession, lake: Lake, days: Days = Days()) -> int:
@@ -89,15 +93,50 @@ def gold(spark: SparkSession, lake: Lake, days: Days = Days()) -> int:
     n = _put(marts.with_load_time(events.in_window(tagged, "event_date", days.since, days.until).select(*columns)), lake.at("gold/raw_events"), "event_date", days)
     emit = days.earlier(lake.reprocess_days)
     n += _put(marts.with_load_time(events.in_window(lake.read(spark, "silver/sessions"), "session_date", emit.since, emit.until)), lake.at("gold/raw_sessions"), "session_date", emit)
-    whole: dict[str, Callable[[], DataFrame]] = {
-        "raw_category_tree": lambda: lake.read(spark, "bronze/category_tree"),
-        "item_latest": lambda: events.latest_item_snapshot(lake.read(spark, "bronze/item_properties")),
-        "cooccur_pairs": lambda: pairs.cooccurrence_pairs(sessions.tag_sessions(lake.read(spark, "silver/events_enriched"), lake.timeout_s), lake.min_support),
-    }
-    for table, make in whole.items():
-        if days.open or not lake.has(spark, f"gold/{table}"):
-            n += files.write(make(), lake.at(f"gold/{table}"))
-    return n
+    if days.open or not lake.has(spark, "gold/raw_category_tree"):
+        n += files.write(lake.read(spark, "bronze/category_tree"), lake.at("gold/raw_category_tree"))
+    return n + keep_pairs(spark, lake, days) + keep_latest(spark, lake, days)
+
+
+def keep_pairs(spark: SparkSession, lake: Lake, days: Days = Days()) -> int:
+    """The pairs of items, kept up day by day.
+
+    gold/pairs_by_day has every day's sessions' pairs, whatever their support, so a day that is written again replaces what
+    its sessions said before. gold/pair_counts sums them: it takes in the days that have changed since the state that it
+    notes, the new counts and the old ones with their sign turned. So a run that failed between the two tables is made up for by the next.
+    """
+    first = not lake.has(spark, "gold/pairs_by_day")
+    emit = Days() if first else days.earlier(lake.reprocess_days)
+    known = events.in_window(lake.read(spark, "silver/events_enriched"), "event_date", None, days.until) if first else None
+    tagged = _tagged(spark, lake, days, "_began") if known is None else sessions.tag_sessions(known, lake.timeout_s, start="_began")
+    dated = tagged.withColumn("session_date", day_of(F.col("_began")))
+    by_day, totals = lake.at("gold/pairs_by_day"), lake.at("gold/pair_counts")
+    _put(pairs.pairs_by_day(events.in_window(dated, "session_date", emit.since)), by_day, "session_date", emit)
+
+    now, held = versions.manifest(spark, by_day), versions.manifest(spark, totals)
+    before = versions.manifest(spark, by_day, held.notes["days"]) if held else None
+    if before is None:
+        counts = pairs.summed(versions.read(spark, by_day, now))
+    else:
+        changed = sorted(d for d in now.parts.keys() | before.parts.keys() if now.parts.get(d) != before.parts.get(d))
+        new, old = (versions.read(spark, by_day, m, changed) for m in (now, before))
+        counts = pairs.summed(versions.read(spark, totals, held), new, old.withColumn("weight", -F.col("weight")))
+    versions.replace(counts.select("item_a", "item_b", "weight", "pair_type"), totals, "pair_type", notes={"days": now.number})
+    found = lake.read(spark, "gold/pair_counts").where(F.col("weight") >= lake.min_support)
+    return versions.replace(found, lake.at("gold/cooccur_pairs"), "pair_type")
+
+
+def keep_latest(spark: SparkSession, lake: Lake, days: Days = Days()) -> int:
+    """The newest snapshot of each item: the state before with the snapshots of the window's days, or of all where there is none."""
+    state, found = lake.at("gold/snapshots"), lake.read(spark, "bronze/item_properties")
+    if not days.open and versions.manifest(spark, state):
+        found = events.in_window(found.withColumn("_day", day_of(F.col("timestamp"))), "_day", days.since, days.until).drop("_day")
+        newest = events.newest(events.newest_snapshots(found).unionByName(versions.read(spark, state).drop("part")))
+    else:
+        newest = events.newest_snapshots(found)
+    made = cut(newest)
+    versions.replace(made.withColumn("part", F.pmod(F.xxhash64("itemid"), F.lit(PARTS)).cast("int")), state, "part")
+    return files.write(made.select("itemid", "categoryid"), lake.at("gold/item_latest"))
 
 
 def staged(spark: SparkSession, lake: Lake) -> dict[str, DataFrame]:
@@ -124,15 +163,13 @@ def build_marts(spark: SparkSession, lake: Lake, full: bool = False) -> int:
     n = sum(files.write(df, lake.at(f"marts/{name}")) for name, df in made.items())
     path = lake.at("marts/fct_funnel")
     old = lake.read(spark, "marts/fct_funnel") if not full and lake.has(spark, "marts/fct_funnel") else None
-    if old is None:
-        return n + files.write(marts.fct_funnel(t["stg_events"]), path, "event_date")
-    last = old.agg(F.max("event_date").alias("d")).first()["d"]
+    last = old.agg(F.max("event_date").alias("d")).first()["d"] if old is not None else None
     if last is None:
-        return n + files.write(marts.fct_funnel(t["stg_events"]), path, "event_date")
+        return n + versions.replace(marts.fct_funnel(t["stg_events"]), path, "event_date")
     newest = t["stg_events"].agg(F.max("event_date").alias("d")).first()["d"] or last
     first = last - timedelta(marts.LOOKBACK_DAYS)
     tail = marts.fct_funnel(events.in_window(t["stg_events"], "event_date", first))
-    return n + files.write_window(tail, path, "event_date", first, max(newest, last) + timedelta(1))
+    return n + versions.replace(tail, path, "event_date", versions.days_of(first, max(newest, last) + timedelta(1)))
 
 
 def check_all(spark: SparkSession, lake: Lake) -> DataFrame:
@@ -169,6 +206,17 @@ def backfill(spark: SparkSession, lake: Lake, raw_dir: str, days: Days, ledger:
         daily(spark, lake, raw_dir, one.since, ledger)
 
 
+def train(spark: SparkSession, lake: Lake, config: dict[str, Any] | None = None, algorithms: tuple[str, ...] | None = None) -> DataFrame:
+    """Fits and saves the classifiers named, or the one that the settings choose; returns their metrics."""
+    settings = abandon.merged(abandon.CONFIG, config)
+    sessions_of, found = cut(lake.read(spark, "marts/feature_sessions")), []
+    for algorithm in algorithms or (settings["algorithm"],):
+        model, quality_of = abandon.train(sessions_of, settings, algorithm)
+        abandon.save_model(model, lake.at(f"models/{algorithm}"))
+        found.append(quality_of)
+    return reduce(DataFrame.unionByName, found)
+
+
 def weekly(spark: SparkSession, lake: Lake, ledger: str | None = None, config: dict[str, Any] | None = None) -> DataFrame:
     """Everything that can't be kept up day by day: gold and marts in full, and all models. Returns the classifiers' metrics."""
     steps: list[tuple[str, Callable[[], int]]] = [
@@ -180,9 +228,4 @@ def weekly(spark: SparkSession, lake: Lake, ledger: str | None = None, config: d
     for name, run in steps:
         with job(spark, name, ledger) as out:
             out["rows"] = run()
-    found = []
-    for algorithm in ("xgboost", "random_forest", "logistic"):
-        model, quality_of = abandon.train(lake.read(spark, "marts/feature_sessions"), config, algorithm)
-        abandon.save_model(model, lake.at(f"models/{algorithm}"))
-        found.append(quality_of)
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    return train(spark, lake, config, abandon.COMPARED)

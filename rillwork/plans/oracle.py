@@ -49,6 +49,40 @@ def _count(check: str, table: str, column: str, query: str) -> str:
     return f"SELECT '{check}' AS check_name, '{table}' AS table_name, '{column}' AS column_name, count(*) AS violations FROM ({query})"
 
 
+_GOLD = (
+    "raw_events AS (SELECT *, 1 AS _loaded_at FROM tagged)",
+    "raw_sessions AS (SELECT * FROM sess)",
+    "raw_category_tree AS (SELECT * FROM tree)",
+    "item_latest AS (SELECT * FROM latest)",
+    "cooccur_pairs AS (SELECT * FROM pairs)",
+    "fct_sessions AS (SELECT session_id, visitorid FROM sess)",
+    "fct_funnel AS (SELECT * FROM funnel)",
+    "dim_categories AS (SELECT * FROM tree)",
+    "dim_items AS (SELECT itemid, categoryid FROM latest)",
+    "feature_table AS (SELECT * FROM features)",
+    "feature_sessions AS (SELECT * FROM fs)",
+    "feature_cooccur AS (SELECT item_a || '-' || item_b || '-' || pair_type AS pair_id, item_a, item_b FROM pairs)",
+)
+# The 37 checks: columns that hold no null, columns without repeats, and the others.
+_FILLED = {
+    "raw_events": ("visitorid", "itemid", "event", "_loaded_at"), "raw_sessions": ("session_id", "visitorid", "event_count", "has_purchase"), "raw_category_tree": ("categoryid",), "item_latest": ("itemid",),
+    "fct_sessions": ("session_id", "visitorid"), "fct_funnel": ("categoryid", "event_date"), "dim_categories": ("categoryid",), "dim_items": ("itemid",), "feature_table": ("itemid",),
+    "feature_sessions": ("session_id", "visitorid"), "feature_cooccur": ("pair_id", "item_a", "item_b"),
+}
+_DISTINCT_COLUMNS = (
+    ("raw_sessions", "session_id"), ("raw_category_tree", "categoryid"), ("item_latest", "itemid"), ("fct_sessions", "session_id"), ("dim_categories", "categoryid"), ("dim_items", "itemid"), ("feature_table", "itemid"),
+    ("feature_sessions", "session_id"), ("feature_cooccur", "pair_id"),
+)
+
+
+def _all_checks() -> list[str]:
+    out = [_count("not_null", t, c, f"SELECT 1 FROM {t} WHERE {c} IS NULL") for t, columns in _FILLED.items() for c in columns]
+    out += [_count("unique", t, c, f"SELECT {c} FROM {t} WHERE {c} IS NOT NULL GROUP BY 1 HAVING count(*) > 1") for t, c in _DISTINCT_COLUMNS]
+    out += [_count("accepted_values", t, c, f"SELECT 1 FROM {t} WHERE {c} NOT IN ({', '.join(repr(v) for v in values)})") for t, c, values in (("raw_events", "event", ("view", "addtocart", "transaction")), ("cooccur_pairs", "pair_type", ("view", "purchase")))]
+    out += [_count("accepted_range", t, c, f"SELECT 1 FROM {t} WHERE {c} < {least}") for t, c, least in (("raw_sessions", "event_count", 1), ("cooccur_pairs", "weight", 2))]
+    return out + [_count("relationships", t, "categoryid", f"SELECT 1 FROM {t} ANTI JOIN dim_categories USING (categoryid) WHERE categoryid IS NOT NULL") for t in ("fct_funnel", "dim_items")]
+
+
 def oracle_sql() -> dict[str, str]:
     silver = (_EVENTS, _PROPS, _DISTINCT, _ENRICHED)
     half, day = 1800, 86_400
@@ -114,5 +148,8 @@ round((sum(p * (below + (n + 1) / 2)) - sum(p) * (sum(p) + 1) / 2) / (sum(p) * s
         "dq_relationships": _q(" UNION ALL ".join((_count("relationships", "latest", "categoryid", "SELECT 1 FROM latest WHERE categoryid IS NOT NULL AND categoryid NOT IN (SELECT categoryid FROM tree)"), _count("relationships", "enriched", "visitorid", "SELECT 1 FROM enriched WHERE visitorid IS NOT NULL AND visitorid NOT IN (SELECT categoryid FROM tree)"))), *silver, _LATEST, _TREE),
         "dq_freshness": """WITH h AS (SELECT event_type AS table_name, round((epoch_us(TIMESTAMP '2024-02-01') // 1000 - epoch_us(max(ts)) // 1000) / 1000 / 3600, 6) AS age_hours FROM events GROUP BY 1)
 SELECT *, CASE WHEN age_hours > 48 THEN 'error' WHEN age_hours > 26 THEN 'warn' ELSE 'pass' END AS status FROM h""",
+        "dq_all": _q(" UNION ALL ".join(_all_checks()), *silver, _tagged("enriched", day), _SESSIONS, _PAIRS, _LATEST, _TREE, _FUNNEL, _FEATURES, _BROWSED, *_GOLD),
+        "incremental_pairs": _q("SELECT * FROM pairs", _EVENTS, _DISTINCT, _tagged("d", 6 * 3600), _PAIRS),
+        "incremental_latest": _q("SELECT * FROM latest", _PROPS, _LATEST),
         "incremental_equals_full": _q(sess, _EVENTS, _DISTINCT, _tagged("d", half), _SESSIONS),
     }

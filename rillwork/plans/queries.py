@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import UTC, date, datetime, timedelta
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork.functions.columns import ms_of
-from rillwork.functions.shared import cut, shared_dir
+from rillwork.functions.shared import cut, scratch
 from rillwork.operators import abandon, events, marts, pairs, quality, recommend, serving, sessions
 from rillwork.plans import jobs
 from rillwork.plans.window import Days
@@ -22,6 +23,8 @@ DAY_S = 86_400
 HOUR_MS = 3_600_000
 #: Days of a run in the incremental query.
 STEP = 6
+#: Days that they write again, and the pause of the tables that are kept up: with it no session is longer than these days.
+REPROCESS, KEPT_UP_S = 3, 6 * 3600
 
 
 class Model:
@@ -136,16 +139,20 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.recommend(stored, Model(spark, sf_dir, DAY_S).pairs, 10, "als", 15)
 
 
-def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All days of the table run through all jobs, STEP days at a time; the sessions they leave."""
-    m = Model(spark, sf_dir)
-    root = f"{shared_dir(spark)}/lake-{datetime.now().timestamp():.6f}"
+def _landed(m: Model) -> tuple[jobs.Lake, str, Days]:
+    """A lake of its own, its raw files, and the days of the table."""
+    root = f"{scratch(m.spark)}/lake-{uuid.uuid4().hex}"
     bounds = m.events.agg(F.min("event_date").alias("first"), F.max("event_date").alias("last")).first()
     raw = f"{root}/raw"
     for name, df in {"events.csv": m.events.drop("event_date"), "item_properties_part1.csv": m.properties.where("itemid < 50"), "item_properties_part2.csv": m.properties.where("itemid >= 50"), "category_tree.csv": m.tree}.items():
         df.write.csv(f"{raw}/{name}", header=True)
-    lake = jobs.Lake(root)
-    for days in Days(bounds["first"], bounds["last"] + timedelta(1)).each(STEP):
+    return jobs.Lake(root, m.timeout_s, reprocess_days=REPROCESS), raw, Days(bounds["first"], bounds["last"] + timedelta(1))
+
+
+def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All days of the table run through all jobs, STEP days at a time; the sessions they leave."""
+    lake, raw, whole = _landed(Model(spark, sf_dir))
+    for days in whole.each(STEP):
         jobs.bronze(spark, lake, raw, days)
         jobs.silver(spark, lake, days)
         jobs.build_sessions(spark, lake, days)
@@ -153,6 +160,22 @@ def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lake.read(spark, "gold/raw_sessions").drop("_loaded_at")
 
 
+def _kept_up(table: str) -> Query:
+    """A table that is kept up by its changes, after all days of the events, STEP at a time; the last window is run twice."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lake, raw, whole = _landed(Model(spark, sf_dir, KEPT_UP_S))
+        jobs.bronze(spark, lake, raw)
+        jobs.silver(spark, lake)
+        keep = {"cooccur_pairs": jobs.keep_pairs, "item_latest": jobs.keep_latest}[table]
+        windows = whole.each(STEP)
+        for days in [*windows, windows[-1]]:
+            keep(spark, lake, days)
+        return lake.read(spark, f"gold/{table}")
+
+    return run
+
+
 def _neighbours(vectors: Callable[[DataFrame], DataFrame]) -> Query:
     return _on(lambda m: recommend.top_n_neighbors(vectors(events.dedupe_events(m.events))))
 
@@ -206,4 +229,6 @@ def queries() -> dict[str, Query]:
         "dq_freshness": _freshness,
         "dq_all": lambda spark, sf_dir: quality.run_checks(Model(spark, sf_dir, DAY_S).gold()),
         "incremental_equals_full": _incremental,
+        "incremental_pairs": _kept_up("cooccur_pairs"),
+        "incremental_latest": _kept_up("item_latest"),
     }

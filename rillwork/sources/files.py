@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from datetime import date, timedelta
-
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,21 +35,3 @@ def write(df: DataFrame, path: str, by: str | None = None, replace: str = "all")
         writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)
     return seen.get["n"]
-
-
-def drop_partitions(spark: SparkSession, path: str, by: str, values: Iterable[date | str]) -> None:
-    """Removes partitions, such as those that a rerun has left without rows."""
-    for v in values:
-        fs, at = _fs(spark, f"{path.rstrip('/')}/{by}={v}")
-        fs.delete(at, True)
-
-
-def write_window(df: DataFrame, path: str, by: str, since: date, until: date) -> int:
-    """Replaces the days from since to before until: those with rows, and those that have none any more."""
-    spark = df.sparkSession
-    seen = Observation()
-    held = df.observe(seen, F.count(F.lit(1)).alias("n"), F.collect_set(F.col(by)).alias("days"))  # days: at most those of the window
-    held.write.mode("overwrite").partitionBy(by).option("partitionOverwriteMode", "dynamic").parquet(path)
-    days = {since + timedelta(k) for k in range((until - since).days)}
-    drop_partitions(spark, path, by, sorted(days - set(seen.get["days"])))
-    return seen.get["n"]
