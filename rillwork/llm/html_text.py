@@ -3,11 +3,13 @@
 A page is a stream of tags and texts. From up to SAMPLE pages of a host one wrapper is inferred: runs of equal groups in
 a page become a repeated group; the streams are aligned one after the other, what only one side has becomes an optional
 group, and texts that differ become slots, while texts alike in all pages stay constants of the template. A wrapper decides
-what is main text: blocks of nothing but constants seen on CONSTANT pages or more are template and go; a slot belongs to the article if most of
-the sampled texts in it do by the elements round them (`roles`).
+what is main text: a slot belongs to the article if most of the sampled texts in it do by the elements round them (`roles`).
+So do constants inside an article or main element. On hosts without these, blocks of nothing but constants seen on
+CONSTANT pages or more are template if they lie before the first or after the last slot of the article, and go.
 
 A page is matched against its host's wrapper from left to right. Pages that don't match give, up to SAMPLE a host, a further
-wrapper, ROUNDS in all; what none matches (or what is alone on its host) is read by the elements alone.
+wrapper, ROUNDS in all; what none matches (or what is alone on its host) is read by the elements alone, and so is a page
+on which a wrapper finds nothing.
 
 Wrappers come from a fixed number of pages a host, so no task ever holds a host. They reach the pages by a broadcast if
 they measure less than SENT bytes, else by a join that Spark splits where a host is large.
@@ -30,10 +32,10 @@ from rillwork.functions.columns import named
 from rillwork.functions.shared import cut, ship
 
 #: Pages that a wrapper is inferred from, the longest repeated group in tokens, and wrappers of a host.
-SAMPLE, LONGEST, ROUNDS = 8, 16, 2
+SAMPLE, LONGEST, ROUNDS = 8, 16, 4
 #: Pages on which a text must be the same to be template.
 CONSTANT = 3
-#: Tokens of the longest page that takes part in an alignment (its time grows with the square), and bytes of wrappers that are broadcast.
+#: Nodes, after repeats are folded, of the longest page that takes part in an alignment (its time grows with the square), and bytes of wrappers that are broadcast.
 ALIGNED, SENT = 4000, 8 << 20
 
 # Element names of HTML by what they mean here.
@@ -50,6 +52,14 @@ ASIDE_WORDS = {
     "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "overlay", "pager", "pagination", "popup", "promo", "promoted", "related", "replies", "reply", "respond",
     "search", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+#: Words that go with them in the names of one element, such as a comment list.
+HOLDER_WORDS = {
+    "area", "bar", "block", "box", "button", "buttons", "container", "content", "form", "group", "icons", "inner", "item", "items", "label", "link", "links", "list", "outer", "panel", "posts", "row", "section", "signup",
+    "slot", "top", "bottom", "left", "right", "unit", "wrap", "wrapper",
+}
+#: Of these only adverts are told by the name of an element that holds a text itself.
+ADVERT_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "promo", "promoted", "sponsor", "sponsored"}
+TEXTUAL = {"a", "abbr", "b", "blockquote", "caption", "cite", "code", "dd", "dt", "em", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "i", "img", "li", "p", "pre", "q", "s", "small", "span", "strong", "sub", "sup", "td", "th", "tr", "u"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.DOTALL)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
@@ -86,12 +96,30 @@ def tokens(page: str) -> list[Token]:
     return out
 
 
-def _apart(name: str, named: str) -> bool:
-    return name in APART or bool(named) and name not in ("html", "body", "article", "main") and not ASIDE_WORDS.isdisjoint(_WORDS.findall(named)) or name == "article" and "comment" in named
+def _apart(name: str, named: str, inside: bool = False) -> bool:
+    """Whether an element is a menu, footer, notice and so on by its own name or by its class, id and role.
+
+    Outside of an article any word of these tells. Inside, a whole name must: all its words say so, one of them at least
+    of ASIDE_WORDS and the others of HOLDER_WORDS; and of an element of the text itself only that it is an advert.
+    """
+    if name in APART or name == "article" and "comment" in named:
+        return True
+    if not named or name in ("html", "body", "article", "main"):
+        return False
+    if not inside:
+        return not ASIDE_WORDS.isdisjoint(_WORDS.findall(named))
+    asides = ADVERT_WORDS if name in TEXTUAL else ASIDE_WORDS
+    words = (set(_WORDS.findall(one)) for one in named.split())
+    return any(w & asides and w <= asides | HOLDER_WORDS for w in words)
 
 
 def roles(stream: list[Token]) -> list[bool]:
-    """For each token whether it belongs to the article, by the elements round it.
+    """For each token whether it belongs to the article, by the elements round it."""
+    return _roles(stream)[0]
+
+
+def _roles(stream: list[Token]) -> tuple[list[bool], bool]:
+    """The roles, and whether there is an article or main element that tells them.
 
     What lies in a menu, footer, notice and so on doesn't, up to the end of that element. If there is an article (else a
     main element) outside of these, only its content does.
@@ -118,7 +146,7 @@ def roles(stream: list[Token]) -> list[bool]:
                 kept.append(False)
                 home.append(home_depth > 0)
                 continue
-        if name and not closes and name not in VOID and _apart(name, named):
+        if name and not closes and name not in VOID and _apart(name, named, home_depth > 0):
             skipping, depth = name, 1
             kept.append(False)
             home.append(home_depth > 0)
@@ -127,7 +155,7 @@ def roles(stream: list[Token]) -> list[bool]:
             home_depth = max(0, home_depth + (-1 if closes else 1))
         kept.append(True)
         home.append(home_depth > 0)
-    return [k and (h or not wanted) for k, h in zip(kept, home, strict=True)]
+    return [k and (h or not wanted) for k, h in zip(kept, home, strict=True)], bool(wanted)
 
 
 def article(stream: list[Token], main: list[bool]) -> str:
@@ -144,7 +172,7 @@ def article(stream: list[Token], main: list[bool]) -> str:
     return "\n".join(t for t in texts if t)
 
 
-# Wrappers are nested lists: ["tag", symbol], ["text", constant or None for a slot, texts in the article, texts, pages],
+# Wrappers are nested lists: ["tag", symbol], ["text", constant or None for a slot, texts in the article, texts, pages, texts inside an article or main element],
 # ["rep", nodes], ["opt", nodes].
 
 
@@ -155,7 +183,7 @@ def _key(node: list) -> str:
 def _merge(a: list, b: list, page: int = 1) -> list:
     """Two nodes of equal key as one; `page` is 0 within a page."""
     if a[0] == "text":
-        return ["text", a[1] if a[1] == b[1] else None, a[2] + b[2], a[3] + b[3], a[4] + b[4] if page else 1]
+        return ["text", a[1] if a[1] == b[1] else None, a[2] + b[2], a[3] + b[3], a[4] + b[4] if page else 1, a[5] + b[5]]
     return a if a[0] == "tag" else [a[0], [_merge(x, y, page) for x, y in zip(a[1], b[1], strict=True)]]
 
 
@@ -164,19 +192,22 @@ OTHER, MAIN, TEMPLATE = 0, 1, 2
 
 
 def _verdict(node: list) -> int:
-    _, constant, inside, seen, pages = node
-    return OTHER if 2 * inside <= seen else TEMPLATE if constant is not None and pages >= CONSTANT else MAIN
+    _, constant, inside, seen, pages, sure = node
+    return OTHER if 2 * inside <= seen else TEMPLATE if constant is not None and pages >= CONSTANT and not sure else MAIN
 
 
 def settled(stream: list[Token], verdicts: list[int]) -> list[bool]:
-    """For each token whether it is main text: a constant is, if the block that it is in has other main text."""
+    """For each token whether it is main text: a constant is, if the block that it is in has other main text, or if it lies between two others."""
     out = [v == MAIN for v in verdicts]
+    slots = [at for at, (keep, token) in enumerate(zip(out, stream, strict=True)) if keep and token[2].strip()]
+    for at in range(slots[0], slots[-1]) if slots else ():
+        out[at] |= verdicts[at] == TEMPLATE
     block, varies = [], False
     for at, (_, name, content) in enumerate(stream):
         if name in BREAKS:
             block, varies = [], False
         elif verdicts[at] == TEMPLATE:
-            out[at] = varies
+            out[at] |= varies
             block.append(at)
         elif out[at] and content.strip() and not varies:
             varies = True
@@ -211,13 +242,16 @@ def _fold(nodes: list[list], known: set[tuple[str, ...]]) -> list[list]:
 
 def infer(streams: list[list[Token]]) -> list[list]:
     """The wrapper of the pages of one host."""
-    streams = [x for x in streams if 0 < len(x) <= ALIGNED]
-    pages = [[["tag", s] if name else ["text", " ".join(content.split()), int(keep), 1, 1] for (s, name, content), keep in zip(x, roles(x), strict=True)] for x in streams]
+    pages = []
+    for x in filter(None, streams):
+        keeps, told = _roles(x)
+        pages.append([["tag", s] if name else ["text", " ".join(content.split()), int(keep), 1, 1, int(keep and told)] for (s, name, content), keep in zip(x, keeps, strict=True)])
     known: set[tuple[str, ...]] = set()
     for p in pages:
         _fold(p, known)
+    folded = [f for p in pages if len(f := _fold(p, known)) <= ALIGNED]
     wrapper: list[list] = []
-    for k, page in enumerate(_fold(p, known) for p in pages):
+    for k, page in enumerate(folded):
         if not k:
             wrapper = page
             continue
@@ -276,7 +310,8 @@ def extract(page: str | None, found: list[list[list]]) -> str:
     """The main text of a page by the first of its host's wrappers that matches, else by its elements."""
     stream = tokens(page or "")
     main = next((m for w in found if (m := match(w, stream)) is not None), None)
-    return article(stream, roles(stream) if main is None else main)
+    text = "" if main is None else article(stream, main)
+    return text or article(stream, roles(stream))
 
 
 def host(url_col: str) -> F.Column:
@@ -317,7 +352,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """One row per row of pages: `id_col`, `url_col`, text, n_chars (in code points).
 
     Defined cases: a null or empty html gives an empty text; pages without a host (a null or relative url) share the
-    wrappers of the empty host; equal pages count once in a wrapper; pages of more than ALIGNED tokens take no part in an
+    wrappers of the empty host; equal pages count once in a wrapper; pages of more than ALIGNED nodes take no part in an
     alignment but are matched like others; repeated and null ids pass row by row; markup that is never closed ends with
     the element round it; other columns aren't read; an empty table gives no rows.
     """
@@ -330,13 +365,19 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             keep = []
             for page, w in zip(b.column(1), b.column(2), strict=True):
                 stream = tokens(page.as_py())
-                keep.append(len(stream) <= ALIGNED and all(match(held[x], stream) is None for x in w.as_py() or ()))
+                keep.append(all(match(held[x], stream) is None for x in w.as_py()))
             yield b.select(["host", "html"]).filter(pa.array(keep, pa.bool_()))
 
-    found = cut(wrappers(rows).withColumn("round", F.lit(1)))
+    left = rows.where("html IS NOT NULL").select("host", "html")
+    found = cut(wrappers(left).withColumn("round", F.lit(1)))
+    newest = found
     for k in range(2, ROUNDS + 1):
-        left = with_wrappers(rows.where("html IS NOT NULL").select("host", "html"), found).where("found IS NOT NULL").select("host", "html", "found")
-        found = cut(found.unionByName(wrappers(left.mapInArrow(unmatched, "host string, html string")).withColumn("round", F.lit(k))))
+        if newest.isEmpty():
+            break
+        asked = with_wrappers(left, newest).where("found IS NOT NULL").select("host", "html", "found")
+        left = cut(asked.mapInArrow(unmatched, "host string, html string"))  # only these are looked at again
+        newest = cut(wrappers(left).withColumn("round", F.lit(k)))
+        found = found.unionByName(newest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held()

@@ -78,6 +78,52 @@ def test_the_wrapper_decides(spark):
     assert all(got[300 + k] == f"Other {k}\nnever seen {k}" for k in range(12))
 
 
+def with_article(body, k):
+    return f"<html><body><nav><a>m{k}</a>{'<a>x</a>' * (k % 3)}</nav><article>{body}</article><div>host</div></body></html>"
+
+
+def test_constants_inside_the_article_stay():
+    same = "<h2>Sources</h2><p>This article is about chemistry.</p>"
+    pages = [with_article(f"<h1>Story {k}</h1>{same}<p>text {k}</p><h3>End</h3>", k) for k in range(8)]
+    wrapper = h.infer([h.tokens(p) for p in pages])
+    for k, p in enumerate(pages):
+        assert h.match(wrapper, h.tokens(p)) is not None
+        assert h.extract(p, [wrapper]) == f"Story {k}\nSources\nThis article is about chemistry.\ntext {k}\nEnd" == h.extract(p, [])
+
+
+@pytest.mark.parametrize("named", ["article", "main", "div"])
+def test_equal_articles_of_one_host_stay(named):
+    body = "<h1>Notice of change</h1><p>The same text on all pages.</p>"
+    pages = [with_article(body, k).replace("article>", f"{named}>") for k in range(8)]
+    wrapper = h.infer([h.tokens(p) for p in pages])
+    for p in pages:
+        assert h.extract(p, [wrapper]).startswith("Notice of change\nThe same text on all pages.")
+
+
+def test_constants_between_slots_stay():
+    pages = [f"<body><div>Top of all</div><div><h1>Story {k}</h1><h4>What we know</h4><p>day {k}</p></div><div>Bottom</div></body>" for k in range(8)]
+    wrapper = h.infer([h.tokens(p) for p in pages])
+    assert h.extract(pages[3], [wrapper]) == "Story 3\nWhat we know\nday 3"
+
+
+@pytest.mark.parametrize(
+    ("inner", "kept"),
+    [
+        ('<div class="content header-image"><p>x</p></div>', True), ('<section id="comments-on-method"><p>x</p></section>', True), ('<p class="notice">x</p>', True), ('<h2 id="share-prices">x</h2>', True),
+        ('<div class="related-posts"><p>x</p></div>', False), ('<div id="comments"><p>x</p></div>', False), ('<div class="ad-slot-2"><p>x</p></div>', False), ('<p class="ad">x</p>', False), ('<ul class="social links"><li>x</li></ul>', False),
+        ("<div class='cookie-notice'>x</div>", False), ('<div class="a share-buttons">x</div>', False),
+    ],
+)
+def test_names_inside_an_article(inner, kept):
+    assert h.extract(f"<body><article><p>a</p>{inner}<p>b</p></article></body>", []) == ("a\nx\nb" if kept else "a\nb")
+
+
+def test_pages_of_many_equal_groups_are_aligned():
+    long = lambda k: "<body><div>site</div><article>" + "".join(f"<p>t{k} {j}</p>" for j in range(h.ALIGNED + k)) + "</article></body>"
+    wrapper = h.infer([h.tokens(long(k)) for k in range(3)])
+    assert wrapper and h.match(wrapper, h.tokens(long(9))) is not None
+
+
 def test_long_pages_take_no_part_in_alignments():
     long = "<body><article>" + "".join(f"<p class='k{chr(97 + k % 26)}'>t{k}</p>" for k in range(h.ALIGNED)) + "</article></body>"
     assert h.infer([h.tokens(long), h.tokens(long + " ")]) == []
