@@ -68,12 +68,12 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back.
 
-    A lost executor then costs a reread of files, never a rerun of what made them.
+    A lost executor then costs a reread of files, never a rerun of what made them. Whole texts take half as much with zstd.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -11,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillwork.functions.shared import cut
+from rillwork.functions.shared import cut, scratch
 
 # The model's inputs in order, and each algorithm's settings.
 CONFIG: dict[str, Any] = {
@@ -135,6 +136,13 @@ def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def _stored(model: PipelineModel) -> PipelineModel:
+    """The model as it is read again: a fitted forest still holds its summary, and with it the session, which can't be sent to tasks."""
+    path = f"{scratch(SparkSession.active())}/model-{uuid.uuid4().hex}"
+    model.write().save(path)
+    return PipelineModel.load(path)
+
+
 def train(sessions: DataFrame, config: dict[str, Any] | None = None, algorithm: str | None = None) -> tuple[PipelineModel, DataFrame]:
     """The model fitted on the earlier sessions, and its metrics on the later ones."""
     config = merged(CONFIG, config)
@@ -142,7 +150,7 @@ def train(sessions: DataFrame, config: dict[str, Any] | None = None, algorithm:
     parts = cut(time_split(_labelled(sessions), config["test_fraction"]))
     train_rows = parts.where("is_train")
     estimator = build_model(algorithm, config["params"].get(algorithm, {}), train_rows.count())
-    model = Pipeline(stages=[VectorAssembler(inputCols=config["features"], outputCol="features"), estimator]).fit(train_rows)
+    model = _stored(Pipeline(stages=[VectorAssembler(inputCols=config["features"], outputCol="features"), estimator]).fit(train_rows))
     scored = cut(score(model, parts.where("NOT is_train")).select("score", "label"))
     return model, metrics(scored).select(F.lit(algorithm).alias("algorithm"), "*")
 

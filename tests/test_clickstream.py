@@ -22,10 +22,10 @@ def test_dedupe_treats_nulls_as_equal(spark):
 
 @pytest.mark.parametrize("bucket", [None, 1000, 3])
 def test_category_at_event_time(spark, bucket):
-    seen = spark.createDataFrame([(t, 1, "view", 100, None) for t in (500, 1000, 2000, 5000, 6000)] + [(900, 1, "view", None, None)], EVENTS)
-    props = spark.createDataFrame([(1000, 100, "categoryid", "10"), (1000, 100, "available", "0"), (5000, 100, "categoryid", "20"), (5000, 100, "categoryid", "15"), (5500, 100, "categoryid", "n5.0")], schemas.ITEM_PROPERTIES)
+    seen = spark.createDataFrame([(t, 4, "addtocart", 31, None) for t in (7, 40, 41, 777, 9001)] + [(8, 4, "view", None, None), (9002, 4, "view", 32, None)], EVENTS)
+    props = spark.createDataFrame([(40, 31, "categoryid", "3"), (40, 31, "size", "77"), (777, 31, "categoryid", "9"), (777, 31, "categoryid", "5"), (800, 31, "categoryid", "blue"), (9000, 33, "categoryid", "1")], schemas.ITEM_PROPERTIES)
     got = dict(rows(events.point_in_time_category(seen, props, bucket), "timestamp", "categoryid"))
-    assert got == {500: None, 900: None, 1000: 10, 2000: 10, 5000: 20, 6000: 20}
+    assert got == {7: None, 8: None, 40: 3, 41: 3, 777: 9, 9001: 9, 9002: None}
 
 
 def test_latest_snapshot(spark):
@@ -35,36 +35,43 @@ def test_latest_snapshot(spark):
 
 @pytest.mark.parametrize("build", [sessions.build_sessions, sessions.build_sessions_native])
 def test_sessions_break_only_after_the_timeout(spark, build):
-    t = 1_433_202_600_000
+    t = 1_650_000_000_000
     at = [(t, 1), (t + 1_800_000, 1), (t + 3_600_001, 1), (t, 2)]
     df = spark.createDataFrame([(x, v, "transaction" if k == 2 else "view", 1, None) for k, (x, v) in enumerate(at)], EVENTS)
     assert rows(build(df), "session_id", "event_count", "has_purchase") == [(f"1-{t}", 2, False), (f"1-{t + 3_600_001}", 1, True), (f"2-{t}", 1, False)]
 
 
 def test_pairs_and_cold_start(spark):
-    seen = [(k, 1, e, i, None) for k, (e, i) in enumerate([("view", 100), ("view", 200), ("view", 300), ("transaction", 100), ("transaction", 200)])]
-    tagged = sessions.tag_sessions(spark.createDataFrame(seen, EVENTS))
+    kinds = [("view", 7), ("view", 7), ("view", 5), ("addtocart", 5), ("transaction", 5), ("transaction", 9), ("transaction", 7)]
+    tagged = sessions.tag_sessions(spark.createDataFrame([(k * 1000, 3, e, i, None) for k, (e, i) in enumerate(kinds)], EVENTS))
     found = pairs.cooccurrence_pairs(tagged, 1)
-    assert rows(found, "item_a", "item_b", "pair_type", "weight") == [(100, 200, "purchase", 1), (100, 200, "view", 1), (100, 300, "view", 1), (200, 300, "view", 1)]
+    assert rows(found, "item_a", "item_b", "pair_type", "weight") == [(5, 7, "purchase", 1), (5, 7, "view", 1), (5, 9, "purchase", 1), (7, 9, "purchase", 1)]
     assert pairs.cooccurrence_pairs(tagged, 2).count() == 0
     none = spark.createDataFrame([], "item_id long, rec_item_id long, score double, rank int, method string")
-    assert rows(serving.recommend(none, found, 200), "rec_item_id", "source") == [(100, "cooccurrence")]
+    assert rows(serving.recommend(none, found, 9), "rec_item_id", "source") == [(5, "cooccurrence"), (7, "cooccurrence")]
 
 
 def test_marts(spark):
-    ev = spark.createDataFrame([(1, "view", 100, 1016, date(2015, 6, 1), "s1"), (1, "addtocart", 100, 1016, date(2015, 6, 1), "s1"), (2, "view", 200, 1338, date(2015, 6, 1), "s2"), (2, "transaction", 200, 1338, date(2015, 6, 1), "s2")], "visitorid long, event string, itemid long, categoryid long, event_date date, session_id string")
-    se = spark.createDataFrame([("s1", 1, datetime(2015, 6, 1, 10), datetime(2015, 6, 1, 10, 5), 2, False), ("s2", 2, datetime(2015, 6, 1, 11), datetime(2015, 6, 1, 11, 3), 2, True)], "session_id string, visitorid long, start_time timestamp_ntz, end_time timestamp_ntz, event_count long, has_purchase boolean")
-    latest = spark.createDataFrame([(100, 1016), (200, 1338)], "itemid long, categoryid long")
-    tree = spark.createDataFrame([(213, None), (1016, 213), (1338, 213)], schemas.CATEGORY_TREE)
-    assert rows(marts.fct_funnel(ev), "categoryid", "views", "carts", "purchases", "cart_rate", "purchase_rate") == [(1016, 1, 1, 0, 1.0, 0.0), (1338, 1, 0, 1, 0.0, 0.0)]
+    """Three sessions on two days: looked at three items of which one was carted twice; bought at once; only bought."""
+    d1, d2 = date(2022, 11, 30), date(2022, 12, 1)
+    seen = [(5, "view", 61, 8, d1, "five"), (5, "view", 62, 8, d1, "five"), (5, "view", 63, 9, d1, "five"), (5, "addtocart", 62, 8, d1, "five"), (5, "addtocart", 62, 8, d2, "five")]
+    seen += [(6, "view", 62, 8, d2, "six"), (6, "addtocart", 62, 8, d2, "six"), (6, "transaction", 62, 8, d2, "six"), (7, "transaction", 64, None, d2, "seven")]
+    ev = spark.createDataFrame(seen, "visitorid long, event string, itemid long, categoryid long, event_date date, session_id string")
+    times = [("five", 5, datetime(2022, 11, 30, 23, 40), datetime(2022, 12, 1, 0, 5, 30), 5, False), ("six", 6, datetime(2022, 12, 1, 7), datetime(2022, 12, 1, 7, 0, 2), 3, True), ("seven", 7, datetime(2022, 12, 1, 9), datetime(2022, 12, 1, 9), 1, True)]
+    se = spark.createDataFrame(times, "session_id string, visitorid long, start_time timestamp_ntz, end_time timestamp_ntz, event_count long, has_purchase boolean")
+    latest = spark.createDataFrame([(61, 8), (62, 9), (63, 9), (64, None)], "itemid long, categoryid long")
+    tree = spark.createDataFrame([(2, None), (8, 2)], schemas.CATEGORY_TREE)
+    funnel = marts.fct_funnel(ev)
+    assert rows(funnel, "categoryid", "event_date", "views", "carts", "purchases", "cart_rate", "purchase_rate") == [(8, d1, 2, 1, 0, 0.5, 0.0), (8, d2, 1, 2, 1, 2.0, 0.5), (9, d1, 1, 0, 0, 0.0, 0.0)]
     fct = marts.fct_sessions(se)
-    assert rows(fct, "session_id", "duration_seconds") == [("s1", 300.0), ("s2", 180.0)]
-    assert rows(marts.dim_items(latest, tree), "itemid", "parentid") == [(100, 213), (200, 213)]
-    assert rows(marts.feature_table(ev, latest), "itemid", "popularity", "item_purchase_rate", "category_purchase_rate") == [(100, 1, 0.0, 0.0), (200, 1, 1.0, 1.0)]
-    assert rows(marts.feature_sessions(ev, fct), "session_id", "start_hour", "event_count", "n_carts", "views_per_item", "abandoned") == [("s1", 10, 2, 1, 1.0, True), ("s2", 11, 1, 0, 1.0, False)]
-    empty = marts.fct_funnel(ev).limit(0)
-    assert marts.funnel_tail(ev, empty).count() == 2
-    assert rows(serving.funnel_by_category(marts.fct_funnel(ev), 1), "categoryid") == [(1016,)]
+    assert rows(fct, "session_id", "duration_seconds") == [("five", 1530.0), ("seven", 0.0), ("six", 2.0)]
+    assert rows(marts.dim_categories(tree), "categoryid", "is_root") == [(2, True), (8, False)]
+    assert rows(marts.dim_items(latest, tree), "itemid", "parentid") == [(61, 2), (62, None), (63, None), (64, None)]
+    assert rows(marts.feature_table(ev, latest), "itemid", "popularity", "item_purchase_rate", "category_purchase_rate") == [(61, 1, 0.0, 1 / 3), (62, 2, 0.5, 0.0), (63, 1, 0.0, 0.0), (64, 0, 0.0, 0.0)]
+    assert rows(marts.feature_sessions(ev, fct), "session_id", "start_hour", "event_count", "n_carts", "n_categories", "views_per_item", "abandoned") == [("five", 23, 5, 2, 2, 1.0, True), ("six", 7, 2, 1, 1, 1.0, False)]
+    assert marts.funnel_tail(ev, funnel.limit(0)).count() == 3
+    assert marts.funnel_tail(ev, funnel, 0).count() == 1
+    assert rows(serving.funnel_by_category(funnel, 1), "categoryid", "views") == [(8, 3)]
     with pytest.raises(ValueError):
         serving.top_items(marts.feature_table(ev, latest), 101)
 

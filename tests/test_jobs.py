@@ -4,21 +4,25 @@ from datetime import date, timedelta
 
 import pytest
 
-from rillwork.plans import jobs
+from rillwork.operators import abandon
+from rillwork.plans import cli, jobs
 from rillwork.plans.window import Days
 from rillwork.sources import files
 from rillwork.sources.jdbc import Database
 from rillwork.sources.ledger import job, latest_runs
 from rillwork.streaming import sessions as streaming
 
-NIGHT = 1_433_202_600_000  # 2015-06-01 23:50
-D1, D2, D3 = (date(2015, 6, 1) + timedelta(k) for k in range(3))
+#: 2019-08-07 23:45 UTC, a quarter of an hour before the day ends.
+NIGHT = 1_565_221_500_000
+DAWN, NOON = NIGHT - 60_000_000, NIGHT + 43_200_000
+D1, D2, D3 = (date(2019, 8, 7) + timedelta(k) for k in range(3))
 TABLES = {"events": "timestamp,visitorid,event,itemid,transactionid", "item_properties_part1": "timestamp,itemid,property,value", "item_properties_part2": "timestamp,itemid,property,value", "category_tree": "categoryid,parentid"}
+#: Visitor 41 stays over midnight, 42 comes in the morning of the first day, 43 buys on the second (a row that is there twice).
 ROWS = {
-    "events": [f"{NIGHT},1,view,100,", f"{NIGHT + 900_000},1,addtocart,100,", f"{NIGHT - 50_000_000},2,view,100,", f"{NIGHT + 50_000_000},3,transaction,200,9", f"{NIGHT + 50_000_000},3,transaction,200,9"],
-    "item_properties_part1": ["1000,100,categoryid,10", "1000,200,categoryid,20"],
-    "item_properties_part2": ["2000,100,available,n552.000"],
-    "category_tree": ["1,", "10,1", "20,1"],
+    "events": [f"{NIGHT},41,view,501,", f"{NIGHT + 1_200_000},41,view,502,", f"{DAWN},42,view,502,", f"{NOON},43,transaction,502,77", f"{NOON},43,transaction,502,77"],
+    "item_properties_part1": ["5,501,categoryid,31", "6,502,categoryid,32", "7,501,colour,blue"],
+    "item_properties_part2": ["9,502,categoryid,33"],
+    "category_tree": ["30,", "31,30", "32,30", "33,30"],
 }
 
 
@@ -57,12 +61,12 @@ def test_days_one_by_one_equal_a_full_rebuild(spark, raw, tmp_path):
     jobs.build_sessions(spark, full)
     jobs.gold(spark, full)
     one_day(spark, step, raw, D1)
-    assert lake_sessions(spark, step) == {(f"1-{NIGHT}", 1), (f"2-{NIGHT - 50_000_000}", 1)}
-    assert step.read(spark, "bronze/category_tree").count() == 3
+    assert lake_sessions(spark, step) == {(f"41-{NIGHT}", 1), (f"42-{DAWN}", 1)}
+    assert step.read(spark, "bronze/category_tree").count() == 4
     one_day(spark, step, raw, D2)
     one_day(spark, step, raw, D2)
-    assert (f"1-{NIGHT}", 2) in lake_sessions(spark, step) and len(lake_sessions(spark, step)) == 3
-    for table in ("bronze/events", "silver/events_enriched", "silver/sessions", "gold/raw_events", "gold/raw_sessions"):
+    assert (f"41-{NIGHT}", 2) in lake_sessions(spark, step) and len(lake_sessions(spark, step)) == 3
+    for table in ("bronze/events", "silver/events_enriched", "silver/sessions", "gold/raw_events", "gold/raw_sessions", "gold/cooccur_pairs", "gold/item_latest", "gold/pair_counts"):
         assert content(spark, step, table) == content(spark, full, table), table
 
 
@@ -74,7 +78,7 @@ def test_days_out_of_order_leave_nothing_stale(spark, raw, tmp_path):
     lake = jobs.Lake(str(tmp_path / "lake"))
     for day in (D2, D1, D2):
         one_day(spark, lake, raw, day)
-    assert lake_sessions(spark, lake) == {(f"1-{NIGHT}", 2), (f"2-{NIGHT - 50_000_000}", 1), (f"3-{NIGHT + 50_000_000}", 1)}
+    assert lake_sessions(spark, lake) == {(f"41-{NIGHT}", 2), (f"42-{DAWN}", 1), (f"43-{NOON}", 1)}
 
 
 def test_daily_run_with_marts_checks_and_ledger(spark, raw, tmp_path):
@@ -82,9 +86,10 @@ def test_daily_run_with_marts_checks_and_ledger(spark, raw, tmp_path):
     for day in (D1, D2):
         checks = jobs.daily(spark, lake, raw, day, ledger)
     assert sum(r["violations"] for r in checks.collect()) == 0 and checks.count() == 37
-    assert lake.read(spark, "marts/fct_funnel").count() == 3
+    want = sorted([(31, D1, 1), (33, D1, 1), (33, D2, 1)])
+    assert sorted((r["categoryid"], r["event_date"], r["views"]) for r in lake.read(spark, "marts/fct_funnel").collect()) == want
     jobs.build_marts(spark, lake, full=True)
-    assert lake.read(spark, "marts/fct_funnel").count() == 3
+    assert sorted((r["categoryid"], r["event_date"], r["views"]) for r in lake.read(spark, "marts/fct_funnel").collect()) == want
     assert [r["status"] for r in latest_runs(spark.read.parquet(ledger)).collect()] == ["success"] * 5
 
 
@@ -123,7 +128,7 @@ def test_a_database_keeps_its_table(spark):
 
 def test_streamed_sessions_are_those_of_the_batch(spark, raw, tmp_path):
     at = str(tmp_path / "in")
-    t = [(NIGHT, 1), (NIGHT + 900_000, 1), (NIGHT + 90_000_000, 2), (NIGHT + 400_000_000, 3)]
+    t = [(NIGHT, 1), (NIGHT + 600_000, 1), (NIGHT + 90_000_000, 2), (NIGHT + 400_000_000, 3)]
     spark.createDataFrame([(x, v, "view", 1, None) for x, v in t], "timestamp long, visitorid long, event string, itemid long, transactionid long").write.parquet(at)
     stream = spark.readStream.schema(spark.read.parquet(at).schema).parquet(at)
     streaming.start(streaming.stream_sessions(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
@@ -133,3 +138,52 @@ def test_streamed_sessions_are_those_of_the_batch(spark, raw, tmp_path):
 
 def test_path_probe(spark, tmp_path):
     assert files.exists(spark, str(tmp_path)) and not files.exists(spark, str(tmp_path / "none"))
+
+
+def test_backfill_and_weekly(spark, raw, tmp_path):
+    lake, ledger = jobs.Lake(str(tmp_path / "lake")), str(tmp_path / "runs")
+    jobs.backfill(spark, lake, raw, Days(D1, D3), ledger)
+    assert lake_sessions(spark, lake) == {(f"41-{NIGHT}", 2), (f"42-{DAWN}", 1), (f"43-{NOON}", 1)}
+    assert spark.read.parquet(ledger).count() == 10
+    visits = [f"{DAWN + k * 7_200_000},{50 + k},{e},{501 + i},{k if e == 'transaction' else ''}" for k in range(40) for i in range(2) for e in ("view", "addtocart", *(["transaction"] if k % 3 else []))]
+    (tmp_path / "events.csv").write_text("\n".join([TABLES["events"], *visits]) + "\n")
+    jobs.bronze(spark, lake, raw)
+    jobs.silver(spark, lake)
+    jobs.build_sessions(spark, lake)
+    small = {"params": {"xgboost": {"n_estimators": 2, "max_depth": 2, "learning_rate": 0.1}, "random_forest": {"n_estimators": 2, "max_depth": 2}, "logistic": {"C": 1.0, "max_iter": 5}}}
+    assert [r["algorithm"] for r in jobs.weekly(spark, lake, ledger, small).collect()] == ["xgboost", "random_forest", "logistic"]
+    found = lake.read(spark, "gold/item_recommendations")
+    assert {r["method"] for r in found.select("method").distinct().collect()} == {"als", "item2vec"} and found.count() == 4
+    assert {r["task_name"] for r in spark.read.parquet(ledger).collect()} >= {"train_als", "train_item2vec", "feature_gold", "marts"}
+    assert jobs.recommendations(spark, lake, "als", rank=2, iterations=1) == 2
+
+    config = tmp_path / "config.yaml"
+    config.write_text("algorithm: logistic\ntest_fraction: 0.5\nparams:\n  logistic:\n    max_iter: 4\n")
+    assert [r["algorithm"] for r in cli.main(["train", "--lake", lake.root, "--config", str(config)]).collect()] == ["logistic"]
+    assert files.exists(spark, lake.at("models/logistic")) and abandon.load_config(str(config))["params"]["logistic"] == {"C": 1.0, "max_iter": 4}
+    last = spark.read.parquet(lake.at("pipeline_runs")).where("task_name = 'train'").first()
+    assert (last["status"], last["rows_processed"]) == ("success", 1)
+
+
+def test_the_command_line_runs_the_jobs(spark, raw, tmp_path):
+    root = str(tmp_path / "lake")
+    own = ["--lake", root, "--raw-dir", raw, "--no-log"]
+    assert cli.main(["daily", *own, "--since", str(D1)]).count() == 37
+    cli.main(["backfill", *own, "--since", str(D2), "--until", str(D3)])
+    assert len(lake_sessions(spark, jobs.Lake(root))) == 3
+    for one in ("bronze", "silver", "sessions", "gold", "marts"):
+        cli.main([one, *own])
+    assert sum(r["violations"] for r in cli.main(["checks", *own]).collect()) == 0
+    assert not files.exists(spark, f"{root}/pipeline_runs")
+    with pytest.raises(SystemExit):
+        cli.main(["unknown", "--lake", root])
+
+
+def test_a_database_from_the_environment(monkeypatch):
+    for name, value in {"DB_URL": "jdbc:x:y", "DB_USER": "u", "DB_DRIVER": "d"}.items():
+        monkeypatch.setenv(name, value)
+    monkeypatch.delenv("DB_PASSWORD", raising=False)
+    assert Database.from_env() == Database("jdbc:x:y", {"user": "u", "driver": "d"})
+    monkeypatch.delenv("DB_URL")
+    with pytest.raises(KeyError):
+        Database.from_env()
