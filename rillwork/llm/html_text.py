@@ -375,7 +375,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         if newest.isEmpty():
             break
         asked = with_wrappers(left, newest).where("found IS NOT NULL").select("host", "html", "found")
-        left = cut(asked.mapInArrow(unmatched, "host string, html string"))  # only these are looked at again
+        left = cut(asked.mapInArrow(unmatched, "host string, html string"), "zstd")  # only these are looked at again
         newest = cut(wrappers(left).withColumn("round", F.lit(k)))
         found = found.unionByName(newest)
 
