@@ -17,14 +17,15 @@ larger run is walked from entry to entry, each comparing itself with those that
 spanning forest of all its links, so a large group of near copies costs little more than its size.
 
 Four bits of 64 are copies of a Jaccard similarity of about 0.96. `similar_groups` finds less similar texts, from 0.8 of their
-sets of five-word shingles on: it makes several fingerprints of a text from different hashes of the same shingles, takes
-what meets under a key and differs in at most NEAR bits, and verifies each such pair on the shingles themselves.
+sets of five-word shingles on. What meets under a fingerprint's key and differs in at most NEAR bits is verified on the
+shingles themselves. The pairs whose fingerprints share no key are met under their rarest shingles: of two sets with that similarity,
+one of the first fifth of each is the same, in any order that is the same for all (a prefix filter). There, entries are
+compared by their fingerprints again, of which WIDE bits may differ, and verified.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,11 @@ from rillwork.llm.links import components
 
 BITS, SEGMENTS = 4, (13, 13, 13, 13, 12)
 DENSE = 48
-#: Fingerprints of a text, and bits that may differ, where pairs are verified on their shingles.
-KINDS, NEAR = 4, 8
-#: Odd multipliers that give a shingle's further hashes.
-_TURNS = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF | 1) for k in range(1, 64)]
+#: Bits that may differ where pairs are verified on their shingles: under a key of fingerprints, and under a shingle. At a
+#: similarity of 0.8 fingerprints differ in 9.7 bits on average, with a deviation of 2.9.
+NEAR, WIDE = 8, 21
+#: Entries of the table of frequent shingles, and entries of a shingle's run that are held at a time.
+SLOTS, RUN = 1 << 20, 1 << 14
 
 
 def shingles(text: str | None, words_each: int) -> np.ndarray:
@@ -71,14 +73,6 @@ def fingerprint(text: str | None, words_each: int = 4) -> int:
     return _majority(shingles(text, words_each)) if text and text.encode().split() else 0
 
 
-def _turned(hashes: np.ndarray, kind: int) -> np.ndarray:
-    """Other hashes of the same shingles; kind 0 leaves them."""
-    if not kind:
-        return hashes
-    mixed = (hashes ^ (hashes >> np.uint64(29))) * _TURNS[kind]
-    return mixed ^ (mixed >> np.uint64(32))
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 4) -> DataFrame:
     """(id, fp) for every row; fp is the fingerprint as a signed long."""
 
@@ -105,24 +99,29 @@ def _keys(fp: Column) -> list[Column]:
     return keys
 
 
-def _forest(fps: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that join what is linked within the run: each entry met removes its neighbours from those left."""
-    out, left = [], fps
+def _walk(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, first) by place: links that join what is linked within the run, each entry met removing its neighbours from
+    those left; and the first entry of each part that is joined so."""
+    a, b, first, left = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], np.arange(len(fps))
     while left.size:
         stack, left = [left[:1]], left[1:]
+        first.append(stack[0][0])
         while stack and left.size:
-            block = stack.pop()
-            for k, x in enumerate(block):
-                near = np.bitwise_count(left ^ x) <= bits
+            for x in stack.pop():
+                near = np.bitwise_count(fps[left] ^ fps[x]) <= bits
                 if near.any():
                     found, left = left[near], left[~near]
-                    out.append((np.full(found.size, x), found))
+                    a.append(np.full(found.size, x))
+                    b.append(found)
                     stack.append(found)
-                    if not left.size:
-                        break
                 if not left.size:
                     break
-    return out
+    return np.concatenate(a), np.concatenate(b), np.array(first, np.int64)
+
+
+def _forest(fps: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    a, b, _ = _walk(fps, bits)
+    return [(fps[a], fps[b])]
 
 
 def _links(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,48 +198,139 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_groups(rows: DataFrame, number: str, text: str, words_each: int = 5, threshold: tuple[int, int] = (4, 5), kinds: int = KINDS, bits: int = NEAR) -> DataFrame:
+def frequent(texts: DataFrame, words_each: int) -> np.ndarray:
+    """How frequent the shingles of each of SLOTS hashes are, as steps of a logarithm; 0 for most.
+
+    A task reports the slots that are frequent in it. Any table gives a right order of shingles, a better one a faster.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for t in b.column(0):
+                np.add.at(counts, np.unique(shingles(t.as_py(), words_each)) & np.uint64(SLOTS - 1), 1)
+        often = np.flatnonzero(counts >= max(4, 8 * counts.mean()))
+        yield pa.RecordBatch.from_arrays([pa.array(often.astype(np.int32)), pa.array(counts[often])], names=["slot", "n"])
+
+    found = texts.select("text").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS at most
+    levels = np.zeros(SLOTS, np.uint8)
+    levels[found["slot"].to_numpy()] = 1 + np.log2(found["n"].to_numpy().astype(float))
+    return levels
+
+
+def first_shingles(own: np.ndarray, levels: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """Of a set of hashes the rarest, so many that sets of that similarity share one."""
+    part, whole = threshold
+    n = len(own) - -(-len(own) * part // whole) + 1
+    return own[np.lexsort((own, levels[own & np.uint64(SLOTS - 1)]))[:n]]
+
+
+def _met(numbers: np.ndarray, fps: np.ndarray, groups: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, kept): places of the entries of one run that are near and not of one group yet, and entries that stand for all.
+
+    Up to DENSE entries all are compared. Of more, a group is one entry, and the walk joins them.
+    """
+    if len(fps) <= DENSE:
+        a, b = np.triu_indices(len(fps), 1)
+        near = (np.bitwise_count(fps[a] ^ fps[b]) <= bits) & (groups[a] != groups[b])
+        return a[near], b[near], np.arange(len(fps))
+    one = np.sort(np.unique(groups, return_index=True)[1])  # in the run's order
+    a, b, first = _walk(fps[one], bits)
+    return one[a], one[b], one[first]
+
+
+def meet(keyed: DataFrame, bits: int = WIDE) -> DataFrame:
+    """(a, b) with a < b: numbers of entries (key, pos, number, fp, group) that meet under a key and differ in at most `bits` bits.
+
+    Of a large run not every pair: those come first for which the key is among the first shingles, that is, which have few
+    rarer ones, as the text that the others are edited from; the walk compares the others with them. It goes in pieces of
+    RUN, of which what stands for the others is compared with the next piece, so a task's memory is bounded, and its time
+    grows with the run where it is of copies.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.int64)]
+
+        def out(last: bool) -> pa.RecordBatch:
+            """Handles the runs held but the last one, which may go on; of that one only what stands for it stays once it is long."""
+            nonlocal held
+            key, number, fp, group = held
+            edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if key.size else np.zeros(1, np.int64)
+            a, b, rest = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(0, np.int64)
+            for s, e in zip(edge[:-1], edge[1:], strict=True):
+                if e == key.size and not last and e - s < RUN:
+                    rest = np.arange(s, e)
+                    break
+                if e - s > 1:
+                    x, y, kept = _met(number[s:e], fp[s:e], group[s:e], bits)
+                    a.append(number[s + x])
+                    b.append(number[s + y])
+                    rest = s + kept if e == key.size and not last else rest
+            held = [c[rest] for c in held]
+            x, y = np.concatenate(a), np.concatenate(b)
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            key, number, fp, group = (np.array(c) for c in batch.columns)
+            held = [np.concatenate(c) for c in zip(held, (key, number, fp.view(np.uint64), group), strict=True)]
+            if held[0].size >= RUN:
+                yield out(False)
+        yield out(True)
+
+    ship(keyed.sparkSession)
+    dealt = keyed.select("key", "pos", "number", "fp", "group").repartition("key").sortWithinPartitions("key", "pos", "number")
+    return dealt.drop("pos").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def similar_groups(rows: DataFrame, number: str, text: str, words_each: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """(number, group) of rows told apart by the long `number`: group is the smallest number of those reachable by similar pairs.
 
     Similar are texts of equal words (but for the case of A-Z), and pairs whose sets of shingles have a Jaccard similarity of
-    `threshold` or more and of which a fingerprint meets under a key; every pair is verified. Texts without words are equal.
+    `threshold` or more; every pair is verified. Not every pair is made: within a run of more than DENSE entries under a
+    key enough of them that what is similar is joined. Texts without words are equal.
     """
+    part, whole = threshold
+    ship(rows.sparkSession)
+    texts = rows.select(F.col(number).alias("number"), F.col(text).alias("text"))
+    sent = rows.sparkSession.sparkContext.broadcast(frequent(texts, words_each))  # SLOTS bytes
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = np.empty((b.num_rows, kinds + 1), np.uint64)
+            words, fps, keys = np.empty(b.num_rows, np.uint64), np.empty(b.num_rows, np.uint64), []
             for k, t in enumerate(b.column(1)):
                 t = t.as_py()
                 own = shingles(t, words_each)
-                out[k] = [xxhash.xxh64_intdigest(b" ".join((t or "").encode().lower().split()), 7), *(_majority(_turned(own, kind)) for kind in range(kinds))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in out.T)], names=names)
+                words[k], fps[k] = xxhash.xxh64_intdigest(b" ".join((t or "").encode().lower().split()), 7), _majority(own)
+                keys.append(first_shingles(np.unique(own), sent.value, threshold).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words.view(np.int64)), pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["number", "words", "fp", "keys"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [np.unique(shingles(t.as_py(), words_each)).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["number", "set"])
 
-    ship(rows.sparkSession)
-    names = ["number", "words", *(f"fp{k}" for k in range(kinds))]
-    texts = rows.select(F.col(number).alias("number"), F.col(text).alias("text"))
-    prints = cut(texts.mapInArrow(sketch, ", ".join(f"{c} bigint" for c in names)))
-    distinct = cut(prints.groupBy("words").agg(*[F.min(c).alias(c) for c in names if c != "words"]))
-
-    met = []
-    for k in range(kinds):
-        of = distinct.select("number", F.col(f"fp{k}").alias("fp"))
-        reps = of.groupBy("fp").agg(F.min("number").alias("rep"))
-        met.append(of.join(reps, "fp").where("number <> rep").select(F.col("rep").alias("a"), F.col("number").alias("b")))
-        pairs = link(reps.select("fp"), bits)
-        met.append(pairs.join(reps.toDF("a", "at_a"), "a").join(reps.toDF("b", "at_b"), "b").select(F.least("at_a", "at_b").alias("a"), F.greatest("at_a", "at_b").alias("b")))
-    edges = cut(reduce(DataFrame.unionByName, met).distinct())
-    asked = edges.select(F.col("a").alias("number")).unionByName(edges.select(F.col("b").alias("number"))).distinct()
-    held = cut(texts.join(asked, "number", "left_semi").mapInArrow(sets, "number bigint, set array<bigint>"))
-    both = edges.join(held.toDF("a", "set_a"), "a").join(held.toDF("b", "set_b"), "b")
-    part, whole = threshold
-    alike = F.size(F.array_intersect("set_a", "set_b")) * (part + whole) >= (F.size("set_a") + F.size("set_b")) * part
-    roots = components(both.where(alike).select("a", "b")).toDF("first", "root")
-    of_text = distinct.select("words", F.col("number").alias("first")).join(roots, "first", "left").select("words", F.coalesce("root", "first").alias("group"))
+    def verified(edges: DataFrame) -> DataFrame:
+        edges = cut(edges)
+        asked = edges.select(F.col("a").alias("number")).unionByName(edges.select(F.col("b").alias("number"))).distinct()
+        held = cut(texts.join(asked, "number", "left_semi").mapInArrow(sets, "number bigint, set array<bigint>"))
+        both = edges.join(held.toDF("a", "set_a"), "a").join(held.toDF("b", "set_b"), "b")
+        return cut(both.where(F.size(F.array_intersect("set_a", "set_b")) * (part + whole) >= (F.size("set_a") + F.size("set_b")) * part).select("a", "b"))
+
+    prints = cut(texts.mapInArrow(sketch, "number bigint, words bigint, fp bigint, keys array<bigint>"))
+    first = prints.groupBy("words").agg(F.min("number").alias("number"))
+    distinct = cut(prints.join(first.select("number"), "number", "left_semi"))
+
+    reps = cut(distinct.groupBy("fp").agg(F.min("number").alias("rep")))
+    same = distinct.join(reps, "fp").where("number <> rep").select(F.col("rep").alias("a"), F.col("number").alias("b"))
+    pairs = link(reps.select("fp"), NEAR).join(reps.toDF("a", "at_a"), "a").join(reps.toDF("b", "at_b"), "b").select(F.least("at_a", "at_b").alias("a"), F.greatest("at_a", "at_b").alias("b"))
+    near = verified(same.unionByName(pairs).distinct())
+    of_near = cut(components(near).toDF("node", "root"))
+
+    grouped = distinct.join(of_near, F.col("number") == F.col("node"), "left").select("number", "fp", "keys", F.coalesce("root", "number").alias("group"))
+    others = verified(meet(grouped.select(F.posexplode("keys").alias("pos", "key"), "number", "fp", "group")))
+    roots = components(near.unionByName(others)).toDF("first", "root")
+    of_text = first.select("words", F.col("number").alias("first")).join(roots, "first", "left").select("words", F.coalesce("root", "first").alias("group"))
     return prints.select("number", "words").join(of_text, "words").select("number", "group")
 
 

@@ -1,5 +1,6 @@
 """Each stage on its own input, and the whole on a small table."""
 
+import random
 from pathlib import Path
 
 import pytest
@@ -55,6 +56,54 @@ def test_one_of_each_group_stays(spark):
     assert groups.where("doc_id <> component_id").count() == 0
 
 
+def jaccard(a, b):
+    x, y = (set(simhash.shingles(t, 5).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def edited(text, least, most, rng):
+    """The text with some words changed, so that its similarity is between the two."""
+    while True:
+        words = text.split()
+        for _ in range(rng.randint(1, max(1, len(words) // 20))):
+            words[rng.randrange(len(words))] = f"new{rng.randrange(10**9)}"
+        if least <= jaccard(text, " ".join(words)) < most:
+            return " ".join(words)
+
+
+def many(seed, n, words):
+    rng = random.Random(seed)
+    return [" ".join(rng.choice(WORDS) for _ in range(words)) for _ in range(n)]
+
+
+WORDS = [f"w{k}" for k in range(3000)]
+
+
+def test_recall_of_edited_copies(spark):
+    rng, rows, want = random.Random(1), [], {}
+    for least, most in ((0.8, 0.83), (0.84, 0.87), (0.89, 0.93)):
+        for t in many(rng.random(), 100, 130):
+            rows += [t, edited(t, least, most, rng)]
+    for t in many(9, 40, 150):  # clean ones: not similar enough
+        rows += [t, edited(t, 0.6, 0.79, rng)]
+    df = spark.createDataFrame(list(enumerate(rows)), "number long, text string").repartition(5)
+    got = {r["number"]: r["group"] for r in simhash.similar_groups(df, "number", "text").collect()}
+    for k in range(3):
+        assert sum(got[2 * i] == got[2 * i + 1] for i in range(100 * k, 100 * k + 100)) >= 98
+    assert all(got[i] == i for i in range(600, 680))
+
+
+@pytest.mark.parametrize("run", [64, 1 << 16])
+def test_a_large_group_of_edited_copies(spark, monkeypatch, run):
+    monkeypatch.setattr(simhash, "RUN", run)
+    rng, base = random.Random(2), many(3, 1, 120)[0]
+    shared = many(4, 1, 40)[0]  # a passage that others share
+    rows = [base, *(edited(base, 0.8, 0.95, rng) for _ in range(300)), *(f"{t} {shared}" for t in many(5, 300, 150)), *many(6, 100, 100)]
+    df = spark.createDataFrame(list(enumerate(rows)), "number long, text string").repartition(5)
+    got = {r["number"]: r["group"] for r in simhash.similar_groups(df, "number", "text").collect()}
+    assert sum(got[k] == 0 for k in range(301)) >= 299 and all(got[k] == k for k in range(301, 701))
+
+
 def test_copies_go_by_row_whatever_their_ids(spark):
     t = prose(8, 11, 100)
     rows = [(3, t[0]), (5, t[0]), (5, t[1]), (6, t[1]), (7, t[2]), (7, t[2]), (7, t[2]), (None, t[3]), (None, t[3]), (8, t[4]), (8, t[5])]
@@ -79,6 +128,6 @@ def test_the_whole(spark):
 
 def test_all_are_registered():
     names = [n for n in registry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(registry.queries()) | {"pipeline"} <= set(entry.queries())
     assert len(pipeline.STAGES) == 5
