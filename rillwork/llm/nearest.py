@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 
 from rillwork.functions.shared import cut, ship
 
-#: Rows to fit the index on, at least; for each partition; rows below which one partition holds all; the recall to reach
+#: Rows to fit the index on, at least; for each partition; rows below which there is nothing to learn from; the recall to reach
 #: on the rows held out. There are 1,024 partitions at most, so the fit is on 98,304 rows at most.
-SAMPLE, EACH, LEAST, TARGET = 6144, 96, 2048, 0.95
+SAMPLE, EACH, LEAST, TARGET = 6144, 96, 64, 0.95
 NEIGHBOURS, HIDDEN, EPOCHS = 10, 96, 25
-#: Rows outside the fit that set how many partitions a query goes to.
+#: Rows outside the fit that set how many partitions a query goes to, a fifth of a small table.
 HELD_OUT = 512
 #: Rows of candidates and of queries that meet in one task.
 BLOCK, QUERY_BLOCK = 16384, 2048
@@ -129,8 +129,9 @@ class Index:
 
 
 def parts_for(rows: int) -> int:
-    """How many partitions a table of so many rows has: as its square root, from 16 to 1,024."""
-    return 2 ** int(np.clip(np.round(np.log2(max(rows, 1)) / 2 - 4), 4, 10))
+    """How many partitions a table of so many rows has: as its square root, to 1,024; at least 16, but of 128 rows on average, and at least 2."""
+    few = min(4, np.round(np.log2(max(rows, 1) / 128)))
+    return 2 ** int(np.clip(max(few, np.round(np.log2(max(rows, 1)) / 2 - 4)), 1, 10))
 
 
 def fit(sample: np.ndarray, rows: int, parts: int | None = None) -> Index:
@@ -236,8 +237,9 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "ve
     total = rows.count()
     index, held = Index(None, 1), (np.zeros(0, np.int64), np.zeros((0, dim)))
     if total >= LEAST:
-        most = min(max(sample_rows, EACH * (parts or parts_for(total))), total - HELD_OUT)
-        shown = rows.orderBy(F.xxhash64("id"), "id").limit(most + HELD_OUT).toArrow()
+        apart = min(HELD_OUT, total // 5)
+        most = min(max(sample_rows, EACH * (parts or parts_for(total))), total - apart)
+        shown = rows.orderBy(F.xxhash64("id"), "id").limit(most + apart).toArrow()
         x = _matrix(shown["vec"], dim)
         sample = np.unique(x[:most], axis=0)
         index, held = fit(sample, total, parts), unseen(sample, shown["id"].to_numpy()[most:], x[most:])

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rillwork.llm import nearest
@@ -74,6 +75,21 @@ def test_probes_are_set_by_rows_outside_the_fit(spark, monkeypatch):
     assert len(held) == nearest.HELD_OUT and len(sample) == 3000 - nearest.HELD_OUT and not sample & held
 
 
+@pytest.mark.parametrize(("n", "clusters"), [(80, 0), (500, 0), (2000, 0), (2000, 40), (20_000, 200)])
+def test_tables_of_any_size_are_partitioned(spark, monkeypatch, n, clusters):
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 24)) if not clusters else rng.standard_normal((clusters, 24))[rng.integers(0, clusters, n)] + 0.2 * rng.standard_normal((n, 24))
+    x, probed, real = x.astype(np.float32), [], nearest.probes_for
+    monkeypatch.setattr(nearest, "probes_for", lambda index, *a: probed.append((index.parts, real(index, *a))) or probed[-1][1])
+    got = {}
+    for r in nearest.nearest(table(spark, x.tolist())).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = sum(len({i for i, _ in brute(x, list(range(n)), q, 10)} & got[q]) for q in range(0, n, 100))
+    assert hit >= 0.9 * 10 * len(range(0, n, 100)) and sorted(got) == list(range(0, n, 100))
+    parts, probes = probed[0]
+    assert parts == nearest.parts_for(n) >= 2 and (not clusters or probes < parts / 2)
+
+
 def test_partitions_are_balanced():
     x = np.random.default_rng(2).standard_normal((1024, 8))
     label = nearest.partition(nearest._nearest(x, np.arange(1024), 10), 8, np.random.default_rng(3))
