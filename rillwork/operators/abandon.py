@@ -6,13 +6,14 @@ import uuid
 from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillwork.functions.shared import cut, scratch
+from rillwork.operators import boosting
 
 # The model's inputs in order, and each algorithm's settings.
 CONFIG: dict[str, Any] = {
@@ -28,6 +29,7 @@ CONFIG: dict[str, Any] = {
 }
 
 
+Model = PipelineModel | boosting.Boosted
 #: What is fitted where all algorithms are compared.
 COMPARED = ("xgboost", "random_forest", "logistic")
 
@@ -48,15 +50,23 @@ def load_config(path: str) -> dict[str, Any]:
         return merged(CONFIG, yaml.safe_load(f))
 
 
+def booster(algorithm: str, params: dict[str, Any]) -> boosting.Settings:
+    """How the two boosters grow, by the settings that their names stand for: xgboost level by level to a depth, with an L2
+    penalty; lightgbm the best of 31 leaves first, from the base rate, a depth of -1 being no bound."""
+    own = {"trees": params["n_estimators"], "rate": params["learning_rate"], "max_depth": max(0, params["max_depth"])}
+    if algorithm == "xgboost":
+        return boosting.Settings(**own, l2=params.get("reg_lambda", 1.0), least_hessian=params.get("min_child_weight", 1.0))
+    return boosting.Settings(**own, leaves=params.get("num_leaves", 31), l2=params.get("reg_lambda", 0.0), least_hessian=1e-3, least_rows=params.get("min_child_samples", 20), from_mean=True)
+
+
 def build_model(algorithm: str, params: dict[str, Any], rows: int = 1):
-    """The estimator of a name; both boosters are gradient-boosted trees here. ValueError for an unknown name.
+    """The estimator of a name, or the settings of a booster. ValueError for an unknown name.
 
     rows turns the inverse penalty C into the regularisation of a mean loss.
     """
     common = {"featuresCol": "features", "labelCol": "label"}
     if algorithm in ("xgboost", "lightgbm"):
-        depth = params["max_depth"] if params["max_depth"] > 0 else 10
-        return GBTClassifier(maxIter=params["n_estimators"], maxDepth=depth, stepSize=params["learning_rate"], seed=42, **common)
+        return booster(algorithm, params)
     if algorithm == "random_forest":
         return RandomForestClassifier(numTrees=params["n_estimators"], maxDepth=params["max_depth"], seed=42, **common)
     if algorithm == "logistic":
@@ -131,8 +141,10 @@ def _labelled(sessions: DataFrame) -> DataFrame:
     return at_risk(sessions).withColumn("label", F.col("abandoned").cast("double"))
 
 
-def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def score(model: Model, rows: DataFrame) -> DataFrame:
     """rows with score: the probability of abandonment."""
+    if isinstance(model, boosting.Boosted):
+        return model.score(rows)
     return model.transform(rows).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
@@ -143,19 +155,24 @@ def _stored(model: PipelineModel) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def train(sessions: DataFrame, config: dict[str, Any] | None = None, algorithm: str | None = None) -> tuple[PipelineModel, DataFrame]:
+def train(sessions: DataFrame, config: dict[str, Any] | None = None, algorithm: str | None = None) -> tuple[Model, DataFrame]:
     """The model fitted on the earlier sessions, and its metrics on the later ones."""
     config = merged(CONFIG, config)
     algorithm = algorithm or config["algorithm"]
     parts = cut(time_split(_labelled(sessions), config["test_fraction"]))
     train_rows = parts.where("is_train")
     estimator = build_model(algorithm, config["params"].get(algorithm, {}), train_rows.count())
-    model = _stored(Pipeline(stages=[VectorAssembler(inputCols=config["features"], outputCol="features"), estimator]).fit(train_rows))
+    if isinstance(estimator, boosting.Settings):
+        model: Model = boosting.fit(train_rows, config["features"], estimator)
+    else:
+        model = _stored(Pipeline(stages=[VectorAssembler(inputCols=config["features"], outputCol="features"), estimator]).fit(train_rows))
     scored = cut(score(model, parts.where("NOT is_train")).select("score", "label"))
     return model, metrics(scored).select(F.lit(algorithm).alias("algorithm"), "*")
 
 
-def save_model(model: PipelineModel, path: str) -> None:
+def save_model(model: Model, path: str) -> None:
+    if isinstance(model, boosting.Boosted):
+        return model.save(SparkSession.active(), path)
     model.write().overwrite().save(path)
 
 
@@ -166,4 +183,5 @@ def predict(spark: SparkSession, path: str, features: dict[str, float]) -> float
     if not exists(spark, path):
         raise FileNotFoundError(f"no model at {path}")
     row = spark.createDataFrame([tuple(float(features[k]) for k in CONFIG["features"])], CONFIG["features"])
-    return round(score(PipelineModel.load(path), row).first()["score"], 4)
+    model = PipelineModel.load(path) if exists(spark, f"{path}/metadata") else boosting.Boosted.load(spark, path)
+    return round(score(model, row).first()["score"], 4)

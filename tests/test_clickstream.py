@@ -129,7 +129,11 @@ def test_settings_are_merged_level_by_level():
 def test_model_is_saved_and_asked(spark, tmp_path):
     n = 60
     made = spark.range(n).select(F.col("id").cast("string").alias("session_id"), F.expr("TIMESTAMP_NTZ '2020-01-01 00:00:00' + make_dt_interval(0, 0, 0, id)").alias("start_time"), *[(F.col("id") % k).cast("int").alias(c) for k, c in enumerate(abandon.CONFIG["features"], 2)], (F.col("id") % 2 == 0).alias("abandoned")).withColumn("n_carts", F.lit(1))
-    model, quality_of = abandon.train(made, {"params": {"logistic": {"C": 1.0, "max_iter": 20}}}, "logistic")
+    small = {"params": {"logistic": {"C": 1.0, "max_iter": 20}, "lightgbm": {"n_estimators": 3}}}
+    boosted, quality_of = abandon.train(made, small, "lightgbm")
+    abandon.save_model(boosted, str(tmp_path / "b"))
+    assert 0 <= abandon.predict(spark, str(tmp_path / "b"), dict.fromkeys(abandon.CONFIG["features"], 1.0)) <= 1
+    model, quality_of = abandon.train(made, small, "logistic")
     assert quality_of.first()["auc"] > 0.9
     path = str(tmp_path / "m")
     with pytest.raises(FileNotFoundError):
