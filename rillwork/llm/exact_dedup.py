@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillwork.functions.columns import named
 from rillwork.functions.shared import cut
 from rillwork.llm import bits
 
@@ -39,9 +40,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     their names cannot clash. An empty table gives an empty result. text_sha256 is null for rows that never reached the
     full hash, unless digest_all asks for it.
     """
-    norm = normalised(F.col(text_col))
+    norm = normalised(named(text_col))
     shape = {"n_len": F.length("norm"), "head": F.xxhash64(F.substring("norm", 1, PREFIX))}
-    rows = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).withColumns(shape)
+    rows = docs.select(named(id_col).alias("id"), norm.alias("norm")).withColumns(shape)
 
     keys = cut(rows.select("n_len", "head"))
     by_len, by_head = F.xxhash64("n_len"), F.xxhash64("n_len", "head")

@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillwork.functions.columns import named
 from rillwork.functions.shared import cut
 from rillwork.llm import bits
 
@@ -40,7 +41,7 @@ _LEAST, _NUMBERS = -(1 << 63), 1 << 31
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, th, no, line): th tells texts of one id apart; documents without an id are the least one."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    rows = docs.select(F.coalesce(named(id_col).cast("long"), F.lit(_LEAST)).alias("id"), named(text_col).alias("text")).where("text IS NOT NULL")
     return rows.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
 
 
@@ -62,7 +63,7 @@ def _words(line: Column) -> Column:
 
 def rarity(docs: DataFrame, text_col: str = "text", entries: int = RARITY) -> list[int]:
     """How common the words of each hash are, as 16 steps of a logarithm."""
-    words = docs.select(F.explode(F.split(F.replace(text_col, F.lit("\n"), F.lit(" ")), " ")).alias("word"))
+    words = docs.select(F.explode(F.split(F.replace(named(text_col), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
     counts = cut(words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(entries - 1)).cast("int").alias("at")).agg(F.count(F.lit(1)).alias("n")))
     mean = counts.agg(F.percentile_approx("n", 0.5)).first()[0] or 1
     step = F.least(F.greatest(F.floor(F.log2(F.col("n") / F.lit(mean)) * 2) + 2, F.lit(0)), F.lit(15)).cast("long")
@@ -230,9 +231,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first in order, as one document; other columns pass through unread, whatever their names; an empty table stays empty.
     """
     gone = removed_lines(docs, id_col, text_col, threshold)
-    text, names = F.col(f"`{text_col}`"), [f"c{k}" for k in range(len(docs.columns))]
-    kept = [(F.split(text, "\n") if c == text_col else F.col(f"`{c}`")).alias(k) for k, c in zip(names, docs.columns, strict=True)]
-    rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LEAST)).alias("id"), F.xxhash64(text).alias("th"), *kept)
+    text, names = named(text_col), [f"c{k}" for k in range(len(docs.columns))]
+    kept = [(F.split(text, "\n") if c == text_col else named(c)).alias(k) for k, c in zip(names, docs.columns, strict=True)]
+    rows = docs.select(F.coalesce(named(id_col).cast("long"), F.lit(_LEAST)).alias("id"), F.xxhash64(text).alias("th"), *kept)
     lines = names[docs.columns.index(text_col)]
     numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
     left = F.when(F.col("gone").isNull(), F.col(lines)).otherwise(F.transform(numbers, lambda k: F.get(F.col(lines), k)))

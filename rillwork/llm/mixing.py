@@ -17,6 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rillwork.functions.columns import named
 from rillwork.functions.shared import cut
 
 BLOCKS = 4096
@@ -73,8 +74,8 @@ def _entropy(r) -> float:
 def _keys(id_col: str, text_col: str, source_col: str) -> dict[str, Column]:
     """src names a source (null is one, too); kid names a document: its id, or of a null id a hash of its text."""
     return {
-        "src": F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")),
-        "kid": F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("t"), F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")))),
+        "src": F.coalesce(F.concat(F.lit("s"), named(source_col).cast("string")), F.lit("n")),
+        "kid": F.coalesce(named(id_col).cast("string"), F.concat(F.lit("t"), F.md5(F.encode(F.coalesce(named(text_col), F.lit("")), "UTF-8")))),
     }
 
 
@@ -89,7 +90,7 @@ def plan(docs: DataFrame, entropy: float | None = None, repeats: float | None =
     table gives no rows; other columns aren't read.
     """
     keys = _keys(id_col, text_col, source_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("n_tokens"), *[c.alias(k) for k, c in keys.items()])
+    rows = docs.select(named(id_col).alias("id"), named(source_col).alias("source"), n_words(named(text_col)).alias("n_tokens"), *[c.alias(k) for k, c in keys.items()])
     rows = cut(rows.withColumn("block", (_number(F.concat(F.lit("block "), "kid")) % BLOCKS).cast("int")))
     blocks = cut(rows.groupBy("src", "block").agg(F.sum("n_tokens").alias("in_block")))
     sources = blocks.groupBy("src").agg(F.sum("in_block").alias("in_source")).where("in_source > 0")
@@ -119,8 +120,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """docs with each row as often as its source's weight asks for; see plan()."""
     of = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **target).select(F.col("src").alias("__src"), F.col("kid").alias("__kid"), F.col("copies").alias("__copies")).distinct()
     keys = _keys(id_col, text_col, source_col)
-    joined = docs.join(of.hint("shuffle_hash"), (keys["src"] == F.col("__src")) & (keys["kid"] == F.col("__kid")))
-    return joined.withColumn("__pass", F.explode(F.when(F.col("__copies") > 0, F.sequence(F.lit(1), F.col("__copies"))))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in keys.items()])  # so no name of docs can clash
+    joined = rows.join(of.hint("shuffle_hash"), (F.col("src") == F.col("__src")) & (F.col("kid") == F.col("__kid")))
+    again = joined.select("row", F.explode(F.when(F.col("__copies") > 0, F.sequence(F.lit(1), F.col("__copies")))))
+    return again.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

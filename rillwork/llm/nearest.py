@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rillwork.functions.columns import named
 from rillwork.functions.shared import cut, ship
 
 #: Rows to fit the index on, at least; for each partition; rows below which there is nothing to learn from; the recall to reach
@@ -230,7 +231,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "ve
     no rows.
     """
     spark = ship(vectors.sparkSession)
-    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
+    rows = vectors.where(named(id_col).isNotNull()).select(named(id_col).cast("long").alias("id"), named(vec_col).alias("vec"))
     common = rows.where("vec IS NOT NULL").groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
     dim = common["dim"] if common else 0
     rows = rows.where(usable(F.col("vec"), dim))

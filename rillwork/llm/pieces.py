@@ -35,6 +35,15 @@ def vocabulary(proc: sentencepiece.SentencePieceProcessor) -> dict[str, int]:
     return {proc.id_to_piece(i): i for i in ids if not (proc.is_control(i) or proc.is_unknown(i) or proc.is_byte(i) or proc.is_unused(i))}
 
 
+def only_merges(proc: sentencepiece.SentencePieceProcessor, model: bytes) -> None:
+    """Raises ValueError for a model that isn't a BPE, or with pieces of the user's, which are cut out before any merge."""
+    kinds = proto.TrainerSpec
+    if proto.ModelProto.FromString(model).trainer_spec.model_type != kinds.BPE:
+        raise ValueError("only BPE models are supported")
+    if any(p.type == proto.ModelProto.SentencePiece.USER_DEFINED for p in proto.ModelProto.FromString(model).pieces):
+        raise ValueError("user-defined pieces aren't supported")
+
+
 class Normaliser:
     """The model's normaliser, compiled from the settings in its file.
 

@@ -32,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillwork.functions.columns import named
 from rillwork.functions.shared import ship
-from rillwork.llm.pieces import SPACE, Normaliser, cutter, model_bytes, processor, slices, vocabulary
+from rillwork.llm.pieces import SPACE, Normaliser, cutter, model_bytes, only_merges, processor, slices, vocabulary
 
 #: Paths that a worker keeps, the characters of the longest pre-token among them, and pair weights: some 60 MB at most.
 #: Bytes of texts in work at a time.
@@ -82,7 +83,7 @@ class Merges(dict):
         return value
 
     def weight(self, left: int, right: int) -> float:
-        if left >= len(self.names):  # the start of a path and what byte fallback reads take no part in merges
+        if max(left, right) >= len(self.names):  # the start of a path and what byte fallback reads take no part in merges
             return 0.0
         a, b = self.ends.get(left), self.starts.get(right)
         if a is None:
@@ -118,6 +119,7 @@ class Transducer(dict):
         proc = processor(model)
         size = proc.get_piece_size()
         pieces = vocabulary(proc)
+        only_merges(proc, model)
         self.cut, self.normal = cutter(pieces), Normaliser(model)
         # a lower score is a later merge; ids of equal score keep their order
         order = sorted((i for p, i in pieces.items() if len(p) > 1), key=lambda i: (-proc.get_score(i), i))
@@ -145,20 +147,26 @@ class Transducer(dict):
         self.older: dict[str, bytes] = {}
 
     def shortest(self, text: str) -> list[int]:
-        """The arcs of the shortest path over a pre-token.
+        """The arcs of the shortest path over a pre-token: relaxation over min and plus, position by position.
 
-        Weights are 0 or infinity, so the least distance of a position is the first finite one; where no longer arc has it,
-        the arc of the position's own character does.
+        A position's distance is the least of its arcs' starts' distances plus the weights. Weights aren't negative, so an arc
+        that leaves the distance 0 ends the search there, and the arc of the position's own character, the last to be
+        looked at, is only weighed where none did.
         """
         weights, single, fallback = self.merges, self.single, self.fallback
-        last, back = [self.start], [0]
+        last, back, least, known = [self.start], [0], [0.0], 0
         for c in text:
             last.append(single.get(c, fallback))
             back.append(1)
-        for at, (length, arc) in self.arcs.iter(text):
+            least.append(INFINITY)
+        for at, (length, arc) in self.arcs.iter(text):  # all arcs, in order of their ends
+            while known < at:
+                known += 1
+                if least[known] == INFINITY:
+                    least[known] = least[known - 1] + weights[last[known - 1] << 20 | last[known]]
             end = at + 1
-            if back[end] == 1 and weights[last[end - length] << 20 | arc] < INFINITY:
-                last[end], back[end] = arc, length
+            if least[end] > 0.0 and (distance := least[end - length] + weights[last[end - length] << 20 | arc]) < least[end]:
+                last[end], back[end], least[end] = arc, length, distance
         out, end = [], len(text)
         while end:
             out.append(last[end])
@@ -240,7 +248,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 yield pa.RecordBatch.from_pydict(columns | ({"text": pa.array(texts, pa.string())} if keep_text else {}))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, n_tokens bigint, ids array<int>, round_trip boolean" + ", text string" * keep_text).withColumnRenamed("id", id_col)
 
 
@@ -255,7 +263,7 @@ def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model
             yield pa.RecordBatch.from_pydict({"id": b.column(0), "text": pa.array(texts, pa.string())})
 
     kind = coded.schema[id_col].dataType.simpleString()
-    return coded.select(F.col(id_col).alias("id"), ids_col).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return coded.select(named(id_col).alias("id"), named(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rillwork.functions.columns import named
 from rillwork.functions.shared import cut
 
 #: Thousands of slots; the bound of every table of slots below.
@@ -18,7 +19,7 @@ SLOTS = 16384
 
 def slot_of(id_col: str, text_col: str, n_slots: int = SLOTS) -> Column:
     """The virtual slot: a hash of the id; of a null id, of the text's hash, so that null ids don't share a slot."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), F.coalesce(F.crc32(F.encode(text_col, "UTF-8")), F.lit(0)).cast("string")))), F.lit(n_slots)).cast("int")
+    return F.pmod(F.xxhash64(F.coalesce(named(id_col).cast("string"), F.concat(F.lit("null "), F.coalesce(F.crc32(F.encode(named(text_col), "UTF-8")), F.lit(0)).cast("string")))), F.lit(n_slots)).cast("int")
 
 
 def _joins(slot: str, count) -> Column:
@@ -68,12 +69,12 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     vslot. map: version, vslot, shard, bytes, rows.
 
     A place is the number of rows in the shard's earlier slots plus the place within the slot, so no task ever holds a
-    shard. Defined cases: a null text has no bytes and the checksum 0; rows that repeat an id share its slot and are
-    placed in order of checksum and size; a null id is placed by its text; other columns are not read; an empty table
+    shard, or all rows of one id. Defined cases: a null text has no bytes and the checksum 0; rows that repeat an id share its slot and are
+    placed in parts by their checksums; a null id is placed by its text; other columns are not read; an empty table
     gives no rows and a map with zero bytes.
     """
-    body = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    rows = cut(docs.select(F.col(id_col).alias("id"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), slot_of(id_col, text_col, n_slots).alias("vslot")))
+    body = F.encode(F.coalesce(named(text_col), F.lit("")), "UTF-8")
+    rows = cut(docs.select(named(id_col).alias("id"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), slot_of(id_col, text_col, n_slots).alias("vslot"), F.monotonically_increasing_id().alias("row")))
     load = cut(rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")))
     now = first_map(docs.sparkSession, shards, n_slots)
     both = now.unionByName(grow(now, shards)).join(F.broadcast(load), "vslot", "left").select("version", "vslot", "shard", F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("rows", F.lit(0)).alias("rows"))
@@ -81,8 +82,13 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     start = F.sum("rows").over(Window.partitionBy("shard").orderBy("vslot")) - F.col("rows")
     place = both.where(F.col("version") == shards).select("vslot", "shard", start.alias("start"))
     place = place.join(both.where(F.col("version") == shards + 1).select("vslot", F.col("shard").alias("grown_shard")), "vslot")
-    within = F.row_number().over(Window.partitionBy("vslot").orderBy("id", "text_crc32", "size")) - 1
-    out = rows.withColumn("within", within).join(F.broadcast(place), "vslot")
+    # An id that many rows repeat is one slot, so a slot's rows are numbered in parts, after the sizes of the parts before.
+    parted = rows.withColumn("part", (F.shiftright("text_crc32", 26) * 16 + F.pmod("row", F.lit(16))).cast("int"))
+    sizes = parted.groupBy("vslot", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("vslot", "part", (F.sum("n").over(Window.partitionBy("vslot").orderBy("part")) - F.col("n")).alias("before"))  # 1,024 parts of a slot
+    within = F.row_number().over(Window.partitionBy("vslot", "part").orderBy("id", "text_crc32", "size")) - 1
+    numbered = parted.withColumn("within", within).join(before, ["vslot", "part"]).withColumn("within", F.col("within") + F.col("before"))
+    out = numbered.join(F.broadcast(place), "vslot")
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("within")).cast("long").alias("slot"), "grown_shard", "vslot"), both
 
 

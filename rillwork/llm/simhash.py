@@ -33,7 +33,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillwork.functions.columns import named
 from rillwork.functions.shared import cut, ship
+from rillwork.llm import bits as bit_table
 from rillwork.llm.links import components
 
 BITS, SEGMENTS = 4, (13, 13, 13, 13, 12)
@@ -83,7 +85,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    return docs.select(named(id_col).alias("id"), named(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
 
 
 def _keys(fp: Column) -> list[Column]:
@@ -292,7 +294,7 @@ def similar_groups(rows: DataFrame, number: str, text: str, words_each: int = 5,
     """
     part, whole = threshold
     ship(rows.sparkSession)
-    texts = rows.select(F.col(number).alias("number"), F.col(text).alias("text"))
+    texts = rows.select(named(number).alias("number"), named(text).alias("text"))
     sent = rows.sparkSession.sparkContext.broadcast(frequent(texts, words_each))  # SLOTS bytes
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,14 +314,15 @@ def similar_groups(rows: DataFrame, number: str, text: str, words_each: int = 5,
 
     def verified(edges: DataFrame) -> DataFrame:
         edges = cut(edges)
-        asked = edges.select(F.col("a").alias("number")).unionByName(edges.select(F.col("b").alias("number"))).distinct()
-        held = cut(texts.join(asked, "number", "left_semi").mapInArrow(sets, "number bigint, set array<bigint>"))
+        asked = cut(edges.select(F.col("a").alias("number")).unionByName(edges.select(F.col("b").alias("number"))).distinct())
+        key = F.xxhash64("number")
+        some = bit_table.mark(texts, cut(bit_table.build(asked, key)), key, "asked").where("asked").select("number", "text")  # so few other texts are shuffled
+        held = cut(some.join(asked, "number", "left_semi").mapInArrow(sets, "number bigint, set array<bigint>"))
         both = edges.join(held.toDF("a", "set_a"), "a").join(held.toDF("b", "set_b"), "b")
         return cut(both.where(F.size(F.array_intersect("set_a", "set_b")) * (part + whole) >= (F.size("set_a") + F.size("set_b")) * part).select("a", "b"))
 
     prints = cut(texts.mapInArrow(sketch, "number bigint, words bigint, fp bigint, keys array<bigint>"))
-    first = prints.groupBy("words").agg(F.min("number").alias("number"))
-    distinct = cut(prints.join(first.select("number"), "number", "left_semi"))
+    distinct = cut(prints.groupBy("words").agg(F.min("number").alias("number"), F.min_by("fp", "number").alias("fp")))
 
     reps = cut(distinct.groupBy("fp").agg(F.min("number").alias("rep")))
     same = distinct.join(reps, "fp").where("number <> rep").select(F.col("rep").alias("a"), F.col("number").alias("b"))
@@ -327,10 +330,11 @@ def similar_groups(rows: DataFrame, number: str, text: str, words_each: int = 5,
     near = verified(same.unionByName(pairs).distinct())
     of_near = cut(components(near).toDF("node", "root"))
 
-    grouped = distinct.join(of_near, F.col("number") == F.col("node"), "left").select("number", "fp", "keys", F.coalesce("root", "number").alias("group"))
+    grouped = distinct.join(of_near, F.col("number") == F.col("node"), "left").select("number", "fp", F.coalesce("root", "number").alias("group"))
+    grouped = prints.select("number", "keys").join(grouped, "number")
     others = verified(meet(grouped.select(F.posexplode("keys").alias("pos", "key"), "number", "fp", "group")))
     roots = components(near.unionByName(others)).toDF("first", "root")
-    of_text = first.select("words", F.col("number").alias("first")).join(roots, "first", "left").select("words", F.coalesce("root", "first").alias("group"))
+    of_text = distinct.select("words", F.col("number").alias("first")).join(roots, "first", "left").select("words", F.coalesce("root", "first").alias("group"))
     return prints.select("number", "words").join(of_text, "words").select("number", "group")
 
 

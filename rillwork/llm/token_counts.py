@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillwork.functions.columns import named
 from rillwork.functions.shared import ship
 from rillwork.llm.pieces import SPACE, Normaliser, cutter, model_bytes, processor, vocabulary
 
@@ -69,7 +70,7 @@ _SUMMARY = pa.schema([("words", pa.string()), ("counts", pa.list_(pa.int64()))])
 
 def frequent_pretokens(docs: DataFrame, text_col: str, model: bytes, most: int = FREQUENT) -> list[str]:
     """Up to `most` pre-tokens that are frequent in the whole column; an estimate, which only speed depends on."""
-    texts = docs.select(text_col)
+    texts = docs.select(named(text_col))
     each = min(SUMMARY, max(FEWEST, ENTRIES // max(1, texts.rdd.getNumPartitions())))
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +114,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([b.column(0), b.column(2), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
+    rows = docs.select(named(id_col).alias("id"), named(text_col).alias("text"), F.coalesce(F.octet_length(named(text_col)), F.lit(0)).cast("long").alias("n_bytes"))
     out = rows.mapInArrow(count, f"id {kind}, n_bytes bigint, n_tokens bigint")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 

@@ -101,3 +101,20 @@ def test_encode_and_decode_tables(spark):
     back = sorted(r["text"] for r in fst.decode(coded.select("doc_id", "ids")).collect())
     assert back == sorted((t or "").replace("▁", " ") for t in texts)
     assert fst.encode(docs(spark, [])).count() == 0 == token_counts.token_counts(docs(spark, [])).count()
+
+
+def changed(**how):
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model = proto.ModelProto.FromString(model_bytes())
+    if "kind" in how:
+        model.trainer_spec.model_type = how["kind"]
+    if "own" in how:
+        model.pieces[1000].type = proto.ModelProto.SentencePiece.USER_DEFINED
+    return model.SerializeToString()
+
+
+@pytest.mark.parametrize(("how", "says"), [({"kind": 1}, "only BPE"), ({"own": True}, "user-defined")])
+def test_other_models_are_refused(how, says):
+    with pytest.raises(ValueError, match=says):
+        fst.Transducer(changed(**how))
