@@ -42,6 +42,7 @@ def recommend(stored: DataFrame, pairs: DataFrame, item_id: int, method: str = "
     if not 1 <= n <= 100:
         raise ValueError("n is 1 to 100")
     own = stored.where((F.col("item_id") == item_id) & (F.col("method") == method)).orderBy("rank").limit(n)
-    if own.isEmpty():
-        return bought_with(pairs, item_id, n).select("rec_item_id", "score", "rank", F.lit(None).cast("string").alias("method"), F.lit("cooccurrence").alias("source"))
-    return own.select("rec_item_id", "score", "rank", "method", F.lit("model").alias("source"))
+    own = own.select("rec_item_id", "score", "rank", "method", F.lit("model").alias("source"))
+    other = bought_with(pairs, item_id, n).select("rec_item_id", "score", "rank", F.lit(None).cast("string").alias("method"), F.lit("cooccurrence").alias("source"))
+    there = own.select(F.lit(True).alias("found")).limit(1)  # one row at most, known when the query runs
+    return own.unionByName(other.join(F.broadcast(there), F.col("found"), "left_anti"))
