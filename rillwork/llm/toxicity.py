@@ -4,17 +4,20 @@ Texts are compressed in windows of WINDOW words, one every STRIDE words, with di
 gain of a window is how many bytes shorter a toxic dictionary makes it than the ordinary one. The score is a logistic
 function of a few statistics of a text's gains (their largest, their mean, the shares of windows above fixed gains ...).
 
-The ordinary dictionary is trained by zstandard on ordinary texts. Most of a toxic text is ordinary prose, and a dictionary
-trained on whole toxic texts tells little, so a toxic dictionary is the ordinary one's content followed by those stretches
-of the words of toxic texts whose character n-grams are found in far more toxic than ordinary texts, the most frequent
+The ordinary dictionaries are trained by zstandard on ordinary texts. Most of a toxic text is ordinary prose, and a dictionary
+trained on whole toxic texts tells little, so a toxic dictionary is an ordinary one's content followed by those stretches
+of the words of toxic texts whose character n-grams take a far larger share of toxic than of ordinary texts, the most frequent
 last, where matches are cheapest: both compress ordinary prose alike and a gain shows only where the toxic part matches.
-There is one for each length in GRAMS: short n-grams find words of their own, long ones new words on ordinary stems.
+
+There are two pairs (PAIRS). One has short n-grams and a large ordinary dictionary, and finds words of their own. The other
+has longer n-grams, a small ordinary dictionary, and no matches below seven bytes: it finds new words on stems that ordinary
+words share, as these are not put together from short matches in ordinary prose.
 
 The statistics that the function is fitted to are those of rows that had no part in the toxic dictionaries they are measured
 with: the labelled rows are dealt over FOLDS parts, and each is measured with dictionaries made from the others.
 
-The fit is on a sample whose size is a parameter (`toxic_rows`, `ordinary_rows`); its texts and the scan that scores are
-whole.
+The fit is on a sample whose size is a parameter (`toxic_rows`, `ordinary_rows`, and `longest`, the bytes of a text in it); its
+texts are whole, and the scan that scores reads all texts whole.
 """
 
 from __future__ import annotations
@@ -34,12 +37,17 @@ from pyspark.sql import functions as F
 from rillwork.functions.columns import named
 from rillwork.functions.shared import cut, ship
 
-WINDOW, STRIDE, GRAMS = 12, 4, (5, 8)
-ORDINARY_BYTES, TOXIC_BYTES = 65536, 4096
+WINDOW, STRIDE, TOXIC_BYTES = 12, 4, 4096
+#: The pairs of dictionaries: length of the toxic n-grams, bytes of the ordinary dictionary, shortest match in compressing.
+PAIRS = ((5, 32768, 5), (7, 8192, 7))
 #: Labelled rows to fit on.
 TOXIC_ROWS, ORDINARY_ROWS = 1500, 4000
-#: An n-gram is toxic if found in so many times more of the toxic texts than of the ordinary ones.
+#: Longer texts (bytes) are scored but not fitted on, so a fit holds at most 5,500 x 128 KB.
+LONGEST = 1 << 17
+#: An n-gram is toxic if its mean share of the words of toxic texts is so many times that of ordinary ones.
 ENRICHED, FOLDS = 20, 3
+#: What an n-gram's shares in ordinary texts are at least, in millionths.
+UNSEEN = 1000
 
 
 def windows(text: str | None, stride: int = STRIDE) -> list[bytes]:
@@ -47,27 +55,30 @@ def windows(text: str | None, stride: int = STRIDE) -> list[bytes]:
     return [b" ".join(words[i : i + WINDOW]) for i in range(0, max(1, len(words) - (WINDOW - stride)), stride)]
 
 
+def _compressor(content: bytes, shortest: int) -> zstandard.ZstdCompressor:
+    params = zstandard.ZstdCompressionParameters.from_level(
+        3, strategy=zstandard.STRATEGY_DFAST, min_match=shortest, window_log=17, hash_log=17, chain_log=16,
+        write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+    )
+    held = zstandard.ZstdCompressionDict(content)
+    held.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(dict_data=held, compression_params=params)
+
+
 @dataclass
 class Gains:
-    """Compresses windows with the ordinary and the toxic dictionaries."""
+    """Compresses windows with pairs of an ordinary and a toxic dictionary: (ordinary, toxic part) for each of PAIRS."""
 
-    ordinary: bytes
-    toxic: tuple[bytes, ...]
+    pairs: tuple[tuple[bytes, bytes], ...]
 
     def __post_init__(self):
-        self.sizes = []
-        for content in (self.ordinary, *(self.ordinary + part for part in self.toxic)):
-            held = zstandard.ZstdCompressionDict(content)
-            held.precompute_compress(level=3)
-            params = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
-            self.sizes.append(zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress)
+        self.sizes = [(_compressor(plain, shortest).compress, _compressor(plain + part, shortest).compress) for (plain, part), (_, _, shortest) in zip(self.pairs, PAIRS, strict=True)]
 
     def statistics(self, text: str | None) -> tuple[float, ...]:
-        plain, *toxic = self.sizes
         cut_up = windows(text)
-        ordinary, out = np.fromiter((len(plain(w)) for w in cut_up), float, len(cut_up)), [math.log1p(len(cut_up))]
-        for size in toxic:
-            gain = ordinary - np.fromiter((len(size(w)) for w in cut_up), float, len(cut_up))
+        out = [math.log1p(len(cut_up))]
+        for plain, toxic in self.sizes:
+            gain = np.fromiter((len(plain(w)) - len(toxic(w)) for w in cut_up), float, len(cut_up))
             top = np.sort(gain)[-3:]
             at_least = [int((gain >= g).sum()) for g in (1, 2, 3, 4)]
             out += [top[-1], top.mean(), gain.mean(), *(x / len(gain) for x in at_least[:3]), *(math.log1p(x) for x in at_least[1:])]
@@ -76,7 +87,7 @@ class Gains:
 
 @dataclass
 class Model:
-    gains: tuple[bytes, tuple[bytes, ...]]
+    gains: tuple[tuple[bytes, bytes], ...]
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
@@ -90,13 +101,26 @@ def _padded(word: bytes) -> bytes:
     return b" " + word + b" "
 
 
+def _split(text: str) -> list[bytes]:
+    return text.lower().encode().split()
+
+
 def _words(texts: list[str]) -> Counter:
     """In how many texts each word is."""
-    return Counter(w for t in texts for w in set(t.lower().encode().split()))
+    return Counter(w for t in texts for w in set(_split(t)))
+
+
+def _shares(texts: list[str]) -> Counter:
+    """Each word's shares of the words of each text, summed in millionths: a long text counts as much as a short one."""
+    out: Counter = Counter()
+    for words in map(_split, texts):
+        for w, n in Counter(words).items():
+            out[w] += round(n * 1e6 / len(words))
+    return out
 
 
 def _grams(words: Counter, size: int, of: set[bytes] | None = None) -> Counter:
-    """How often n-grams are in the words of texts, each word once a text; only those in `of`, if given."""
+    """n-grams of words, each with the sum of its words' numbers; only those in `of`, if given."""
     out: Counter = Counter()
     for word, times in words.items():
         word = _padded(word)
@@ -124,9 +148,12 @@ def _stretches(word: bytes, telling: set[bytes], size: int) -> list[bytes]:
 
 
 def _toxic_part(words: Counter, of_toxic: Counter, toxic: int, of_plain: Counter, plain: int, size: int) -> bytes:
-    """The telling stretches of the words of `toxic` texts; the counters say in how many texts words and n-grams are."""
+    """The telling stretches of the words of `toxic` texts.
+
+    `words` says in how many of them each word is, `of_toxic` and `of_plain` are the n-grams' shares of the texts.
+    """
     least = _least(toxic)
-    telling = {g for g, n in of_toxic.items() if n >= least and (of_plain[g] + 0.5) / plain < n / toxic / ENRICHED}
+    telling = {g for g, n in of_toxic.items() if (of_plain[g] + UNSEEN) / plain < n / toxic / ENRICHED}
     found: Counter = Counter()
     for w, n in words.items():
         for x in _stretches(w, telling, size):
@@ -160,23 +187,25 @@ def train(toxic: list[str], ordinary: list[str], prior: float) -> Model | None:
         return None
     folds = max(1, min(FOLDS, len(toxic), len(ordinary)))
     parts = [(toxic[k::folds], ordinary[k::folds]) for k in range(folds)]
-    words = [tuple(map(_words, part)) for part in parts]
-    all_words = sum((w[0] for w in words), Counter())
+    words, shares = [_words(bad) for bad, _ in parts], [tuple(map(_shares, part)) for part in parts]
+    all_words = sum(words, Counter())
     # n-grams that can tell in any part: few, so the ordinary texts' many others are never held
     least = min(_least(len(toxic) - len(bad)) for bad, _ in parts) if folds > 1 else _least(len(toxic))
-    often = [{g for g, n in _grams(all_words, size).items() if n >= least} for size in GRAMS]
-    grams = [[tuple(_grams(w, size, of) for w in part) for part in words] for size, of in zip(GRAMS, often, strict=True)]
+    often = [{g for g, n in _grams(all_words, size).items() if n >= least} for size, _, _ in PAIRS]
+    grams = [[tuple(_grams(w, size, of) for w in part) for part in shares] for (size, _, _), of in zip(PAIRS, often, strict=True)]
     all_grams = [[sum((g[y] for g in of_size), Counter()) for y in (0, 1)] for of_size in grams]
-    plain = _dictionary([w for t in ordinary for w in windows(t, WINDOW)], ORDINARY_BYTES) or b" " * 8
-    whole = (plain, tuple(_toxic_part(all_words, of[0], len(toxic), of[1], len(ordinary), size) for of, size in zip(all_grams, GRAMS, strict=True)))
+    samples = [w for t in ordinary for w in windows(t, WINDOW)]
+    plain = [_dictionary(samples, n) or b" " * 8 for _, n, _ in PAIRS]
+    whole = tuple((p, _toxic_part(all_words, of[0], len(toxic), of[1], len(ordinary), size)) for p, of, (size, _, _) in zip(plain, all_grams, PAIRS, strict=True))
 
     x, y = [], []
     for k, (bad, good) in enumerate(parts):
         apart = whole
         if folds > 1:
-            others = all_words - words[k][0]
-            apart = (plain, tuple(_toxic_part(others, of[0] - own[k][0], len(toxic) - len(bad), of[1] - own[k][1], len(ordinary) - len(good), size) for of, own, size in zip(all_grams, grams, GRAMS, strict=True)))
-        gains = Gains(*apart)
+            others = all_words - words[k]
+            n_toxic, n_plain = len(toxic) - len(bad), len(ordinary) - len(good)
+            apart = tuple((p, _toxic_part(others, of[0] - own[k][0], n_toxic, of[1] - own[k][1], n_plain, size)) for p, of, own, (size, _, _) in zip(plain, all_grams, grams, PAIRS, strict=True))
+        gains = Gains(apart)
         x += [gains.statistics(t) for t in bad + good]
         y += [1.0] * len(bad) + [0.0] * len(good)
     return Model(whole, *_logistic(np.array(x), np.array(y), min(max(prior, 1e-3), 1 - 1e-3)))
@@ -186,10 +215,10 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.encode(named(id_col).cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> tuple[Model | None, float]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS, longest: int = LONGEST) -> tuple[Model | None, float]:
     """A model from at most so many labelled rows that aren't held out, picked by a hash of the id; and the base rate.
 
-    Of an id that several documents have, the text of least hash is taken, whole.
+    Of an id that several documents have, the text of least hash is taken, whole; texts of more than `longest` bytes are not.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & named(id_col).isNotNull() & ~held_out(id_col)).groupBy(named(id_col).alias("label_id")).agg(F.max("toxic").alias("label"))
     rates = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -197,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = [known.where(F.col("label") == y).orderBy(F.xxhash64("label_id"), "label_id").limit(n) for y, n in ((1, toxic_rows), (0, ordinary_rows))]
     ids = cut(picked[0].unionByName(picked[1]))
     # At most toxic_rows + ordinary_rows ids, so they can be broadcast and no other text is shuffled.
-    texts = docs.select(named(id_col).alias("label_id"), named(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(ids), "label_id")
+    texts = docs.select(named(id_col).alias("label_id"), named(text_col).alias("text")).where(F.octet_length("text") <= longest).join(F.broadcast(ids), "label_id")
     rows = texts.groupBy("label_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("label", "text")
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,11 +252,11 @@ def score(docs: DataFrame, model: Model | None, prior: float, id_col: str = "doc
     kept = list(dict.fromkeys((id_col, *keep)))
     if name in kept:
         raise ValueError(f"a column is called {name} already")
-    sent = ship(docs.sparkSession).sparkContext.broadcast(model)  # three dictionaries, 210 KB
+    sent = ship(docs.sparkSession).sparkContext.broadcast(model)  # four dictionaries, 88 KB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        gains = Gains(*m.gains) if m else None
+        gains = Gains(m.gains) if m else None
         for b in batches:
             texts = b.column(b.num_columns - 1)
             s = m.scores([gains.statistics(t.as_py()) for t in texts]) if m and b.num_rows else np.full(b.num_rows, prior)
