@@ -37,25 +37,26 @@ def _carried(value: Column, window: Window) -> Column:
 def point_in_time_category(events: DataFrame, properties: DataFrame, bucket_ms: int | None = None) -> DataFrame:
     """events with categoryid: the item's newest category not later than the event, or null.
 
-    Events and snapshots are put on one time line for each item; at equal times snapshots come first, in order of value.
+    Events and snapshots are put on one time line for each item; at equal times snapshots come first, in order of their
+    categories as numbers. A snapshot without an item or a time is of no event.
     Time lines are cut into buckets of bucket_ms (None: a day): each is a window of its own that starts with the category
     carried in from the buckets before, so one busy item is spread over many tasks.
     """
-    line = categories(properties).select("itemid", "timestamp", F.col("categoryid").alias("_known"), F.col("value").alias("_value"), F.lit(0).alias("_is_event"))
+    line = categories(properties).where("itemid IS NOT NULL AND timestamp IS NOT NULL").select("itemid", "timestamp", F.col("categoryid").alias("_known"), F.lit(0).alias("_is_event"))
     both = events.withColumn("_is_event", F.lit(1)).unionByName(line, allowMissingColumns=True)
-    order = [F.col("timestamp"), F.col("_is_event"), F.col("_value")]
+    order = [F.col("timestamp"), F.col("_is_event"), F.col("_known")]
     both = both.withColumn("_bucket", F.floor(F.col("timestamp") / (bucket_ms or DAY_MS)))
-    ends = both.groupBy("itemid", "_bucket").agg(F.max_by("_known", F.when(F.col("_known").isNotNull(), F.struct("timestamp", "_value"))).alias("_last"))
+    ends = both.groupBy("itemid", "_bucket").agg(F.max_by("_known", F.when(F.col("_known").isNotNull(), F.struct("timestamp", "_known"))).alias("_last"))
     earlier = Window.partitionBy("itemid").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = ends.withColumn("_start", F.last("_last", ignorenulls=True).over(earlier)).select(F.col("itemid").alias("_item"), F.col("_bucket").alias("_at"), "_start")
     inside = both.withColumn("_inside", _carried(F.col("_known"), Window.partitionBy("itemid", "_bucket").orderBy(*order))).where("_is_event = 1")
     joined = inside.join(starts, (F.col("itemid") == F.col("_item")) & (F.col("_bucket") == F.col("_at")), "left")
-    return joined.withColumn("categoryid", F.coalesce("_inside", "_start")).drop("_known", "_value", "_is_event", "_bucket", "_inside", "_item", "_at", "_start")
+    return joined.withColumn("categoryid", F.coalesce("_inside", "_start")).drop("_known", "_is_event", "_bucket", "_inside", "_item", "_at", "_start")
 
 
 def newest(snapshots: DataFrame) -> DataFrame:
-    """Of (itemid, timestamp, value, categoryid) each item's newest row, of equal times the one of the largest value."""
-    last = F.max_by(F.struct("timestamp", "value", "categoryid"), F.struct("timestamp", "value"))
+    """Of (itemid, timestamp, value, categoryid) each item's newest row, of equal times the one of the largest category, as a number."""
+    last = F.max_by(F.struct("timestamp", "value", "categoryid"), F.struct("timestamp", "categoryid", "value"))
     return snapshots.groupBy("itemid").agg(last.alias("_last")).select("itemid", "_last.timestamp", "_last.value", "_last.categoryid")
 
 

@@ -28,6 +28,15 @@ def test_category_at_event_time(spark, bucket):
     assert got == {7: None, 8: None, 40: 3, 41: 3, 777: 9, 9001: 9, 9002: None}
 
 
+@pytest.mark.parametrize("bucket", [None, 1000, 3])
+def test_categories_of_equal_times_are_compared_as_numbers(spark, bucket):
+    seen = spark.createDataFrame([(t, 4, "view", i, None) for t, i in ((50, 31), (51, 31), (9001, 31), (60, None), (None, 31))], EVENTS)
+    props = spark.createDataFrame([(50, 31, "categoryid", v) for v in ("9", "10", "2")] + [(40, None, "categoryid", "7"), (None, 31, "categoryid", "8")], schemas.ITEM_PROPERTIES)
+    got = rows(events.point_in_time_category(seen, props, bucket), "timestamp", "itemid", "categoryid")
+    assert got == [(50, 31, 10), (51, 31, 10), (60, None, None), (9001, 31, 10), (None, 31, None)]
+    assert rows(events.latest_item_snapshot(props.where("timestamp = 50")), "itemid", "categoryid") == [(31, 10)]
+
+
 def test_latest_snapshot(spark):
     props = spark.createDataFrame([(1, 1, "categoryid", "10"), (9, 1, "categoryid", "20"), (9, 1, "available", "1")], schemas.ITEM_PROPERTIES)
     assert rows(events.latest_item_snapshot(props), "itemid", "categoryid") == [(1, 20)]
