@@ -202,19 +202,20 @@ def _open_parts(placed: DataFrame, nearest: DataFrame, pivots: Broadcast, low: n
     return placed.join(last, "id", "left").select("id", "vec", "part", "last").mapInArrow(run, "id bigint, vec array<double>, part int")
 
 
-def top_n_neighbors(vectors: DataFrame, top_n: int = TOP_N, digits: int | None = None, pivots: int | None = None, report: dict[str, float] | None = None) -> DataFrame:
+def top_n_neighbors(vectors: DataFrame, top_n: int = TOP_N, digits: int | None = None, pivots: int | None = None, report: dict[str, float] | None = None, of: list[int] | None = None) -> DataFrame:
     """(item_id, rec_item_id, score, rank) of (id, vec array<double>): each item's nearest by cosine, ties to smaller ids.
 
     Exact, without all pairs where vectors cluster. Items are filed under the nearest of some pivots and compared within their
     part first. The last of the best so far bounds how far away a better one can be, and by the triangle inequality an item skips
     the parts that are farther. What is left is compared in blocks: a task has two blocks of BLOCK, and no pair leaves it
     but the best. Vectors without a length have no neighbours. digits rounds the scores before they are ranked. report gets `skipped`, the
-    share of pairs of an item and a part that weren't compared.
+    share of pairs of an item and a part that weren't compared. of names the items whose neighbours are wanted (None: all); the
+    candidates are all items even so.
     """
     rows = cut(vectors.where("id IS NOT NULL AND vec IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")))
     spark, total = ship(rows.sparkSession), rows.count()
-    wanted = pivots or max(1, min(PIVOTS, total // BLOCK))
-    first = _vectors(rows.where(F.exists("vec", lambda v: v != 0)).orderBy(F.xxhash64("id"), "id").limit(wanted).toArrow()["vec"])  # PIVOTS at most
+    several = pivots or max(1, min(PIVOTS, total // BLOCK))
+    first = _vectors(rows.where(F.exists("vec", lambda v: v != 0)).orderBy(F.xxhash64("id"), "id").limit(several).toArrow()["vec"])  # PIVOTS at most
     if not len(first):
         return spark.createDataFrame([], "item_id bigint, rec_item_id bigint, score double, rank int")
     compare = _Compare(top_n, digits)
@@ -223,13 +224,14 @@ def top_n_neighbors(vectors: DataFrame, top_n: int = TOP_N, digits: int | None =
     sizes = np.zeros(len(first), np.int64)
     for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a part
         sizes[r["part"]] = r["n"]
+    asking = placed if of is None else placed.where(F.col("id").isin(of))
     if len(first) == 1:
-        return _ranked(_meet(placed, placed, sizes, compare), top_n)
+        return _ranked(_meet(asking, placed, sizes, compare), top_n)
     low, high = _intervals(placed, held)
-    near = cut(_ranked(_meet(placed, placed, sizes, compare), top_n).drop("rank"))
-    asks = cut(_open_parts(placed, near, held, low, high, compare))
+    near = cut(_ranked(_meet(asking, placed, sizes, compare), top_n).drop("rank"))
+    asks = cut(_open_parts(asking, near, held, low, high, compare))
     if report is not None:
-        report["skipped"] = 1 - asks.count() / max(1, int(sizes.sum()) * (len(first) - 1))
+        report["skipped"] = 1 - asks.count() / max(1, asking.count() * (len(first) - 1))
     return _ranked(near.unionByName(_meet(asks, placed, sizes, compare)), top_n)
 
 

@@ -141,7 +141,8 @@ def _freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = cut(recommend.top_n_neighbors(_embeddings(spark, sf_dir), digits=6).withColumn("method", F.lit("als")))
+    """The neighbours of the item that is asked for, among all items; the other items' aren't made only to be dropped."""
+    stored = cut(recommend.top_n_neighbors(_embeddings(spark, sf_dir), digits=6, of=[10]).withColumn("method", F.lit("als")))
     return serving.recommend(stored, Model(spark, sf_dir, DAY_S).pairs, 10, "als", 15)
 
 

@@ -104,6 +104,14 @@ def test_neighbours_with_skipped_parts_are_exact(spark, rows, pivots, monkeypatc
     assert report["skipped"] > 0.8 or len(rows) != 600
 
 
+@pytest.mark.parametrize("pivots", [1, 8])
+def test_neighbours_of_asked_items_only(spark, pivots, monkeypatch):
+    monkeypatch.setattr(recommend, "BLOCK", 40)
+    data = clustered(300, 30)
+    got = recommend.top_n_neighbors(spark.createDataFrame(data, "id long, vec array<double>"), 5, 6, pivots, of=[7, 11, 999])
+    assert {(r["item_id"], r["rec_item_id"], r["rank"]) for r in got.collect()} == {r for r in brute_neighbours(data, 5, 6) if r[0] in (7, 11)}
+
+
 def test_crowded_values_are_ordered_in_parts(spark):
     rng = random.Random(2)
     data = [(0.5 + rng.randint(0, 900) / 1e6, int(rng.random() < 0.3)) for _ in range(3000)]
