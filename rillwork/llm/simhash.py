@@ -19,8 +19,10 @@ spanning forest of all its links, so a large group of near copies costs little m
 Four bits of 64 are copies of a Jaccard similarity of about 0.96. `similar_groups` finds less similar texts, from 0.8 of their
 sets of five-word shingles on. What meets under a fingerprint's key and differs in at most NEAR bits is verified on the
 shingles themselves. The pairs whose fingerprints share no key are met under their rarest shingles: of two sets with that similarity,
-one of the first fifth of each is the same, in any order that is the same for all (a prefix filter). There, entries are
-compared by their fingerprints again, of which WIDE bits may differ, and verified.
+one of the first fifth of each is the same, in any order that is the same for all (a prefix filter). Large runs are walked
+by fingerprints first, of which WIDE bits may differ, and what is verified of that becomes one group. Then, in runs of any size, all
+entries of different groups are compared by what no similar pair can break: the sizes of their sets, and the parities of
+their hashes by FOLDS * 64 slots, which differ in no more slots than the sets do in hashes. What is left is verified, so no pair is missed.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillwork.functions.columns import named
@@ -45,6 +47,8 @@ DENSE = 48
 NEAR, WIDE = 8, 21
 #: Entries of the table of frequent shingles, and entries of a shingle's run that are held at a time.
 SLOTS, RUN = 1 << 20, 1 << 14
+#: Longs of a set's parities, and entries of a run's block where all are compared.
+FOLDS, BLOCK = 4, 256
 
 
 def shingles(text: str | None, words_each: int) -> np.ndarray:
@@ -285,14 +289,44 @@ def meet(keyed: DataFrame, bits: int = WIDE) -> DataFrame:
     return dealt.drop("pos").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """FOLDS longs: for each of their bits whether an odd number of the set's hashes falls on it."""
+    odd = np.bincount((own >> np.uint64(40)).astype(np.int64) % (64 * FOLDS), minlength=64 * FOLDS) % 2
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
+def unlike(shared: DataFrame, facts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(a, b) with a < b: all pairs of entries (key, number, group) under a key that may be similar and aren't of one group.
+
+    facts has each number's `size` and parities `fold0`... A run's largest group isn't compared with itself, and what is
+    compared is dealt into blocks, so the work of a key is that of two blocks.
+    """
+    part, whole = threshold
+    sizes = shared.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("group", F.struct("n", "group")).alias("top"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = sizes.where(F.col("most") < F.col("all")).select("key", "top", blocks(F.col("all") - F.col("most")).alias("across"), blocks(F.col("all")).alias("down"))
+    entry = shared.join(mixed, "key").join(facts, "number")
+    own = lambda n: F.pmod(F.xxhash64("number"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    given = ["number", "group", "size", *(f"fold{k}" for k in range(FOLDS))]
+    x = entry.where("group <> top").select("key", own("across").alias("across"), every("down").alias("down"), *[F.col(c).alias(f"x_{c}") for c in given])
+    y = entry.select("key", every("across").alias("across"), own("down").alias("down"), F.col("group").eqNullSafe(F.col("top")).alias("is_top"), *[F.col(c).alias(f"y_{c}") for c in given])
+    differing = sum((F.bit_count(F.col(f"x_fold{k}").bitwiseXOR(F.col(f"y_fold{k}"))) for k in range(FOLDS)), F.lit(0))
+    less, more = F.least("x_size", "y_size"), F.greatest("x_size", "y_size")
+    fits = (less * whole >= more * part) & (differing * (part + whole) <= (less + more) * (whole - part))
+    met = x.join(y, ["key", "across", "down"]).where((F.col("x_group") != F.col("y_group")) & (F.col("is_top") | (F.col("x_number") < F.col("y_number"))) & fits)
+    return met.select(F.least("x_number", "y_number").alias("a"), F.greatest("x_number", "y_number").alias("b")).distinct()
+
+
 def similar_groups(rows: DataFrame, number: str, text: str, words_each: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """(number, group) of rows told apart by the long `number`: group is the smallest number of those reachable by similar pairs.
 
     Similar are texts of equal words (but for the case of A-Z), and pairs whose sets of shingles have a Jaccard similarity of
-    `threshold` or more; every pair is verified. Not every pair is made: within a run of more than DENSE entries under a
-    key enough of them that what is similar is joined. Texts without words are equal.
+    `threshold` or more; every pair is verified. Not every pair is made: what is joined already isn't compared again. No
+    group is missed by that. Texts without words are equal.
     """
     part, whole = threshold
+    known = ["fp", "size", *(f"fold{k}" for k in range(FOLDS))]
     ship(rows.sparkSession)
     texts = rows.select(named(number).alias("number"), named(text).alias("text"))
     sent = rows.sparkSession.sparkContext.broadcast(frequent(texts, words_each))  # SLOTS bytes
@@ -300,12 +334,16 @@ def similar_groups(rows: DataFrame, number: str, text: str, words_each: int = 5,
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words, fps, keys = np.empty(b.num_rows, np.uint64), np.empty(b.num_rows, np.uint64), []
+            sizes, folds = np.empty(b.num_rows, np.int32), np.empty((b.num_rows, FOLDS), np.int64)
             for k, t in enumerate(b.column(1)):
                 t = t.as_py()
                 own = shingles(t, words_each)
                 words[k], fps[k] = xxhash.xxh64_intdigest(b" ".join((t or "").encode().lower().split()), 7), _majority(own)
-                keys.append(first_shingles(np.unique(own), sent.value, threshold).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words.view(np.int64)), pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["number", "words", "fp", "keys"])
+                own = np.unique(own)
+                sizes[k], folds[k] = len(own), parities(own)
+                keys.append(first_shingles(own, sent.value, threshold).view(np.int64))
+            columns = [b.column(0), pa.array(words.view(np.int64)), pa.array(fps.view(np.int64)), pa.array(sizes), *map(pa.array, folds.T), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["number", "words", *known, "keys"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -321,19 +359,25 @@ def similar_groups(rows: DataFrame, number: str, text: str, words_each: int = 5,
         both = edges.join(held.toDF("a", "set_a"), "a").join(held.toDF("b", "set_b"), "b")
         return cut(both.where(F.size(F.array_intersect("set_a", "set_b")) * (part + whole) >= (F.size("set_a") + F.size("set_b")) * part).select("a", "b"))
 
-    prints = cut(texts.mapInArrow(sketch, "number bigint, words bigint, fp bigint, keys array<bigint>"))
-    distinct = cut(prints.groupBy("words").agg(F.min("number").alias("number"), F.min_by("fp", "number").alias("fp")))
+    prints = cut(texts.mapInArrow(sketch, f"number bigint, words bigint, fp bigint, size int, {', '.join(f'fold{k} bigint' for k in range(FOLDS))}, keys array<bigint>"))
+    distinct = cut(prints.groupBy("words").agg(F.min("number").alias("number"), F.min_by(F.struct(*known), "number").alias("of")).select("words", "number", "of.*"))
 
     reps = cut(distinct.groupBy("fp").agg(F.min("number").alias("rep")))
     same = distinct.join(reps, "fp").where("number <> rep").select(F.col("rep").alias("a"), F.col("number").alias("b"))
     pairs = link(reps.select("fp"), NEAR).join(reps.toDF("a", "at_a"), "a").join(reps.toDF("b", "at_b"), "b").select(F.least("at_a", "at_b").alias("a"), F.greatest("at_a", "at_b").alias("b"))
-    near = verified(same.unionByName(pairs).distinct())
-    of_near = cut(components(near).toDF("node", "root"))
-
-    grouped = distinct.join(of_near, F.col("number") == F.col("node"), "left").select("number", "fp", F.coalesce("root", "number").alias("group"))
-    grouped = prints.select("number", "keys").join(grouped, "number")
-    others = verified(meet(grouped.select(F.posexplode("keys").alias("pos", "key"), "number", "fp", "group")))
-    roots = components(near.unionByName(others)).toDF("first", "root")
+    joined = cut(components(verified(same.unionByName(pairs).distinct())).toDF("b", "a"))
+
+    def grouped(df: DataFrame) -> DataFrame:
+        return df.join(joined.toDF("number", "root"), "number", "left").withColumn("group", F.coalesce("root", "number")).drop("root")
+
+    keyed = prints.select("number", "keys").join(grouped(distinct.select("number")), "number").select(F.posexplode("keys").alias("pos", "key"), "number", "group")
+    run = Window.partitionBy("key")
+    shared = keyed.withColumns({"least": F.min("group").over(run), "most": F.max("group").over(run), "n": F.count(F.lit(1)).over(run)})
+    shared = cut(shared.where("least < most").select("key", "pos", "number", "group", "n"))  # few shingles are in two groups
+    walked = verified(meet(shared.where(F.col("n") > DENSE).join(distinct.select("number", "fp"), "number")))
+    joined = cut(components(joined.unionByName(walked)).toDF("b", "a"))
+    rest = verified(unlike(grouped(shared.select("key", "number")), distinct.select("number", *known[1:]), threshold))
+    roots = components(joined.unionByName(rest)).toDF("first", "root")
     of_text = distinct.select("words", F.col("number").alias("first")).join(roots, "first", "left").select("words", F.coalesce("root", "first").alias("group"))
     return prints.select("number", "words").join(of_text, "words").select("number", "group")
 

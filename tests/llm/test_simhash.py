@@ -102,3 +102,37 @@ def test_null_and_repeated_ids_and_empty_tables(spark):
     rows = simhash.simhash_groups(docs(spark, [t[0], t[0], t[0], t[1]], [None, 5, 5, None])).collect()
     assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in rows) == [("5", "5"), ("5", "5"), ("None", "5"), ("None", "None")]
     assert simhash.simhash_groups(docs(spark, [])).count() == 0
+
+
+def brute_similar(texts):
+    sets = [set(simhash.shingles(t, 5).tolist()) for t in texts]
+    up = list(range(len(texts)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b) and top(i) != top(j):
+                low, high = sorted((top(i), top(j)))
+                up[high] = low
+    return {i: top(i) for i in range(len(texts))}
+
+
+def test_similar_texts_whose_fingerprints_are_far_apart(spark):
+    """Repeats turn a text's fingerprint but not its set of shingles; and a run of many texts of which some are similar."""
+    rng, base = random.Random(8), prose(12, 9, 120)
+    often = [" ".join(prose(1, 90 + k, 5)[0].split()[:5]) for k in range(4)]
+    texts = base + [t + " " + " ".join([rng.choice(often)] * 300) for t in base for _ in range(2)]
+    core = base[0].split()
+    for k in range(90):  # more than DENSE under their rarest shingles, at similarities from 0.6 on
+        words = list(core)
+        for at in rng.sample(range(len(words)), rng.randint(1, 7)):
+            words[at] = f"other{k}x{at}"
+        texts.append(" ".join(words) + (" " + " ".join([often[k % 4]] * 200) if k % 3 == 0 else ""))
+    rng.shuffle(texts)
+    want = brute_similar(texts)
+    got = {r["number"]: r["group"] for r in simhash.similar_groups(docs(spark, texts), "doc_id", "text").collect()}
+    assert got == want and len(set(want.values())) > 12
