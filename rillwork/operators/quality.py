@@ -82,7 +82,7 @@ CHECKS = SOURCE_CHECKS + MART_CHECKS
 
 
 def _entries(table: str, df: DataFrame, checks: list[tuple[int, Check]]) -> DataFrame | None:
-    """(number, key, parent, n): what a table's rows give to the checks, in one scan of it, counted before the shuffle.
+    """(number, key, parent): what a table's rows give to the checks, in one scan of it.
 
     A row gives the number of each check that it breaks by itself, and its value to each check that counts values, as a
     child or as a parent.
@@ -98,8 +98,7 @@ def _entries(table: str, df: DataFrame, checks: list[tuple[int, Check]]) -> Data
             given.append(entry(k, F.col(c.parent[1]).cast("string"), True, F.col(c.parent[1]).isNotNull()))
     if not given:
         return None
-    rows = df.select(F.explode(F.filter(F.array(*given), lambda e: e.isNotNull())).alias("e")).select("e.*")
-    return rows.groupBy("number", "key", "parent").agg(F.count(F.lit(1)).alias("n"))
+    return df.select(F.explode(F.filter(F.array(*given), lambda e: e.isNotNull())).alias("e")).select("e.*")
 
 
 def run_checks(tables: Tables, checks: tuple[Check, ...] = CHECKS) -> DataFrame:
@@ -108,8 +107,7 @@ def run_checks(tables: Tables, checks: tuple[Check, ...] = CHECKS) -> DataFrame:
     numbered = [(k, c) for k, c in enumerate(checks) if c.table in tables]
     found = [e for t, df in tables.items() if (e := _entries(t, df, numbered)) is not None]
     names = spark.createDataFrame([(k, c.name, c.table, c.column, 0 if c.broken else 2 if c.parent else 1) for k, c in numbered], "number int, check_name string, table_name string, column_name string, kind int")
-    child, parent = F.sum(F.when(~F.col("parent"), F.col("n"))), F.bool_or("parent")
-    keys = reduce(DataFrame.unionByName, found).groupBy("number", "key").agg(F.coalesce(child, F.lit(0)).alias("n"), parent.alias("known"))
+    keys = reduce(DataFrame.unionByName, found).groupBy("number", "key").agg(F.count_if(~F.col("parent")).alias("n"), F.bool_or("parent").alias("known"))  # one shuffle, counted before it
     counts = keys.groupBy("number").agg(F.sum("n").alias("rows"), F.count_if(F.col("n") > 1).alias("again"), F.sum(F.when(~F.col("known"), F.col("n")).otherwise(0)).alias("orphans"))
     of_kind = F.when(F.col("kind") == 0, F.col("rows")).when(F.col("kind") == 1, F.col("again")).otherwise(F.col("orphans"))
     return names.join(counts, "number", "left").select("check_name", "table_name", "column_name", F.coalesce(of_kind, F.lit(0)).cast("long").alias("violations"))

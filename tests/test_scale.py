@@ -221,3 +221,10 @@ def test_pairs_are_retracted_and_added(spark, tmp_path):
             jobs.keep_pairs(spark, lake, Days(first + timedelta(d), first + timedelta(d + 1)))
         got = {(r["item_a"], r["item_b"], r["weight"]) for r in lake.read(spark, "gold/cooccur_pairs").collect()}
         assert got == brute_pairs([((v, d), i) for d, _, v, i in rows], 1)
+
+
+def test_keys_of_checks_are_shuffled_once(spark, tmp_path):
+    spark.range(500).select((F.col("id") % 400).alias("k")).write.parquet(f"{tmp_path}/t")
+    df = quality.run_checks({"t": spark.read.parquet(f"{tmp_path}/t")}, (quality.unique("t", "k"),))
+    assert df.first()["violations"] == 100
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2  # by key, and by check
