@@ -8,7 +8,8 @@ similarity of at least THRESHOLD with it (equal lines have 1). The join is exact
   n - ceil(t n) + 1;
 * length: the smaller has at least t times as many words as the larger;
 * positional: what follows the shared word in both lines must be enough for the overlap that the threshold asks for;
-* a 256-bit map of each line's words bounds how many words two lines don't share.
+* a 256-bit map of each line's words bounds how many words two lines don't share; the join's rows carry it folded to 128 bits,
+  which bounds the same.
 
 Equal lines are one entry, found by a grouping with map-side aggregation. Of large groups of alike lines not all pairs are
 made: a line is first compared only with the earliest line of each of a few keys and with some lines of its family, and
@@ -127,12 +128,19 @@ def _maps(parted: Column) -> list[Column]:
     return [quarter(k) for k in range(4)]
 
 
+def _folded() -> list[Column]:
+    """The map's halves laid over each other: a bit in which two of these differ is a word that one line lacks, as before."""
+    return [F.col(a).bitwiseOR(F.col(b)).alias(c) for a, b, c in zip(_MAPS[:2], _MAPS[2:], _FOLDED, strict=True)]
+
+
 def _alike(x: str, y: str, need: str, room: int = 1) -> str:
     """Whether the maps of two lines leave room for the overlap that is needed, or for `room` times the differences."""
     return f"bit_count({x}sig ^ {y}sig) + bit_count({x}sig2 ^ {y}sig2) + bit_count({x}sig3 ^ {y}sig3) + bit_count({x}sig4 ^ {y}sig4) <= {room} * ({x}n + {y}n - 2 * {need})"
 
 
 _MAPS = ("sig", "sig2", "sig3", "sig4")
+#: What is left of them in the join proper, which is most of the disk: half as many bytes.
+_FOLDED = ("map", "map2")
 #: Where the second, third and fourth quarter of the longs begin.
 _BOUNDS = (-(1 << 62), 0, 1 << 62)
 
@@ -200,12 +208,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # alone, so both sides are one exchange, read twice. `is` holds a line's words, the word's position and whether it is gone.
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.coalesce("gone", F.lit(False)).cast("long"))
     marked = first.join(early.hint("shuffle_hash"), "lh", "left").select("lh", "id", "n", "gone", *_MAPS, F.posexplode("head").alias("pos", "word"))
-    marked = marked.select("word", "lh", "id", packed.alias("is"), *_MAPS)
+    marked = marked.select("word", "lh", "id", packed.alias("is"), *_folded())
     m, n = (f"CAST(shiftright({side}.is, 32) AS INT)" for side in "xy")
     at_x, at_y = (f"CAST(shiftright({side}.is & 4294967295, 1) AS INT)" for side in "xy")
     open_ = "((y.is & 1) = 0 AND x.id <= y.id OR (x.is & 1) = 0 AND y.id <= x.id)"
     need = _overlap(t, m, n)
-    differ = " + ".join(f"bit_count(x.{sig} ^ y.{sig})" for sig in _MAPS)
+    differ = " + ".join(f"bit_count(x.{sig} ^ y.{sig})" for sig in _FOLDED)
     on = (
         f"x.word = y.word AND ({m} < {n} OR {m} = {n} AND x.lh < y.lh) AND {m} * {t[1]} >= {n} * {t[0]} AND {open_}"
         f" AND {at_x} < {_index_prefix(t, f'least({m}, {n})')} AND least({m} - {at_x}, {n} - {at_y}) >= {need} AND {differ} <= {m} + {n} - 2 * {need}"
