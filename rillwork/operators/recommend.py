@@ -24,8 +24,12 @@ WEIGHTS = {"view": 1.0, "addtocart": 3.0, "transaction": 5.0}
 TOP_N, CANDIDATE_CAP = 20, 3000
 #: Items of a sequence's row.
 LONGEST = 1000
-#: Vectors of a block; a task compares two blocks. Pivots that vectors are filed under, at most.
+#: Vectors of a block, at least; a task compares two blocks. Pivots that vectors are filed under, at most.
 BLOCK, PIVOTS = 512, 128
+#: Numbers of a block's vectors, at most, and scores whose largest stands for them when a bound is sought.
+NUMBERS, STRIP = 1 << 20, 64
+#: From this share of pairs of an item and a vector on, parts save less than they cost.
+OPEN = 0.5
 #: Groups of ids that are numbered apart.
 GROUPS = 4096
 
@@ -84,20 +88,32 @@ class _Compare:
 
     top_n: int
     digits: int | None
+    with_own: bool = False
 
     def best(self, ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-        """Item ids, candidate ids and scores of each item's best, ties to smaller ids, itself left out."""
+        """Item ids, candidate ids and scores of each item's best, ties to smaller ids, itself left out unless with_own.
+
+        The largest scores of strips of candidates bound the last of the best from below; only what reaches the bound is
+        rounded and ordered.
+        """
         found = []
+        strips, slack = -(-len(others) // STRIP), 0.0 if self.digits is None else 1.01 * 10.0**-self.digits
         for s in range(0, len(ids), 256):
-            score = x[s : s + 256] @ y.T
+            score = np.full((len(ids[s : s + 256]), strips * STRIP), -np.inf)
+            np.matmul(x[s : s + 256], y.T, out=score[:, : len(others)])
+            if not self.with_own:
+                score[:, : len(others)][ids[s : s + 256, None] == others] = -np.inf
+            tops = score.reshape(len(score), strips, STRIP).max(2) if strips >= self.top_n else score
+            k = min(self.top_n, tops.shape[1])
+            bound = np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k]
+            item, other = np.nonzero((score >= bound[:, None] - slack) & (score > -np.inf))
+            near = score[item, other]
             if self.digits is not None:
-                score = np.round(score, self.digits) + 0.0
-            for i, row in enumerate(score):
-                row[others == ids[s + i]] = -np.inf
-                k = min(self.top_n, len(row))
-                near = np.flatnonzero((row >= np.partition(row, len(row) - k)[len(row) - k]) & (row > -np.inf))
-                first = near[np.lexsort((others[near], -row[near]))[: self.top_n]]
-                found.append((np.full(len(first), ids[s + i]), others[first], row[first]))
+                near = np.round(near, self.digits) + 0.0
+            order = np.lexsort((others[other], -near, item))
+            item, other, near = item[order], other[order], near[order]
+            first = np.arange(len(item)) - np.searchsorted(item, item) < self.top_n
+            found.append((ids[s + item[first]], others[other[first]], near[first]))
         return [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
 
     def reach(self, score: np.ndarray) -> np.ndarray:
@@ -107,7 +123,11 @@ class _Compare:
 
 
 def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    numbers = whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(set(whole.value_lengths().unique().to_pylist())) > 1:
+        raise ValueError("vectors of several lengths")
+    return numbers.reshape(len(whole), -1) if len(whole) else np.zeros((0, 0))
 
 
 def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -151,14 +171,18 @@ def _intervals(placed: DataFrame, pivots: Broadcast) -> tuple[np.ndarray, np.nda
     return low, high
 
 
-def _meet(asks: DataFrame, placed: DataFrame, sizes: np.ndarray, compare: _Compare) -> DataFrame:
-    """(item_id, rec_item_id, score): each item of asks (id, vec, part) with the best of that part, block by block."""
+def _meet(asks: DataFrame, placed: DataFrame, sizes: np.ndarray, compare: _Compare, length: int) -> DataFrame:
+    """(item_id, rec_item_id, score): each item of asks (id, vec, part) with the best of that part, block by block.
+
+    A vector is sent once for each block that it meets, so large parts have large blocks.
+    """
+    block = max(BLOCK, min(NUMBERS // max(1, length), int(sizes.max(initial=0)) // 16))
     loads = np.zeros(len(sizes), np.int64)
     for r in asks.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a part
         loads[r["part"]] = r["n"]
 
     def blocks(n: np.ndarray) -> F.Column:
-        return F.element_at(F.array(*[F.lit(int(max(1, -(-x // BLOCK)))) for x in n]), F.col("part") + 1)
+        return F.element_at(F.array(*[F.lit(int(max(1, -(-x // block)))) for x in n]), F.col("part") + 1)
 
     def run(items: pa.Table, candidates: pa.Table) -> pa.Table:
         out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
@@ -180,7 +204,7 @@ def _ranked(met: DataFrame, top_n: int) -> DataFrame:
 
 
 def _open_parts(placed: DataFrame, nearest: DataFrame, pivots: Broadcast, low: np.ndarray, high: np.ndarray, compare: _Compare) -> DataFrame:
-    """(id, vec, part): the other parts in which an item of placed may have something nearer than the last of `nearest`.
+    """(id, parts): the other parts in which an item of placed may have something nearer than the last of `nearest`.
 
     By the triangle inequality a part whose distances to a pivot are from low to high is at least d - high and low - d away
     from an item whose distance to the pivot is d, for any pivot.
@@ -196,43 +220,76 @@ def _open_parts(placed: DataFrame, nearest: DataFrame, pivots: Broadcast, low: n
             reach = compare.reach(np.nan_to_num(b.column(3).to_numpy(zero_copy_only=False).astype(np.float64), nan=-1.0))
             away = np.stack([np.maximum(d - high[p], low[p] - d).max(1) for p in range(len(held))], 1)  # endless for an empty part
             away[np.arange(len(own)), own] = np.inf
-            item, part = np.nonzero(away <= reach[:, None])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(item)), b.column(1).take(pa.array(item)), pa.array(part, pa.int32())], names=["id", "vec", "part"])
+            parts = [np.flatnonzero(near).astype(np.int32) for near in away <= reach[:, None]]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.list_(pa.int32()))], names=["id", "parts"])
 
-    return placed.join(last, "id", "left").select("id", "vec", "part", "last").mapInArrow(run, "id bigint, vec array<double>, part int")
+    return placed.join(last, "id", "left").select("id", "vec", "part", "last").mapInArrow(run, "id bigint, parts array<int>")
 
 
 def top_n_neighbors(vectors: DataFrame, top_n: int = TOP_N, digits: int | None = None, pivots: int | None = None, report: dict[str, float] | None = None, of: list[int] | None = None) -> DataFrame:
     """(item_id, rec_item_id, score, rank) of (id, vec array<double>): each item's nearest by cosine, ties to smaller ids.
 
-    Exact, without all pairs where vectors cluster. Items are filed under the nearest of some pivots and compared within their
-    part first. The last of the best so far bounds how far away a better one can be, and by the triangle inequality an item skips
-    the parts that are farther. What is left is compared in blocks: a task has two blocks of BLOCK, and no pair leaves it
-    but the best. Vectors without a length have no neighbours. digits rounds the scores before they are ranked. report gets `skipped`, the
-    share of pairs of an item and a part that weren't compared. of names the items whose neighbours are wanted (None: all); the
-    candidates are all items even so.
+    Exact. Items of equal vectors are one in all comparisons: of their ids the top_n + 1 smallest can be anyone's nearest, and
+    their own nearest are the same but for themselves. So the work grows with the square of the different vectors, and with
+    the items only in proportion. Where ids repeat, every row is compared by itself. Vectors without a length have no neighbours. digits rounds the
+    scores before they are ranked. report gets `skipped`, the share of pairs of a vector and a part that weren't
+    compared, and `compared`, the number of vectors. of names the items whose neighbours are wanted (None: all); the candidates are all items even so.
     """
     rows = cut(vectors.where("id IS NOT NULL AND vec IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")))
+    if rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        return _ranked(_nearest(rows, _Compare(top_n, digits), pivots, report, of), top_n)
+    one = rows.groupBy("vec").agg(F.min("id").alias("of"))
+    items = cut(rows.join(one, "vec").select("id", "of"))
+    kept = F.row_number().over(Window.partitionBy("of").orderBy("id"))
+    members = items.withColumn("_n", kept).where(F.col("_n") <= top_n + 1).select(F.col("of").alias("rec_of"), F.col("id").alias("rec"))
+    wanted = items if of is None else items.where(F.col("id").isin(of))
+    asked = None if of is None else [r["of"] for r in wanted.select("of").distinct().collect()]  # as many as `of` at most
+    near = _nearest(cut(rows.join(items.where("id = of").select("id"), "id", "left_semi")), _Compare(top_n + 1, digits, True), pivots, report, asked)
+    near = _ranked(near, top_n + 1).select(F.col("item_id").alias("of"), F.col("rec_item_id").alias("rec_of"), "score")
+    best = Window.partitionBy("of").orderBy(F.desc("score"), "rec")
+    spread = near.join(members, "rec_of").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= top_n + 1)
+    lists = spread.groupBy("of").agg(F.sort_array(F.collect_list(F.struct("_n", "rec", "score"))).alias("best"))  # top_n + 1 each
+    others = F.slice(F.filter("best", lambda b: b["rec"] != F.col("id")), 1, top_n)
+    found = wanted.join(lists, "of").select(F.col("id").alias("item_id"), F.posexplode(others).alias("pos", "b"))
+    return found.select("item_id", F.col("b.rec").alias("rec_item_id"), F.col("b.score").alias("score"), (F.col("pos") + 1).alias("rank"))
+
+
+def _nearest(rows: DataFrame, compare: _Compare, pivots: int | None, report: dict[str, float] | None, of: list[int] | None) -> DataFrame:
+    """(item_id, rec_item_id, score): among others, each item's best of (id, vec).
+
+    Without all pairs where vectors cluster: items are filed under the nearest of some pivots and compared within their
+    part first. The last of the best so far bounds how far away a better one can be, and by the triangle inequality an item skips
+    the parts that are farther. What is left is compared in blocks, and no pair leaves its task but the best. Where
+    few parts are skipped, all are compared in larger blocks instead.
+    """
     spark, total = ship(rows.sparkSession), rows.count()
     several = pivots or max(1, min(PIVOTS, total // BLOCK))
     first = _vectors(rows.where(F.exists("vec", lambda v: v != 0)).orderBy(F.xxhash64("id"), "id").limit(several).toArrow()["vec"])  # PIVOTS at most
     if not len(first):
-        return spark.createDataFrame([], "item_id bigint, rec_item_id bigint, score double, rank int")
-    compare = _Compare(top_n, digits)
+        return spark.createDataFrame([], "item_id bigint, rec_item_id bigint, score double")
     held = spark.sparkContext.broadcast(first / np.sqrt((first * first).sum(1))[:, None])
-    placed = cut(_placed(rows, held))
+    placed, length = cut(_placed(rows, held)), first.shape[1]
     sizes = np.zeros(len(first), np.int64)
     for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a part
         sizes[r["part"]] = r["n"]
     asking = placed if of is None else placed.where(F.col("id").isin(of))
+    if report is not None:
+        report["compared"] = int(sizes.sum())
     if len(first) == 1:
-        return _ranked(_meet(asking, placed, sizes, compare), top_n)
+        return _meet(asking, placed, sizes, compare, length)
     low, high = _intervals(placed, held)
-    near = cut(_ranked(_meet(asking, placed, sizes, compare), top_n).drop("rank"))
+    near = cut(_ranked(_meet(asking, placed, sizes, compare, length), compare.top_n).drop("rank"))
     asks = cut(_open_parts(asking, near, held, low, high, compare))
+    many = F.coalesce(F.sum(F.size("parts")), F.lit(0))
+    load = F.coalesce(F.sum(F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.element_at(F.array(*[F.lit(int(x)) for x in sizes]), p + 1))), F.lit(0))
+    opened = asks.agg(F.count(F.lit(1)).alias("n"), many.alias("many"), load.alias("load")).first()
     if report is not None:
-        report["skipped"] = 1 - asks.count() / max(1, asking.count() * (len(first) - 1))
-    return _ranked(near.unionByName(_meet(asks, placed, sizes, compare)), top_n)
+        report["skipped"] = 1 - opened["many"] / max(1, opened["n"] * (len(first) - 1))
+    if opened["load"] > OPEN * max(1, opened["n"]) * int(sizes.sum()):
+        whole = [d.withColumn("part", F.lit(0)) for d in (asking, placed)]
+        return _meet(*whole, sizes.sum(keepdims=True), compare, length)
+    asks = asks.select("id", F.explode("parts").alias("part")).join(asking.drop("part"), "id").select("id", "vec", "part").toDF("id", "vec", "part")
+    return near.unionByName(_meet(asks, placed, sizes, compare, length))
 
 
 def als_vectors(events: DataFrame, cap: int = CANDIDATE_CAP, rank: int = 32, iterations: int = 10, seed: int = 42) -> DataFrame:

@@ -112,6 +112,23 @@ def test_neighbours_of_asked_items_only(spark, pivots, monkeypatch):
     assert {(r["item_id"], r["rec_item_id"], r["rank"]) for r in got.collect()} == {r for r in brute_neighbours(data, 5, 6) if r[0] in (7, 11)}
 
 
+def test_copies_of_vectors_are_compared_once(spark, monkeypatch):
+    monkeypatch.setattr(recommend, "BLOCK", 40)
+    few = clustered(150, 150)
+    data = [(i * 7 + c * 10_000 - 5, v) for i, v in few for c in range(1 + 9 * (i % 3))]
+    for pivots in (1, 4):
+        report = {}
+        got = recommend.top_n_neighbors(spark.createDataFrame(data, "id long, vec array<double>"), 5, 6, pivots, report)
+        assert {(r["item_id"], r["rec_item_id"], r["rank"]) for r in got.collect()} == brute_neighbours(data, 5, 6)
+        assert report["compared"] == 150 and len(data) == 1500
+
+
+def test_neighbours_where_ids_repeat(spark):
+    data = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.9, 0.1]), (2, [0.0, 1.0]), (3, [1.0, 0.0])]
+    got = recommend.top_n_neighbors(spark.createDataFrame(data, "id long, vec array<double>"), 2, 6)
+    assert sorted((r["item_id"], r["rank"], r["rec_item_id"]) for r in got.collect()) == [(1, 1, 3), (1, 2, 3), (2, 1, 1), (2, 2, 1), (3, 1, 1), (3, 2, 1)]
+
+
 def test_crowded_values_are_ordered_in_parts(spark):
     rng = random.Random(2)
     data = [(0.5 + rng.randint(0, 900) / 1e6, int(rng.random() < 0.3)) for _ in range(3000)]
