@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillwork.functions.shared import cut
+
 MIN_SUPPORT = 2
 #: Items of a group that meet under one key: larger groups are dealt into blocks of about so many.
 BLOCK = 256
+#: Rows of a partition, about.
+ROWS = 500_000
 
 
 def pair_support(baskets: DataFrame, by: list[str], item: str, min_support: int = MIN_SUPPORT, block: int = BLOCK) -> DataFrame:
@@ -15,10 +19,11 @@ def pair_support(baskets: DataFrame, by: list[str], item: str, min_support: int
 
     Items in fewer groups than the support can't be in a pair and go first. A group of many items is dealt into blocks, and
     what meets under a key is one pair of blocks (low, high), of the triangle low <= high: no key holds more pairs than two blocks
-    give, whatever the size of its group.
+    give, whatever the size of its group. The number of partitions grows with the rows, so that a task's memory doesn't.
     """
-    entry = baskets.where(F.col(item).isNotNull()).select(*by, F.col(item).alias("item"))
-    entry = entry.groupBy(*entry.columns).agg(F.lit(1).alias("_once")).drop("_once")
+    entry = cut(baskets.where(F.col(item).isNotNull()).select(*by, F.col(item).alias("item")))
+    parts = max(-(-entry.count() // ROWS), int(entry.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    entry = cut(entry.repartition(parts, *entry.columns).distinct(), parts=parts)
     if min_support > 1:
         often = entry.groupBy("item", *by[1:]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_support).drop("_n")
         entry = entry.join(often, ["item", *by[1:]], "left_semi")
@@ -29,7 +34,7 @@ def pair_support(baskets: DataFrame, by: list[str], item: str, min_support: int
     high = dealt.select(*by, F.col("item").alias("_y"), F.explode(F.sequence(F.lit(0), "_own")).alias("_low"), F.col("_own").alias("_high"))
     met = low.join(high, [*by, "_low", "_high"]).where("_low < _high OR _x < _y")
     counted = met.groupBy(F.least("_x", "_y").alias("item_a"), F.greatest("_x", "_y").alias("item_b"), *by[1:]).agg(F.count(F.lit(1)).alias("weight"))
-    return counted.where(F.col("weight") >= min_support)
+    return cut(counted.where(F.col("weight") >= min_support), parts=parts)
 
 
 def _seen_or_bought(tagged: DataFrame) -> DataFrame:

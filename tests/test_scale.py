@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rillwork.functions import shared
 from rillwork.operators import abandon, pairs, quality, recommend, sessions
 from rillwork.sources import schemas, versions
 from rillwork.streaming import sessions as streaming
@@ -77,6 +78,17 @@ def test_a_session_of_twenty_thousand_items(spark):
     assert sizes < 2 * pairs.BLOCK  # so no key holds more than some BLOCK squared pairs
 
 
+def test_partitions_of_pairs_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "ROWS", 1000)
+    seen = []
+    monkeypatch.setattr(pairs, "cut", lambda df, **how: seen.append(how.get("parts")) or shared.cut(df, **how))
+    lines = spark.range(40_000).select(F.floor(F.col("id") / 4).alias("g"), (F.col("id") % 400).alias("i"))
+    found = pairs.pair_support(lines, ["g"], "i")
+    assert seen == [None, 40, 40]
+    assert {tuple(r) for r in found.collect()} == {(4 * k + a, 4 * k + b, 100) for k in range(100) for a in range(4) for b in range(a + 1, 4)}
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4" and spark.conf.get("spark.sql.files.maxPartitionBytes") == "134217728b"
+
+
 def clustered(n, centres, dim=24, spread=0.05, seed=1):
     rng = np.random.default_rng(seed)
     c = rng.standard_normal((centres, dim))
