@@ -121,12 +121,14 @@ def time_split(df: DataFrame, test_fraction: float = 0.2, time: str = "start_tim
     return out.unionByName(rows.where(same).withColumn("_place", place).withColumn("is_train", F.col("_place") <= room).drop("_place"))
 
 
-def metrics(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def metrics(scored: DataFrame, score: str = "score", label: str = "label", rows: str | None = None) -> DataFrame:
     """One row: precision and recall at 0.5 (0 without any), and the area under the ROC curve, to four digits.
 
-    The area is that of the rank sum; rows of one score share their mean rank, so only counts by score are sorted.
+    The area is that of the rank sum; rows of one score share their mean rank, so only counts by score are sorted. `rows`
+    names a column that says for how many rows each stands (None: itself).
     """
-    by_score = scored.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("p"))
+    each = F.lit(1) if rows is None else F.col(rows)
+    by_score = scored.groupBy(F.col(score).alias("s")).agg(F.sum(each).alias("n"), F.sum(F.col(label).cast("long") * each).alias("p"))
     ranked = _up_to(by_score, "s").withColumn("below", F.col("end") - F.col("n"))
     rank_sum = F.sum(F.col("p") * (F.col("below") + (F.col("n") + 1) / 2.0))
     pos, neg = F.sum("p"), F.sum(F.col("n") - F.col("p"))
@@ -155,19 +157,36 @@ def _stored(model: PipelineModel) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def train(sessions: DataFrame, config: dict[str, Any] | None = None, algorithm: str | None = None) -> tuple[Model, DataFrame]:
-    """The model fitted on the earlier sessions, and its metrics on the later ones."""
+def parted(sessions: DataFrame, config: dict[str, Any] | None = None) -> DataFrame:
+    """The sessions at risk with label and is_train, written once for all classifiers that are trained on them."""
+    return cut(time_split(_labelled(sessions), merged(CONFIG, config)["test_fraction"]))
+
+
+def _alike(rows: DataFrame, features: list[str]) -> DataFrame:
+    """Rows of equal features and label as one, with their number: there are far fewer of these than sessions."""
+    return rows.groupBy(*features, "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def train(sessions: DataFrame | None, config: dict[str, Any] | None = None, algorithm: str | None = None, parts: DataFrame | None = None) -> tuple[Model, DataFrame]:
+    """The model fitted on the earlier sessions, and its metrics on the later ones; parts are those of `parted`, where they are made already.
+
+    Equal rows are scored once, and the logistic loss is that of distinct rows times their numbers. The forest draws from
+    the rows themselves.
+    """
     config = merged(CONFIG, config)
     algorithm = algorithm or config["algorithm"]
-    parts = cut(time_split(_labelled(sessions), config["test_fraction"]))
+    parts = parted(sessions, config) if parts is None else parts
     train_rows = parts.where("is_train")
     estimator = build_model(algorithm, config["params"].get(algorithm, {}), train_rows.count())
     if isinstance(estimator, boosting.Settings):
         model: Model = boosting.fit(train_rows, config["features"], estimator)
     else:
+        if algorithm == "logistic":
+            train_rows = cut(_alike(train_rows, config["features"]))
+            estimator.setWeightCol("n")
         model = _stored(Pipeline(stages=[VectorAssembler(inputCols=config["features"], outputCol="features"), estimator]).fit(train_rows))
-    scored = cut(score(model, parts.where("NOT is_train")).select("score", "label"))
-    return model, metrics(scored).select(F.lit(algorithm).alias("algorithm"), "*")
+    scored = cut(score(model, cut(_alike(parts.where("NOT is_train"), config["features"]))).select("score", "label", "n"))
+    return model, metrics(scored, rows="n").select(F.lit(algorithm).alias("algorithm"), "*")
 
 
 def save_model(model: Model, path: str) -> None:

@@ -13,7 +13,6 @@ import json
 import math
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
-from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -93,8 +92,10 @@ def _vector(features: list[str]) -> F.Column:
     return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(-math.inf)) for c in features])
 
 
-def _matrix(x: Any) -> np.ndarray:
-    return np.array([list(v) for v in x], np.float64)
+def _matrix(x: pd.Series | pa.Array) -> np.ndarray:
+    if isinstance(x, pa.Array):
+        return x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1)
+    return np.stack(x.to_list()).astype(np.float64)
 
 
 @dataclass
@@ -135,7 +136,7 @@ def _histograms(rows: DataFrame, recent: list[Tree], tree: Tree, open_at: dict[i
         for b in batches:
             if not b.num_rows:
                 continue
-            x, n, pos = _matrix(b.column(0).to_pylist()), b.column(1).to_numpy().astype(float), b.column(2).to_numpy().astype(float)
+            x, n, pos = _matrix(b.column(0)), b.column(1).to_numpy().astype(float), b.column(2).to_numpy().astype(float)
             p = 1 / (1 + np.exp(-(b.column(3).to_numpy() + _margin(recent, x))))
             leaf = place[leaf_of(tree, x)]
             keep = leaf >= 0
@@ -233,7 +234,7 @@ def fit(rows: DataFrame, features: list[str], how: Settings, label: str = "label
 def _added(rows: DataFrame, trees: list[Tree]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            more = _margin(trees, _matrix(b.column(0).to_pylist())) if b.num_rows else np.zeros(0)
+            more = _margin(trees, _matrix(b.column(0))) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(b.column(3).to_numpy() + more)], names=["x", "n", "pos", "margin"])
 
     return rows.select("x", "n", "pos", "margin").mapInArrow(run, "x array<double>, n bigint, pos double, margin double")

@@ -209,9 +209,9 @@ def backfill(spark: SparkSession, lake: Lake, raw_dir: str, days: Days, ledger:
 def train(spark: SparkSession, lake: Lake, config: dict[str, Any] | None = None, algorithms: tuple[str, ...] | None = None) -> DataFrame:
     """Fits and saves the classifiers named, or the one that the settings choose; returns their metrics."""
     settings = abandon.merged(abandon.CONFIG, config)
-    sessions_of, found = cut(lake.read(spark, "marts/feature_sessions")), []
+    parts, found = abandon.parted(lake.read(spark, "marts/feature_sessions"), settings), []
     for algorithm in algorithms or (settings["algorithm"],):
-        model, quality_of = abandon.train(sessions_of, settings, algorithm)
+        model, quality_of = abandon.train(None, settings, algorithm, parts)
         abandon.save_model(model, lake.at(f"models/{algorithm}"))
         found.append(quality_of)
     return reduce(DataFrame.unionByName, found)

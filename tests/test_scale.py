@@ -141,6 +141,18 @@ def test_neighbours_where_ids_repeat(spark):
     assert sorted((r["item_id"], r["rank"], r["rec_item_id"]) for r in got.collect()) == [(1, 1, 3), (1, 2, 3), (2, 1, 1), (2, 2, 1), (3, 1, 1), (3, 2, 1)]
 
 
+def test_equal_sessions_are_scored_once(spark, monkeypatch):
+    rng, seen = random.Random(3), []
+    features = abandon.CONFIG["features"]
+    data = [(f"s{k}", k, *(float(rng.randint(0, 1)) for _ in features[:3]), 1.0, 1.0, 1.0, 1.0, rng.random() < 0.3) for k in range(1200)]
+    rows = spark.createDataFrame(data, ["session_id", "start_time", *features, "abandoned"])
+    monkeypatch.setattr(abandon, "score", lambda model, r, real=abandon.score: seen.append(r.count()) or real(model, r))
+    model, got = abandon.train(rows, None, "logistic")
+    assert seen[0] <= 16  # two labels of eight vectors, not 240 sessions
+    later = abandon.parted(rows).where("NOT is_train")
+    assert got.drop("algorithm").first() == abandon.metrics(abandon.score(model, later)).first()
+
+
 def test_crowded_values_are_ordered_in_parts(spark):
     rng = random.Random(2)
     data = [(0.5 + rng.randint(0, 900) / 1e6, int(rng.random() < 0.3)) for _ in range(3000)]
