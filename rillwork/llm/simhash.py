@@ -28,6 +28,7 @@ their hashes by FOLDS * 64 slots, which differ in no more slots than the sets do
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,8 @@ NEAR, WIDE = 8, 21
 SLOTS, RUN = 1 << 20, 1 << 14
 #: Longs of a set's parities, and entries of a run's block where all are compared.
 FOLDS, BLOCK = 4, 256
+#: Pairs are verified in so many steps one after the other: each pair carries a whole set, and a step's shuffle files go with its end.
+STEPS = 4
 
 
 def shingles(text: str | None, words_each: int) -> np.ndarray:
@@ -356,8 +359,13 @@ def similar_groups(rows: DataFrame, number: str, text: str, words_each: int = 5,
         key = F.xxhash64("number")
         some = bit_table.mark(texts, cut(bit_table.build(asked, key)), key, "asked").where("asked").select("number", "text")  # so few other texts are shuffled
         held = cut(some.join(asked, "number", "left_semi").mapInArrow(sets, "number bigint, set array<bigint>"))
-        both = edges.join(held.toDF("a", "set_a"), "a").join(held.toDF("b", "set_b"), "b")
-        return cut(both.where(F.size(F.array_intersect("set_a", "set_b")) * (part + whole) >= (F.size("set_a") + F.size("set_b")) * part).select("a", "b"))
+
+        def step(k: int) -> DataFrame:
+            some = edges.where(F.pmod(F.xxhash64("a", "b"), F.lit(STEPS)) == k)
+            both = some.join(held.toDF("a", "set_a"), "a").join(held.toDF("b", "set_b"), "b")
+            return cut(both.where(F.size(F.array_intersect("set_a", "set_b")) * (part + whole) >= (F.size("set_a") + F.size("set_b")) * part).select("a", "b"))
+
+        return reduce(DataFrame.unionByName, [step(k) for k in range(STEPS)])
 
     prints = cut(texts.mapInArrow(sketch, f"number bigint, words bigint, fp bigint, size int, {', '.join(f'fold{k} bigint' for k in range(FOLDS))}, keys array<bigint>"))
     distinct = cut(prints.groupBy("words").agg(F.min("number").alias("number"), F.min_by(F.struct(*known), "number").alias("of")).select("words", "number", "of.*"))
