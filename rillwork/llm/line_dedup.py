@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork.functions.columns import named
-from rillwork.functions.shared import cut
+from rillwork.functions.shared import cut, freed
 from rillwork.llm import bits
 
 #: Entries of the rarity table, each from 0 to 15.
@@ -194,12 +194,9 @@ def _early(first: DataFrame, lines: DataFrame, t: tuple[int, int]) -> DataFrame:
     return cut(_verified(pairs, lines, t).select(F.col("y").alias("lh"), F.lit(True).alias("gone")).distinct())
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (4, 5), entries: int = RARITY) -> DataFrame:
-    """(id, th, gone, n_removed) of the texts that lose lines: the numbers of these, from 0; a null id is the least long here.
-
-    threshold is a fraction, from 1/2 on.
-    """
-    t, lines = threshold, _lines(docs, id_col, text_col)
+@freed()
+def _judged(docs: DataFrame, lines: DataFrame, text_col: str, t: tuple[int, int], entries: int) -> DataFrame:
+    """(lh, lh2, first, gone) for every distinct line with words: its first place, and whether an earlier line removes it."""
     table = rarity(docs, text_col, entries)
     first = cut(_first_lines(lines, table, t, entries))
     early = _early(first, lines, t)
@@ -224,7 +221,17 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     late = found.where("at_x <> at_y").select(F.when(F.col("at_x") < F.col("at_y"), F.col("y")).otherwise(F.col("x")).alias("lh"), F.lit(True).alias("gone"))
     gone = early.unionByName(late).distinct()
 
-    judged = cut(first.select("lh", "lh2", "place").join(gone.hint("shuffle_hash"), "lh", "left").select("lh", "lh2", F.col("place").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone")))
+    judged = first.select("lh", "lh2", "place").join(gone.hint("shuffle_hash"), "lh", "left").select("lh", "lh2", F.col("place").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    return cut(judged, stay=True)
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (4, 5), entries: int = RARITY) -> DataFrame:
+    """(id, th, gone, n_removed) of the texts that lose lines: the numbers of these, from 0; a null id is the least long here.
+
+    threshold is a fraction, from 1/2 on.
+    """
+    lines = _lines(docs, id_col, text_col)
+    judged = _judged(docs, lines, text_col, threshold, entries)
     seen = lines.select("id", "th", "no", _place().alias("place"), F.xxhash64("line").alias("lh"), F.xxhash64("line", F.lit("second")).alias("lh2"))
     goes = seen.join(judged, ["lh", "lh2"]).where("gone OR place <> first").select("id", "th", "no")
     return goes.groupBy("id", "th").agg(F.sort_array(F.collect_set("no")).alias("gone")).withColumn("n_removed", F.size("gone"))

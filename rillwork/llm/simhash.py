@@ -23,6 +23,9 @@ one of the first fifth of each is the same, in any order that is the same for al
 by fingerprints first, of which WIDE bits may differ, and what is verified of that becomes one group. Then, in runs of any size, all
 entries of different groups are compared by what no similar pair can break: the sizes of their sets, and the parities of
 their hashes by FOLDS * 64 slots, which differ in no more slots than the sets do in hashes. What is left is verified, so no pair is missed.
+
+Before two sets are compared, whatever way they met, so are their sizes and their parities by as many slots as the larger set has
+hashes: a 64th of the sets' bytes, which leaves few pairs of a similarity below 0.7. Only what is left carries whole sets.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillwork.functions.columns import named
-from rillwork.functions.shared import cut, ship
+from rillwork.functions.shared import cut, freed, ship
 from rillwork.llm import bits as bit_table
 from rillwork.llm.links import components
 
@@ -190,6 +193,7 @@ def link(fps: DataFrame, bits: int = BITS) -> DataFrame:
     return filed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+@freed()
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 4, bits: int = BITS) -> DataFrame:
     """One row per row of docs: `id_col`, fingerprint (16 hexadecimal digits), component_id.
 
@@ -198,12 +202,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     null id takes part, but is never a component_id unless all ids of its component are null; rows that repeat an id
     each have their text's component; other columns are not read; an empty table gives no rows.
     """
-    rows = cut(fingerprints(docs, id_col, text_col, words_each))
+    rows = cut(fingerprints(docs, id_col, text_col, words_each), stay=True)
     distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(link(distinct, bits)).select(F.col("node").alias("fp"), "root")
     tied = cut(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     lowest = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = cut(tied.join(lowest, "root").select("fp", "component_id"))
+    of = cut(tied.join(lowest, "root").select("fp", "component_id"), stay=True)
     return rows.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -292,12 +296,36 @@ def meet(keyed: DataFrame, bits: int = WIDE) -> DataFrame:
     return dealt.drop("pos").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def parities(own: np.ndarray) -> np.ndarray:
-    """FOLDS longs: for each of their bits whether an odd number of the set's hashes falls on it."""
-    odd = np.bincount((own >> np.uint64(40)).astype(np.int64) % (64 * FOLDS), minlength=64 * FOLDS) % 2
+def parities(own: np.ndarray, slots: int = 64 * FOLDS) -> np.ndarray:
+    """For each bit of these longs, FOLDS of them or as many as hold `slots`, whether an odd number of the set's hashes falls on it."""
+    odd = np.bincount((own >> np.uint64(40)).astype(np.int64) % slots, minlength=slots) % 2
     return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
 
 
+def wide_parities(own: np.ndarray) -> np.ndarray:
+    """The set's parities by slots that grow with it: the power of two from its size on, 256 at least."""
+    return parities(own, 1 << max(8, (len(own) - 1).bit_length()))
+
+
+def may_match(threshold: tuple[int, int]) -> Column:
+    """Whether size_a, wide_a and size_b, wide_b leave room for that similarity, which is over 1/2.
+
+    Sizes that do differ by less than a factor of two, so one of the parities may have to be folded once: slots that lie a half
+    apart are one slot of the shorter kind.
+    """
+    part, whole = threshold
+    less, more, both = F.least("size_a", "size_b"), F.greatest("size_a", "size_b"), F.col("size_a") + F.col("size_b")
+
+    def shorter(own: str, other: str) -> Column:
+        half = F.floor(F.size(own) / 2).cast("int")
+        folded = F.zip_with(F.slice(own, 1, half), F.slice(own, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(own) > F.size(other), folded).otherwise(F.col(own))
+
+    odd = F.zip_with(shorter("wide_a", "wide_b"), shorter("wide_b", "wide_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differing = F.aggregate(odd, F.lit(0), lambda n, x: n + x)
+    return F.when(less * whole >= more * part, differing * (part + whole) <= both * (whole - part)).otherwise(False)
+
+
 def unlike(shared: DataFrame, facts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """(a, b) with a < b: all pairs of entries (key, number, group) under a key that may be similar and aren't of one group.
 
@@ -321,6 +349,7 @@ def unlike(shared: DataFrame, facts: DataFrame, threshold: tuple[int, int]) -> D
     return met.select(F.least("x_number", "y_number").alias("a"), F.greatest("x_number", "y_number").alias("b")).distinct()
 
 
+@freed()
 def similar_groups(rows: DataFrame, number: str, text: str, words_each: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """(number, group) of rows told apart by the long `number`: group is the smallest number of those reachable by similar pairs.
 
@@ -336,7 +365,7 @@ def similar_groups(rows: DataFrame, number: str, text: str, words_each: int = 5,
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words, fps, keys = np.empty(b.num_rows, np.uint64), np.empty(b.num_rows, np.uint64), []
+            words, fps, keys, wide = np.empty(b.num_rows, np.uint64), np.empty(b.num_rows, np.uint64), [], []
             sizes, folds = np.empty(b.num_rows, np.int32), np.empty((b.num_rows, FOLDS), np.int64)
             for k, t in enumerate(b.column(1)):
                 t = t.as_py()
@@ -344,17 +373,21 @@ def similar_groups(rows: DataFrame, number: str, text: str, words_each: int = 5,
                 words[k], fps[k] = xxhash.xxh64_intdigest(b" ".join((t or "").encode().lower().split()), 7), _majority(own)
                 own = np.unique(own)
                 sizes[k], folds[k] = len(own), parities(own)
+                wide.append(wide_parities(own))
                 keys.append(first_shingles(own, sent.value, threshold).view(np.int64))
-            columns = [b.column(0), pa.array(words.view(np.int64)), pa.array(fps.view(np.int64)), pa.array(sizes), *map(pa.array, folds.T), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["number", "words", *known, "keys"])
+            columns = [b.column(0), pa.array(words.view(np.int64)), pa.array(fps.view(np.int64)), pa.array(sizes), *map(pa.array, folds.T), *(pa.array(c, pa.list_(pa.int64())) for c in (wide, keys))]
+            yield pa.RecordBatch.from_arrays(columns, names=["number", "words", *known, "wide", "keys"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [np.unique(shingles(t.as_py(), words_each)).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["number", "set"])
 
+    @freed()
     def verified(edges: DataFrame) -> DataFrame:
-        edges = cut(edges)
+        marks = prints.select("number", "size", "wide")
+        marked = edges.join(marks.toDF("a", "size_a", "wide_a"), "a").join(marks.toDF("b", "size_b", "wide_b"), "b")
+        edges = cut(marked.where(may_match(threshold)).select("a", "b"))
         asked = cut(edges.select(F.col("a").alias("number")).unionByName(edges.select(F.col("b").alias("number"))).distinct())
         key = F.xxhash64("number")
         some = bit_table.mark(texts, cut(bit_table.build(asked, key)), key, "asked").where("asked").select("number", "text")  # so few other texts are shuffled
@@ -363,11 +396,11 @@ def similar_groups(rows: DataFrame, number: str, text: str, words_each: int = 5,
         def step(k: int) -> DataFrame:
             some = edges.where(F.pmod(F.xxhash64("a", "b"), F.lit(STEPS)) == k)
             both = some.join(held.toDF("a", "set_a"), "a").join(held.toDF("b", "set_b"), "b")
-            return cut(both.where(F.size(F.array_intersect("set_a", "set_b")) * (part + whole) >= (F.size("set_a") + F.size("set_b")) * part).select("a", "b"))
+            return cut(both.where(F.size(F.array_intersect("set_a", "set_b")) * (part + whole) >= (F.size("set_a") + F.size("set_b")) * part).select("a", "b"), stay=True)
 
         return reduce(DataFrame.unionByName, [step(k) for k in range(STEPS)])
 
-    prints = cut(texts.mapInArrow(sketch, f"number bigint, words bigint, fp bigint, size int, {', '.join(f'fold{k} bigint' for k in range(FOLDS))}, keys array<bigint>"))
+    prints = cut(texts.mapInArrow(sketch, f"number bigint, words bigint, fp bigint, size int, {', '.join(f'fold{k} bigint' for k in range(FOLDS))}, wide array<bigint>, keys array<bigint>"))
     distinct = cut(prints.groupBy("words").agg(F.min("number").alias("number"), F.min_by(F.struct(*known), "number").alias("of")).select("words", "number", "of.*"))
 
     reps = cut(distinct.groupBy("fp").agg(F.min("number").alias("rep")))
@@ -387,7 +420,7 @@ def similar_groups(rows: DataFrame, number: str, text: str, words_each: int = 5,
     rest = verified(unlike(grouped(shared.select("key", "number")), distinct.select("number", *known[1:]), threshold))
     roots = components(joined.unionByName(rest)).toDF("first", "root")
     of_text = distinct.select("words", F.col("number").alias("first")).join(roots, "first", "left").select("words", F.coalesce("root", "first").alias("group"))
-    return prints.select("number", "words").join(of_text, "words").select("number", "group")
+    return cut(prints.select("number", "words").join(of_text, "words").select("number", "group"), stay=True)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import xxhash
 
-from rillwork.llm import simhash
+from rillwork.functions.shared import scratch
+from rillwork.llm import line_dedup, simhash
 from rillwork.llm.links import components
 
 from .common import ODD, docs, prose
@@ -136,3 +138,33 @@ def test_similar_texts_whose_fingerprints_are_far_apart(spark):
     want = brute_similar(texts)
     got = {r["number"]: r["group"] for r in simhash.similar_groups(docs(spark, texts), "doc_id", "text").collect()}
     assert got == want and len(set(want.values())) > 12
+
+
+def test_long_texts_are_told_apart_before_their_sets_meet(spark):
+    """Of sets beyond FOLDS * 64 slots too: no similar pair is dropped, whatever the sizes, and few others are left."""
+    rng, rows = np.random.default_rng(3), []
+    for k, n in enumerate([1, 40, 255, 256, 257, 1000, 1020, 4000, 9000] * 12):
+        m = int(n * rng.uniform(0.7, 1.3)) + 1
+        both = int(min(n, m) * rng.choice([0.3, 0.6, 0.85, 0.93, 1]))
+        drawn = rng.integers(0, 1 << 64, n + m - both, np.uint64)
+        a, b = np.unique(drawn[:n]), np.unique(drawn[n - both :])
+        like = 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+        far = len(np.intersect1d(a, b)) * 5 < 3 * len(np.union1d(a, b)) and n > 900
+        rows.append((k, like, far, len(a), simhash.wide_parities(a).tolist(), len(b), simhash.wide_parities(b).tolist()))
+    pairs = spark.createDataFrame(rows, "k long, like boolean, far boolean, size_a int, wide_a array<bigint>, size_b int, wide_b array<bigint>")
+    got = {r["k"]: r["left"] for r in pairs.select("k", simhash.may_match((4, 5)).alias("left")).collect()}
+    assert all(got[r[0]] for r in rows if r[1]) and sum(r[1] for r in rows) > 20
+    assert not any(got[r[0]] for r in rows if r[2]) and sum(r[2] for r in rows) > 12
+
+
+def test_operators_leave_what_their_results_read(spark):
+    def tables():
+        return {p.name for p in Path(scratch(spark).removeprefix("file://")).iterdir()}
+
+    texts = [f"the same long line of words {k // 3} and\nanother line {k}" for k in range(30)]
+    rows = docs(spark, texts)
+    for made, left in ((lambda: simhash.similar_groups(rows, "doc_id", "text"), 1), (lambda: simhash.simhash_groups(rows), 2), (lambda: line_dedup.line_dedup(rows), 1)):
+        before = tables()
+        found = made()
+        assert len(tables() - before) == left
+        assert found.count() == 30

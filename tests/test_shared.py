@@ -5,7 +5,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from rillwork.functions.shared import cut
+from rillwork.functions.shared import cut, freed, scratch
 
 
 def _shuffled(spark) -> set[str]:
@@ -25,3 +25,20 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
         time.sleep(0.1)
     assert len(left) <= 8, left  # of count() alone
     assert again.agg(F.sum("count")).first()[0] == 20_000
+
+
+def _tables(spark) -> set[str]:
+    return {p.name for p in Path(scratch(spark).removeprefix("file://")).iterdir()}
+
+
+def test_tables_of_a_scope_go_with_it(spark):
+    before = _tables(spark)
+
+    @freed()
+    def inner():
+        return cut(cut(spark.range(10)).where("id > 3"), stay=True)
+
+    with freed():
+        made = cut(inner().where("id < 9"), stay=True)
+        assert len(_tables(spark) - before) == 2
+    assert len(_tables(spark) - before) == 1 and made.count() == 5
