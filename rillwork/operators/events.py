@@ -25,6 +25,30 @@ def in_window(df: DataFrame, column: str, since: date | None = None, until: date
     return df
 
 
+def between(ms: Column, since: date | None = None, until: date | None = None) -> Column:
+    """Whether a time in milliseconds is of the days from `since` to before `until`."""
+    inside = F.lit(True)
+    for bound, of in ((since, ms.__ge__), (until, ms.__lt__)):
+        if bound is not None:
+            inside = inside & of(F.lit((bound - date(1970, 1, 1)).days * DAY_MS))
+    return inside
+
+
+def known_between(properties: DataFrame, since: date | None = None, until: date | None = None) -> DataFrame:
+    """What `point_in_time_category` needs of the properties for the events of these days.
+
+    These are the days' snapshots and, of those before, each item's newest category, so that a window's time lines don't grow with the history.
+    """
+    found = properties.where("property = 'categoryid'")
+    inside = found.where(between(F.col("timestamp"), since, until))
+    if since is None:
+        return inside
+    before = categories(found).where(~between(F.col("timestamp"), since) & F.col("itemid").isNotNull() & F.col("categoryid").isNotNull())
+    last = before.groupBy("itemid").agg(F.max_by(F.struct("timestamp", "value"), F.struct("timestamp", "categoryid")).alias("_last"))
+    carried = last.select("_last.timestamp", "itemid", F.lit("categoryid").alias("property"), "_last.value")
+    return inside.unionByName(carried)
+
+
 def categories(properties: DataFrame) -> DataFrame:
     """(itemid, timestamp, categoryid) of the snapshots of an item's category; a value that isn't a number is null."""
     return properties.where(F.col("property") == "categoryid").select("itemid", "timestamp", F.col("value").try_cast("long").alias("categoryid"), "value")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork.functions.columns import day_of
-from rillwork.functions.shared import cut
+from rillwork.functions.shared import cut, freed
 from rillwork.operators import abandon, events, marts, pairs, quality, recommend, sessions
 from rillwork.plans.window import Days
 from rillwork.sources import files, schemas, versions
@@ -55,6 +55,7 @@ def _put(df: DataFrame, path: str, by: str, days: Days) -> int:
 def bronze(spark: SparkSession, lake: Lake, raw_dir: str, days: Days = Days()) -> int:
     """Raw CSV to Parquet; a window lands the static tables only where they are missing."""
     raw = files.read_csv(spark, f"{raw_dir}/events.csv", schemas.EVENTS).withColumn("event_date", day_of(F.col("timestamp")))
+    raw = raw.where(events.between(F.col("timestamp"), days.since, days.until))  # the same days; asked of the field itself, so other rows are only parsed that far
     n = _put(events.in_window(raw, "event_date", days.since, days.until), lake.at("bronze/events"), "event_date", days)
     parts = [f"{raw_dir}/item_properties_part{k}.csv" for k in (1, 2)]
     for table, paths, schema in (("item_properties", parts, schemas.ITEM_PROPERTIES), ("category_tree", f"{raw_dir}/category_tree.csv", schemas.CATEGORY_TREE)):
@@ -66,7 +67,8 @@ def bronze(spark: SparkSession, lake: Lake, raw_dir: str, days: Days = Days()) -
 def silver(spark: SparkSession, lake: Lake, days: Days = Days()) -> int:
     """Distinct events with the category valid at their time. The window is taken first, so it prunes the scan."""
     fresh = events.dedupe_events(events.in_window(lake.read(spark, "bronze/events"), "event_date", days.since, days.until))
-    return _put(events.point_in_time_category(fresh, lake.read(spark, "bronze/item_properties")), lake.at("silver/events_enriched"), "event_date", days)
+    properties = events.known_between(lake.read(spark, "bronze/item_properties"), days.since, days.until)
+    return _put(events.point_in_time_category(fresh, properties), lake.at("silver/events_enriched"), "event_date", days)
 
 
 def _tagged(spark: SparkSession, lake: Lake, days: Days, start: str | None = None) -> DataFrame:
@@ -84,22 +86,27 @@ def build_sessions(spark: SparkSession, lake: Lake, days: Days = Days()) -> int:
     return _put(events.in_window(found, "session_date", emit.since), lake.at("silver/sessions"), "session_date", emit)
 
 
+@freed()
 def gold(spark: SparkSession, lake: Lake, days: Days = Days()) -> int:
-    """The tables that marts read. A window needs both bounds; what can't be cut by day is then only made if missing."""
+    """The tables that marts read. A window needs both bounds; what can't be cut by day is then only made if missing.
+
+    Sessions are tagged once, for the events and for the pairs.
+    """
     if not days.open and not (days.since and days.until):
         raise ValueError("a window of gold tables needs both bounds")
     columns = ["visitorid", "event", "itemid", "categoryid", "event_date", "session_id"]
-    tagged = _tagged(spark, lake, days)
+    tagged = cut(_tagged(spark, lake, days, "_began").select(*columns, "_began"))
     n = _put(marts.with_load_time(events.in_window(tagged, "event_date", days.since, days.until).select(*columns)), lake.at("gold/raw_events"), "event_date", days)
     emit = days.earlier(lake.reprocess_days)
     n += _put(marts.with_load_time(events.in_window(lake.read(spark, "silver/sessions"), "session_date", emit.since, emit.until)), lake.at("gold/raw_sessions"), "session_date", emit)
     if days.open or not lake.has(spark, "gold/raw_category_tree"):
         n += files.write(lake.read(spark, "bronze/category_tree"), lake.at("gold/raw_category_tree"))
-    return n + keep_pairs(spark, lake, days) + keep_latest(spark, lake, days)
+    return n + keep_pairs(spark, lake, days, tagged) + keep_latest(spark, lake, days)
 
 
-def keep_pairs(spark: SparkSession, lake: Lake, days: Days = Days()) -> int:
-    """The pairs of items, kept up day by day.
+@freed()
+def keep_pairs(spark: SparkSession, lake: Lake, days: Days = Days(), tagged: DataFrame | None = None) -> int:
+    """The pairs of items, kept up day by day; `tagged` are the days' events with sessions, if they are made already.
 
     gold/pairs_by_day has every day's sessions' pairs, whatever their support, so a day that is written again replaces what
     its sessions said before. gold/pair_counts sums them: it takes in the days that have changed since the state that it
@@ -107,8 +114,11 @@ def keep_pairs(spark: SparkSession, lake: Lake, days: Days = Days()) -> int:
     """
     first = not lake.has(spark, "gold/pairs_by_day")
     emit = Days() if first else days.earlier(lake.reprocess_days)
-    known = events.in_window(lake.read(spark, "silver/events_enriched"), "event_date", None, days.until) if first else None
-    tagged = _tagged(spark, lake, days, "_began") if known is None else sessions.tag_sessions(known, lake.timeout_s, start="_began")
+    if first and (tagged is None or not days.open):
+        known = events.in_window(lake.read(spark, "silver/events_enriched"), "event_date", None, days.until)
+        tagged = sessions.tag_sessions(known, lake.timeout_s, start="_began")
+    elif tagged is None:
+        tagged = _tagged(spark, lake, days, "_began")
     dated = tagged.withColumn("session_date", day_of(F.col("_began")))
     by_day, totals = lake.at("gold/pairs_by_day"), lake.at("gold/pair_counts")
     _put(pairs.pairs_by_day(events.in_window(dated, "session_date", emit.since)), by_day, "session_date", emit)
@@ -126,6 +136,7 @@ def keep_pairs(spark: SparkSession, lake: Lake, days: Days = Days()) -> int:
     return versions.replace(found, lake.at("gold/cooccur_pairs"), "pair_type")
 
 
+@freed()
 def keep_latest(spark: SparkSession, lake: Lake, days: Days = Days()) -> int:
     """The newest snapshot of each item: the state before with the snapshots of the window's days, or of all where there is none."""
     state, found = lake.at("gold/snapshots"), lake.read(spark, "bronze/item_properties")

@@ -1,13 +1,14 @@
 """Jobs over files: windows, reruns and days one by one give what a full rebuild gives."""
 
+import random
 from datetime import date, timedelta
 
 import pytest
 
-from rillwork.operators import abandon
+from rillwork.operators import abandon, events
 from rillwork.plans import cli, jobs
 from rillwork.plans.window import Days
-from rillwork.sources import files
+from rillwork.sources import files, schemas
 from rillwork.sources.jdbc import Database
 from rillwork.sources.ledger import job, latest_runs
 from rillwork.streaming import sessions as streaming
@@ -74,6 +75,31 @@ def lake_sessions(spark, lake):
     return {(r["session_id"], r["event_count"]) for r in lake.read(spark, "gold/raw_sessions").collect()}
 
 
+def test_a_window_tags_its_sessions_once_for_gold(spark, raw, tmp_path, monkeypatch):
+    lake = jobs.Lake(str(tmp_path / "lake"))
+    one_day(spark, lake, raw, D1)
+    jobs.bronze(spark, lake, raw, Days(D2, D3))
+    jobs.silver(spark, lake, Days(D2, D3))
+    jobs.build_sessions(spark, lake, Days(D2, D3))
+    made, tag = [], jobs.sessions.tag_sessions
+    monkeypatch.setattr(jobs.sessions, "tag_sessions", lambda *a, **b: made.append(a) or tag(*a, **b))
+    jobs.gold(spark, lake, Days(D2, D3))
+    assert len(made) == 1
+
+
+def test_a_window_takes_of_earlier_snapshots_the_newest_only(spark):
+    rng, day, items = random.Random(4), 86_400_000, 7
+    odd = ["x", None, "07", "7", "31", "4"]
+    props = [(rng.choice([None, rng.randrange(9 * day), day * rng.randrange(9)]), rng.choice([None, *range(items)]), rng.choice(["categoryid"] * 3 + ["available"]), rng.choice(odd)) for _ in range(3000)]
+    seen = [(rng.choice([rng.randrange(6 * day, 8 * day), 6 * day, 7 * day]), k, "view", rng.choice([None, *range(items + 1)]), None) for k in range(400)]
+    properties, window = spark.createDataFrame(props, schemas.ITEM_PROPERTIES), (date(1970, 1, 7), date(1970, 1, 9))
+    fresh = spark.createDataFrame(seen, schemas.EVENTS)
+    few = events.known_between(properties, *window)
+    assert sorted(map(str, events.point_in_time_category(fresh, few).collect())) == sorted(map(str, events.point_in_time_category(fresh, properties).collect()))
+    inside = sum(r[0] is not None and 6 * day <= r[0] < 8 * day and r[2] == "categoryid" for r in props)
+    assert few.count() == inside + items < len(props) / 3
+
+
 def test_days_out_of_order_leave_nothing_stale(spark, raw, tmp_path):
     lake = jobs.Lake(str(tmp_path / "lake"))
     for day in (D2, D1, D2):
