@@ -54,3 +54,17 @@ def test_columns_ids_and_empty_tables(spark):
     assert out.columns == df.columns
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in out.collect()) == [("2", ""), ("3", ""), ("3", "None"), ("None", "x y\nz")]
     assert line_dedup.line_dedup(docs(spark, [])).count() == 0
+
+
+def test_maps_tell_long_lines_apart(spark):
+    base = prose(1, 5, 300)[0].split()
+    for lacks in (0, 5, 40):  # words that one of the two lines lacks
+        texts = [" ".join(base), " ".join([f"new{k}" for k in range(lacks)] + base[lacks:])]
+        df = docs(spark, texts)
+        table, middle = line_dedup.rarity(df)
+        first = line_dedup._first_lines(line_dedup._lines(df, "doc_id", "text"), table, middle, (4, 5), line_dedup.RARITY)
+        maps = [[r[c] & (1 << 64) - 1 for c in line_dedup._MAPS] for r in first.collect()]
+        differ = sum((a ^ b).bit_count() for a, b in zip(maps[0], maps[-1], strict=True))
+        sets = [set(t.split()) for t in texts]
+        lacking = len(sets[0] ^ sets[1])
+        assert differ <= lacking and (lacking - differ) % 2 == 0 and differ >= min(lacking, 128) // 3
