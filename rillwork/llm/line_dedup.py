@@ -214,7 +214,7 @@ def _judged(docs: DataFrame, lines: DataFrame, text_col: str, t: tuple[int, int]
     # alone, so both sides are one exchange, read twice. `is` holds a line's words, the word's position and whether it is gone.
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.coalesce("gone", F.lit(False)).cast("long"))
     marked = first.join(early.hint("shuffle_hash"), "lh", "left").select("lh", "id", "no", "n", "gone", *_MAPS, F.posexplode("head").alias("pos", "word"))
-    marked = marked.select("word", "lh", "id", "no", packed.alias("is"), *_MAPS)
+    marked = marked.select("word", *[F.coalesce(c, F.lit(0).cast(kind)).alias(c) for c, kind in (("lh", "long"), ("id", "long"), ("no", "int"), *[(sig, "long") for sig in _MAPS])], F.coalesce(packed, F.lit(0).cast("long")).alias("is"))  # never null: the join asks each pair less
     m, n = (f"CAST(shiftright({side}.is, 32) AS INT)" for side in "xy")
     at_x, at_y = (f"CAST(shiftright({side}.is & 4294967295, 1) AS INT)" for side in "xy")
     before, after = (f"(x.id {c} y.id OR x.id = y.id AND x.no {c} y.no)" for c in "<>")
