@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from typing import Any
 
@@ -30,6 +31,8 @@ CONFIG: dict[str, Any] = {
 
 
 Model = PipelineModel | boosting.Boosted
+#: Rows of a task of the forest, where the cluster has tasks enough: each row meets every tree.
+ROWS = 2000
 #: What is fitted where all algorithms are compared.
 COMPARED = ("xgboost", "random_forest", "logistic")
 
@@ -162,6 +165,11 @@ def parted(sessions: DataFrame, config: dict[str, Any] | None = None) -> DataFra
     return cut(time_split(_labelled(sessions), merged(CONFIG, config)["test_fraction"]))
 
 
+def _dealt(rows: DataFrame, count: int) -> DataFrame:
+    """rows, so many, dealt over tasks by their number: in bytes they are so few that they would be read in one or two."""
+    return rows.repartition(max(1, min(math.ceil(count / ROWS), 4 * rows.sparkSession.sparkContext.defaultParallelism)))
+
+
 def _alike(rows: DataFrame, features: list[str]) -> DataFrame:
     """Rows of equal features and label as one, with their number: there are far fewer of these than sessions."""
     return rows.groupBy(*features, "label").agg(F.count(F.lit(1)).alias("n"))
@@ -177,13 +185,16 @@ def train(sessions: DataFrame | None, config: dict[str, Any] | None = None, algo
     algorithm = algorithm or config["algorithm"]
     parts = parted(sessions, config) if parts is None else parts
     train_rows = parts.where("is_train")
-    estimator = build_model(algorithm, config["params"].get(algorithm, {}), train_rows.count())
+    count = train_rows.count()
+    estimator = build_model(algorithm, config["params"].get(algorithm, {}), count)
     if isinstance(estimator, boosting.Settings):
         model: Model = boosting.fit(train_rows, config["features"], estimator)
     else:
         if algorithm == "logistic":
             train_rows = cut(_alike(train_rows, config["features"]))
             estimator.setWeightCol("n")
+        else:
+            train_rows = _dealt(train_rows, count)
         model = _stored(Pipeline(stages=[VectorAssembler(inputCols=config["features"], outputCol="features"), estimator]).fit(train_rows))
     scored = cut(score(model, cut(_alike(parts.where("NOT is_train"), config["features"]))).select("score", "label", "n"))
     return model, metrics(scored, rows="n").select(F.lit(algorithm).alias("algorithm"), "*")

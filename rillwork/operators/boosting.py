@@ -1,9 +1,11 @@
 """Gradient-boosted trees from second-order gains, grown best leaf first.
 
-The rows are grouped by their features once: a vector of features is one row with its counts of both labels. For each tree
-Spark sums the gradients and hessians of the log loss by leaf, feature and bin, in every task and then over tasks; the driver gets these
-histograms, whose size doesn't grow with the rows, and picks splits. A pass gives the histograms of all leaves that are open, so a tree takes as many
-passes as it is deep. Margins are written every KEEP trees, so a pass evaluates few of them.
+The rows are grouped by their features once, and these by the bins of the features: a cell is one row with its counts of both labels. Cells are
+kept in blocks of arrays. For each tree Spark sums the gradients and hessians of the log loss by leaf, feature and bin, in every task and then over
+tasks; the driver gets these histograms, whose size doesn't grow with the rows, and picks splits. A pass gives the histograms of all leaves that are
+open, and is one short job over blocks that are kept. A split's histogram also has the weights of both its children, so leaves that can't be split
+need no pass, and a leaf whose cells take no more bytes than its histograms is sent as these cells, which are then split without a further
+pass. Gradients are worked out once a tree, from margins that are kept every KEEP trees.
 """
 
 from __future__ import annotations
@@ -12,18 +14,23 @@ import heapq
 import json
 import math
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass
+from functools import partial
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwork.functions.shared import cut, ship
 
-#: Bins of a feature, and trees after which margins are written.
+#: Bins of a feature, and trees after which margins are kept.
 BINS, KEEP = 64, 10
+#: Cells of a block at most, and of a task where the cluster has tasks enough.
+BLOCK, TASK = 65_536, 8_192
 
 
 @dataclass(frozen=True)
@@ -89,7 +96,7 @@ class Boosted:
 
 
 def _vector(features: list[str]) -> F.Column:
-    return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(-math.inf)) for c in features])
+    return F.array(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(-math.inf)), F.lit(-math.inf)) for c in features])
 
 
 def _matrix(x: pd.Series | pa.Array) -> np.ndarray:
@@ -98,77 +105,105 @@ def _matrix(x: pd.Series | pa.Array) -> np.ndarray:
     return np.stack(x.to_list()).astype(np.float64)
 
 
+#: Codes of cells, a row a cell, and their gradients, hessians, rows and ones, a column a cell.
+Cells = tuple[np.ndarray, np.ndarray]
+
+
 @dataclass
 class _Node:
+    """A node that may be split. count: its number of cells, and held the cells themselves, where they are few; known says whether its split has been looked for."""
+
     depth: int
+    count: float
+    weight: float = 0.0
     known: bool = False
     gain: float = 0.0
-    split: tuple[int, float] | None = None
-    weight: float = 0.0
+    split: tuple[int, int] | None = None
     children: tuple[int, int] | None = None
-    sums: tuple[float, float] = field(default=(0.0, 0.0))
+    held: Cells | None = None
 
 
-def best_split(g: np.ndarray, h: np.ndarray, n: np.ndarray, edges: list[np.ndarray], how: Settings) -> tuple[float, tuple[int, float] | None, float]:
-    """(gain, (feature, threshold), weight) of a leaf from its histograms (feature, bin) of gradients, hessians and rows."""
-    total_g, total_h, total_n = g[0].sum(), h[0].sum(), n[0].sum()
-    value = lambda a, b: a * a / (b + how.l2 + 1e-12)
-    left_g, left_h, left_n = (np.cumsum(c, axis=1)[:, :-1] for c in (g, h, n))
-    right_g, right_h, right_n = total_g - left_g, total_h - left_h, total_n - left_n
-    gain = (value(left_g, left_h) + value(right_g, right_h) - value(total_g, total_h)) / 2
-    fits = (left_h >= how.least_hessian) & (right_h >= how.least_hessian) & (np.minimum(left_n, right_n) >= max(1, how.least_rows))
-    fits &= np.arange(gain.shape[1]) < np.array([len(e) for e in edges])[:, None]
-    gain = np.where(fits, gain, -np.inf)
-    f, b = np.unravel_index(int(gain.argmax()), gain.shape)
-    weight = -total_g / (total_h + how.l2 + 1e-12) * how.rate
-    return (float(gain[f, b]), (int(f), float(edges[f][b])), float(weight)) if gain[f, b] > 1e-9 else (0.0, None, float(weight))
+def _weight(g: float, h: float, how: Settings) -> float:
+    return float(-g / (h + how.l2 + 1e-12) * how.rate)
 
 
-def _histograms(rows: DataFrame, recent: list[Tree], tree: Tree, open_at: dict[int, int], edges: list[np.ndarray]) -> np.ndarray:
-    """(leaf, 3, feature, bin): sums of gradients, hessians and rows of the leaves at the places in open_at."""
-    sent = rows.sparkSession.sparkContext.broadcast((recent, tree, open_at, edges))
-    shape = (len(open_at), 3, len(edges), BINS)
+def _searched(node: _Node, sums: np.ndarray, bins: np.ndarray, how: Settings) -> list[_Node]:
+    """Finds the node's best split (feature, bin) by its histograms (4, feature, bin) of gradients, hessians, rows and cells; returns the children.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent, tree, open_at, edges = sent.value
-        place, out = np.full(len(tree), -1), np.zeros(shape)
-        place[list(open_at)] = list(open_at.values())
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, n, pos = _matrix(b.column(0)), b.column(1).to_numpy().astype(float), b.column(2).to_numpy().astype(float)
-            p = 1 / (1 + np.exp(-(b.column(3).to_numpy() + _margin(recent, x))))
-            leaf = place[leaf_of(tree, x)]
-            keep = leaf >= 0
-            sums = (n * p - pos, n * p * (1 - p), n)
-            for f, e in enumerate(edges):
-                at = leaf[keep] * BINS + np.searchsorted(e, x[keep, f], "left")
-                for k, s in enumerate(sums):
-                    out[:, k, f] += np.bincount(at, s[keep], shape[0] * BINS).reshape(shape[0], BINS)
-        at = np.flatnonzero(out)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out.ravel()[at])], names=["at", "sum"])
-
-    found = rows.mapInArrow(run, "at bigint, sum double").groupBy("at").agg(F.sum("sum").alias("sum")).toArrow()  # leaves * features * BINS
-    out = np.zeros(int(np.prod(shape)))
-    out[found["at"].to_numpy()] = found["sum"].to_numpy()
-    return out.reshape(shape)
+    Of splits that gain the same but for rounding the first is taken. Children that are too deep or too small to be split are known at once.
+    """
+    total, left = sums[:, 0].sum(axis=1), np.cumsum(sums, axis=2)[:, :, :-1]
+    right = total[:, None, None] - left
+    value = lambda c: c[0] * c[0] / (c[1] + how.l2 + 1e-12)
+    gain = (value(left) + value(right) - value(total)) / 2
+    fits = (np.minimum(left[1], right[1]) >= how.least_hessian) & (np.minimum(left[2], right[2]) >= max(1, how.least_rows))
+    gain = np.where(fits & (np.arange(gain.shape[1]) < bins[:, None]), gain, -np.inf)
+    f, b = np.unravel_index(int((gain >= gain.max() - 1e-9 * max(1.0, gain.max())).argmax()), gain.shape)
+    node.known, node.weight = True, _weight(*total[:2], how)
+    if gain[f, b] <= 1e-9:
+        return []
+    node.gain, node.split = float(gain[f, b]), (int(f), int(b))
+    ends = lambda c: (how.max_depth and node.depth + 1 >= how.max_depth) or c[1] < 2 * how.least_hessian or c[2] < 2 * max(1, how.least_rows)
+    children = [_Node(node.depth + 1, float(c[3]), _weight(*c[:2], how), bool(ends(c))) for c in (left[:, f, b], right[:, f, b])]
+    if node.held:
+        codes, own = node.held
+        for child, mine in zip(children, (codes[:, f] <= b, codes[:, f] > b), strict=True):
+            child.held = (codes[mine], own[:, mine])
+    return children
+
+
+def _binned(codes: np.ndarray, sums: np.ndarray, leaf: np.ndarray, leaves: int) -> np.ndarray:
+    """(leaf, sum, feature, bin): the cells' sums by the leaf and the bin that each cell is in."""
+    out = np.stack([[np.bincount(leaf * BINS + codes[:, f], s, leaves * BINS) for f in range(codes.shape[1])] for s in sums])
+    return out.reshape(len(sums), codes.shape[1], leaves, BINS).transpose(2, 0, 1, 3)
+
+
+def _summed(blocks: Iterator[Cells], tree: Tree, whole: dict[int, int], small: list[int]) -> Iterator[tuple[np.ndarray, dict[int, list[Cells]]]]:
+    place, histograms, found = np.full(len(tree), -1), 0.0, {k: [] for k in small}
+    place[list(whole)] = list(whole.values())
+    for codes, sums in blocks:
+        at = leaf_of(tree, codes)
+        leaf = place[at]
+        if whole:
+            histograms = histograms + _binned(codes[leaf >= 0], sums[:, leaf >= 0], leaf[leaf >= 0], len(whole))
+        for k in small:
+            found[k].append((codes[at == k], sums[:, at == k]))
+    yield histograms, found
+
+
+def _both(one: tuple[np.ndarray, dict[int, list[Cells]]], other: tuple[np.ndarray, dict[int, list[Cells]]]) -> tuple[np.ndarray, dict[int, list[Cells]]]:
+    return one[0] + other[0], {k: one[1][k] + other[1][k] for k in one[1]}
+
+
+def _few(count: float, features: int) -> bool:
+    """Whether so many cells (a byte a feature, four doubles) take no more bytes than their histograms."""
+    return count * (features + 32) <= 4 * features * BINS * 8
+
+
+def _looked_up(blocks: RDD, tree: Tree, counts: dict[int, float], features: int) -> dict[int, np.ndarray | Cells]:
+    """For each place in counts, a leaf, its histograms, or its cells where they are few."""
+    small = [k for k, n in counts.items() if _few(n, features)]
+    whole = {k: i for i, k in enumerate(k for k in counts if k not in small)}
+    histograms, found = blocks.mapPartitions(partial(_summed, tree=tree, whole=whole, small=small)).treeReduce(_both)
+    cells = {k: (np.concatenate([c for c, _ in v]), np.concatenate([s for _, s in v], axis=1)) for k, v in found.items()}
+    return {k: histograms[i] for k, i in whole.items()} | cells
 
 
 def _chosen(nodes: list[_Node], how: Settings) -> tuple[set[int], set[int]]:
-    """The nodes that are split, the best gain first, and those of them whose children aren't known yet."""
+    """The nodes that are split, the best gain first, and the children that must be known before that is sure."""
     chosen, unknown, leaves = set(), set(), 1
     heap = [(-nodes[0].gain, 0)]
     while heap and (not how.leaves or leaves < how.leaves):
-        gain, k = heapq.heappop(heap)
-        if nodes[k].split is None or (how.max_depth and nodes[k].depth >= how.max_depth):
+        _, k = heapq.heappop(heap)
+        if not nodes[k].split:
             continue
         chosen.add(k)
         leaves += 1
-        if nodes[k].children is None or not nodes[nodes[k].children[0]].known:
-            unknown.add(k)
-        else:
-            for c in nodes[k].children:
+        for c in nodes[k].children:
+            if nodes[c].known:
                 heapq.heappush(heap, (-nodes[c].gain, c))
+            elif not how.leaves or leaves < how.leaves:
+                unknown.add(c)
     return chosen, unknown
 
 
@@ -189,29 +224,59 @@ def _as_tree(nodes: list[_Node], split: set[int]) -> tuple[Tree, list[int]]:
     return tree, of
 
 
-def grow(rows: DataFrame, recent: list[Tree], edges: list[np.ndarray], how: Settings) -> Tree:
-    """One tree over rows (x, n, pos, margin) after the trees that `margin` doesn't have yet."""
-    nodes, pending, expanded = [_Node(0)], [0], set()
-    while pending:
-        tree, of = _as_tree(nodes, expanded)
-        place = {k: i for i, k in enumerate(of)}
-        sums = _histograms(rows, recent, tree, {place[k]: i for i, k in enumerate(pending)}, edges)
-        for k, (g, h, n) in zip(pending, sums, strict=True):
-            nodes[k].gain, nodes[k].split, nodes[k].weight = best_split(g, h, n, edges, how)
-            nodes[k].known = True
-        chosen, unknown = _chosen(nodes, how)
-        pending = []
+def grow(blocks: RDD, count: int, bins: np.ndarray, how: Settings) -> Tree:
+    """One tree over blocks of so many cells; its thresholds are bins."""
+    nodes, chosen, unknown = [_Node(0, count)], set(), {0}
+    while unknown:
+        tree, of = _as_tree(nodes, {k for k, n in enumerate(nodes) if n.split})
+        far = {i: nodes[k].count for i, k in enumerate(of) if k in unknown and not nodes[k].held}
+        found = {of[i]: v for i, v in _looked_up(blocks, tree, far, len(bins)).items()} if far else {}
         for k in sorted(unknown):
-            nodes[k].children = (len(nodes), len(nodes) + 1)
-            nodes += [_Node(nodes[k].depth + 1), _Node(nodes[k].depth + 1)]
-            pending += nodes[k].children
-            expanded.add(k)
+            if isinstance(found.get(k), tuple):
+                nodes[k].held = found[k]
+            sums = found[k] if not nodes[k].held else _binned(*nodes[k].held, np.zeros(len(nodes[k].held[0]), int), 1)[0]
+            children = _searched(nodes[k], sums, bins, how)
+            if children:
+                nodes[k].children = (len(nodes), len(nodes) + 1)
+                nodes += children
+        chosen, unknown = _chosen(nodes, how)
     return _as_tree(nodes, chosen)[0]
 
 
+def _coded(rows: DataFrame, edges: list[np.ndarray]) -> DataFrame:
+    """rows (x, n, pos) by the bins of x: a bin is the number of edges below, one byte."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(b.column(0))
+                codes = np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)], axis=1).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in codes], pa.binary()), *b.columns[1:]], names=["codes", "n", "pos"])
+
+    return rows.select("x", "n", "pos").mapInArrow(run, "codes binary, n bigint, pos double").groupBy("codes").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+
+
+def _blocks(rows: Iterator[tuple[bytes, int, float]], start: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """Blocks (codes, rows, rows of label 1, margin)."""
+    while some := list(islice(rows, BLOCK)):
+        codes, n, pos = zip(*some, strict=True)
+        yield np.frombuffer(b"".join(codes), np.uint8).reshape(len(n), -1), np.array(n, float), np.array(pos, float), np.full(len(n), start)
+
+
+def _moved(block: tuple[np.ndarray, ...], trees: list[Tree]) -> tuple[np.ndarray, ...]:
+    codes, n, pos, margin = block
+    return codes, n, pos, margin + _margin(trees, codes)
+
+
+def _gradients(block: tuple[np.ndarray, ...], trees: list[Tree]) -> Cells:
+    codes, n, pos, margin = _moved(block, trees)
+    p = 1 / (1 + np.exp(-margin))
+    return codes, np.stack([n * p - pos, n * p * (1 - p), n, np.ones(len(n))])
+
+
 def fit(rows: DataFrame, features: list[str], how: Settings, label: str = "label") -> Boosted:
-    """Boosted trees for a label of 0 and 1. Null features are missing and go left; rows without a label don't count; ValueError without rows."""
-    ship(rows.sparkSession)
+    """Boosted trees for a label of 0 and 1. Null features and NaN are missing and go left; rows without a label don't count; ValueError without rows."""
+    spark = ship(rows.sparkSession)
     known = rows.where(F.col(label).isNotNull()).select(_vector(features).alias("x"), F.col(label).cast("double").alias("y"))
     grouped = cut(known.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")))
     total = grouped.agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).first()
@@ -222,19 +287,22 @@ def fit(rows: DataFrame, features: list[str], how: Settings, label: str = "label
     cuts = [(k + 1) / BINS for k in range(BINS - 1)]
     quantiles = grouped.agg(*[F.percentile_approx(F.col("x")[f], cuts, 10_000).alias(str(f)) for f in range(len(features))]).first()
     edges = [np.unique(np.array(q, float))[: BINS - 1] for q in quantiles]
-    held, trees, recent = grouped.withColumn("margin", F.lit(start)), [], []
-    for _ in range(how.trees):
-        recent.append(grow(held, recent, edges, how))
-        trees.append(recent[-1])
-        if len(recent) == KEEP:
-            held, recent = cut(_added(held, recent)), []
-    return Boosted(list(features), start, trees)
-
-
-def _added(rows: DataFrame, trees: list[Tree]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            more = _margin(trees, _matrix(b.column(0))) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(b.column(3).to_numpy() + more)], names=["x", "n", "pos", "margin"])
-
-    return rows.select("x", "n", "pos", "margin").mapInArrow(run, "x array<double>, n bigint, pos double, margin double")
+    cells = cut(_coded(grouped, edges))
+    count = cells.count()
+    parts = min(math.ceil(count / TASK), 4 * spark.sparkContext.defaultParallelism)
+    kept = [cells.repartition(parts).rdd.mapPartitions(partial(_blocks, start=start)).persist(StorageLevel.MEMORY_AND_DISK)]
+    grown: list[Tree] = []
+    for k in range(how.trees):
+        if k and k % KEEP == 0:
+            kept.append(kept[0].map(partial(_moved, trees=list(grown))).persist(StorageLevel.MEMORY_AND_DISK))
+            for old in kept[1:-1]:
+                old.unpersist()
+        now = kept[-1].map(partial(_gradients, trees=grown[k - k % KEEP :]))
+        if not _few(count, len(features)):  # else the tree takes one pass
+            now.persist(StorageLevel.MEMORY_AND_DISK)
+        grown.append(grow(now, count, np.array([len(e) for e in edges]), how))
+        if now.is_cached:
+            now.unpersist()
+    for old in kept:
+        old.unpersist()
+    return Boosted(list(features), start, [[(f, float(edges[f][int(at)]) if f >= 0 else at, left, right) for f, at, left, right in t] for t in grown])

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from rillwork.operators import abandon, boosting
+from rillwork.plans import queries
 
 SCHEMA = "a double, b double, label int"
 
@@ -81,3 +82,43 @@ def test_one_class_and_no_rows(spark):
     assert model.score(spark.createDataFrame([(None, None, 1)], SCHEMA)).first()["score"] > 0.5
     with pytest.raises(ValueError):
         boosting.fit(spark.createDataFrame([], SCHEMA), ["a", "b"], boosting.Settings(2))
+
+
+@pytest.mark.parametrize("most", [0, 20])
+@pytest.mark.parametrize("how", [boosting.Settings(2, 0.3, 4, l2=0.5), boosting.Settings(2, 0.3, 0, leaves=9, l2=0.1, least_hessian=1e-3, least_rows=5, from_mean=True)])
+def test_histograms_and_cells_give_one_tree(spark, monkeypatch, how, most):
+    rows = spark.createDataFrame(data(500, 5), SCHEMA).repartition(3)
+    want = boosting.fit(rows, ["a", "b"], how).trees  # so few cells are all sent as they are
+    monkeypatch.setattr(boosting, "_few", lambda count, _: count <= most)
+    monkeypatch.setattr(boosting, "TASK", 20)
+    monkeypatch.setattr(boosting, "KEEP", 1)
+    got = boosting.fit(rows, ["a", "b"], how).trees
+    assert max(len(t) for t in want) > 9 and [len(t) for t in got] == [len(t) for t in want]
+    for one, other in zip(got, want, strict=True):
+        np.testing.assert_allclose(np.array(one), np.array(other), rtol=1e-9)
+
+
+def test_a_tree_over_few_cells_is_one_pass(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(boosting, "_looked_up", lambda *a, real=boosting._looked_up: calls.append(1) or real(*a))
+    model = boosting.fit(spark.createDataFrame(data(300), SCHEMA), ["a", "b"], boosting.Settings(12, 0.1, 5))
+    assert len(model.trees) == len(calls) == 12 and max(len(t) for t in model.trees) > 20
+
+
+def test_nan_is_missing(spark):
+    rows = [(k % 10 / 1.0, 1.0, int(k % 10 > 4)) for k in range(100)]
+    of = lambda gap: boosting.fit(spark.createDataFrame([*rows, *[(gap, 1.0, 0)] * 30], SCHEMA), ["a", "b"], boosting.Settings(3, 0.3, 3))
+    assert of(math.nan).trees == of(None).trees
+
+
+def test_the_query_trains_with_all_settings(spark, monkeypatch):
+    seen = {}
+
+    def trained(sessions, config=None, algorithm=None, parts=None):
+        seen[algorithm] = abandon.merged(abandon.CONFIG, config)
+        return None, spark.createDataFrame([(algorithm,)], "algorithm string")
+
+    monkeypatch.setattr(abandon, "train", trained)
+    monkeypatch.setattr(abandon, "parted", lambda *_: None)
+    queries._trained(type("M", (), {"feature_sessions": None}))
+    assert set(seen) == {"xgboost", "lightgbm", "random_forest", "logistic"} and all(c == abandon.CONFIG for c in seen.values())

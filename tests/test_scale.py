@@ -153,6 +153,14 @@ def test_equal_sessions_are_scored_once(spark, monkeypatch):
     assert got.drop("algorithm").first() == abandon.metrics(abandon.score(model, later)).first()
 
 
+def test_the_forest_is_spread_over_tasks(spark, tmp_path):
+    spark.range(9000).coalesce(1).write.parquet(str(tmp_path / "r"))
+    rows = spark.read.parquet(str(tmp_path / "r"))
+    assert rows.rdd.getNumPartitions() == 1
+    assert abandon._dealt(rows, 9000).rdd.glom().map(len).collect() == [1800] * 5
+    assert abandon._dealt(rows, 10**9).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
 def test_crowded_values_are_ordered_in_parts(spark):
     rng = random.Random(2)
     data = [(0.5 + rng.randint(0, 900) / 1e6, int(rng.random() < 0.3)) for _ in range(3000)]
